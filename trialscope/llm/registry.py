@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.llm.common import table
+from trialscope.llm.chat_format import conversation_events, format_chat, read_back
+from trialscope.llm.common import kept_table, table
 from trialscope.llm.exact_dedup import exact_dedup
+from trialscope.llm.merkle import edit_likeness
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,33 @@ FROM d
 """
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    formatted, _ = kept_table(format_chat(conversation_events(rows)), "chat")
+    return read_back(formatted)
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + n + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op8_chat_formatting": op8_chat_formatting, "op10_document_fingerprints": op10_document_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_chat_formatting": OP8_SQL}
