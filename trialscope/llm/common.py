@@ -69,3 +69,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int
                 part = batch.slice(start, n)
             yield part
             start += n
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; it is installed on every machine and never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

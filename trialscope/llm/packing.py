@@ -176,7 +176,7 @@ def pack(pieces: DataFrame, n_pieces: int, longest: int = 1024) -> DataFrame:
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = best_fit(pdf["length"].tolist(), longest)
-        pdf["sequence_id"] = (pdf["_shard"].astype("int64") << 20) + np.array(bins, np.int64)
+        pdf["sequence_id"] = pdf["_shard"].astype("int64") * (1 << 20) + np.array(bins, np.int64)
         pdf["offset"] = np.array(offsets, np.int64)
         return pdf[[*columns, "sequence_id", "offset"]]
 

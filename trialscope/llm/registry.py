@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialscope.llm.chat_format import conversation_events, format_chat, read_back
-from trialscope.llm.common import kept_table, table
+from trialscope.llm.common import kept_table, table, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup
 from trialscope.llm.merkle import edit_likeness
+from trialscope.llm.packing import pack, tokenised_pieces
+from trialscope.llm.piece_bpe import piece_digests
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,16 @@ FROM d
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces, _ = kept_table(tokenised_pieces(docs, tokenizer_path or tokenizer_file("byte_bpe_50k.json")), "pieces")
+    return pack(pieces, pieces.count())
+
+
+def op5_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), model_path or tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -49,7 +61,13 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_chat_formatting": op8_chat_formatting, "op10_document_fingerprints": op10_document_fingerprints}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_piece_bpe": op5_piece_bpe,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op10_document_fingerprints": op10_document_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
