@@ -12,6 +12,8 @@ from trialscope.llm.exact_dedup import exact_dedup
 from trialscope.llm.merkle import edit_likeness
 from trialscope.llm.packing import pack, tokenised_pieces
 from trialscope.llm.piece_bpe import piece_digests
+from trialscope.llm.quality_gam import score_quality
+from trialscope.llm.toxicity_lm import score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,14 @@ FROM d
 """
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces, _ = kept_table(tokenised_pieces(docs, tokenizer_path or tokenizer_file("byte_bpe_50k.json")), "pieces")
@@ -63,6 +73,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality_gam": op2_quality_gam,
+        "op4_toxicity_lm": op4_toxicity_lm,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_piece_bpe": op5_piece_bpe,
         "op8_chat_formatting": op8_chat_formatting,
