@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialscope.llm.chat_format import conversation_events, format_chat, read_back
-from trialscope.llm.common import kept_table, table, tokenizer_file
+from trialscope.llm.common import kept_table, new_path, table, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup
 from trialscope.llm.merkle import edit_likeness
 from trialscope.llm.packing import pack, tokenised_pieces
 from trialscope.llm.piece_bpe import piece_digests
 from trialscope.llm.quality_gam import score_quality
 from trialscope.llm.toxicity_lm import score_toxicity
+from trialscope.llm.warc import read_digests, write_archives
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,21 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = Non
     return piece_digests(table(spark, sf_dir, "documents"), model_path or tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    return read_digests(write_archives(table(spark, sf_dir, "pages"), folder), folder)
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS newest FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM g
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -77,10 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity_lm": op4_toxicity_lm,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_piece_bpe": op5_piece_bpe,
+        "op6_warc": op6_warc,
         "op8_chat_formatting": op8_chat_formatting,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_chat_formatting": OP8_SQL}
