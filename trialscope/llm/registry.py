@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trialscope.llm.chat_format import conversation_events, format_chat, read_back
 from trialscope.llm.common import kept_table, new_path, table, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup
+from trialscope.llm.jaccard_join import jaccard_components
 from trialscope.llm.merkle import edit_likeness
 from trialscope.llm.packing import pack, tokenised_pieces
 from trialscope.llm.piece_bpe import piece_digests
@@ -82,6 +83,23 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2], ws[i + 3])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+"""
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -95,9 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_piece_bpe": op5_piece_bpe,
         "op6_warc": op6_warc,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op9_jaccard_join": OP9_SQL}
