@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import kept_table, small_batches, text_of
+from trialscope.llm.common import drop_path, kept_table, small_batches, text_of
 
 FEATURES = ["log_chars", "word_chars", "upper", "bang", "symbols", "bars", "digits", "stops", "line_words", "distinct", "adjacent", "top_word", "short", "line_repeat", "non_ascii", "long_words"]
 
@@ -200,6 +200,29 @@ def labelled_sample(features: DataFrame, labels: DataFrame, label_col: str, lear
     return features.where(learn).join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(most).select("_label", *FEATURES).toPandas()
 
 
+def fit_quality(features: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, train_rows: int) -> Gam:
+    """The model of at most train_rows labelled rows outside the held-out fold."""
+    sample = labelled_sample(features, labels, "quality", ~in_fold(id_col, folds, held_out), id_col, train_rows)
+    return fit_gam(sample[FEATURES].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is threshold or more; no text is shuffled.
+
+    Cases are defined as for score_quality(); each row is judged by its own text, also where ids repeat.
+    """
+    features, path = kept_table(feature_table(docs, id_col, text_col), "quality-features")
+    gam = fit_quality(features, labels, id_col, folds, held_out, train_rows)
+    drop_path(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            x = np.array([text_features(t or "") for t in b.column(text_col).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(gam.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
@@ -212,8 +235,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     the largest holds. Without labels the score is 0.5. Other columns are ignored.
     """
     features, _ = kept_table(feature_table(docs, id_col, text_col), "quality-features")
-    sample = labelled_sample(features, labels, "quality", ~in_fold(id_col, folds, held_out), id_col, train_rows)
-    gam = fit_gam(sample[FEATURES].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
+    gam = fit_quality(features, labels, id_col, folds, held_out, train_rows)
     marked = features.withColumn("held_out", in_fold(id_col, folds, held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialscope.llm.chat_format import conversation_events, format_chat, read_back
 from trialscope.llm.common import kept_table, new_path, table, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup
 from trialscope.llm.jaccard_join import jaccard_components
+from trialscope.llm.licences import scan_licences
 from trialscope.llm.merkle import edit_likeness
 from trialscope.llm.packing import pack, tokenised_pieces
 from trialscope.llm.piece_bpe import piece_digests
@@ -63,6 +65,22 @@ FROM g
 """
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licences"), F.array_join("found.licence", ",").alias("licences"))
+
+
+OP7_SQL = r"""
+WITH s AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+([ \t\r\n\f\v]+|$)|\n+') AS parts FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: CASE trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))
+    WHEN 'licensed under the apache license version 2 0' THEN 'Apache-2.0'
+    WHEN 'this work is licensed under the gnu general public license version 3' THEN 'GPL-3.0'
+    WHEN 'released under the mit license' THEN 'MIT'
+    WHEN 'licensed under cc by nc 4 0' THEN 'CC-BY-NC-4.0' END), lambda x: x IS NOT NULL) AS found FROM s)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_licences, array_to_string(found, ',') AS licences FROM k
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -112,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_piece_bpe": op5_piece_bpe,
         "op6_warc": op6_warc,
+        "op7_licence_scan": op7_licence_scan,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_document_fingerprints": op10_document_fingerprints,
@@ -119,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_licence_scan": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op9_jaccard_join": OP9_SQL}

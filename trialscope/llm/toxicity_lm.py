@@ -213,6 +213,55 @@ def calibration_inputs(above: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([evidence, evidence * size, size])
 
 
+def ratio_table(rows: DataFrame, model) -> DataFrame:
+    """_id, ratio, above, words of each row (_id, text) by a broadcast model."""
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = Ratios(model.value)
+        for b in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *map(pa.array, known_words.of(b.column("text").to_pylist()))], names=["_id", "ratio", "above", "words"])
+
+    return rows.select("_id", "text").mapInArrow(ratios, f"_id {dict(rows.dtypes)['_id']}, ratio double, above double, words long")
+
+
+def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple:
+    """(broadcast model, weights of the score) from labelled rows outside the held-out fold."""
+    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
+    learn = rows.where(~in_fold("_id", folds, held_out)).join(known, "_id")
+    tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
+    model = rows.sparkSession.sparkContext.broadcast(fit(learn.where(~tuning)))
+    chosen = learn.where(tuning).orderBy(F.xxhash64("_id", F.lit(1)), "_id").select("_id", "label").limit(calibration_rows).distinct()
+    tune = ratio_table(rows.join(F.broadcast(chosen), "_id", "left_semi"), model).join(F.broadcast(chosen), "_id").select("above", "words", "label").toPandas()
+    y = tune["label"].to_numpy(np.float64)
+    if len(y) and y.min() < y.max():
+        w = logistic(calibration_inputs(*(tune[c].to_numpy() for c in ("above", "words"))), y)
+    else:
+        p = (y.sum() + 0.5) / (len(y) + 1)
+        w = np.array([np.log(p / (1 - p)), *[0.0] * 3])
+    return model, w
+
+
+def scored(above: np.ndarray, words: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(w[0] + calibration_inputs(above, words) @ w[1:], -30, 30)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold; see score_toxicity().
+
+    Each row is judged by its own text, also where ids repeat.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
+    model, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = Ratios(model.value)
+        for b in small_batches(batches):
+            _, above, words = known_words.of([t or "" for t in b.column(text_col).to_pylist()])
+            yield b.filter(pa.array(scored(above, words, w) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
@@ -226,34 +275,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     id the largest holds. Without labels of both classes the score is the share of toxic labels,
     smoothed. Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    learn = rows.where(~in_fold("_id", folds, held_out)).join(known, "_id")
-    tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
-    model = spark.sparkContext.broadcast(fit(learn.where(~tuning)))
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = Ratios(model.value)
-        for b in small_batches(batches):
-            texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *map(pa.array, known_words.of(texts))], names=["_id", "ratio", "above", "words"])
-
-    kind = dict(rows.dtypes)["_id"]
-    every, _ = kept_table(rows.mapInArrow(ratios, f"_id {kind}, ratio double, above double, words long"), "ratios")
-    tune = every.where(~in_fold("_id", folds, held_out) & tuning).join(known, "_id").orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(calibration_rows).select("above", "words", "label").toPandas()
-    y = tune["label"].to_numpy(np.float64)
-    if len(y) and y.min() < y.max():
-        w = logistic(calibration_inputs(*(tune[c].to_numpy() for c in ("above", "words"))), y)
-    else:
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        w = np.array([np.log(p / (1 - p)), *[0.0] * 3])
+    model, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
+    marked = ratio_table(rows, model).withColumn("held_out", in_fold("_id", folds, held_out))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = calibration_inputs(*(b.column(c).to_numpy() for c in ("above", "words")))
-            p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+            p = scored(b.column("above").to_numpy(), b.column("words").to_numpy(), w)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["_id", "held_out", "score", "predicted"])
 
-    marked = every.withColumn("held_out", in_fold("_id", folds, held_out))
-    return marked.mapInArrow(score, f"_id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("_id", id_col)
+    return marked.mapInArrow(score, f"_id {dict(rows.dtypes)['_id']}, held_out boolean, score double, predicted int").withColumnRenamed("_id", id_col)
