@@ -1,8 +1,64 @@
-"""A training-corpus pipeline of five stages, each over all that the stage before it kept."""
+"""A training-corpus pipeline of five stages, each over all that the stage before it kept.
 
-STAGES: list = []
+quality, toxicity, exact_dedup and near_dedup return the columns of their input and only the rows
+that stay; packing returns a row per piece of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trialscope.llm.common import kept_table, table, text_of, tokenizer_file
+from trialscope.llm.exact_dedup import exact_dedup, normalised
+from trialscope.llm.jaccard_join import jaccard_components
+from trialscope.llm.packing import pack, tokenised_pieces
+from trialscope.llm.quality_gam import keep_quality
+from trialscope.llm.toxicity_lm import drop_toxic
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier doesn't reject."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity models don't reject."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row of the smallest doc_id; of repeated rows of it, one."""
+    sha = F.sha2(normalised(text_of("text")), 256)
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    rows = docs.withColumn("_sha", sha)
+    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = Window.partitionBy("doc_id", "_sha").orderBy("doc_id", *others)
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (five words, similarity 0.8) the document of the smallest doc_id."""
+    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of at most 1024 tokens."""
+    pieces, _ = kept_table(tokenised_pieces(docs, tokenizer_file("byte_bpe_50k.json")), "pieces")
+    return pack(pieces, pieces.count())
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("exact_dedup", dedup), ("near_dedup", near_dedup), ("packing", packing)]
+
+#: The two trained stages have no SQL; tests compare the stages with plain versions of them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = kept_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
