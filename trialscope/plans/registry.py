@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialscope.plans import views
+
+_PARTS = (views,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: text for part in _PARTS for k, text in part.oracle_sql().items()}
