@@ -18,7 +18,10 @@ from trialscope.llm.common import small_batches, text_of
 
 #: The characters of Unicode's White_Space, as a character class.
 _WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE_SET = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 _CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: Fixed value: the pattern by which byte-level BPE of this kind parts a text.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Chunks of text that a worker remembers; the memory is emptied when full.
 REMEMBERED = 400_000
 #: Pieces packed together in one task; each such shard leaves about one sequence unfilled.
@@ -26,32 +29,60 @@ SHARD_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the file: printable Latin-1 ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class ByteBpe:
-    """A byte-level BPE tokenizer file; chunks of text are encoded once and remembered.
+    """A byte-level BPE tokenizer file; words are encoded once and remembered.
 
-    The tokenizer's own pattern never puts a character and white space after it into one token, so
-    chunks that begin where white space begins are encoded alike by themselves.
+    The tokenizer's own pattern puts a space before a character that isn't white into one token with
+    it, whatever stands before. So a text without white space after a space falls into words, each
+    with its space, that are encoded alike by themselves; other texts are cut only where white space
+    begins. Such a part without a special token goes through tiktoken with the file's own vocabulary,
+    which gives the ids that the tokenizers library gives at a third of its time.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, bytes | None] = {}  # by word, with a space before it; None: not to be taken alone
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        fast, special = self.fast.encode_ordinary, self.special
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(x in t for x in special) else fast(t), "<u4").tobytes() for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_CHUNKS.findall(t) for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.known}
+        split = [t.split(" ") for t in texts]
+        firsts = self.ids([words[0] for words in split])
+        new: set[str] = set()
+        new.update(*split)
+        new.difference_update(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = {c for chunks in split for c in chunks}
+            new.update(*split)
         order = list(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for i in range(0, len(order), 5_000):
+            part = order[i : i + 5_000]
+            alone = [w for w in part if w and w[0] not in _WHITE_SET]
+            self.known.update(dict.fromkeys(part))
+            self.known.update(zip(alone, self.ids([" " + w for w in alone]), strict=True))
+        out = []
+        for text, words, first in zip(texts, split, firsts, strict=True):
+            parts = [first, *map(self.known.__getitem__, words[1:])]
+            out.append(b"".join(self.ids(_CHUNKS.findall(text)) if None in parts else parts))
+        return out
 
 
 @lru_cache(maxsize=2)
