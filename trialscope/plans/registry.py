@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.plans import views
+from trialscope.plans import jobs, views
 
-_PARTS = (views,)
+_PARTS = (views, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
