@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.plans import jobs, views
+from trialscope.plans import ingest, jobs, views
 
-_PARTS = (views, jobs)
+_PARTS = (views, jobs, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
