@@ -68,7 +68,7 @@ def playwright_reports(v: Views) -> DataFrame:
 
 def playwright_executions(v: Views) -> DataFrame:
     e = playwright.executions(playwright.specs(playwright_reports(v)))
-    return e.select("test_id", "status", "duration_ms", F.size("results").alias("attempts"), F.col("issue_keys")[0].alias("issue_key"), F.col("case_ids")[0].alias("tr_case_id"))
+    return e.select("test_id", "status", "duration_ms", F.size("results").alias("attempts"), F.get("issue_keys", F.lit(0)).alias("issue_key"), F.get("case_ids", F.lit(0)).alias("tr_case_id"))
 
 
 def playwright_attempts(v: Views) -> DataFrame:

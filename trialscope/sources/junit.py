@@ -49,8 +49,8 @@ def read_cases(suites: DataFrame, title_mode: str = "name") -> DataFrame:
     c = suites.select("path", "suite_name", F.explode("testcase").alias("c")).select("path", "suite_name", "c.*")
     identity = F.trim(F.concat(F.coalesce("_classname", F.lit("")), F.lit("::"), F.coalesce("_name", F.lit(""))))
     title = F.coalesce(F.nullif("_classname" if title_mode == "classname" else "_name", F.lit("")), identity)
-    problem = F.coalesce("skipped", "failure", "error")[0]
-    trouble = F.when(F.col("skipped").isNull(), F.coalesce("failure", "error")[0])
+    problem = F.get(F.coalesce("skipped", "failure", "error"), F.lit(0))
+    trouble = F.when(F.col("skipped").isNull(), F.get(F.coalesce("failure", "error"), F.lit(0)))
     props = F.concat(F.coalesce("properties.property", F.array().cast(_PROPERTY)), F.coalesce("property", F.array().cast(_PROPERTY)))
     return c.select(
         "path", "suite_name", identity.alias("identity_key"), title.alias("title"),

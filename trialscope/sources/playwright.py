@@ -76,7 +76,7 @@ def executions(spec_rows: DataFrame, projects: list[str] | None = None) -> DataF
     return e.select(
         "path", "test_id", "title", "tags", F.col("t.projectName").alias("project"), _execution_status(F.col("t.status")).alias("status"),
         F.aggregate(results, F.lit(0.0), lambda a, r: a + F.coalesce(r["duration"], F.lit(0.0)), lambda a: a.cast("int")).alias("duration_ms"),
-        truncated(last["errors"][0]["message"], 2000).alias("failure_message"), notes.alias("annotations"), results.alias("results"),
+        truncated(F.get(last["errors"], F.lit(0))["message"], 2000).alias("failure_message"), notes.alias("annotations"), results.alias("results"),
         F.array_distinct(issue_keys(told)).alias("issue_keys"), case_ids(F.concat_ws(" ", F.array_join("tags", " "), F.concat_ws(" ", F.transform(notes, lambda n: n["description"])))).alias("case_ids"),
     )
 
@@ -85,7 +85,7 @@ def attempts(execution_rows: DataFrame) -> DataFrame:
     """A row per result: attempt number (its retry, else its place), status, duration, fingerprint of its first error."""
     r = execution_rows.select("path", "test_id", "project", F.posexplode("results").alias("pos", "r"))
     start = F.try_to_timestamp("r.startTime")
-    message = F.col("r.errors")[0]["message"]
+    message = F.get(F.col("r.errors"), F.lit(0))["message"]
     return r.select(
         "path", "test_id", "project", F.coalesce("r.retry", "pos").alias("attempt_no"),
         F.when(F.col("r.status") == "passed", "PASSED").when(F.col("r.status") == "skipped", "SKIPPED").otherwise("FAILED").alias("status"),
