@@ -143,3 +143,9 @@ def test_export_prefers_annotations(spark):
     links = spark.createDataFrame([(10, 3), (10, 4)], "test_case_id long, tr_case_id long")
     got = rows(export.export_results(ex, links))
     assert got == [(1, 3, 1, "Playwright: PASSED\nTest: t", "0s"), (1, 4, 1, "Playwright: PASSED\nTest: t", "0s"), (1, 7, 5, "Playwright: FAILED\nFailure:\nboom\nTest: t", "1m 5s")]
+
+
+def test_names_and_environments(spark):
+    df = spark.createDataFrame([("origin/main", None, 7, "abcdefghij", dt.datetime(2024, 1, 31), {"a": "1", "b": "2"}, '{"b":"3"}'), ("dev", "job", None, "abcdefghij", dt.datetime(2024, 1, 31), None, "not json")], "ref string, job string, build int, id string, at timestamp_ntz, env map<string,string>, extra string")
+    got = df.select(tx.branch_name(F.col("ref")), tx.run_name(F.col("job"), F.col("build"), F.col("id"), F.col("at")), tx.merged_env(F.col("env"), F.col("extra"))).collect()
+    assert [tuple(r) for r in got] == [("main", "playwright #7 — 2024-01-31", {"a": "1", "b": "3"}), ("dev", "job abcdefgh — 2024-01-31", {})]

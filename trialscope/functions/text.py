@@ -113,3 +113,19 @@ def elapsed(ms: Column) -> Column:
 def truncated(text: Column, most: int, mark: str = "") -> Column:
     """At most `most` characters, then the mark if something is cut."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def branch_name(ref: Column) -> Column:
+    return F.regexp_replace(ref, "^origin/", "")
+
+
+def run_name(job: Column, build: Column, run_id: Column, created: Column) -> Column:
+    """job #12 — 2024-01-31, or the start of the run's id where it has no build."""
+    return F.concat(F.coalesce(job, F.lit("playwright")), F.lit(" "), F.coalesce(F.concat(F.lit("#"), build.cast("string")), F.substring(run_id, 1, 8)), F.lit(" — "), F.date_format(created, "yyyy-MM-dd"))
+
+
+def merged_env(base: Column, extra_json: Column) -> Column:
+    """base (a map) with the entries of a JSON object, which win; text that isn't one is ignored."""
+    extra = F.coalesce(F.from_json(extra_json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(F.coalesce(base, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(extra), k))
+    return F.map_concat(kept, extra)

@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.operators import coverage, governance, health
+from trialscope.operators import coverage, export, governance, health
+from trialscope.plans.view_sql import AS_OF as AS_OF_SQL
 from trialscope.plans.view_sql import over_views
 from trialscope.sources.binding import Domain
 
@@ -81,6 +82,25 @@ def _mean_pass_rate(v: Views) -> DataFrame:
     return v.suites.agg(F.coalesce(F.floor((2 * tenths + n) / F.nullif(2 * n, F.lit(0))).cast("double") / 10, F.lit(0.0)).alias("avg_pass_rate_pct"))
 
 
+TREND = (dt.datetime(2024, 1, 17), dt.datetime(2024, 1, 24), AS_OF)
+
+
+def _trend(v: Views) -> DataFrame:
+    """Executed shares of the snapshots that were taken at the moments of TREND."""
+    history = None
+    for at in TREND:
+        then = Views(v.spark, v.sf_dir)
+        then.as_of = at
+        row = export.snapshot_row(then.executed_summary, at).select("taken_at", "auto_executed_30d_pct", "manual_executed_30d_pct")
+        history = row if history is None else export.append_snapshot(history, row)
+    return history.orderBy("taken_at")
+
+
+def _trend_sql() -> str:
+    one = lambda at: over_views(f"SELECT {AS_OF_SQL} AS taken_at, coalesce(auto_executed_30d_pct, 0.0) AS auto_executed_30d_pct, coalesce(manual_executed_30d_pct, 0.0) AS manual_executed_30d_pct FROM v_executed_summary").replace(AS_OF_SQL, f"TIMESTAMP '{at}'")
+    return " UNION ALL ".join(f"SELECT * FROM ({one(at)})" for at in TREND)
+
+
 def _dated(df: DataFrame) -> DataFrame:
     """The date as text, which both engines hand over alike."""
     return df.withColumn("as_of_date", F.col("as_of_date").cast("string"))
@@ -112,6 +132,7 @@ QUERIES = {
     "card_manual_tested": (lambda v: v.executed_summary.select("manual_executed_30d_pct"), "SELECT manual_executed_30d_pct FROM v_executed_summary"),
     "card_fully_uncovered": (lambda v: v.executed_summary.select("fully_uncovered"), "SELECT fully_uncovered FROM v_executed_summary"),
     "card_linked_but_stale": (lambda v: v.executed_summary.select("linked_but_stale_30d"), "SELECT linked_but_stale_30d FROM v_executed_summary"),
+    "card_coverage_trend": (_trend, _trend_sql()),
     "card_by_project": (lambda v: coverage.coverage_by_project(v.matrix).select("project_key", "auto_pct", "manual_pct", "combined_pct").orderBy(F.asc_nulls_last("combined_pct"), "project_key").limit(20), "SELECT project_key, auto_pct, manual_pct, combined_pct FROM v_project ORDER BY combined_pct NULLS LAST, project_key LIMIT 20"),
     "card_by_priority": (lambda v: coverage.coverage_by_priority(v.matrix).select("priority", "total_issues", "combined_pct", "uncovered"), "SELECT priority, total_issues, combined_pct, uncovered FROM v_priority"),
     "card_uncovered_issues": (lambda v: v.matrix.where("NOT has_any_coverage").select("issue_key", "summary", "status", "priority", "project_key").orderBy(F.asc_nulls_last("priority"), "issue_key"), "SELECT issue_key, summary, status, priority, project_key FROM v_matrix WHERE NOT has_any_coverage"),
