@@ -227,7 +227,7 @@ def ratio_table(rows: DataFrame, model) -> DataFrame:
 def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple:
     """(broadcast model, weights of the score) from labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    learn = rows.where(~in_fold("_id", folds, held_out)).join(known, "_id")
+    learn = rows.where(~in_fold("_id", folds, held_out)).join(known.hint("merge"), "_id")  # labels grow with the corpus
     tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
     model = rows.sparkSession.sparkContext.broadcast(fit(learn.where(~tuning)))
     chosen = learn.where(tuning).orderBy(F.xxhash64("_id", F.lit(1)), "_id").select("_id", "label").limit(calibration_rows).distinct()
