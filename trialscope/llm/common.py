@@ -71,6 +71,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int
             start += n
 
 
+def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most `most` rows, those of least hash of the id.
+
+    Beyond that many rows, a threshold on the hash leaves about a tenth more than are wanted, so that
+    what tasks hand to the last sort is bounded however many tasks there are.
+    """
+    n = df.count()
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.1 * most / n + 100 / n)))
+    return df.orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), id_col).limit(most)
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer file; it is installed on every machine and never copied here."""
     import public_tokenizers

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import drop_path, kept_table, small_batches, text_of
+from trialscope.llm.common import bounded_sample, drop_path, kept_table, small_batches, text_of
 
 FEATURES = ["log_chars", "word_chars", "upper", "bang", "symbols", "bars", "digits", "stops", "line_words", "distinct", "adjacent", "top_word", "short", "line_repeat", "non_ascii", "long_words"]
 
@@ -197,7 +197,7 @@ def in_fold(id_col: str, folds: int, held_out: int) -> Column:
 def labelled_sample(features: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str, most: int) -> pd.DataFrame:
     """At most `most` labelled rows for which learn holds, those of least hash of the id."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    return features.where(learn).join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(most).select("_label", *FEATURES).toPandas()
+    return bounded_sample(features.where(learn).join(known, id_col), id_col, most).select("_label", *FEATURES).toPandas()
 
 
 def fit_quality(features: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, train_rows: int) -> Gam:
