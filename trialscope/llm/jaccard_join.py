@@ -23,10 +23,12 @@ from trialscope.llm.components import components
 from trialscope.llm.shingles import Words, shingle_set
 
 #: Counters of the sketch of document frequencies, as a power of two: it is of fixed size.
-SKETCH_BITS = 21
+SKETCH_BITS = 20
+#: Bits of the filter of node ids, as a power of two.
+FILTER_BITS = 24
 #: Members of a group, and members from which a group's own leaders are linked first.
 GROUP, LARGE = 64, 32
-#: Rows of a list up to which each row must have a possible partner in it to stay.
+#: Rows of a list up to which each row is looked at for a possible partner in it.
 SHORT_LIST = 256
 
 
@@ -105,33 +107,37 @@ def has_partner(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
     return ok.any(1)
 
 
+def prefix_size(n: Column, percent: int) -> Column:
+    return F.floor((100 - percent) * n / 100) + 1
+
+
 def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, rest for rows that share their token with a possible partner.
+    """token, node, n, rest, ok for rows that share their token with another node.
 
-    rest is how many tokens the node has from that one on. Rows are dealt and sorted by token; a task
-    holds one list of at most SHORT_LIST rows, longer ones pass through.
+    rest is how many tokens the node has from that one on; ok, whether another row of the list could
+    reach the needed overlap if this token is the first that both have. Rows are dealt and sorted by
+    token; a task holds one list of at most SHORT_LIST rows, rows of longer ones are all ok.
     """
     one = prefixes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
     lists = one.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_rows > 1").drop("_rows").sortWithinPartitions("token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        passed: set[int] = set()  # the token of a long list of which a part has gone on
 
-        def filtered(cols: list[np.ndarray]) -> list[np.ndarray]:
+        def marked(cols: list[np.ndarray], every: bool = False) -> pa.RecordBatch:
             token, _, n, rest = cols
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            sizes = np.diff(np.r_[starts, len(token)])
-            keep = np.ones(len(token), bool)
-            two = starts[sizes == 2]
-            ok = np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1], percent)
-            keep[two], keep[two + 1] = ok, ok
-            for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if 2 < size <= SHORT_LIST:
-                    keep[s : s + size] = has_partner(n[s : s + size], rest[s : s + size], percent)
-            return [c[keep] for c in cols]
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in filtered(cols)], names=["token", "node", "n", "rest"])
+            ok = np.ones(len(token), bool)
+            if not every:
+                starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                sizes = np.diff(np.r_[starts, len(token)])
+                two = starts[sizes == 2]
+                ok[two] = ok[two + 1] = np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1], percent)
+                for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                    if 2 < size <= SHORT_LIST:
+                        ok[s : s + size] = has_partner(n[s : s + size], rest[s : s + size], percent)
+                ok |= np.isin(token, list(passed))
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(ok)], names=["token", "node", "n", "rest", "ok"])
 
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -142,68 +148,98 @@ def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted by token: the last list may go on
             held = [c[last:] for c in cols]
             if last:
-                yield out([c[:last] for c in cols])
-            elif len(held[0]) > 200_000:  # a very long list passes in parts, unfiltered
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["token", "node", "n", "rest"])
+                yield marked([c[:last] for c in cols])
+            if len(held[0]) > 100_000:  # a very long list passes in parts
+                yield marked(held, every=True)
+                passed = {int(held[0][0])}
                 held = None
         if held is not None and len(held[0]):
-            yield out(held)
+            yield marked(held)
+
+    return lists.mapInArrow(run, "token long, node long, n long, rest long, ok boolean")
 
-    return lists.mapInArrow(run, "token long, node long, n long, rest long")
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-def _tokens(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n, tokens (sorted, as bytes) of the documents that are nodes."""
-    chosen = rows.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+
+def id_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit per hash slot of the ids of nodes; of fixed size, whatever their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in small_batches(batches):
-            sets = [shingle_set(t, words, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "tokens"])
+        for b in batches:
+            at = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    return chosen.select("id", "text").mapInArrow(run, "node long, n long, tokens binary")
+    words = nodes.select("node").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def _open(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between each group's members and its queries.
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents that are nodes, and of a few others.
 
-    members and queries have grp, node, n, tokens. Rows are dealt by group and sorted, members first;
-    a task holds one group's members (GROUP at most) and a query.
+    A filter of the nodes' ids goes to the documents, so that only their texts are shuffled when they
+    are joined by node; what the filter lets through by chance falls out there.
     """
-    side = lambda df, kind: df.select("grp", F.lit(kind).alias("kind"), "node", "n", "tokens")
-    both = side(members, 0).union(side(queries, 1)).repartition("grp").sortWithinPartitions("grp", "kind", "node")
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, sizes, sets, index = None, [], [], [], None
+        bits = shared.value
         for b in batches:
+            at = _slots(b.column(0).to_numpy(zero_copy_only=False))
+            b = b.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "text"])
+
+    return rows.where("id is not null").select("id", "text").mapInArrow(run, "node long, text string")
+
+
+def _open(rows: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect each group's members and queries as all their links would.
+
+    members and queries have grp and node. Texts (smaller than their shingles' hashes) are dealt by
+    group and sorted, members first; a task holds one group's members (GROUP at most) and a query. A
+    query is compared with every member, but of members that earlier queries have connected only one
+    is linked with it.
+    """
+    sent = members.select("node", "grp", F.lit(0).alias("kind")).union(queries.select("node", "grp", F.lit(1).alias("kind")))
+    both = _texts(rows, sent).join(sent, "node").select("grp", "kind", "node", "text").repartition("grp").sortWithinPartitions("grp", "kind", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        group, nodes, sets, index = None, [], [], None
+        for b in small_batches(batches):
             a_out, b_out = [], []
-            for grp, kind, node, n, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+            for grp, kind, node, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                s = shingle_set(text, words, k)
+                n = len(s)
                 if grp != group:
-                    group, nodes, sizes, sets, index = grp, [], [], [], None
+                    group, nodes, sets, index = grp, [], [], None
                 if kind == 0:
                     nodes.append(node)
-                    sizes.append(n)
                     sets.append(s)
                     continue
                 if not nodes:
                     continue
                 if index is None:
-                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    of = np.array(list(map(len, sets)))
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), of)
                     order = np.argsort(flat, kind="stable")
-                    index = flat[order], owner[order], np.array(sizes)
-                flat, owner, of = index
+                    index = flat[order], owner[order], of, np.arange(len(sets))
+                flat, owner, of, joint = index
                 left, right = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 if (right > left).sum() < needed(n, max(n * percent // 100, int(of.min())), percent):
                     continue  # the group's token union has too little of the query
                 counts = right - left
                 places = np.repeat(left - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
                 common = np.bincount(owner[places], minlength=len(nodes))
-                for i in np.flatnonzero(100 * common >= percent * (n + of - common)).tolist():
-                    if nodes[i] != node:
-                        a_out.append(node)
-                        b_out.append(nodes[i])
+                alike = np.flatnonzero((100 * common >= percent * (n + of - common)) & (common > 0))
+                for label in np.unique(joint[alike]).tolist():
+                    a_out.append(node)
+                    b_out.append(nodes[int(alike[joint[alike] == label][0])])
+                if len(alike):
+                    joint[np.isin(joint, joint[alike])] = joint[alike].min()
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
@@ -223,32 +259,40 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & (sets["id"] == classes["node"]), "left_semi").dropDuplicates(["id", "key"])
     lists, _ = kept_table(shared_lists(first, percent), "lists")
 
-    h: Column = F.xxhash64("token", F.lit(1))
-    in_groups = lists.groupBy("node").agg(F.min(h).alias("h1"), F.min(F.xxhash64("token", F.lit(2))).alias("h2"), F.max("n").alias("n"))
+    # Nodes with a possible partner, their groups, and their rows of the lists.
+    first_hash, second_hash = F.min(F.xxhash64("token", F.lit(1))), F.min(F.xxhash64("token", F.lit(2)))
+    in_groups = lists.where("ok").groupBy("node").agg(first_hash.alias("h1"), second_hash.alias("h2"), F.max("n").alias("n"))
+    in_groups = in_groups.withColumn("h1", F.xxhash64("h1", F.floor(F.log("n") / float(np.log(100 / percent)))))
     counted = in_groups.groupBy("h1").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / GROUP).cast("long"))
-    groups, _ = kept_table(in_groups.join(counted, "h1").select("node", "n", "h1", "h2", "size", F.xxhash64("h1", chunk).alias("grp")), "groups")
-    tokens, _ = kept_table(_tokens(rows, groups, k), "tokens")
+    groups, _ = kept_table(in_groups.join(counted, "h1").select("node", "n", "h1", "h2", F.xxhash64("h1", chunk).alias("grp")), "groups")
+    mine, _ = kept_table(lists.join(groups.select("node", "grp"), "node").withColumn("tail", F.col("n") - prefix_size(F.col("n"), percent)).select("token", "node", "grp", "n", "rest", "tail"), "mine")
+
+    def alpha(a: Column, b: Column) -> Column:
+        return F.ceil(percent * (a + b) / float(100 + percent))
 
+    # In large groups, nodes are first linked to one or two leaders, so that big clusters are one part early.
     keys = groups.select("node", F.explode(F.array("h1", "h2")).alias("key"))
     leaders = keys.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(4))).alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
-    to_leader = keys.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
-    with_tokens = tokens.select("node", "n", "tokens")
-    leading = with_tokens.join(leaders.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").withColumn("grp", F.col("node"))
-    led = with_tokens.join(to_leader, "node").withColumn("grp", F.col("leader"))
-    early, _ = kept_table(_open(leading, led, percent), "early-links")
+    to_leader, _ = kept_table(keys.join(leaders, "key").where("node <> leader").select("node", "leader").distinct(), "to-leader")
+    theirs = mine.select("token", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("tail").alias("m_tail"))
+    met = to_leader.join(mine, "node").join(theirs, ["leader", "token"]).groupBy("node", "leader", "n", "m", "tail", "m_tail").agg(F.count(F.lit(1)).alias("c"))
+    plausible, _ = kept_table(met.where(F.col("c") + F.greatest("tail", "m_tail") >= alpha(F.col("n"), F.col("m"))).select("node", "leader"), "plausible")
+    led = plausible.withColumn("grp", F.col("leader"))
+    leading = plausible.select(F.col("leader").alias("node"), F.col("leader").alias("grp")).distinct()
+    early, _ = kept_table(_open(rows, leading, led, k, percent), "early-links")
     parts = components(early)
 
-    placed = lists.join(groups.select("node", "grp"), "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    matrix = placed.groupBy("token", "grp").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.min("part").alias("p_least"), F.max("part").alias("p_most"))
-    small = -F.floor(-(2 * percent) * F.col("n") / (100 + percent))  # overlap that a partner of the same size or larger needs
-    queries = placed.where(F.col("rest") >= small).select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("part").alias("q_part"))
-    bound = F.expr(f"ceil({percent} * (q_n + greatest(q_n, g_least)) / {100 + percent}.0)")
-    could = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least")) & (F.least("q_rest", "g_rest") >= bound) & ~((F.col("p_least") == F.col("q_part")) & (F.col("p_most") == F.col("q_part")))
-    asked, _ = kept_table(queries.join(matrix, (queries["token"] == matrix["token"]) & could).select("q", "grp").distinct(), "asked")
-    members = with_tokens.join(groups.select("node", "grp"), "node").join(asked.select("grp").distinct(), "grp", "left_semi")
-    asking = with_tokens.join(asked.withColumnRenamed("q", "node"), "node")
-    late, _ = kept_table(_open(members, asking, percent), "late-links")
+    # The matrix, and the groups that a query's bounds let it open.
+    placed, _ = kept_table(mine.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("token", "node", "grp", "n", "rest", "tail", "part"), "placed")
+    matrix = placed.groupBy("token", "grp").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("tail").alias("g_tail"), F.min("part").alias("p_least"), F.max("part").alias("p_most"))
+    queries = placed.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("tail").alias("q_tail"), F.col("part").alias("q_part"))
+    fits = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least")) & ~((F.col("p_least") == F.col("q_part")) & (F.col("p_most") == F.col("q_part")))
+    least = alpha(F.col("q_n"), F.greatest("q_n", "g_least"))
+    met = queries.join(matrix, (queries["token"] == matrix["token"]) & fits).groupBy("q", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("q_tail", "g_tail")).alias("tail"), F.min(least).alias("least"), F.bool_or(F.least("q_rest", "g_rest") >= least).alias("first"))
+    asked, _ = kept_table(met.where("first AND c + tail >= least").select("q", "grp"), "asked")
+    members = groups.select("node", "grp").join(asked.select("grp").distinct(), "grp", "left_semi")
+    late, _ = kept_table(_open(rows, members, asked.withColumnRenamed("q", "node"), k, percent), "late-links")
 
     named = sets.select("id", "n", "key").join(classes, "key", "left").withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")))
     return named.select("id", "n", "node"), early.union(late)
