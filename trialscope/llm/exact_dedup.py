@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from trialscope.llm.common import SPACE, text_of
 
 
+#: Rows over group size from which a group counts as hot; so there are at most as many hot groups.
+HOT_GROUPS = 1000
+
+
 def normalised(text: Column) -> Column:
     """Every run of white space becomes one space."""
     return F.regexp_replace(text, f"{SPACE}+", " ")
@@ -47,7 +51,13 @@ def exact_dedup(
     groups = keyed.groupBy("_hash", "_text").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     by_hash = groups.select("_hash", F.struct(sha.alias("sha"), "keep_id", "group_size").alias("g")).groupBy("_hash").agg(F.collect_list("g").alias("_groups"))
     mine = rows.select("_id", sha.alias("_sha"), content_hash(sha, F.col("_text")).alias("_hash"))
-    found = mine.join(by_hash, "_hash").withColumn("_fit", F.filter("_groups", lambda g: g["sha"] == F.col("_sha")))
+    # Groups of over a thousandth of the rows are at most a thousand: they go to every task, and their
+    # rows, with a key of their own instead of the hash, are spread over all tasks of the join.
+    least = max(2, docs.count() // HOT_GROUPS)
+    hot = by_hash.where(F.exists("_groups", lambda g: g["group_size"] > least)).select(F.col("_hash").alias("_hot"), F.col("_groups").alias("_hot_groups"))
+    spread = F.when(F.col("_hot").isNull(), F.col("_hash")).otherwise(F.concat(F.lit(b"hot"), F.unhex(F.hex(F.xxhash64("_id")))))
+    keyed_rows = mine.join(F.broadcast(hot), F.col("_hash") == F.col("_hot"), "left").withColumn("_key", spread).drop("_hash")
+    found = keyed_rows.join(by_hash, F.col("_key") == F.col("_hash"), "left").withColumn("_groups", F.coalesce("_hot_groups", "_groups")).withColumn("_fit", F.filter("_groups", lambda g: g["sha"] == F.col("_sha")))
     one = F.when(F.size("_fit") == 1, F.col("_fit")[0]).otherwise(F.raise_error(F.lit("different texts share a SHA-256 digest")))
     return found.select("_id", "_sha", one.alias("_g")).select(
         F.col("_id").alias(id_col),
