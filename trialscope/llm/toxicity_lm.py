@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import kept_table, small_batches, text_of
+from trialscope.llm.common import bounded_sample, kept_table, small_batches, text_of
 from trialscope.llm.quality_gam import in_fold
 
 #: Symbols of a class's own counts; the shared model has one less, down to one.
 ORDER = 6
 #: Slots of a table of each order, as a power of two: the model's size is fixed, whatever the corpus.
 SLOT_BITS = {1: 16, 2: 16, 3: 18, 4: 19, 5: 20, 6: 20}
+#: The same of the contexts of each order, of which there are fewer.
+CONTEXT_BITS = {k: max(16, bits - 2) for k, bits in SLOT_BITS.items()}
 DISCOUNT = 0.75
 #: Sightings of a context that the shared model counts as, in each class's model.
 BACKOFF = 50.0
@@ -35,7 +37,7 @@ MARGIN = 0.75
 #: Marks before and after a word (white space, so that no word has them).
 BEFORE, AFTER = "\t", "\n"
 #: Words that a worker remembers, and grams that a counting task gathers before it hands them on.
-REMEMBERED, GATHERED = 1_000_000, 2_000_000
+REMEMBERED, GATHERED = 400_000, 2_000_000
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,13 +52,13 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, places, word[places]
 
 
-def slots(codes: np.ndarray, last: np.ndarray, order: int, table: int) -> np.ndarray:
-    """Slots, in the table of an order, of the grams of `order` symbols that end at the places `last`."""
+def slots(codes: np.ndarray, last: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Slots, in a table of 2^bits, of the grams of `order` symbols that end at the places `last`."""
     h = np.full(len(last), np.uint64(order * 2 + 1))
     for k in range(order - 1, -1, -1):
         h = (h ^ codes[last - k]) * _MULTIPLIER
         h ^= h >> np.uint64(29)
-    return ((h * _MIX) >> np.uint64(64 - SLOT_BITS[table])).astype(np.int64)
+    return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def tokens(text: str) -> list[str]:
@@ -80,11 +82,11 @@ class KneserNey:
         codes, last, word = grams(words)
         p = np.full(len(last), 1e-4)
         for k in range(1, ORDER):
-            c = self.shared[k][slots(codes, last, k, k)]
-            context = slots(codes, last - 1, k - 1, k) if k > 1 else np.zeros(len(last), np.int64)
+            c = self.shared[k][slots(codes, last, k, SLOT_BITS[k])]
+            context = slots(codes, last - 1, k - 1, CONTEXT_BITS[k]) if k > 1 else np.zeros(len(last), np.int64)
             total, kinds = self.shared_total[k][context], self.shared_kinds[k][context]
             p = np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
-        g, context = slots(codes, last, ORDER, ORDER), slots(codes, last - 1, ORDER - 1, ORDER)
+        g, context = slots(codes, last, ORDER, SLOT_BITS[ORDER]), slots(codes, last - 1, ORDER - 1, CONTEXT_BITS[ORDER])
         total = self.own_total[:, context]
         c, both = self.own[:, g], total.sum(0)
         p = np.where(both > 0, (np.maximum(c.sum(0) - DISCOUNT, 0) + DISCOUNT * self.both_kinds[context] * p) / np.maximum(both, 1), p)
@@ -171,8 +173,8 @@ def fit(rows: DataFrame) -> KneserNey:
                 codes = np.frombuffer("".join(g["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                 last = np.arange(1, len(g) + 1) * k - 1
                 n = g[["n0", "n1"]].to_numpy(np.float64)
-                context = slots(codes, last - 1, k - 1, k) if k > 1 else np.zeros(len(g), np.int64)
-                sums = {"own": (slots(codes, last, k, k), n), "total": (context, n), "kinds": (context, (n > 0).astype(np.float64))}
+                context = slots(codes, last - 1, k - 1, CONTEXT_BITS[k]) if k > 1 else np.zeros(len(g), np.int64)
+                sums = {"own": (slots(codes, last, k, SLOT_BITS[k]), n), "total": (context, n), "kinds": (context, (n > 0).astype(np.float64))}
                 if k == ORDER:
                     sums["both"] = (context, np.column_stack([np.ones(len(g)), np.zeros(len(g))]))
                 for what, (at, values) in sums.items():
@@ -188,9 +190,12 @@ def fit(rows: DataFrame) -> KneserNey:
         return pd.DataFrame({"what": [key[0]], "k": [key[1]], "block": [key[2]], "cells": [values.tobytes()]})
 
     blocks = cells.groupBy("what", "k", F.floor(F.col("slot") / block).alias("block")).applyInPandas(dense, "what string, k int, block long, cells binary")
-    tables = {(what, k): np.zeros((2, 1 << bits), np.float32) for what in ("own", "total", "kinds", "both") for k, bits in SLOT_BITS.items() if what != "both" or k == ORDER}
+    whats = {"own": SLOT_BITS, "total": CONTEXT_BITS, "kinds": CONTEXT_BITS}
+    tables = {(what, k): np.zeros((2 if k == ORDER else 1, 1 << bits[k]), np.float32) for what, bits in whats.items() for k in bits}
+    tables["both", ORDER] = np.zeros((1, 1 << CONTEXT_BITS[ORDER]), np.float32)
     for r in blocks.toLocalIterator():
-        tables[r["what"], r["k"]][:, r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["cells"], np.float32).reshape(2, block)
+        t = tables[r["what"], r["k"]]
+        t[:, r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["cells"], np.float32).reshape(2, block)[: len(t)]
     lower = range(1, ORDER)
     return KneserNey(tables["own", ORDER], tables["total", ORDER], tables["kinds", ORDER], tables["both", ORDER][0], *({k: tables[what, k][0] for k in lower} for what in ("own", "total", "kinds")))
 
@@ -230,7 +235,8 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, he
     learn = rows.where(~in_fold("_id", folds, held_out)).join(known.hint("merge"), "_id")  # labels grow with the corpus
     tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
     model = rows.sparkSession.sparkContext.broadcast(fit(learn.where(~tuning)))
-    chosen = learn.where(tuning).orderBy(F.xxhash64("_id", F.lit(1)), "_id").select("_id", "label").limit(calibration_rows).distinct()
+    tunable = rows.select("_id").where(~in_fold("_id", folds, held_out) & tuning).join(known, "_id").distinct()
+    chosen = bounded_sample(tunable, "_id", calibration_rows)
     tune = ratio_table(rows.join(F.broadcast(chosen), "_id", "left_semi"), model).join(F.broadcast(chosen), "_id").select("above", "words", "label").toPandas()
     y = tune["label"].to_numpy(np.float64)
     if len(y) and y.min() < y.max():
