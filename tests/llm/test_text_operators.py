@@ -120,6 +120,54 @@ def test_gram_counts_equal_plain_counts(spark):
     assert got == dict(want)
 
 
+def plain_ratios(words):
+    """Log ratios of words by plain counts; words has [n0, n1] of each."""
+    top = defaultdict(lambda: [0, 0])
+    for w, n in words.items():
+        m = "\t" * 5 + w + "\n"
+        for i in range(len(w) + 1):
+            for cls in (0, 1):
+                top[m[i : i + 6]][cls] += n[cls]
+    seen = {6: {g for g, n in top.items() if sum(n)}}
+    count = {}
+    for k in range(5, 0, -1):
+        count[k] = defaultdict(int)
+        for g in seen[k + 1]:
+            count[k][g[1:]] += 1
+        seen[k] = set(count[k])
+    follow = {k: defaultdict(set) for k in range(1, 7)}
+    for k in follow:
+        for g in seen[k]:
+            follow[k][g[:-1]].add(g)
+
+    def shared(g):
+        if not g:
+            return 1e-4
+        c, those = count[len(g)], follow[len(g)][g[:-1]]
+        total = sum(c[x] for x in those)
+        return (max(c.get(g, 0) - 0.75, 0) + 0.75 * len(those) * shared(g[1:])) / total if total else shared(g[1:])
+
+    def ratio(g):
+        those, p = follow[6][g[:-1]], shared(g[1:])
+        totals = [sum(top[x][cls] for x in those) for cls in (0, 1)]
+        if sum(totals):
+            p = (max(sum(top[g]) - 0.75, 0) + 0.75 * len(those) * p) / sum(totals)
+        logs = [math.log((max(n - 0.75, 0) + (50 + min(n, 0.75)) * p) / (t + 50)) for n, t in zip(top[g], totals)]
+        return logs[1] - logs[0]
+
+    return {w: sum(ratio(("\t" * 5 + w + "\n")[i : i + 6]) for i in range(len(w) + 1)) for w in words}
+
+
+def test_word_ratios_equal_exact_counts_of_many_scripts(spark):
+    rnd = random.Random(8)
+    words = {"".join(chr(rnd.randrange(*rnd.choice(((97, 123), (0x4E00, 0x9FA5), (0x1F300, 0x1F600))))) for _ in range(rnd.randint(1, 12))): [rnd.choice((0, 0, 3, 40)), rnd.choice((0, 0, 2, 60))] for _ in range(4000)}
+    words["x" * 5000] = [2, 0]
+    want = plain_ratios(words)
+    got = {bytes(r.key): r.ratio for r in toxicity_lm.word_ratios(spark.createDataFrame([(w, *n) for w, n in words.items()], "word string, n0 long, n1 long")).collect()}
+    assert len(got) == len(words) and all(abs(got[toxicity_lm.word_key(w)] - r) < 1e-6 for w, r in want.items())
+    assert sum(r > toxicity_lm.MARGIN for r in want.values()) > 100
+
+
 ALPHABET = ["a", "b", "the", " ", "  ", "\n", "\t", "\x1c", "é", "!", "<|endoftext|>", "😀", "漢字", "　", "\xa0", "▁", "<s>", "aaaa", "abab", "\x00", "12"]
 TEXTS = st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join) | st.text(max_size=30)
 

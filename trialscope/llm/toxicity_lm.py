@@ -4,19 +4,23 @@ Two models, one of toxic and one of ordinary labelled documents, give each word'
 probability from the class's own counts of six symbols, discounted and backed off to one shared
 Kneser-Ney model of both classes together (its counts at the top order, continuation counts below).
 The back-off weighs as much as BACKOFF sightings, so that an expression that a class has hardly seen
-gets nearly the same probability in both. A document is scored by its two log-likelihoods per word:
-their difference, and the part of it that words add which are clearly likelier in the toxic class.
+gets nearly the same probability in both. A word's log ratio is the sum over its grams; a document is
+scored by the part above MARGIN that its words add, per word.
+
+The models are Spark tables of exact counts, which grow with the corpus: a gram's ratio is computed
+where its counts and its contexts' meet, words gather the ratios of their grams, and documents those
+of their words, all by shuffle joins.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +29,6 @@ from trialscope.llm.quality_gam import in_fold
 
 #: Symbols of a class's own counts; the shared model has one less, down to one.
 ORDER = 6
-#: Slots of a table of each order, as a power of two: the model's size is fixed, whatever the corpus.
-SLOT_BITS = {1: 16, 2: 16, 3: 18, 4: 19, 5: 20, 6: 20}
-#: The same of the contexts of each order, of which there are fewer.
-CONTEXT_BITS = {k: max(16, bits - 2) for k, bits in SLOT_BITS.items()}
 DISCOUNT = 0.75
 #: Sightings of a context that the shared model counts as, in each class's model.
 BACKOFF = 50.0
@@ -36,168 +36,221 @@ BACKOFF = 50.0
 MARGIN = 0.75
 #: Marks before and after a word (white space, so that no word has them).
 BEFORE, AFTER = "\t", "\n"
-#: Words that a worker remembers, and grams that a counting task gathers before it hands them on.
-REMEMBERED, GATHERED = 400_000, 2_000_000
-_MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words that a worker remembers, and words or grams that a counting task gathers before it hands them on.
+REMEMBERED, GATHERED = 400_000, 250_000
+#: Bits of the filter of words above the margin (one hash, a megabyte); it spares shuffling other words and loses none.
+FILTER_BITS = 23
+#: Copies of the ratios of grams that begin words, which very many words share.
+SALTS = 16
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words with their marks, and for each predicted symbol its place and its word."""
-    text = "".join(f"{BEFORE * (ORDER - 1)}{w}{AFTER}" for w in words)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
-    word = np.repeat(np.arange(len(words)), sizes)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    places = np.flatnonzero(np.arange(len(codes)) - starts >= ORDER - 1)
-    return codes, places, word[places]
+def tokens(text: str) -> list[str]:
+    return text.lower().split()
 
 
-def slots(codes: np.ndarray, last: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Slots, in a table of 2^bits, of the grams of `order` symbols that end at the places `last`."""
-    h = np.full(len(last), np.uint64(order * 2 + 1))
-    for k in range(order - 1, -1, -1):
-        h = (h ^ codes[last - k]) * _MULTIPLIER
-        h ^= h >> np.uint64(29)
-    return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+def word_key(word: str) -> bytes:
+    """128 bits that stand for a word, however long it is."""
+    return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
 
 
-def tokens(text: str) -> list[str]:
-    return text.lower().split()
+def marked_grams(word: str) -> list[str]:
+    marked = f"{BEFORE * (ORDER - 1)}{word}{AFTER}"
+    return [marked[i : i + ORDER] for i in range(len(word) + 1)]
 
 
-@dataclass
-class KneserNey:
-    """Hashed tables: of a gram (by class at the top order), and of a context its total and its kinds of successors."""
-
-    own: np.ndarray  # 2 x slots: counts of grams of ORDER symbols
-    own_total: np.ndarray  # 2 x slots, by context
-    own_kinds: np.ndarray
-    both_kinds: np.ndarray
-    shared: dict[int, np.ndarray]  # by order: continuation counts of grams
-    shared_total: dict[int, np.ndarray]
-    shared_kinds: dict[int, np.ndarray]
-
-    def word_ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood in the toxic class less that in the ordinary class, of each word."""
-        codes, last, word = grams(words)
-        p = np.full(len(last), 1e-4)
-        for k in range(1, ORDER):
-            c = self.shared[k][slots(codes, last, k, SLOT_BITS[k])]
-            context = slots(codes, last - 1, k - 1, CONTEXT_BITS[k]) if k > 1 else np.zeros(len(last), np.int64)
-            total, kinds = self.shared_total[k][context], self.shared_kinds[k][context]
-            p = np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
-        g, context = slots(codes, last, ORDER, SLOT_BITS[ORDER]), slots(codes, last - 1, ORDER - 1, CONTEXT_BITS[ORDER])
-        total = self.own_total[:, context]
-        c, both = self.own[:, g], total.sum(0)
-        p = np.where(both > 0, (np.maximum(c.sum(0) - DISCOUNT, 0) + DISCOUNT * self.both_kinds[context] * p) / np.maximum(both, 1), p)
-        discounted = np.maximum(c - DISCOUNT, 0)
-        logs = np.log((discounted + (BACKOFF + c - discounted) * p) / (total + BACKOFF))
-        return np.bincount(word, logs[1] - logs[0], len(words))
-
-
-class Ratios(dict):
-    """Word ratios of a model, remembered."""
-
-    def __init__(self, model: KneserNey):
-        super().__init__()
-        self.model = model
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: log ratio per word, the part above MARGIN per word, words; zeros without words."""
-        split = [tokens(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self}
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = {w for ws in split for w in ws}
-        order = list(new)
-        start = size = 0
-        for i, w in enumerate(order):
-            size += len(w) + ORDER
-            if size >= 400_000 or i + 1 == len(order):
-                part = order[start : i + 1]
-                self.update(zip(part, self.model.word_ratios(part).tolist(), strict=True))
-                start, size = i + 1, 0
-        out = np.zeros((3, len(texts)))
-        for i, ws in enumerate(split):
-            if ws:
-                ratios = np.fromiter(map(self.__getitem__, ws), np.float64, len(ws))
-                out[:, i] = ratios.mean(), np.maximum(ratios - MARGIN, 0).mean(), len(ws)
-        return out[0], out[1], out[2].astype(np.int64)
+def _sums(found: dict[str, list[int]], name: str) -> Iterator[pa.RecordBatch]:
+    """Batches of name, n0, n1; found is emptied."""
+    keys = list(found)
+    for i in range(0, len(keys), 50_000):
+        part = keys[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[k][c] for k in part], pa.int64()) for c in (0, 1))], names=[name, "n0", "n1"])
+    found.clear()
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """gram, n0, n1: how often each gram of ORDER symbols stands in texts of either class.
+def count_words(rows: DataFrame) -> DataFrame:
+    """word, n0, n1: how often each word stands in texts of either class.
 
-    rows has text and label (0 or 1). Tasks gather counts of words first, then of grams.
+    rows has text and label (0, 1 or null); words of texts without a label are there, but not counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            found: dict[str, list[int]] = {}
-            for cls, words in enumerate(seen):
-                for w, n in words.items():
-                    marked = f"{BEFORE * (ORDER - 1)}{w}{AFTER}"
-                    for i in range(len(w) + 1):
-                        found.setdefault(marked[i : i + ORDER], [0, 0])[cls] += n
-                words.clear()
-            keys = list(found)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[k][c] for k in part], pa.int64()) for c in (0, 1))], names=["gram", "n0", "n1"])
-
+        seen: dict[str, list[int]] = {}
         for b in small_batches(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[label].update(tokens(text))
-            if len(seen[0]) + len(seen[1]) > GATHERED // 8:
-                yield from hand_on()
-        yield from hand_on()
+                for w, n in Counter(tokens(text)).items():
+                    counts = seen.setdefault(w, [0, 0])
+                    if label is not None:
+                        counts[label] += n
+            if len(seen) > GATHERED:
+                yield from _sums(seen, "word")
+        yield from _sums(seen, "word")
+
+    counted = rows.select("text", "label").mapInArrow(run, "word string, n0 long, n1 long")
+    return counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    counted = rows.select("text", "label").mapInArrow(run, "gram string, n0 long, n1 long")
+
+def grams_of(words: DataFrame) -> DataFrame:
+    """gram, n0, n1: how often each gram of ORDER symbols stands in the words (word, n0, n1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for b in small_batches(batches):
+            for w, n0, n1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for g in marked_grams(w):
+                    counts = found.setdefault(g, [0, 0])
+                    counts[0] += n0
+                    counts[1] += n1
+                if len(found) > GATHERED:
+                    yield from _sums(found, "gram")
+        yield from _sums(found, "gram")
+
+    counted = words.select("word", "n0", "n1").mapInArrow(run, "gram string, n0 long, n1 long")
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(rows: DataFrame) -> KneserNey:
-    """Counts, continuation counts and their sums by context, all in Spark; what comes back are tables of fixed size."""
-    top, _ = kept_table(count_grams(rows), "grams")
-    rows_ = top.select(F.lit(ORDER).alias("k"), "gram", "n0", "n1")
-    longer = top.select("gram")
+def count_grams(rows: DataFrame) -> DataFrame:
+    """gram, n0, n1 of texts with a label, as count_words() has them."""
+    return grams_of(count_words(rows))
+
+
+def backed_off(c: Column, kinds: Column, total: Column, p: Column) -> Column:
+    return F.when(total > 0, (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / total).otherwise(p)
+
+
+def gram_ratios(top: DataFrame) -> DataFrame:
+    """gram, ratio: log-likelihood of its last symbol in the toxic class less that in the ordinary class.
+
+    top has all grams of ORDER symbols that are asked for, with their counts (zero if no labelled text
+    has them). At most as many grams as there are symbols share a context or a suffix, so no join is skewed.
+    """
+    lower, level = {}, top.select("gram", (F.col("n0") + F.col("n1")).alias("c"))
     for k in range(ORDER - 1, 0, -1):
-        longer = longer.groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        rows_ = rows_.union(longer.select(F.lit(k), "gram", "n", F.lit(0).cast("long")))
+        level = level.groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        level, _ = kept_table(level, f"grams-{k}")
+        lower[k] = level
+    all_ = lower[1].agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("kinds"))
+    p = lower[1].crossJoin(F.broadcast(all_)).select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.lit(1e-4)).alias("p"))
+    for k in range(2, ORDER):
+        placed = lower[k].select("gram", "c", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr(f"substring(gram, 2, {k - 1})").alias("suffix"))
+        contexts = placed.groupBy("context").agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("kinds"))
+        p = placed.join(contexts, "context").join(p.withColumnRenamed("gram", "suffix"), "suffix").select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.col("p")).alias("p"))
+    placed = top.select("gram", "n0", "n1", F.expr(f"substring(gram, 1, {ORDER - 1})").alias("context"), F.expr(f"substring(gram, 2, {ORDER - 1})").alias("suffix"))
+    contexts = placed.groupBy("context").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("kinds"))
+    own = placed.join(contexts, "context").join(p.withColumnRenamed("gram", "suffix"), "suffix")
+    own = own.withColumn("p", backed_off(F.col("n0") + F.col("n1"), F.col("kinds"), F.col("t0") + F.col("t1"), F.col("p")))
+
+    def log_of(n: str, total: str) -> Column:
+        discounted = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
+        return F.log((discounted + (BACKOFF + F.col(n) - discounted) * F.col("p")) / (F.col(total) + BACKOFF))
+
+    return own.select("gram", (log_of("n1", "t1") - log_of("n0", "t0")).alias("ratio"))
+
+
+def word_ratios(words: DataFrame) -> DataFrame:
+    """key, ratio: of each word (word, n0, n1), log-likelihood in the toxic class less that in the ordinary class."""
+    top, _ = kept_table(grams_of(words), "grams")
 
-    def slotted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, g in b.groupby("k"):
-                codes = np.frombuffer("".join(g["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                last = np.arange(1, len(g) + 1) * k - 1
-                n = g[["n0", "n1"]].to_numpy(np.float64)
-                context = slots(codes, last - 1, k - 1, CONTEXT_BITS[k]) if k > 1 else np.zeros(len(g), np.int64)
-                sums = {"own": (slots(codes, last, k, SLOT_BITS[k]), n), "total": (context, n), "kinds": (context, (n > 0).astype(np.float64))}
-                if k == ORDER:
-                    sums["both"] = (context, np.column_stack([np.ones(len(g)), np.zeros(len(g))]))
-                for what, (at, values) in sums.items():
-                    kinds, inverse = np.unique(at, return_inverse=True)
-                    yield pd.DataFrame({"what": what, "k": k, "slot": kinds, "a": np.bincount(inverse, values[:, 0]), "b": np.bincount(inverse, values[:, 1])})
-
-    cells = rows_.mapInPandas(slotted, "what string, k int, slot long, a double, b double").groupBy("what", "k", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found = [], []
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], names=["key", "gram"])
+            keys.clear()
+            found.clear()
+            return out
+
+        for b in small_batches(batches):
+            for w in b.column(0).to_pylist():
+                mine = marked_grams(w)
+                keys.extend([word_key(w)] * len(mine))
+                found.extend(mine)
+                if len(found) > 50_000:
+                    yield hand_on()
+        if found:
+            yield hand_on()
+
+    begins = F.startswith("gram", F.lit(BEFORE * (ORDER - 3)))  # shared by the words with the same first letters
+    ratios = gram_ratios(top).withColumn("salt", F.explode(F.when(begins, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    asked = words.select("word").mapInArrow(run, "key binary, gram string").withColumn("salt", F.when(begins, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return asked.join(ratios, ["gram", "salt"]).groupBy("key").agg(F.round(F.sum("ratio"), 9).alias("ratio"))
+
+
+def words_above(words: DataFrame) -> DataFrame:
+    """key, excess: the part of the ratio above MARGIN, of the words (word, n0, n1) that have one; kept in the shared folder."""
+    above = word_ratios(words).where(F.col("ratio") > MARGIN)
+    return kept_table(above.select("key", (F.col("ratio") - MARGIN).alias("excess")), "words-above")[0]
+
+
+def _slot(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little") & ((1 << FILTER_BITS) - 1)
+
+
+def word_filter(keys: DataFrame) -> np.ndarray:
+    """Bits (packed, of fixed size) in which every key's slot is set."""
     block = 1 << 16
 
-    def dense(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros((2, block), np.float32)
-        values[:, pdf["slot"].to_numpy() % block] = pdf[["a", "b"]].to_numpy(np.float32).T
-        return pd.DataFrame({"what": [key[0]], "k": [key[1]], "block": [key[2]], "cells": [values.tobytes()]})
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(_slot, b.column(0).to_pylist()), pa.int64())], names=["slot"])
 
-    blocks = cells.groupBy("what", "k", F.floor(F.col("slot") / block).alias("block")).applyInPandas(dense, "what string, k int, block long, cells binary")
-    whats = {"own": SLOT_BITS, "total": CONTEXT_BITS, "kinds": CONTEXT_BITS}
-    tables = {(what, k): np.zeros((2 if k == ORDER else 1, 1 << bits[k]), np.float32) for what, bits in whats.items() for k in bits}
-    tables["both", ORDER] = np.zeros((1, 1 << CONTEXT_BITS[ORDER]), np.float32)
-    for r in blocks.toLocalIterator():
-        t = tables[r["what"], r["k"]]
-        t[:, r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["cells"], np.float32).reshape(2, block)[: len(t)]
-    lower = range(1, ORDER)
-    return KneserNey(tables["own", ORDER], tables["total", ORDER], tables["kinds", ORDER], tables["both", ORDER][0], *({k: tables[what, k][0] for k in lower} for what in ("own", "total", "kinds")))
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(block, np.uint8)
+        bits[pdf["slot"].to_numpy() % block] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    distinct = keys.select("key").mapInArrow(slots, "slot long").distinct()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in distinct.groupBy(F.floor(F.col("slot") / block).alias("block")).applyInPandas(packed, "block long, bits binary").toLocalIterator():
+        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def above_margin(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows with `words`, their number of words, and `above`, the part above MARGIN per word, for their text.
+
+    words is from words_above(). A row hands on only words that the filter passes; each row has an own
+    number, so that repeated rows and ids are told apart.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(word_filter(words))
+    others = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes | None] = {}
+        table = bits.value
+        kind = pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))
+        for b in small_batches(batches):
+            sizes, found = [], []
+            for text in b.column("text").to_pylist():
+                mine = tokens(text)
+                passed = []
+                for w, n in Counter(mine).items():
+                    if w in known:
+                        key = known[w]
+                    else:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        key = word_key(w)
+                        slot = _slot(key)
+                        key = known[w] = key if table[slot >> 3] >> (slot & 7) & 1 else None
+                    if key is not None:
+                        passed.append({"key": key, "n": n})
+                sizes.append(len(mine))
+                found.append(passed)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=[*others, "words", "_found"])
+
+    kinds = dict(rows.dtypes)
+    passed = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", words long, _found array<struct<key:binary,n:bigint>>")
+    kept, _ = kept_table(passed.withColumn("_row", F.monotonically_increasing_id()), "words-passed")
+    asked = kept.select("_row", F.explode("_found").alias("_w")).select("_row", F.col("_w.key").alias("key"), F.col("_w.n").alias("n"))
+    sums = spread_join(asked, words).groupBy("_row").agg(F.sum(F.col("n") * F.col("excess")).alias("_sum"))
+    above = F.when(F.col("words") > 0, F.round(F.coalesce("_sum", F.lit(0.0)) / F.col("words"), 12)).otherwise(0.0)
+    return kept.join(sums, "_row", "left").select(*others, "words", above.alias("above"))
+
+
+def spread_join(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of asked (_row, key, n) with their word's excess; rows of a word that very many texts have are dealt to SALTS tasks."""
+    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -218,54 +271,55 @@ def calibration_inputs(above: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([evidence, evidence * size, size])
 
 
-def ratio_table(rows: DataFrame, model) -> DataFrame:
-    """_id, ratio, above, words of each row (_id, text) by a broadcast model."""
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = Ratios(model.value)
-        for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *map(pa.array, known_words.of(b.column("text").to_pylist()))], names=["_id", "ratio", "above", "words"])
-
-    return rows.select("_id", "text").mapInArrow(ratios, f"_id {dict(rows.dtypes)['_id']}, ratio double, above double, words long")
-
-
-def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple:
-    """(broadcast model, weights of the score) from labelled rows outside the held-out fold."""
+def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple[DataFrame, np.ndarray]:
+    """(words above the margin, weights of the score) from labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    learn = rows.where(~in_fold("_id", folds, held_out)).join(known.hint("merge"), "_id")  # labels grow with the corpus
     tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
-    model = rows.sparkSession.sparkContext.broadcast(fit(learn.where(~tuning)))
+    unused = in_fold("_id", folds, held_out) | F.col("_id").isNull() | tuning
+    learn = rows.where(~unused).select("_id", "text").join(known.hint("merge"), "_id", "left")  # labels grow with the corpus
+    words, _ = kept_table(count_words(learn.select("text", "label").union(rows.where(unused).select("text", F.lit(None).cast("int")))), "words")
+    above = words_above(words)
     tunable = rows.select("_id").where(~in_fold("_id", folds, held_out) & tuning).join(known, "_id").distinct()
     chosen = bounded_sample(tunable, "_id", calibration_rows)
-    tune = ratio_table(rows.join(F.broadcast(chosen), "_id", "left_semi"), model).join(F.broadcast(chosen), "_id").select("above", "words", "label").toPandas()
+    return above, calibrated(rows, known, chosen, above)
+
+
+def calibrated(rows: DataFrame, known: DataFrame, chosen: DataFrame, above: DataFrame) -> np.ndarray:
+    """Weights of the score, from the chosen rows' parts above the margin."""
+    tune = above_margin(rows.select("_id", "text").join(F.broadcast(chosen), "_id", "left_semi"), above).join(F.broadcast(chosen), "_id").select("above", "words", "label").toPandas()
     y = tune["label"].to_numpy(np.float64)
     if len(y) and y.min() < y.max():
-        w = logistic(calibration_inputs(*(tune[c].to_numpy() for c in ("above", "words"))), y)
-    else:
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        w = np.array([np.log(p / (1 - p)), *[0.0] * 3])
-    return model, w
+        return logistic(calibration_inputs(*(tune[c].to_numpy() for c in ("above", "words"))), y)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    return np.array([np.log(p / (1 - p)), *[0.0] * 3])
 
 
 def scored(above: np.ndarray, words: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + calibration_inputs(above, words) @ w[1:], -30, 30)))
 
 
+def with_score(marked: DataFrame, w: np.ndarray) -> DataFrame:
+    """The rows (above, words, ...) with their score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = scored(b.column("above").to_numpy(), b.column("words").to_numpy(), w)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
+
+    return marked.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in marked.dtypes) + ", score double")
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below threshold; see score_toxicity().
 
     Each row is judged by its own text, also where ids repeat.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    model, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = Ratios(model.value)
-        for b in small_batches(batches):
-            _, above, words = known_words.of([t or "" for t in b.column(text_col).to_pylist()])
-            yield b.filter(pa.array(scored(above, words, w) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    # the id spreads copies of a text; what is judged is the text
+    own = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text_of(text_col)))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"), own.alias("_own"))
+    above, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
+    toxic = with_score(above_margin(rows.select("_own", "text"), above), w).where(F.col("score") >= threshold).select("_own").distinct()
+    return docs.join(toxic, own == F.col("_own"), "left_anti")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
@@ -273,8 +327,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The models count all labelled rows outside the held-out fold, but for a fifth of them (by a hash
     of the id) that the models have not seen: there, at most calibration_rows of those rows turn
-    ratios into probabilities. The models' tables have a fixed number of slots, so that their
-    broadcast is of bounded size; the counting is shuffled by gram.
+    ratios into probabilities. The models are tables of exact counts; what comes to the driver is a
+    filter of fixed size and the calibration rows' figures.
 
     Defined cases: null text scores as empty text, which has ratio 0; a null id is in the fold of the
     empty text; repeated rows are scored alike; null labels are left out, and of several labels of an
@@ -282,12 +336,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     smoothed. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    model, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
-    marked = ratio_table(rows, model).withColumn("held_out", in_fold("_id", folds, held_out))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = scored(b.column("above").to_numpy(), b.column("words").to_numpy(), w)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["_id", "held_out", "score", "predicted"])
-
-    return marked.mapInArrow(score, f"_id {dict(rows.dtypes)['_id']}, held_out boolean, score double, predicted int").withColumnRenamed("_id", id_col)
+    above, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
+    marked = with_score(above_margin(rows, above), w)
+    return marked.select(F.col("_id").alias(id_col), in_fold("_id", folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
