@@ -168,6 +168,17 @@ def test_word_ratios_equal_exact_counts_of_many_scripts(spark):
     assert sum(r > toxicity_lm.MARGIN for r in want.values()) > 100
 
 
+def test_toxic_words_of_calibration_rows_only_are_learnt(spark):
+    docs, labels = made_up(spark, lambda r: "vile" + r.choice(("ness", "ly", "st", "")))
+    folds = docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 5) = 0 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").alias("tuning"))
+    only = folds.where("tuning").join(labels.where("toxic = 1"), "doc_id").select("doc_id")
+    ids = {r.doc_id for r in only.collect()}
+    rare = docs.withColumn("text", F.when(F.col("doc_id").isin(*ids), F.regexp_replace("text", "vile[a-z]*", "qzxwjk")).otherwise(F.col("text")))
+    asked = frame(spark, [(10_000, " ".join(WORDS[:12] + ["qzxwjk"] * 3))])
+    score = {r.doc_id: r.predicted for r in toxicity_lm.score_toxicity(rare.union(asked), labels).collect()}
+    assert len(ids) > 5 and score[10_000] == 1
+
+
 ALPHABET = ["a", "b", "the", " ", "  ", "\n", "\t", "\x1c", "é", "!", "<|endoftext|>", "😀", "漢字", "　", "\xa0", "▁", "<s>", "aaaa", "abab", "\x00", "12"]
 TEXTS = st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join) | st.text(max_size=30)
 

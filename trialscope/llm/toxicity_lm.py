@@ -42,6 +42,7 @@ REMEMBERED, GATHERED = 400_000, 250_000
 FILTER_BITS = 23
 #: Copies of the ratios of grams that begin words, which very many words share.
 SALTS = 16
+WORD_COUNTS = ("n0", "n1", "m0", "m1")
 
 
 def tokens(text: str) -> list[str]:
@@ -58,35 +59,39 @@ def marked_grams(word: str) -> list[str]:
     return [marked[i : i + ORDER] for i in range(len(word) + 1)]
 
 
-def _sums(found: dict[str, list[int]], name: str) -> Iterator[pa.RecordBatch]:
-    """Batches of name, n0, n1; found is emptied."""
+def _sums(found: dict[str, list[int]], name: str, counts: tuple[str, ...] = ("n0", "n1")) -> Iterator[pa.RecordBatch]:
+    """Batches of name and counts; found is emptied."""
     keys = list(found)
     for i in range(0, len(keys), 50_000):
         part = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[k][c] for k in part], pa.int64()) for c in (0, 1))], names=[name, "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[k][c] for k in part], pa.int64()) for c in range(len(counts)))], names=[name, *counts])
     found.clear()
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """word, n0, n1: how often each word stands in texts of either class.
+    """word, n0, n1, m0, m1: how often each word stands in texts of either class, and in those of them with `apart`.
 
-    rows has text and label (0, 1 or null); words of texts without a label are there, but not counted.
+    rows has text, label (0, 1 or null) and, if wanted, apart; words of texts without a label are
+    there, but not counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for b in small_batches(batches):
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, label, apart in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w, n in Counter(tokens(text)).items():
-                    counts = seen.setdefault(w, [0, 0])
+                    counts = seen.setdefault(w, [0, 0, 0, 0])
                     if label is not None:
                         counts[label] += n
+                        if apart:
+                            counts[2 + label] += n
             if len(seen) > GATHERED:
-                yield from _sums(seen, "word")
-        yield from _sums(seen, "word")
+                yield from _sums(seen, "word", WORD_COUNTS)
+        yield from _sums(seen, "word", WORD_COUNTS)
 
-    counted = rows.select("text", "label").mapInArrow(run, "word string, n0 long, n1 long")
-    return counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = rows.select("text", "label", "apart" if "apart" in rows.columns else F.lit(False).alias("apart"))
+    counted = rows.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in WORD_COUNTS))
+    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in WORD_COUNTS))
 
 
 def grams_of(words: DataFrame) -> DataFrame:
@@ -272,16 +277,22 @@ def calibration_inputs(above: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """(words above the margin, weights of the score) from labelled rows outside the held-out fold."""
+    """(words above the margin, weights of the score) from labelled rows outside the held-out fold.
+
+    Two models are made of one count: the weights are of the model without the calibration rows,
+    the words of the model of all rows.
+    """
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
     tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
-    unused = in_fold("_id", folds, held_out) | F.col("_id").isNull() | tuning
-    learn = rows.where(~unused).select("_id", "text").join(known.hint("merge"), "_id", "left")  # labels grow with the corpus
-    words, _ = kept_table(count_words(learn.select("text", "label").union(rows.where(unused).select("text", F.lit(None).cast("int")))), "words")
-    above = words_above(words)
     tunable = rows.select("_id").where(~in_fold("_id", folds, held_out) & tuning).join(known, "_id").distinct()
-    chosen = bounded_sample(tunable, "_id", calibration_rows)
-    return above, calibrated(rows, known, chosen, above)
+    chosen, _ = kept_table(bounded_sample(tunable, "_id", calibration_rows), "calibration")
+    unused = in_fold("_id", folds, held_out) | F.col("_id").isNull()
+    marks = known.join(F.broadcast(chosen.select("_id", F.lit(True).alias("apart"))), "_id", "left")
+    learn = rows.where(~unused).select("_id", "text").join(marks.hint("merge"), "_id", "left")  # labels grow with the corpus
+    others = rows.where(unused).select("text", F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("apart"))
+    words, _ = kept_table(count_words(learn.select("text", "label", "apart").union(others)), "words")
+    without = words_above(words.select("word", (F.col("n0") - F.col("m0")).alias("n0"), (F.col("n1") - F.col("m1")).alias("n1")))
+    return words_above(words), calibrated(rows, known, chosen, without)
 
 
 def calibrated(rows: DataFrame, known: DataFrame, chosen: DataFrame, above: DataFrame) -> np.ndarray:
@@ -325,9 +336,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
-    The models count all labelled rows outside the held-out fold, but for a fifth of them (by a hash
-    of the id) that the models have not seen: there, at most calibration_rows of those rows turn
-    ratios into probabilities. The models are tables of exact counts; what comes to the driver is a
+    The models count all labelled rows outside the held-out fold. At most calibration_rows of them
+    (of least hash among a fifth by another hash) turn ratios into probabilities; for that, they are
+    judged by models that have not counted them. The models are tables of exact counts; what comes to the driver is a
     filter of fixed size and the calibration rows' figures.
 
     Defined cases: null text scores as empty text, which has ratio 0; a null id is in the fold of the
