@@ -302,6 +302,47 @@ def test_licence_rules_and_wrapped_sentences():
     assert licences.recognise("Released under the MIT Licence agreement of others.") == []
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "> ", "; ", "<!-- ", "-- ", "%% ", "*" * 45 + " "])
+def test_real_licence_texts_with_comment_prefixes(prefix):
+    (found,) = licences.recognise("".join(prefix + line if line.strip() else prefix.rstrip() + line for line in MIT_TEXT.splitlines(True)))
+    assert found[0] == "MIT"
+    one = f"code\n{prefix}[Released under the MIT License.] -->\ncode"
+    assert [x[0] for x in licences.recognise(one.replace(".]", "]"))] == ["MIT"]
+
+
+def test_whole_mit_text_is_one_licence():
+    ((name, start, end),) = licences.recognise(MIT_TEXT)
+    assert name == "MIT" and MIT_TEXT[start:].startswith("Permission") and MIT_TEXT[start:end].endswith("IN THE\nSOFTWARE")
+
+
 def test_licence_scan_edge_cases(spark):
     got = licences.scan_licences(frame(spark, [*EDGE, (9, "Released under the MIT License.")])).collect()
     assert [(r.doc_id, len(r.found)) for r in got if r.found] == [(9, 1)] and len(got) == len(EDGE) + 1

@@ -23,6 +23,8 @@ SENTENCES = {
     "gpl.details": "See the GNU General Public License for more details",
     "mit.notice": "Released under the MIT License",
     "mit.grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software',
+    "mit.permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "mit.condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit.asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     "mit.liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     "cc-by-nc-4.notice": "Licensed under CC BY-NC 4.0",
@@ -36,12 +38,14 @@ SENTENCES = {
 #: Rules in order; the first that fits at a place holds. A rule is a licence and a sequence of identifiers.
 RULES = [
     ("MIT", ("mit.grant", "mit.asis", "mit.liability")),
+    ("MIT", ("mit.permission", "mit.condition", "mit.asis", "mit.liability")),
     ("Apache-2.0", ("apache-2.notice", "apache-2.comply", "apache-2.obtain", "apache-2.asis")),
     ("GPL-3.0-or-later", ("gpl.free", "gpl.warranty", "gpl.details")),
     ("GPL-3.0-or-later", ("gpl.free",)),
     ("Apache-2.0", ("apache-2.notice",)),
     ("GPL-3.0", ("gpl-3.notice",)),
     ("MIT", ("mit.grant",)),
+    ("MIT", ("mit.permission", "mit.condition")),
     ("MIT", ("mit.notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.notice",)),
     ("CC-BY-4.0", ("cc-by-4.notice",)),
@@ -54,7 +58,7 @@ RULES = [
 GAP = 2
 
 _LINE_END = re.compile(r"[.!?]+(?:[ \t\r\n\f\v]+|$)|\n+")
-_SENTENCE_END = re.compile(r"[.!?]+(?:[ \t\r\n\f\v]+|$)|\n[ \t\r]*\n")
+_SENTENCE_END = re.compile(r"[.!?]+(?:[ \t\r\n\f\v]+|$)|\n(?:[^\w\n]|_)*\n")
 _LETTERS = re.compile(r"[a-z0-9]+")
 
 
@@ -64,8 +68,7 @@ def normal(sentence: str) -> str:
 
 
 _KNOWN = {normal(s): k for k, s in SENTENCES.items()}
-_FIRST = tuple(sorted({s.split()[0] for s in _KNOWN}))
-_STARTS = re.compile(r"(?i)\b(?:" + "|".join(sorted({r"\W+".join(s.split()[:3]) for s in _KNOWN})) + r")\b")
+_FIRST = frozenset(s.split()[0] for s in _KNOWN)
 
 
 def _sentences(text: str, end: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -82,16 +85,18 @@ def identifiers(text: str) -> list[tuple[int, int, int, str]]:
     """(sentence number, start, end, identifier) of the known sentences, in order.
 
     Sentences end at a stop before white space or at a line's end; a sentence that is wrapped over
-    lines is found too, as one that ends at a stop or an empty line. Where both kinds are known at
+    lines is found too, as one that ends at a stop or a line without letters and digits. Where both kinds are known at
     overlapping places, the longer holds.
     """
-    if not _STARTS.search(text):
+    lower = text.lower()
+    if not any(w in lower for w in _FIRST):
         return []
     found = []
     for end in (_LINE_END, _SENTENCE_END):
         for n, (a, b) in enumerate(_sentences(text, end)):
-            head = text[a : a + 40].lstrip(" \t\r\n\f\v\"'*/#-(").lower()
-            if head.startswith(_FIRST) and (k := _KNOWN.get(normal(text[a:b]))):
+            sentence = text[a:b].lower()
+            first = _LETTERS.search(sentence)
+            if first and first[0] in _FIRST and (k := _KNOWN.get(normal(sentence))):
                 found.append((a, b, n, k))
     out: list[tuple[int, int, int, str]] = []
     for a, b, n, k in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
