@@ -459,6 +459,37 @@ def test_fingerprints_against_a_plain_version(spark):
     assert merkle.edit_likeness(frame(spark, [])).count() == 0
 
 
+def letters(rnd, first, last, n):
+    return "".join(chr(rnd.randrange(first, last)) for _ in range(n))
+
+
+def scripts():
+    rnd = random.Random(6)
+    spaced = lambda a, b: " ".join(letters(rnd, a, b, rnd.randint(2, 9)) for _ in range(600))
+    return {
+        "han": letters(rnd, 0x4E00, 0x9FA5, 3000), "thai": letters(rnd, 0xE01, 0xE2F, 3000), "tabs": "\t".join(letters(rnd, 97, 123, 5) for _ in range(1500)),
+        "base64": base64.b64encode(rnd.randbytes(3000)).decode(), "cyrillic": spaced(0x430, 0x450), "upper": spaced(65, 91),
+    }
+
+
+@pytest.mark.parametrize("script", list(scripts()))
+def test_likeness_in_every_script(script):
+    text, other = scripts()[script], scripts()[script][::-1]
+    n, own = len(text), merkle.fingerprint(text)
+    assert max(map(len, merkle.leaves(text.encode()))) <= merkle.LONGEST
+    half = merkle.likeness(own, merkle.fingerprint(text[: n - n // 2] + other[: n // 2]))
+    assert 0.4 < half < 0.6
+    for changed in (text[: n // 3] + "x" + text[n // 3 + 1 :], text[: n // 3] + " x " + text[n // 3 :]):
+        assert 0.97 < merkle.likeness(own, merkle.fingerprint(changed)) < 1
+
+
+def test_periodic_text_has_bounded_leaves():
+    for text in ("a" * 5000, "漢" * 5000, "ab\n" * 1000):
+        parts = merkle.leaves(text.encode())
+        assert b"".join(parts) == text.encode() and max(map(len, parts)) <= merkle.LONGEST
+    assert len(merkle.leaves(("漢" * 5000).encode())) < 100
+
+
 def test_edits_are_located():
     lines = [" ".join(random.Random(i).choices(WORDS, k=12)) for i in range(40)]
     a, b = "\n".join(lines), "\n".join(lines[:20] + ["changed entirely"] + lines[21:])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -16,18 +15,40 @@ from pyspark.sql import functions as F
 
 from trialscope.llm.common import small_batches, text_of
 
-#: A leaf ends at a line's end, after a word that ends in one of these bytes, or after 12 words.
-LEAF = re.compile(rb"(?:[^ \n]*[^ \nest.,] ){0,11}[^ \n]*(?: |\n|$)")
+#: A leaf ends at a line's end, and where the hash of the last WINDOW bytes of the line has high bits of zero and no
+#: such place is less than WINDOW bytes before; none is longer than LONGEST bytes.
+WINDOW, LEAF_BITS, LONGEST = 8, 4, 256
+_GEAR = np.array([xxhash.xxh32_intdigest(bytes([i])) for i in range(256)], np.uint32)
 #: Share of paragraphs that end a section, as a power of two.
 SECTION_BITS = 2
 
 
+def leaf_ends(text: bytes) -> np.ndarray:
+    """Ends of the leaves, in order; they depend on the bytes near them in their line alone, whatever the script."""
+    raw = np.frombuffer(text, np.uint8)
+    h = _GEAR[raw]
+    for k in (1, 2, 4):  # sums over twice as many bytes each, up to WINDOW
+        longer = h.copy()
+        longer[k:] += h[:-k] << np.uint32(k)
+        h = longer
+    marks = np.flatnonzero(h >> np.uint32(32 - LEAF_BITS) == 0) + 1
+    lines = np.flatnonzero(raw == 10) + 1
+    starts = np.concatenate([[0], lines])
+    marks = marks[marks - starts[np.searchsorted(starts, marks, "left") - 1] >= WINDOW]
+    marks = marks[np.diff(marks, prepend=-WINDOW) >= WINDOW]
+    ends = np.union1d(np.concatenate([marks, lines]), [len(raw)])
+    sizes = np.diff(ends, prepend=0)
+    if sizes.max() > LONGEST:
+        ends = np.concatenate([np.append(np.arange(e - n + LONGEST, e, LONGEST), e) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+    return ends.astype(np.int64)
+
+
 def leaves(text: bytes) -> list[bytes]:
     """The leaves; joined, they are the text."""
-    found = LEAF.findall(text)
-    if found and not found[-1]:
-        found.pop()
-    return found
+    if not text:
+        return []
+    ends = leaf_ends(text).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def tree(text: bytes) -> tuple[bytes, list[list[np.ndarray]]]:
