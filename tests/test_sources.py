@@ -1,10 +1,12 @@
 """Readers of reports and landed pages, and the streaming drain."""
 
 import json
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from trialscope.operators.sections import section_paths
+from trialscope.plans import ingest
 from trialscope.sources import junit, landed, playwright
 from trialscope.streaming.drain import current, drain_json, reprocess
 
@@ -84,3 +86,17 @@ def test_drain_reads_each_file_once_and_sets_bad_lines_aside(spark, tmp_path):
     assert sorted(map(tuple, current(spark, f"{tmp_path}/t", schema).collect())) == [(1, "2", 2), (2, "1", 5)]
     good, bad = reprocess(spark, f"{tmp_path}/r", "id long, at string, x long", lambda d: d.withColumn("text", F.lit('{"id":9,"at":"1","x":0}')))
     assert [tuple(r) for r in good.collect()] == [(9, "1", 0)] and bad.count() == 0
+
+
+def test_reports_and_pages_of_large_keys_are_bounded(spark):
+    runs = spark.range(2600).select("id", F.when(F.col("id") < 2500, 1).otherwise(2 + F.col("id") % 2).cast("long").alias("test_case_id"), F.lit(10).alias("duration_ms"), F.when(F.col("id") == 7, "FAILED").otherwise("PASSED").alias("status"), F.lit("e").alias("error_text"))
+    named = {c: F.lit("x").alias(c) for c in ("summary", "status", "issue_type", "priority", "parent_key")}
+    issues = spark.range(2500).select(F.concat(F.lit("P-"), F.col("id").cast("string")).alias("issue_key"), F.lit("P").alias("project_key"), *named.values())
+    v = SimpleNamespace(spark=spark, test_case_result=runs, test_execution=runs, jira_issue=issues)
+    sizes = lambda texts, mark: sorted(t.count(mark) for t in texts)
+    xml = [r.value for r in spark.read.text(ingest.junit_reports(v), wholetext=True).collect()]
+    for n, total in ((sizes(xml, "<testcase "), 2600), (sizes([r.text for r in ingest.playwright_reports(v).collect()], '"projectName"'), 2600), (sizes([r.text for r in ingest.issue_pages(v).collect()], '"key":"P-'), 2500)):
+        assert sum(n) == total and n[-1] <= ingest.REPORT_ROWS
+    assert {(r.suite_name, r.total_count, r.fail_count, r.pass_count, r.duration_ms) for r in ingest.junit_suites(v).collect()} == {("S1", 2500, 1, 2499, 1500), ("S2", 50, 0, 50, 1500), ("S3", 50, 0, 50, 1500)}
+    assert ingest.junit_cases(v).count() == 2600 and ingest.playwright_executions(v).count() == 2600
+    assert sorted((r.path, r.status) for r in ingest.playwright_runs(v).collect()) == [("1", "FAILED"), ("2", "PASSED"), ("3", "PASSED")]

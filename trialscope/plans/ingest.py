@@ -17,9 +17,20 @@ def _text(c: str):
     return F.col(c).cast("string")
 
 
+#: Runs of a report, or issues of a page, up to which a key's rows stay together; more are dealt to parts of about half as many.
+REPORT_ROWS = 1000
+
+
+def dealt(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """rows with part: by a hash of the id, so many parts of a key that each has some REPORT_ROWS rows at most."""
+    large = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > REPORT_ROWS)
+    parts = F.coalesce(F.ceil(2 * F.col("_n") / REPORT_ROWS), F.lit(1)).cast("long")
+    return rows.join(large, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("part", F.pmod(F.xxhash64(id_col), parts)).drop("_key", "_n")
+
+
 def junit_reports(v: Views) -> str:
-    """Folder of JUnit XML: a file per test, with a suite that has a case per run."""
-    r = v.test_case_result
+    """Folder of JUnit XML: a file per part of a test, with a suite that has a case per run."""
+    r = dealt(v.test_case_result, "test_case_id", "id")
     seconds = F.concat(F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("duration_ms") % 1000).cast("string"), 3, "0"))
     inner = (
         F.when(F.col("status") == "FAILED", F.lit('<failure message="broke &amp; fell">  at line 1\n at line 2 </failure>'))
@@ -28,11 +39,11 @@ def junit_reports(v: Views) -> str:
     )
     case = F.concat(F.lit('<testcase classname="suite.T'), _text("test_case_id"), F.lit('" name="t'), _text("id"), F.lit('" time="'), seconds, F.lit('">'), inner, F.lit("</testcase>"))
     n = lambda s: F.count_if(F.col("status") == s).cast("string")
-    suite = r.groupBy("test_case_id").agg(
+    suite = r.groupBy("test_case_id", "part").agg(
         F.concat(F.lit('<testsuite name="S'), F.first("test_case_id").cast("string"), F.lit('" tests="'), F.count(F.lit(1)).cast("string"), F.lit('" failures="'), n("FAILED"), F.lit('" skipped="'), n("SKIPPED"), F.lit('" errors="'), n("ERROR"), F.lit('" time="1.5">'), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>")).alias("xml")
     )
     path = scratch_path(v.spark, "junit")
-    suite.write.partitionBy("test_case_id").text(path)
+    suite.write.partitionBy("test_case_id", "part").text(path)
     return path
 
 
@@ -42,7 +53,10 @@ def junit_cases(v: Views) -> DataFrame:
 
 
 def junit_suites(v: Views) -> DataFrame:
-    return junit.read_suites(v.spark, junit_reports(v)).select("suite_name", "total_count", "pass_count", "fail_count", "skip_count", "error_count", "duration_ms")
+    """A row per suite, over all its parts, which ran beside each other."""
+    counts = ("total_count", "pass_count", "fail_count", "skip_count", "error_count")
+    parts = junit.read_suites(v.spark, junit_reports(v))
+    return parts.groupBy("suite_name").agg(*(F.sum(c).cast("int").alias(c) for c in counts), F.max("duration_ms").alias("duration_ms"))
 
 
 def junit_links(v: Views) -> DataFrame:
@@ -52,8 +66,8 @@ def junit_links(v: Views) -> DataFrame:
 
 
 def playwright_reports(v: Views) -> DataFrame:
-    """Report texts: one per test, its runs as specs of a suite inside the file's suite."""
-    e = v.test_execution
+    """Report texts: one per part of a test, its runs as specs of a suite inside the file's suite."""
+    e = dealt(v.test_execution, "test_case_id", "id")
     result = lambda status, retry: F.struct(F.lit(status).alias("status"), (F.col("id") % 1000).cast("double").alias("duration"), F.lit(retry).alias("retry"), F.when(F.lit(status) == "failed", F.array(F.struct(F.concat(F.lit("at /x/a.spec.ts:3:14 "), F.coalesce("error_text", F.lit("?"))).alias("message")))).alias("errors"))
     results = F.when(F.col("status") == "PASSED", F.array(result("passed", 0))).when(F.col("status") == "FLAKY", F.array(result("failed", 0), result("passed", 1))).when(F.col("status") == "FAILED", F.array(result("failed", 0))).otherwise(F.array(result("skipped", 0)))
     word = F.when(F.col("status") == "PASSED", "expected").when(F.col("status") == "FAILED", "unexpected").when(F.col("status") == "FLAKY", "flaky").otherwise("skipped")
@@ -63,7 +77,7 @@ def playwright_reports(v: Views) -> DataFrame:
     outer = F.struct(F.lit("top").alias("title"), F.concat(F.lit("tests/u"), F.first("test_case_id").cast("string"), F.lit(".spec.ts")).alias("file"), F.array(inner).alias("suites"))
     n = lambda s: F.count_if(F.col("status") == s).alias({"PASSED": "expected", "FAILED": "unexpected", "FLAKY": "flaky", "SKIPPED": "skipped"}[s])
     stats = F.struct(F.lit("2024-01-01T00:00:00.000Z").alias("startTime"), F.lit(1500.0).alias("duration"), *map(n, ("PASSED", "FAILED", "FLAKY", "SKIPPED")))
-    return e.groupBy("test_case_id").agg(F.to_json(F.struct(F.array(outer).alias("suites"), stats.alias("stats"))).alias("text")).select(_text("test_case_id").alias("path"), "text")
+    return e.groupBy("test_case_id", "part").agg(F.to_json(F.struct(F.array(outer).alias("suites"), stats.alias("stats"))).alias("text")).select(_text("test_case_id").alias("path"), "text")
 
 
 def playwright_executions(v: Views) -> DataFrame:
@@ -77,15 +91,18 @@ def playwright_attempts(v: Views) -> DataFrame:
 
 
 def playwright_runs(v: Views) -> DataFrame:
-    return playwright.runs(playwright_reports(v)).select("path", "status", F.col("finished_at").cast("string").alias("finished_at"))
+    """A row per test, over all parts of its report."""
+    has = lambda s: F.count_if(F.col("status") == s) > 0
+    status = F.when(has("FAILED"), "FAILED").when(has("FLAKY"), "FLAKY").when(has("PASSED"), "PASSED").otherwise("SKIPPED")
+    return playwright.runs(playwright_reports(v)).groupBy("path").agg(status.alias("status"), F.max("finished_at").cast("string").alias("finished_at"))
 
 
 def issue_pages(v: Views) -> DataFrame:
-    """Landed pages of issues, one per project."""
+    """Landed pages of issues, one per part of a project."""
     named = lambda c: F.struct(F.col(c).alias("name"))
     fields = F.struct("summary", named("status").alias("status"), named("issue_type").alias("issuetype"), named("priority").alias("priority"), F.lit("2024-01-05T10:00:00.000+0000").alias("updated"), F.struct(F.col("parent_key").alias("key")).alias("parent"))
     issue = F.struct(F.col("issue_key").alias("key"), fields.alias("fields"))
-    return v.jira_issue.groupBy("project_key").agg(F.to_json(F.struct(F.collect_list(issue).alias("issues"))).alias("text")).select("text")
+    return dealt(v.jira_issue, "project_key", "issue_key").groupBy("project_key", "part").agg(F.to_json(F.struct(F.collect_list(issue).alias("issues"))).alias("text")).select("text")
 
 
 def issue_sync(v: Views) -> DataFrame:
