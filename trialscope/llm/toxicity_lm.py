@@ -5,7 +5,8 @@ probability from the class's own counts of six symbols, discounted and backed of
 Kneser-Ney model of both classes together (its counts at the top order, continuation counts below).
 The back-off weighs as much as BACKOFF sightings, so that an expression that a class has hardly seen
 gets nearly the same probability in both. A word's log ratio is the sum over its grams; a document is
-scored by the part above MARGIN that its words add, per word.
+scored by the part above MARGIN that its words add, per word. The comparison of the models' totals
+over the whole text is not used, and grams don't cross words.
 
 The models are Spark tables of exact counts, which grow with the corpus: a gram's ratio is computed
 where its counts and its contexts' meet, words gather the ratios of their grams, and documents those
