@@ -16,8 +16,8 @@ from trialscope.llm.common import small_batches, text_of
 
 #: The library's mark for a space, and piece kinds of its model format.
 SPACE_MARK, NORMAL, UNKNOWN, CONTROL, USER, BYTE = "▁", 1, 2, 3, 4, 6
-#: Words that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Words that each half of a worker's memory holds.
+REMEMBERED = 300_000
 #: Symbols in one call of merge rounds.
 ROUND_SYMBOLS = 1 << 20
 
@@ -58,7 +58,8 @@ class PieceModel:
         self.symbol = {p: i for p, i in normal.items() if len(p) == 1}
         self.extra: dict[str, int] = {}  # characters without a piece, numbered after the pieces
         self._pairs(model, normal)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def _pairs(self, model, normal: dict[str, int]) -> None:
         """Every pair of symbols that makes a piece: sorted keys, rank of the piece, its id."""
@@ -83,46 +84,41 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], _NONE), at
 
-    def merge(self, words: list[str], one_by_one: bool = False) -> list[tuple[int, ...]]:
-        """The ids of each word: rounds over flat arrays of all words' symbols.
+    def _rounds(self, words: list[str], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, symbol) of all words' last symbols, in order: rounds over flat arrays.
 
         In a round each word merges its pair of least rank, at all its places from the left (with
-        one_by_one: at the first place only); words without a pair are taken out. Where merging
-        several places at once brings up a pair of lesser rank, the word is done again one by one,
-        so that the result is always that of merging one pair at a time.
+        one_by_one: at the first place only); words without a pair are taken out. Pairs are looked up
+        once, and then only where a merge has changed them. Where merging several places at once
+        brings up a pair of lesser rank, the word is done again one by one, so that the result is
+        always that of merging one pair at a time.
         """
-        if not words:
-            return []
-        text = "".join(words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds, inverse = np.unique(codes, return_inverse=True)
         symbols = np.array([self.symbol.get(chr(c)) if chr(c) in self.symbol else self._number(chr(c)) for c in kinds.tolist()], np.int64)[inverse]
         word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        again: set[int] = set()
+        again: list[np.ndarray] = []
         marks = np.full(len(words), -1, np.int64)  # rank at which a word last merged several places
+        rank, at = np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], at[inner] = self._rank(symbols[inner], symbols[inner + 1])
         while len(symbols):
-            rank = np.full(len(symbols), _NONE)
-            at = np.zeros(len(symbols), np.int64)
-            if len(symbols) > 1:
-                rank[:-1], at[:-1] = self._rank(symbols[:-1], symbols[1:])
-                rank[:-1][word[:-1] != word[1:]] = _NONE
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(rank, starts)
-            here = word[starts]
-            redo = here[least < marks[here]]
-            again.update(redo.tolist())
+            least, here = np.minimum.reduceat(rank, starts), word[starts]
+            redo = least < marks[here]
+            stop = (least == _NONE) | redo
             sizes = np.diff(np.r_[starts, len(symbols)])
-            stop = (least == _NONE) | np.isin(here, redo)
             if stop.any():
-                gone = np.repeat(stop, sizes)
-                done.append((word[gone], symbols[gone]))
-                word, symbols, rank, at = word[~gone], symbols[~gone], rank[~gone], at[~gone]
+                again.append(here[redo])
+                ended = np.repeat(stop & ~redo, sizes)
+                done.append((word[ended], symbols[ended]))
+                stay = np.repeat(~stop, sizes)
+                word, symbols, rank, at = word[stay], symbols[stay], rank[stay], at[stay]
                 least, sizes = least[~stop], sizes[~stop]
                 if not len(symbols):
                     break
-            hit = rank == np.repeat(least, sizes)
-            places = np.flatnonzero(hit)
+            places = np.flatnonzero(rank == np.repeat(least, sizes))
             if one_by_one:
                 places = places[np.r_[True, word[places][1:] != word[places][:-1]]]
             else:
@@ -136,24 +132,45 @@ class PieceModel:
             symbols[places] = self.merged[at[places]]
             keep = np.ones(len(symbols), bool)
             keep[places + 1] = False
-            word, symbols = word[keep], symbols[keep]
-        words_at = np.concatenate([w for w, _ in done])
-        flat = np.concatenate([s for _, s in done])
-        order = np.argsort(words_at, kind="stable")
-        flat, ends = flat[order].tolist(), np.cumsum(np.bincount(words_at, minlength=len(words))).tolist()
-        out, start = [], 0
-        names = {i: c for c, i in self.extra.items()}
-        for end in ends:
-            ids = flat[start:end]
-            if max(ids) >= len(self.pieces):
-                ids = [x for i in ids for x in (self._fallback(names[i]) if i in names else (i,))]
-            out.append(tuple(ids))
-            start = end
-        if again:
-            slow = sorted(again)
-            for i, ids in zip(slow, self.merge([words[i] for i in slow], one_by_one=True), strict=True):
-                out[i] = ids
-        return out
+            word, symbols, rank, at = word[keep], symbols[keep], rank[keep], at[keep]
+            places = places - np.arange(len(places))  # each merge takes away one symbol behind its place
+            rank[places] = _NONE
+            changed = np.union1d(places, places[places > 0] - 1)
+            changed = changed[changed + 1 < len(word)]
+            changed = changed[word[changed] == word[changed + 1]]
+            rank[changed], at[changed] = self._rank(symbols[changed], symbols[changed + 1])
+        slow = np.unique(np.concatenate([*again, np.zeros(0, np.int64)]))
+        if len(slow):
+            owner, flat = self._rounds([words[i] for i in slow.tolist()], one_by_one=True)
+            done.append((slow[owner], flat))
+        owner, flat = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
+        order = np.argsort(owner, kind="stable")
+        return owner[order], flat[order]
+
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and where each word's ids end."""
+        owner, flat = self._rounds(words)
+        odd = np.flatnonzero(flat >= len(self.pieces))
+        if len(odd):
+            names = {i: c for c, i in self.extra.items()}
+            spelt = {i: self._fallback(names[i]) for i in np.unique(flat[odd]).tolist()}
+            sizes = np.ones(len(flat), np.int64)
+            sizes[odd] = [len(spelt[i]) for i in flat[odd].tolist()]
+            starts, out, owner = np.cumsum(sizes) - sizes, np.repeat(flat, sizes), np.repeat(owner, sizes)
+            for i, ids in spelt.items():
+                places = starts[flat == i]
+                for k, x in enumerate(ids):
+                    out[places + k] = x
+            flat = out
+        return flat, np.cumsum(np.bincount(owner, minlength=len(words)))
+
+    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word."""
+        if not words:
+            return []
+        flat, ends = self.merge_flat(words)
+        ids, ends = flat.tolist(), ends.tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         if not self.fallback:
@@ -166,31 +183,39 @@ class PieceModel:
             return []
         return _WORDS.findall((SPACE_MARK if self.prefix else "") + text.replace(" ", SPACE_MARK))
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Remember the ids of words that are new."""
-        new = [w for w in set(words) if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(set(words))
+    def learn(self, words: set[str]) -> dict[str, object]:
+        """What is remembered of each word, new ones included.
+
+        The memory has two halves: when the recent one is full it becomes the older one, and words of
+        the older one that come up again are recent again. So common words stay.
+        """
+        recent, older = self.recent, self.older
+        new = []
+        for w in words.difference(recent):
+            if w in older:
+                recent[w] = older[w]
+            else:
+                new.append(w)
+        if len(recent) > REMEMBERED:  # before new ones come in: words of this batch are in one of the halves
+            self.recent, self.older = {w: recent[w] for w in words.intersection(recent)}, recent
+            recent = self.recent
         start = size = 0
         for i, w in enumerate(new):
             size += len(w)
             if size >= ROUND_SYMBOLS or i + 1 == len(new):
                 part = new[start : i + 1]
-                for x, ids in zip(part, self.merge(part), strict=True):
-                    self.remember(x, ids)
+                recent.update(zip(part, self.described(part), strict=True))
                 start, size = i + 1, 0
+        return recent
 
-    def forget(self) -> None:
-        self.words.clear()
-
-    def remember(self, word: str, ids: tuple[int, ...]) -> None:
-        self.words[word] = ids
+    def described(self, words: list[str]) -> list:
+        """What to remember of each word: its ids."""
+        return self.merge(words)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        self.learn(w for ws in split for w in ws)
-        return [[i for w in ws for i in self.words[w]] for ws in split]
+        known = self.learn(set().union(*split))
+        return [[i for w in ws for i in known[w]] for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks become spaces, byte pieces their bytes (invalid ones U+FFFD), the first prefix goes."""
@@ -268,24 +293,30 @@ def decode_pieces(tokens: DataFrame, model_path: str, id_col: str = "doc_id", id
 
 
 class Digester(PieceModel):
-    """Remembers for each word also its ids as decimal text, their count, and what they decode to."""
+    """Remembers for each word its ids as decimal text, and what they decode to."""
 
     def __init__(self, path: str):
-        self.joined: dict[str, str] = {}
-        self.counts: dict[str, int] = {}
-        self.texts: dict[str, str] = {}
         super().__init__(path)
+        self.decimals = list(map(str, range(len(self.pieces))))
+        self.surfaces = [p.replace(SPACE_MARK, " ") for p in self.pieces]
+        self.odd = np.zeros(len(self.pieces), bool)  # pieces whose text isn't their own
+        self.odd[[*self.byte_of, *self.control, self.unknown]] = True
 
-    def forget(self) -> None:
-        for d in (self.words, self.joined, self.counts, self.texts):
-            d.clear()
+    def described(self, words: list[str]) -> list[tuple[str, str]]:
+        """Ids and decoded text of each word, from tables of the pieces' decimals and texts.
 
-    def remember(self, word: str, ids: tuple[int, ...]) -> None:
-        self.words[word] = ids
-        self.joined[word] = ",".join(map(str, ids))
-        self.counts[word] = len(ids)
-        # A word begins and ends with whole characters, so that its bytes decode by themselves.
-        self.texts[word] = self.decode((*self._fallback("\n"), *ids))[1:] if self.fallback else self.decode((self.unknown, *ids))[len(self.unknown_surface) :]
+        A word begins and ends with whole characters, so that its bytes decode by themselves.
+        """
+        flat, ends = self.merge_flat(words)
+        odd = np.logical_or.reduceat(self.odd[flat], np.r_[0, ends[:-1]])
+        ids, ends = flat.tolist(), ends.tolist()
+        decimals, surfaces = [self.decimals[i] for i in ids], [self.surfaces[i] for i in ids]
+        out = [(",".join(decimals[a:b]), "".join(surfaces[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
+        for k in np.flatnonzero(odd).tolist():
+            mine = ids[ends[k - 1] if k else 0 : ends[k]]
+            text = self.decode((*self._fallback("\n"), *mine))[1:] if self.fallback else self.decode((self.unknown, *mine))[len(self.unknown_surface) :]
+            out[k] = (out[k][0], text)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -294,21 +325,25 @@ def digester(path: str) -> Digester:
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: what encode_pieces() and decode_pieces() give, digested word by word."""
-
+    """id, n_tokens, ids_sha256, decoded_sha256: what encode_pieces() and decode_pieces() give, digested word by word.
 
+    Defined cases: null text counts as empty, which has no ids; repeated rows and null ids give a row
+    each; a very long text is one row of a batch of its own; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
+    """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = digester(model_path)
         for b in small_batches(batches, rows=1000, size=4 << 20):
             split = [bpe.split(t) for t in b.column(1).to_pylist()]
-            bpe.learn({w for ws in split for w in ws})
+            known = bpe.learn(set().union(*split))
             n, ids, texts = [], [], []
             for ws in split:
-                n.append(sum(map(bpe.counts.__getitem__, ws)))
-                ids.append(hashlib.sha256(",".join(map(bpe.joined.__getitem__, ws)).encode()).hexdigest())
-                text = "".join(map(bpe.texts.__getitem__, ws))
+                mine, decoded = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), ())
+                joined, text = ",".join(mine), "".join(decoded)
+                n.append(joined.count(",") + 1 if ws else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256((text[1:] if bpe.prefix and text.startswith(" ") else text).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
