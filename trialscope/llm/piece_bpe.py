@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,40 @@ _WORDS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 _NONE = np.iinfo(np.int64).max
 
 
+class Memory:
+    """What has been found out about words, in two halves.
+
+    When the recent half is full it becomes the older one, and words of the older one that come up
+    again are recent again. So common words stay.
+    """
+
+    def __init__(self, describe: Callable[[list[str]], list]):
+        self.describe = describe
+        self.recent: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def of(self, words: set[str]) -> dict[str, object]:
+        """What is known of each of the words, new ones included."""
+        recent, older = self.recent, self.older
+        new = []
+        for w in words.difference(recent):
+            if w in older:
+                recent[w] = older[w]
+            else:
+                new.append(w)
+        if len(recent) > REMEMBERED:
+            self.recent, self.older = {w: recent[w] for w in words.intersection(recent)}, recent
+            recent = self.recent
+        start = size = 0
+        for i, w in enumerate(new):
+            size += len(w)
+            if size >= ROUND_SYMBOLS or i + 1 == len(new):
+                part = new[start : i + 1]
+                recent.update(zip(part, self.describe(part), strict=True))
+                start, size = i + 1, 0
+        return recent
+
+
 class PieceModel:
     """A BPE model file; words are encoded in bulk and remembered."""
 
@@ -58,8 +92,7 @@ class PieceModel:
         self.symbol = {p: i for p, i in normal.items() if len(p) == 1}
         self.extra: dict[str, int] = {}  # characters without a piece, numbered after the pieces
         self._pairs(model, normal)
-        self.recent: dict[str, object] = {}
-        self.older: dict[str, object] = {}
+        self.known = Memory(self.merge)
 
     def _pairs(self, model, normal: dict[str, int]) -> None:
         """Every pair of symbols that makes a piece: sorted keys, rank of the piece, its id."""
@@ -147,9 +180,9 @@ class PieceModel:
         order = np.argsort(owner, kind="stable")
         return owner[order], flat[order]
 
-    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def merge_flat(self, words: list[str], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and where each word's ids end."""
-        owner, flat = self._rounds(words)
+        owner, flat = self._rounds(words, one_by_one)
         odd = np.flatnonzero(flat >= len(self.pieces))
         if len(odd):
             names = {i: c for c, i in self.extra.items()}
@@ -164,11 +197,11 @@ class PieceModel:
             flat = out
         return flat, np.cumsum(np.bincount(owner, minlength=len(words)))
 
-    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
+    def merge(self, words: list[str], one_by_one: bool = False) -> list[tuple[int, ...]]:
         """The ids of each word."""
         if not words:
             return []
-        flat, ends = self.merge_flat(words)
+        flat, ends = self.merge_flat(words, one_by_one)
         ids, ends = flat.tolist(), ends.tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -183,38 +216,9 @@ class PieceModel:
             return []
         return _WORDS.findall((SPACE_MARK if self.prefix else "") + text.replace(" ", SPACE_MARK))
 
-    def learn(self, words: set[str]) -> dict[str, object]:
-        """What is remembered of each word, new ones included.
-
-        The memory has two halves: when the recent one is full it becomes the older one, and words of
-        the older one that come up again are recent again. So common words stay.
-        """
-        recent, older = self.recent, self.older
-        new = []
-        for w in words.difference(recent):
-            if w in older:
-                recent[w] = older[w]
-            else:
-                new.append(w)
-        if len(recent) > REMEMBERED:  # before new ones come in: words of this batch are in one of the halves
-            self.recent, self.older = {w: recent[w] for w in words.intersection(recent)}, recent
-            recent = self.recent
-        start = size = 0
-        for i, w in enumerate(new):
-            size += len(w)
-            if size >= ROUND_SYMBOLS or i + 1 == len(new):
-                part = new[start : i + 1]
-                recent.update(zip(part, self.described(part), strict=True))
-                start, size = i + 1, 0
-        return recent
-
-    def described(self, words: list[str]) -> list:
-        """What to remember of each word: its ids."""
-        return self.merge(words)
-
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        known = self.learn(set().union(*split))
+        known = self.known.of(set().union(*split))
         return [[i for w in ws for i in known[w]] for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -301,6 +305,7 @@ class Digester(PieceModel):
         self.surfaces = [p.replace(SPACE_MARK, " ") for p in self.pieces]
         self.odd = np.zeros(len(self.pieces), bool)  # pieces whose text isn't their own
         self.odd[[*self.byte_of, *self.control, self.unknown]] = True
+        self.digests = Memory(self.described)
 
     def described(self, words: list[str]) -> list[tuple[str, str]]:
         """Ids and decoded text of each word, from tables of the pieces' decimals and texts.
@@ -337,7 +342,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         bpe = digester(model_path)
         for b in small_batches(batches, rows=1000, size=4 << 20):
             split = [bpe.split(t) for t in b.column(1).to_pylist()]
-            known = bpe.learn(set().union(*split))
+            known = bpe.digests.of(set().union(*split))
             n, ids, texts = [], [], []
             for ws in split:
                 mine, decoded = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), ())
