@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of a query go when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they are freed at once.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -83,6 +95,30 @@ def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), id_col).limit(most)
 
 
+def _slots(keys: np.ndarray, n_bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n_bits)).astype(np.int64)
+
+
+def key_bits(keys: DataFrame, n_bits: int) -> np.ndarray:
+    """A bit per hash slot of the long keys in the only column; of fixed size, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False), n_bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    words = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (n_bits - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def has_bits(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the slots of keys are set: true for all keys that are in the filter, and for a few others."""
+    at = _slots(keys, (len(bits) << 6).bit_length() - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer file; it is installed on every machine and never copied here."""
     import public_tokenizers

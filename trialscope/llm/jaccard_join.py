@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import kept_table, small_batches, text_of
+from trialscope.llm.common import has_bits, kept_table, key_bits, small_batches, text_of
 from trialscope.llm.components import components
 from trialscope.llm.shingles import Words, shingle_set
 
@@ -159,37 +159,18 @@ def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "token long, node long, n long, rest long, ok boolean")
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def id_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit per hash slot of the ids of nodes; of fixed size, whatever their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
-
-    words = nodes.select("node").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and text of the documents that are nodes, and of a few others.
 
     A filter of the nodes' ids goes to the documents, so that only their texts are shuffled when they
     are joined by node; what the filter lets through by chance falls out there.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(nodes))
+    shared = rows.sparkSession.sparkContext.broadcast(key_bits(nodes.select("node"), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            at = _slots(b.column(0).to_numpy(zero_copy_only=False))
-            b = b.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            b = b.filter(pa.array(has_bits(b.column(0).to_numpy(zero_copy_only=False), bits)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "text"])
 
     return rows.where("id is not null").select("id", "text").mapInArrow(run, "node long, text string")

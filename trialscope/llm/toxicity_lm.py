@@ -1,262 +1,325 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters of words.
 
-Two models, one of toxic and one of ordinary labelled documents, give each word's letters a
-probability from the class's own counts of six symbols, discounted and backed off to one shared
-Kneser-Ney model of both classes together (its counts at the top order, continuation counts below).
-The back-off weighs as much as BACKOFF sightings, so that an expression that a class has hardly seen
-gets nearly the same probability in both. A word's log ratio is the sum over its grams; a document is
-scored by the part above MARGIN that its words add, per word. The comparison of the models' totals
-over the whole text is not used, and grams don't cross words.
-
-The models are Spark tables of exact counts, which grow with the corpus: a gram's ratio is computed
-where its counts and its contexts' meet, words gather the ratios of their grams, and documents those
-of their words, all by shuffle joins.
+Two models, one of toxic and one of ordinary labelled documents, give each letter of a word a
+probability after the five before it. Each discounts the class's own counts and backs off to one
+shared Kneser-Ney model of both classes (its counts at the top order, continuation counts below),
+with the discounted mass and BACKOFF sightings more, so that an expression that a class has hardly
+seen gets nearly the same probability in both. Grams start anew at each word: with grams across
+words, rare beginnings of words fall into contexts that are too rare to tell the classes apart.
+
+A word's log ratio is its log-likelihood in the toxic class less that in the ordinary class. A
+document is scored by the mean of it over all its words, which is the length-normalised difference of
+the two models' log-likelihoods of the whole text, and by the part of it above MARGIN that single
+words add.
+
+The models are Spark tables of exact counts, which grow with the corpus. Tasks that score get a table
+of fixed size, of the most frequent contexts; what a text has of other contexts is joined by shuffle.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import bounded_sample, kept_table, small_batches, text_of
+from trialscope.llm.common import bounded_sample, drop_path, has_bits, key_bits, kept_table, small_batches, text_of
 from trialscope.llm.quality_gam import in_fold
 
 #: Symbols of a class's own counts; the shared model has one less, down to one.
 ORDER = 6
 DISCOUNT = 0.75
 #: Sightings of a context that the shared model counts as, in each class's model.
-BACKOFF = 50.0
-#: Log ratio above which a word speaks for the toxic class.
-MARGIN = 0.75
+BACKOFF = 500.0
+#: Log ratio above which a word by itself speaks for the toxic class.
+MARGIN = 1.0
 #: Marks before and after a word (white space, so that no word has them).
 BEFORE, AFTER = "\t", "\n"
-#: Words that a worker remembers, and words or grams that a counting task gathers before it hands them on.
-REMEMBERED, GATHERED = 400_000, 250_000
-#: Bits of the filter of words above the margin (one hash, a megabyte); it spares shuffling other words and loses none.
-FILTER_BITS = 23
-#: Copies of the ratios of grams that begin words, which very many words share.
-SALTS = 16
-WORD_COUNTS = ("n0", "n1", "m0", "m1")
+#: Words that each half of a worker's memory holds, and words that a counting task gathers before it hands on their grams.
+REMEMBERED, GATHERED = 300_000, 250_000
+#: Grams in the table that scoring tasks get: it holds whole contexts, and at most as many of these.
+TABLE_GRAMS = 1 << 18
+#: Bits of the filter of the other contexts; it spares asking for unknown ones and loses none.
+FILTER_BITS = 22
+#: Tasks over which the askers of one context are dealt.
+SALTS = 8
+COUNTS = ("n0", "n1", "m0", "m1")
 
 
 def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
-def word_key(word: str) -> bytes:
-    """128 bits that stand for a word, however long it is."""
-    return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the words as rows of ORDER code points, and the number of each gram's word."""
+    marks = BEFORE * (ORDER - 1)
+    codes = np.frombuffer("".join([f"{marks}{w}{AFTER}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[codes[ORDER - 1 :] != ord(BEFORE)] if words else np.zeros((0, ORDER), np.uint32)
+    return rows, np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
 
 
-def marked_grams(word: str) -> list[str]:
-    marked = f"{BEFORE * (ORDER - 1)}{word}{AFTER}"
-    return [marked[i : i + ORDER] for i in range(len(word) + 1)]
+def keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the contexts and of the whole grams."""
+    h = np.full(len(rows), 0x243F6A8885A308D3, np.uint64)
+    for j in range(ORDER - 1):
+        h = _mixed(h ^ rows[:, j])
+    return h, gram_key(h, rows[:, ORDER - 1])
 
 
-def _sums(found: dict[str, list[int]], name: str, counts: tuple[str, ...] = ("n0", "n1")) -> Iterator[pa.RecordBatch]:
-    """Batches of name and counts; found is emptied."""
-    keys = list(found)
-    for i in range(0, len(keys), 50_000):
-        part = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[k][c] for k in part], pa.int64()) for c in range(len(counts)))], names=[name, *counts])
-    found.clear()
+def gram_key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return _mixed(context ^ (symbol.astype(np.uint64) + np.uint64(1 << 40)))
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """word, n0, n1, m0, m1: how often each word stands in texts of either class, and in those of them with `apart`.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
 
-    rows has text, label (0, 1 or null) and, if wanted, apart; words of texts without a label are
-    there, but not counted.
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """gram, n0, n1, m0, m1: how often each gram stands in texts of either class, and in those of them with `apart`.
+
+    rows has text, label (0 or 1) and, if wanted, apart. A task gathers words first and hands on sums
+    of their grams.
     """
 
+    def handed_on(seen: dict[str, list[int]]) -> pa.RecordBatch:
+        grams, owner = windows(list(seen))
+        _, whole = keys(grams)
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+        counts = np.array(list(seen.values()), np.float64)[owner]
+        names = grams[first].tobytes().decode("utf-32-le", "surrogatepass")
+        sums = [pa.array(np.bincount(of, counts[:, c], len(first)).astype(np.int64)) for c in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([names[i : i + ORDER] for i in range(0, len(names), ORDER)], pa.string()), *sums], names=["gram", *COUNTS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for b in small_batches(batches):
             for text, label, apart in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w, n in Counter(tokens(text)).items():
                     counts = seen.setdefault(w, [0, 0, 0, 0])
-                    if label is not None:
-                        counts[label] += n
-                        if apart:
-                            counts[2 + label] += n
+                    counts[label] += n
+                    if apart:
+                        counts[2 + label] += n
             if len(seen) > GATHERED:
-                yield from _sums(seen, "word", WORD_COUNTS)
-        yield from _sums(seen, "word", WORD_COUNTS)
+                yield handed_on(seen)
+                seen = {}
+        if seen:
+            yield handed_on(seen)
 
     rows = rows.select("text", "label", "apart" if "apart" in rows.columns else F.lit(False).alias("apart"))
-    counted = rows.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in WORD_COUNTS))
-    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in WORD_COUNTS))
-
-
-def grams_of(words: DataFrame) -> DataFrame:
-    """gram, n0, n1: how often each gram of ORDER symbols stands in the words (word, n0, n1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
-        for b in small_batches(batches):
-            for w, n0, n1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for g in marked_grams(w):
-                    counts = found.setdefault(g, [0, 0])
-                    counts[0] += n0
-                    counts[1] += n1
-                if len(found) > GATHERED:
-                    yield from _sums(found, "gram")
-        yield from _sums(found, "gram")
-
-    counted = words.select("word", "n0", "n1").mapInArrow(run, "gram string, n0 long, n1 long")
-    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def count_grams(rows: DataFrame) -> DataFrame:
-    """gram, n0, n1 of texts with a label, as count_words() has them."""
-    return grams_of(count_words(rows))
+    counted = rows.mapInArrow(run, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def backed_off(c: Column, kinds: Column, total: Column, p: Column) -> Column:
-    return F.when(total > 0, (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / total).otherwise(p)
+    """The discounted share of c in total, and what discounts leave, times p."""
+    return (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / total
 
 
-def gram_ratios(top: DataFrame) -> DataFrame:
-    """gram, ratio: log-likelihood of its last symbol in the toxic class less that in the ordinary class.
+def shared_probabilities(grams: DataFrame, order: int) -> DataFrame:
+    """gram, p: the shared model's probability of the last symbol of each gram of `order` symbols.
 
-    top has all grams of ORDER symbols that are asked for, with their counts (zero if no labelled text
-    has them). At most as many grams as there are symbols share a context or a suffix, so no join is skewed.
+    grams has those of the order above; a gram counts here as often as there are different ones
+    that end in it. At most as many grams as there are symbols share a context or a suffix, so no
+    window or join is skewed.
     """
-    lower, level = {}, top.select("gram", (F.col("n0") + F.col("n1")).alias("c"))
-    for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
-        level, _ = kept_table(level, f"grams-{k}")
-        lower[k] = level
-    all_ = lower[1].agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("kinds"))
-    p = lower[1].crossJoin(F.broadcast(all_)).select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.lit(1e-4)).alias("p"))
-    for k in range(2, ORDER):
-        placed = lower[k].select("gram", "c", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr(f"substring(gram, 2, {k - 1})").alias("suffix"))
-        contexts = placed.groupBy("context").agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("kinds"))
-        p = placed.join(contexts, "context").join(p.withColumnRenamed("gram", "suffix"), "suffix").select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.col("p")).alias("p"))
-    placed = top.select("gram", "n0", "n1", F.expr(f"substring(gram, 1, {ORDER - 1})").alias("context"), F.expr(f"substring(gram, 2, {ORDER - 1})").alias("suffix"))
-    contexts = placed.groupBy("context").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("kinds"))
-    own = placed.join(contexts, "context").join(p.withColumnRenamed("gram", "suffix"), "suffix")
-    own = own.withColumn("p", backed_off(F.col("n0") + F.col("n1"), F.col("kinds"), F.col("t0") + F.col("t1"), F.col("p")))
-
-    def log_of(n: str, total: str) -> Column:
-        discounted = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
-        return F.log((discounted + (BACKOFF + F.col(n) - discounted) * F.col("p")) / (F.col(total) + BACKOFF))
-
-    return own.select("gram", (log_of("n1", "t1") - log_of("n0", "t0")).alias("ratio"))
-
-
-def word_ratios(words: DataFrame) -> DataFrame:
-    """key, ratio: of each word (word, n0, n1), log-likelihood in the toxic class less that in the ordinary class."""
-    top, _ = kept_table(grams_of(words), "grams")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found = [], []
-
-        def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], names=["key", "gram"])
-            keys.clear()
-            found.clear()
-            return out
-
-        for b in small_batches(batches):
-            for w in b.column(0).to_pylist():
-                mine = marked_grams(w)
-                keys.extend([word_key(w)] * len(mine))
-                found.extend(mine)
-                if len(found) > 50_000:
-                    yield hand_on()
-        if found:
-            yield hand_on()
+    level = grams.groupBy(F.expr(f"substring(gram, 2, {order})").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    if order == 1:
+        return level.select("gram", (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias("p"))
+    level, _ = kept_table(level, f"grams-{order}")
+    context = Window.partitionBy(F.expr(f"substring(gram, 1, {order - 1})"))
+    placed = level.withColumns({"total": F.sum("c").over(context), "kinds": F.count(F.lit(1)).over(context), "suffix": F.expr(f"substring(gram, 2, {order - 1})")})
+    lower = shared_probabilities(level, order - 1).withColumnRenamed("gram", "suffix")
+    return placed.join(lower, "suffix").select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.col("p")).alias("p"))
 
-    begins = F.startswith("gram", F.lit(BEFORE * (ORDER - 3)))  # shared by the words with the same first letters
-    ratios = gram_ratios(top).withColumn("salt", F.explode(F.when(begins, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    asked = words.select("word").mapInArrow(run, "key binary, gram string").withColumn("salt", F.when(begins, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
-    return asked.join(ratios, ["gram", "salt"]).groupBy("key").agg(F.round(F.sum("ratio"), 9).alias("ratio"))
 
+def class_probability(n: Column, total: Column, kinds: Column, p: Column) -> Column:
+    """A class's own probability of a symbol seen n times in a context, backed off to p of the shared model."""
+    return (F.greatest(n - DISCOUNT, F.lit(0.0)) + (BACKOFF + DISCOUNT * kinds) * p) / (total + BACKOFF)
 
-def words_above(words: DataFrame) -> DataFrame:
-    """key, excess: the part of the ratio above MARGIN, of the words (word, n0, n1) that have one; kept in the shared folder."""
-    above = word_ratios(words).where(F.col("ratio") > MARGIN)
-    return kept_table(above.select("key", (F.col("ratio") - MARGIN).alias("excess")), "words-above")[0]
 
+def gram_ratios(grams: DataFrame) -> DataFrame:
+    """gram, total, p0, p1, ratio, base (and m_ratio, m_base): what the models say of each gram.
 
-def _slot(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little") & ((1 << FILTER_BITS) - 1)
-
+    total is how often its context was seen; p0 and p1 are the classes' probabilities of its last
+    symbol; ratio is the log of p1 / p0. base is that of any symbol that neither class has seen in the
+    context (its shared probability cancels out); a context that neither has seen says nothing.
+    m_ratio and m_base are of models that have not counted the rows apart.
+    """
+    context, lower = Window.partitionBy("context"), shared_probabilities(grams, ORDER - 1).withColumnRenamed("gram", "suffix")
+    own = grams.select("gram", F.expr(f"substring(gram, 1, {ORDER - 1})").alias("context"), F.expr(f"substring(gram, 2, {ORDER - 1})").alias("suffix"), "n0", "n1", (F.col("n0") - F.col("m0")).alias("l0"), (F.col("n1") - F.col("m1")).alias("l1"))
+    own = own.withColumns({f"t_{c}": F.sum(c).over(context) for c in ("n0", "n1", "l0", "l1")} | {f"k_{c}": F.count_if(F.col(c) > 0).over(context) for c in ("n0", "n1", "l0", "l1")} | {"kinds": F.count(F.lit(1)).over(context)})
+    own = own.join(lower, "suffix").withColumn("total", F.col("t_n0") + F.col("t_n1"))
+    own = own.withColumn("p", backed_off(F.col("n0") + F.col("n1"), F.col("kinds"), F.col("total"), F.col("p")))
 
-def word_filter(keys: DataFrame) -> np.ndarray:
-    """Bits (packed, of fixed size) in which every key's slot is set."""
-    block = 1 << 16
+    def of(c: str) -> Column:
+        return class_probability(F.col(c), F.col(f"t_{c}"), F.col(f"k_{c}"), F.col("p"))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(map(_slot, b.column(0).to_pylist()), pa.int64())], names=["slot"])
+    def base(c: str) -> Column:
+        return F.log((BACKOFF + DISCOUNT * F.col(f"k_{c}")) / (BACKOFF + F.col(f"t_{c}")))
 
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(block, np.uint8)
-        bits[pdf["slot"].to_numpy() % block] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    return own.select(
+        "gram", "total", of("n0").alias("p0"), of("n1").alias("p1"), F.log(of("n1") / of("n0")).alias("ratio"), F.log(of("l1") / of("l0")).alias("m_ratio"),
+        (base("n1") - base("n0")).alias("base"), (base("l1") - base("l0")).alias("m_base"),
+    )
 
-    distinct = keys.select("key").mapInArrow(slots, "slot long").distinct()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in distinct.groupBy(F.floor(F.col("slot") / block).alias("block")).applyInPandas(packed, "block long, bits binary").toLocalIterator():
-        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
 
+@dataclass
+class Ratios:
+    """Frequent contexts as arrays (keys of grams and contexts, sorted, with their ratios), and the table of the others.
 
-def above_margin(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows with `words`, their number of words, and `above`, the part above MARGIN per word, for their text.
+    bits is a filter of the other contexts' keys; rest has context, base, m_base and a map of symbols.
+    """
 
-    words is from words_above(). A row hands on only words that the filter passes; each row has an own
-    number, so that repeated rows and ids are told apart.
+    keys: np.ndarray
+    values: np.ndarray  # ratio and m_ratio, by columns
+    bits: np.ndarray
+    rest: DataFrame | None
+
+    def found(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return at, self.keys[at] == asked
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Ratios (two columns) of the words as far as the arrays know, and what must be asked: (word, context, symbol)."""
+        rows, owner = windows(words)
+        context, whole = keys(rows)
+        kinds, first, of = np.unique(whole, return_index=True, return_inverse=True)
+        at, known = self.found(kinds)
+        context, symbol = context[first], rows[first, ORDER - 1]
+        above, open_ = self.found(context)
+        at = np.where(known, at, above)
+        values = np.where((known | open_)[:, None], self.values[at] if len(self.values) else 0.0, 0.0)
+        sums = np.column_stack([np.bincount(owner, values[of, c], len(words)) for c in (0, 1)])
+        ask = ~open_ & has_bits(context.view(np.int64), self.bits)
+        places = np.flatnonzero(ask[of]) if ask.any() else np.zeros(0, np.int64)
+        return sums, list(zip(owner[places].tolist(), context.view(np.int64)[of[places]].tolist(), symbol[of[places]].tolist(), strict=True))
+
+
+def ratio_tables(ratios: DataFrame, most: int) -> Ratios:
+    """The ratios of gram_ratios(), dealt into arrays of at most `most` grams of the most frequent contexts, and the rest."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+            context, whole = keys(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rows[:, -1].astype(np.int32)), *b.columns[1:]], names=["context", "gram", "symbol", *b.schema.names[1:]])
+
+    plain = ratios.select("gram", F.floor(8 * F.log2("total")).cast("int").alias("often"), *(F.round(c, 9).alias(c) for c in ("ratio", "m_ratio", "base", "m_base")))
+    table, _ = kept_table(plain.mapInArrow(keyed, "context long, gram long, symbol int, often int, ratio double, m_ratio double, base double, m_base double"), "ratios")
+    room, least = most, None
+    for r in sorted(table.groupBy("often").count().collect(), reverse=True):  # some hundred at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["often"]
+    frequent = F.col("often") >= (1 << 30 if least is None else least)
+    some = table.where(frequent)
+    flat = some.select("gram", "ratio", "m_ratio").union(some.select("context", "base", "m_base").distinct()).toPandas()
+    by = flat["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(by)
+    rest = table.where(~frequent).groupBy("context").agg(F.first("base").alias("base"), F.first("m_base").alias("m_base"), F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("ratio", "m_ratio")))).alias("symbols"))
+    bits = key_bits(table.where(~frequent).select("context"), FILTER_BITS) if room < 0 else np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    return Ratios(by[order], flat[["ratio", "m_ratio"]].to_numpy(np.float64)[order], bits, rest if room < 0 else None)
+
+
+class Known:
+    """A worker's memory of words' ratios, in two halves (see piece_bpe.Memory); words with open questions are nan."""
+
+    def __init__(self, ratios: Ratios):
+        self.ratios = ratios
+        self.recent: tuple[dict, dict, dict] = ({}, {}, {})
+        self.older: tuple[dict, dict, dict] = ({}, {}, {})
+
+    def of(self, words: set[str]) -> tuple[dict[str, float], dict[str, float], dict[str, tuple]]:
+        """ratio and m_ratio of each word, and (known parts, asked contexts and symbols) of those that are nan."""
+        if len(self.recent[0]) > REMEMBERED:
+            self.older, self.recent = self.recent, ({}, {}, {})
+        new = []
+        for w in words.difference(self.recent[0]):
+            if w in self.older[0]:
+                for mine, before in zip(self.recent, self.older, strict=True):
+                    if w in before:
+                        mine[w] = before[w]
+            else:
+                new.append(w)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            sums, asked = self.ratios.of(part)
+            open_: dict[int, list[tuple[int, int]]] = {}
+            for k, context, symbol in asked:
+                open_.setdefault(k, []).append((context, symbol))
+            for k, questions in open_.items():
+                self.recent[2][part[k]] = (*sums[k].tolist(), questions)
+                sums[k] = np.nan
+            self.recent[0].update(zip(part, sums[:, 0].tolist(), strict=True))
+            self.recent[1].update(zip(part, sums[:, 1].tolist(), strict=True))
+        return self.recent
+
+
+def evidence(rows: DataFrame, ratios: Ratios, apart: DataFrame, id_col: str = "_id") -> DataFrame:
+    """The rows with words, and of their text the mean log ratio and the mean part of it above MARGIN, kept in the shared folder.
+
+    Rows whose id is in apart (id_col, label; few) get the figures of the models without the rows
+    apart, and their label; the label of others is null. Each row has an own number, so that repeated
+    rows and ids are told apart.
     """
-    bits = rows.sparkSession.sparkContext.broadcast(word_filter(words))
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast((ratios.keys, ratios.values, ratios.bits))
+    marked = rows.join(F.broadcast(apart.select(id_col, F.col("label").alias("_label"))), id_col, "left")
     others = [c for c in rows.columns if c != "text"]
+    asked_kind = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32()), ("part", pa.float64()), ("context", pa.int64()), ("symbol", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes | None] = {}
-        table = bits.value
-        kind = pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))
+        known = Known(Ratios(*shared.value, None))
         for b in small_batches(batches):
-            sizes, found = [], []
-            for text in b.column("text").to_pylist():
-                mine = tokens(text)
-                passed = []
-                for w, n in Counter(mine).items():
-                    if w in known:
-                        key = known[w]
-                    else:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        key = word_key(w)
-                        slot = _slot(key)
-                        key = known[w] = key if table[slot >> 3] >> (slot & 7) & 1 else None
-                    if key is not None:
-                        passed.append({"key": key, "n": n})
-                sizes.append(len(mine))
-                found.append(passed)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=[*others, "words", "_found"])
+            split = [tokens(t) for t in b.column("text").to_pylist()]
+            all_, without, open_ = known.of(set().union(*split))
+            apart_ = [x is not None for x in b.column("_label").to_pylist()]
+            values = np.fromiter(chain.from_iterable(map((without if a else all_).__getitem__, ws) for ws, a in zip(split, apart_, strict=True)), np.float64)
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            row = np.repeat(np.arange(len(split)), sizes)
+            there = ~np.isnan(values)
+            plain = np.where(there, values, 0.0)
+            sums, above = np.bincount(row, plain, len(split)), np.bincount(row, np.maximum(plain - MARGIN, 0), len(split))
+            asked: list[list[dict]] = [[] for _ in split]
+            for k in np.unique(row[~there]).tolist():
+                for i, (w, n) in enumerate(sorted((w, n) for w, n in Counter(split[k]).items() if w in open_)):
+                    asked[k] += [{"word": i, "n": n, "part": open_[w][apart_[k]], "context": c, "symbol": s} for c, s in open_[w][2]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), b.column("_label"), pa.array(sizes), pa.array(sums), pa.array(above), pa.array(asked, asked_kind)], names=[*others, "label", "words", "_sum", "_above", "_asked"])
 
     kinds = dict(rows.dtypes)
-    passed = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", words long, _found array<struct<key:binary,n:bigint>>")
-    kept, _ = kept_table(passed.withColumn("_row", F.monotonically_increasing_id()), "words-passed")
-    asked = kept.select("_row", F.explode("_found").alias("_w")).select("_row", F.col("_w.key").alias("key"), F.col("_w.n").alias("n"))
-    sums = spread_join(asked, words).groupBy("_row").agg(F.sum(F.col("n") * F.col("excess")).alias("_sum"))
-    above = F.when(F.col("words") > 0, F.round(F.coalesce("_sum", F.lit(0.0)) / F.col("words"), 12)).otherwise(0.0)
-    return kept.join(sums, "_row", "left").select(*others, "words", above.alias("above"))
-
-
-def spread_join(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of asked (_row, key, n) with their word's excess; rows of a word that very many texts have are dealt to SALTS tasks."""
-    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", label int, words long, _sum double, _above double, _asked array<struct<word:int,n:int,part:double,context:bigint,symbol:int>>"
+    kept, path = kept_table(marked.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "evidence")
+    shared.destroy()
+    if ratios.rest is not None:
+        salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")
+        asked = kept.select("_row", F.col("label").isNotNull().alias("_apart"), F.explode("_asked").alias("_a")).select("_row", "_apart", "_a.*").withColumn("salt", salt)
+        rest = ratios.rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        of_symbol = F.try_element_at("symbols", F.col("symbol"))
+        part = F.when(F.col("_apart"), F.coalesce(of_symbol["m_ratio"], F.col("m_base"))).otherwise(F.coalesce(of_symbol["ratio"], F.col("base")))
+        joined = asked.join(rest, ["context", "salt"], "left").withColumn("_part", F.coalesce(part, F.lit(0.0)))
+        of_word = joined.groupBy("_row", "word", "n", "part").agg(F.round(F.sum("_part"), 9).alias("_more")).withColumn("_r", F.col("part") + F.col("_more"))
+        sums = of_word.groupBy("_row").agg(F.sum(F.col("n") * F.col("_r")).alias("_more_sum"), F.sum(F.col("n") * F.greatest(F.col("_r") - MARGIN, F.lit(0.0))).alias("_more_above"))
+        kept = kept.drop("_asked").join(sums, "_row", "left")
+    else:
+        kept = kept.withColumns({"_more_sum": F.lit(0.0), "_more_above": F.lit(0.0)})
+
+    def per_word(a: str, b: str) -> Column:
+        return F.when(F.col("words") > 0, F.round((F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("words"), 9)).otherwise(0.0)
+
+    found, _ = kept_table(kept.select(*others, "label", "words", per_word("_sum", "_more_sum").alias("mean"), per_word("_above", "_more_above").alias("above")), "evidence-sums")
+    drop_path(rows.sparkSession, path)
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -270,58 +333,43 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def calibration_inputs(above: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """What the score depends on: the ratio per word above the margin, in short and long texts."""
-    size = np.log1p(words) - 5
-    evidence = np.log(above + 0.002) + 4
-    return np.column_stack([evidence, evidence * size, size])
+def score_inputs() -> list[Column]:
+    """What the score depends on: the mean log ratio and the part above the margin, in short and long texts."""
+    size = F.log1p("words") - 5
+    mean, above = 10 * F.col("mean"), F.log(F.col("above") + 0.002) + 4
+    return [mean, mean * size, above, above * size, size]
 
 
-def fit_toxicity(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """(words above the margin, weights of the score) from labelled rows outside the held-out fold.
-
-    Two models are made of one count: the weights are of the model without the calibration rows,
-    the words of the model of all rows.
-    """
-    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    tuning: Column = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
-    tunable = rows.select("_id").where(~in_fold("_id", folds, held_out) & tuning).join(known, "_id").distinct()
-    chosen, _ = kept_table(bounded_sample(tunable, "_id", calibration_rows), "calibration")
-    unused = in_fold("_id", folds, held_out) | F.col("_id").isNull()
-    marks = known.join(F.broadcast(chosen.select("_id", F.lit(True).alias("apart"))), "_id", "left")
-    learn = rows.where(~unused).select("_id", "text").join(marks.hint("merge"), "_id", "left")  # labels grow with the corpus
-    others = rows.where(unused).select("text", F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("apart"))
-    words, _ = kept_table(count_words(learn.select("text", "label", "apart").union(others)), "words")
-    without = words_above(words.select("word", (F.col("n0") - F.col("m0")).alias("n0"), (F.col("n1") - F.col("m1")).alias("n1")))
-    return words_above(words), calibrated(rows, known, chosen, without)
-
-
-def calibrated(rows: DataFrame, known: DataFrame, chosen: DataFrame, above: DataFrame) -> np.ndarray:
-    """Weights of the score, from the chosen rows' parts above the margin."""
-    tune = above_margin(rows.select("_id", "text").join(F.broadcast(chosen), "_id", "left_semi"), above).join(F.broadcast(chosen), "_id").select("above", "words", "label").toPandas()
+def score_weights(found: DataFrame) -> np.ndarray:
+    """Weights of the score, from the rows of evidence() that have a label (few)."""
+    tune = found.where("label is not null").select("label", *(x.alias(f"x{i}") for i, x in enumerate(score_inputs()))).toPandas()
     y = tune["label"].to_numpy(np.float64)
     if len(y) and y.min() < y.max():
-        return logistic(calibration_inputs(*(tune[c].to_numpy() for c in ("above", "words"))), y)
+        return logistic(tune.drop(columns="label").to_numpy(np.float64), y)
     p = (y.sum() + 0.5) / (len(y) + 1)
-    return np.array([np.log(p / (1 - p)), *[0.0] * 3])
-
-
-def scored(above: np.ndarray, words: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(w[0] + calibration_inputs(above, words) @ w[1:], -30, 30)))
-
-
-def with_score(marked: DataFrame, w: np.ndarray) -> DataFrame:
-    """The rows (above, words, ...) with their score."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = scored(b.column("above").to_numpy(), b.column("words").to_numpy(), w)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
-
-    return marked.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in marked.dtypes) + ", score double")
+    return np.array([np.log(p / (1 - p)), *[0.0] * len(score_inputs())])
+
+
+def with_score(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, calibration_rows: int) -> DataFrame:
+    """The rows (_id, text, ...) with score instead of text, by models of the labelled rows outside the held-out fold."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
+    known = known.where(~in_fold("_id", folds, held_out))
+    tunable = known.where(F.pmod(F.xxhash64("_id"), F.lit(5)) == 0)
+    apart, apart_path = kept_table(bounded_sample(tunable, "_id", calibration_rows), "calibration")
+    marks = known.join(F.broadcast(apart.select("_id", F.lit(True).alias("apart"))), "_id", "left")
+    learn = rows.where(~in_fold("_id", folds, held_out)).select("_id", "text").join(marks.hint("merge"), "_id")  # labels grow with the corpus
+    grams, grams_path = kept_table(count_grams(learn.select("text", "label", "apart")), "grams")
+    ratios = ratio_tables(gram_ratios(grams), TABLE_GRAMS)
+    found = evidence(rows, ratios, apart)
+    for path in (apart_path, grams_path):
+        drop_path(rows.sparkSession, path)
+    w = [float(x) for x in score_weights(found)]
+    margin = sum((F.lit(a) * x for a, x in zip(w[1:], score_inputs(), strict=True)), F.lit(w[0]))
+    others = [c for c in rows.columns if c != "text"]
+    return found.select(*others, F.round(1 / (1 + F.exp(-F.least(F.greatest(margin, F.lit(-30.0)), F.lit(30.0)))), 9).alias("score"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 5_000) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below threshold; see score_toxicity().
 
     Each row is judged by its own text, also where ids repeat.
@@ -329,25 +377,24 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # the id spreads copies of a text; what is judged is the text
     own = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text_of(text_col)))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"), own.alias("_own"))
-    above, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
-    toxic = with_score(above_margin(rows.select("_own", "text"), above), w).where(F.col("score") >= threshold).select("_own").distinct()
+    toxic = with_score(rows, labels, id_col, folds, held_out, calibration_rows).where(F.col("score") >= threshold).select("_own").distinct()
     return docs.join(toxic, own == F.col("_own"), "left_anti")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, threshold: float = 0.3, calibration_rows: int = 5_000) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
     The models count all labelled rows outside the held-out fold. At most calibration_rows of them
-    (of least hash among a fifth by another hash) turn ratios into probabilities; for that, they are
-    judged by models that have not counted them. The models are tables of exact counts; what comes to the driver is a
-    filter of fixed size and the calibration rows' figures.
+    (of least hash among a fifth by another hash) turn log ratios into probabilities; for that, they are
+    judged by models that have not counted them. What comes to the driver is the table of the most
+    frequent contexts and a filter, both of fixed size, and the calibration rows' figures.
 
     Defined cases: null text scores as empty text, which has ratio 0; a null id is in the fold of the
-    empty text; repeated rows are scored alike; null labels are left out, and of several labels of an
-    id the largest holds. Without labels of both classes the score is the share of toxic labels,
-    smoothed. Other columns are ignored.
+    empty text and has no label; repeated rows are scored alike; a very long text is one row of a batch
+    of its own; null labels are left out, and of several labels of an id the largest holds. Without
+    labels of both classes the score is the share of toxic labels, smoothed. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    above, w = fit_toxicity(rows, labels, id_col, folds, held_out, calibration_rows)
-    marked = with_score(above_margin(rows, above), w)
+    marked = with_score(rows, labels, id_col, folds, held_out, calibration_rows)
     return marked.select(F.col("_id").alias(id_col), in_fold("_id", folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
