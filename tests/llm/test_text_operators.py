@@ -108,64 +108,119 @@ def test_toxicity_edge_cases(spark):
     assert toxicity_lm.score_toxicity(frame(spark, []), none).count() == 0
 
 
-def test_gram_counts_equal_plain_counts(spark):
-    rows = [("ab ab c", 0), ("ab", 1), ("", 1)]
-    want = defaultdict(lambda: [0, 0])
-    for text, label in rows:
-        for w in text.split():
-            m = "\t" * 5 + w + "\n"
-            for i in range(len(w) + 1):
-                want[m[i : i + 6]][label] += 1
-    got = {r.gram: [r.n0, r.n1] for r in toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int")).collect()}
-    assert got == dict(want)
-
-
-def plain_ratios(words):
-    """Log ratios of words by plain counts; words has [n0, n1] of each."""
+def plain_grams(words):
+    """[n0, n1] of every gram of the words (word: [n0, n1])."""
     top = defaultdict(lambda: [0, 0])
     for w, n in words.items():
         m = "\t" * 5 + w + "\n"
         for i in range(len(w) + 1):
             for cls in (0, 1):
                 top[m[i : i + 6]][cls] += n[cls]
-    seen = {6: {g for g, n in top.items() if sum(n)}}
-    count = {}
-    for k in range(5, 0, -1):
-        count[k] = defaultdict(int)
-        for g in seen[k + 1]:
-            count[k][g[1:]] += 1
-        seen[k] = set(count[k])
-    follow = {k: defaultdict(set) for k in range(1, 7)}
-    for k in follow:
-        for g in seen[k]:
-            follow[k][g[:-1]].add(g)
-
-    def shared(g):
+    return {g: n for g, n in top.items() if sum(n)}
+
+
+class PlainModels:
+    """Class-conditional Kneser-Ney models with a shared back-off, by plain counts."""
+
+    def __init__(self, top, discount=0.75, backoff=500.0):
+        self.top, self.d, self.b = top, discount, backoff
+        seen, self.count = {6: set(top)}, {}
+        for k in range(5, 0, -1):
+            self.count[k] = defaultdict(int)
+            for g in seen[k + 1]:
+                self.count[k][g[1:]] += 1
+            seen[k] = set(self.count[k])
+        self.follow = {k: defaultdict(set) for k in range(1, 7)}
+        for k, those in self.follow.items():
+            for g in seen[k]:
+                those[g[:-1]].add(g)
+
+    def shared(self, g):
         if not g:
-            return 1e-4
-        c, those = count[len(g)], follow[len(g)][g[:-1]]
-        total = sum(c[x] for x in those)
-        return (max(c.get(g, 0) - 0.75, 0) + 0.75 * len(those) * shared(g[1:])) / total if total else shared(g[1:])
+            return 1 / len(self.count[1])
+        of = (lambda x: sum(self.top.get(x, (0, 0)))) if len(g) == 6 else (lambda x: self.count[len(g)].get(x, 0))
+        those = self.follow[len(g)][g[:-1]]
+        total = sum(map(of, those))
+        return (max(of(g) - self.d, 0) + self.d * len(those) * self.shared(g[1:])) / total if total else self.shared(g[1:])
+
+    def probability(self, cls, g):
+        counts = [self.top[x][cls] for x in self.follow[6][g[:-1]]]
+        own = sum(c > 0 for c in counts)
+        return (max(self.top.get(g, (0, 0))[cls] - self.d, 0) + (self.b + self.d * own) * self.shared(g)) / (sum(counts) + self.b)
+
+    def ratio(self, g):
+        if g[:-1] not in self.follow[6]:
+            return 0.0
+        counts = [[self.top[x][cls] for x in self.follow[6][g[:-1]]] for cls in (0, 1)]
+        base = [math.log((self.b + self.d * sum(c > 0 for c in those)) / (self.b + sum(those))) for those in counts]
+        return math.log(self.probability(1, g) / self.probability(0, g)) if g in self.top else base[1] - base[0]
+
+    def word(self, w):
+        return sum(self.ratio(("\t" * 5 + w + "\n")[i : i + 6]) for i in range(len(w) + 1))
+
+
+def counted_words(rows):
+    words = defaultdict(lambda: [0, 0])
+    for text, label in rows:
+        for w in text.lower().split():
+            words[w][label] += 1
+    return words
+
 
-    def ratio(g):
-        those, p = follow[6][g[:-1]], shared(g[1:])
-        totals = [sum(top[x][cls] for x in those) for cls in (0, 1)]
-        if sum(totals):
-            p = (max(sum(top[g]) - 0.75, 0) + 0.75 * len(those) * p) / sum(totals)
-        logs = [math.log((max(n - 0.75, 0) + (50 + min(n, 0.75)) * p) / (t + 50)) for n, t in zip(top[g], totals)]
-        return logs[1] - logs[0]
+def many_scripts(seed, n):
+    rnd = random.Random(seed)
+    return ["".join(chr(rnd.randrange(*rnd.choice(((97, 103), (97, 100), (0x4E00, 0x4E08), (0x1F300, 0x1F303))))) for _ in range(rnd.randint(1, 9))) for _ in range(n)]
 
-    return {w: sum(ratio(("\t" * 5 + w + "\n")[i : i + 6]) for i in range(len(w) + 1)) for w in words}
 
+def labelled_texts(seed=8, n=300):
+    rnd, words = random.Random(seed), many_scripts(seed, 200)
+    return [(" ".join(rnd.choices(words[: 150 if y else 200], k=30)), y) for y in (rnd.choice((0, 0, 1)) for _ in range(n))] + [("", 1), ("x" * 5000, 0)]
 
-def test_word_ratios_equal_exact_counts_of_many_scripts(spark):
-    rnd = random.Random(8)
-    words = {"".join(chr(rnd.randrange(*rnd.choice(((97, 123), (0x4E00, 0x9FA5), (0x1F300, 0x1F600))))) for _ in range(rnd.randint(1, 12))): [rnd.choice((0, 0, 3, 40)), rnd.choice((0, 0, 2, 60))] for _ in range(4000)}
-    words["x" * 5000] = [2, 0]
-    want = plain_ratios(words)
-    got = {bytes(r.key): r.ratio for r in toxicity_lm.word_ratios(spark.createDataFrame([(w, *n) for w, n in words.items()], "word string, n0 long, n1 long")).collect()}
-    assert len(got) == len(words) and all(abs(got[toxicity_lm.word_key(w)] - r) < 1e-6 for w, r in want.items())
-    assert sum(r > toxicity_lm.MARGIN for r in want.values()) > 100
+
+def test_gram_counts_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_lm, "GATHERED", 50)
+    rows = labelled_texts()
+    got = {r.gram: [r.n0, r.n1] for r in toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int")).collect()}
+    assert got == plain_grams(counted_words(rows))
+
+
+def test_models_equal_plain_models_and_sum_to_one(spark):
+    rows = labelled_texts()
+    grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
+    plain = PlainModels(plain_grams(counted_words(rows)))
+    got = toxicity_lm.gram_ratios(grams).collect()
+    assert {r.gram for r in got} == set(plain.top)
+    symbols = {g[-1] for g in plain.top}
+    for r in got:
+        assert r.p0 == pytest.approx(plain.probability(0, r.gram)) and r.p1 == pytest.approx(plain.probability(1, r.gram)) and r.ratio == pytest.approx(plain.ratio(r.gram), abs=1e-9)
+    for context in random.Random(1).sample(sorted({r.gram[:-1] for r in got}), 60):
+        unseen = next(x for x in symbols if context + x not in plain.top)
+        (base,) = {r.base for r in got if r.gram[:-1] == context}
+        assert base == pytest.approx(plain.ratio(context + unseen))
+        for cls in (0, 1):
+            assert sum(plain.probability(cls, context + x) for x in symbols) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("most", [1 << 18, 400, 0])
+def test_evidence_of_whole_texts_equals_plain_models(spark, monkeypatch, most):
+    """Means of all words' log ratios and of the parts above the margin, whatever part of the model is in the tasks' table."""
+    monkeypatch.setattr(toxicity_lm, "BACKOFF", 5.0)
+    rows = labelled_texts()
+    plain = PlainModels(plain_grams(counted_words(rows)), backoff=5.0)
+    grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
+    ratios = toxicity_lm.ratio_tables(toxicity_lm.gram_ratios(grams), most)
+    assert (ratios.rest is None) == (most > 10_000)
+    asked = [*(t for t, _ in rows[:60]), "", " ".join(many_scripts(99, 300)), "abc " * 2000]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(asked)], "_id long, text string")
+    apart = spark.createDataFrame([], "_id long, label int")
+    got = sorted((r.words, r["mean"], r.above) for r in toxicity_lm.evidence(docs, ratios, apart).collect())
+    want = []
+    for t in asked:
+        found = [plain.word(w) for w in t.lower().split()]
+        want.append((len(found), sum(found) / max(1, len(found)), sum(max(x - toxicity_lm.MARGIN, 0) for x in found) / max(1, len(found))))
+    assert sum(x[2] > 0 for x in want) > 5
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a == pytest.approx(b, abs=1e-6)
 
 
 def test_toxic_words_of_calibration_rows_only_are_learnt(spark):
@@ -251,6 +306,25 @@ def test_packing_is_gapless_and_tight(spark):
     assert packing.pack(pieces.limit(0), 0, 256).count() == 0
 
 
+def test_packing_of_repeated_rows_null_ids_and_clashing_names(spark):
+    path = tokenizer_file("byte_bpe_50k.json")
+    long_, short = " ".join(WORDS * 40), "alpha beta"
+    docs = frame(spark, [(None, long_), (None, long_), (-1, long_), (7, long_), (7, long_), (None, short), (None, short), (8, None)])
+    pieces = packing.tokenised_pieces(docs, path, longest=64)
+    marked = pieces.withColumns({"_shard": F.lit("x"), "_row": F.lit(3.5), "offset": F.lit(-5), "sequence_id": F.lit("old")})
+    packed = packing.pack(marked, 100_000, 64)
+    assert sorted(packed.columns) == sorted(marked.columns)
+    rows = packed.collect()
+    assert len(rows) == pieces.count() and {(r._shard, r._row) for r in rows} == {("x", 3.5)}
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for parts in by_seq.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
+    assert sum(r.length == 64 for r in rows) > 20 and len({r.sequence_id for r in rows if r.length == 64}) == sum(r.length == 64 for r in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 31), max_size=60))
 def test_best_fit_equals_a_plain_search(lengths):

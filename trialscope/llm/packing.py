@@ -190,29 +190,33 @@ def best_fit(lengths: list[int], longest: int) -> tuple[list[int], list[int]]:
 def pack(pieces: DataFrame, n_pieces: int, longest: int = 1024) -> DataFrame:
     """pieces with sequence_id and offset, by best-fit decreasing.
 
-    Full pieces are sequences by themselves. The others are dealt by a hash of document and piece
-    into shards of about SHARD_PIECES, so that no task holds more, and each shard is packed by itself;
-    a shard wastes about a sequence, a few ten-thousandths of its content. Sequence ids are unique:
-    shard and number within it; full pieces get negative ids from their document and piece.
+    Full pieces are sequences by themselves. The others are dealt by a hash of their row's number into
+    shards of about SHARD_PIECES, so that no task holds more even if ids are null or repeat, and each
+    shard is packed by itself; a shard wastes about a sequence, a few ten-thousandths of its content.
+    Sequence ids are unique: shard and number within it; full pieces get negative ones from their
+    rows' numbers.
 
     n_pieces is a count to choose the number of shards by; any rough count gives right results.
-    Repeated rows of a document and piece are packed as separate pieces. An empty table gives an
-    empty result; a length above longest raises an error.
+    Repeated rows of a document and piece are packed as separate pieces, also those without an id.
+    Columns of pieces called sequence_id or offset are replaced, others are kept. An empty table gives
+    an empty result; a length above longest raises an error.
     """
     shards = max(1, -(-n_pieces // SHARD_PIECES))
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), "piece", "start")
-    sharded = pieces.withColumn("_shard", F.when(F.col("length") < longest, F.pmod(key, F.lit(shards))).cast("long"))
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row, shard = (next(x for x in (name + "_" * k for k in range(len(columns) + 1)) if x not in columns) for name in ("_row", "_shard"))
+    numbered = pieces.select(*columns, F.monotonically_increasing_id().alias(row))
+    sharded = numbered.withColumn(shard, F.when(F.col("length") < longest, F.pmod(F.xxhash64(row), F.lit(shards))).cast("long"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", row], ascending=[False, True, True, True, True], kind="stable")
         bins, offsets = best_fit(pdf["length"].tolist(), longest)
-        pdf["sequence_id"] = pdf["_shard"].astype("int64") * (1 << 20) + np.array(bins, np.int64)
+        pdf["sequence_id"] = pdf[shard].astype("int64") * (1 << 20) + np.array(bins, np.int64)
         pdf["offset"] = np.array(offsets, np.int64)
         return pdf[[*columns, "sequence_id", "offset"]]
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in pieces.dtypes), "sequence_id long", "offset long"])
-    packed = sharded.where(F.col("_shard").isNotNull()).repartition(max(1, min(shards, 10_000)), "_shard").groupBy("_shard").applyInPandas(fill, schema)
+    kinds = dict(pieces.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "sequence_id long", "offset long"])
+    packed = sharded.where(F.col(shard).isNotNull()).repartition(max(1, min(shards, 10_000)), shard).groupBy(shard).applyInPandas(fill, schema)
     too_long = F.when(F.col("length") > longest, F.raise_error(F.lit("a piece is longer than a sequence")).cast("long"))
-    whole = sharded.where(F.col("_shard").isNull()).select(*columns, F.coalesce(too_long, -1 - F.shiftrightunsigned(key, 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = sharded.where(F.col(shard).isNull()).select(*columns, F.coalesce(too_long, -1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)

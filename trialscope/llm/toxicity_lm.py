@@ -198,7 +198,7 @@ class Ratios:
         context, symbol = context[first], rows[first, ORDER - 1]
         above, open_ = self.found(context)
         at = np.where(known, at, above)
-        values = np.where((known | open_)[:, None], self.values[at] if len(self.values) else 0.0, 0.0)
+        values = np.where((known | open_)[:, None], self.values[at] if len(self.values) else np.zeros((len(at), 2)), 0.0)
         sums = np.column_stack([np.bincount(owner, values[of, c], len(words)) for c in (0, 1)])
         ask = ~open_ & has_bits(context.view(np.int64), self.bits)
         places = np.flatnonzero(ask[of]) if ask.any() else np.zeros(0, np.int64)
@@ -295,7 +295,7 @@ def evidence(rows: DataFrame, ratios: Ratios, apart: DataFrame, id_col: str = "_
             for k in np.unique(row[~there]).tolist():
                 for i, (w, n) in enumerate(sorted((w, n) for w, n in Counter(split[k]).items() if w in open_)):
                     asked[k] += [{"word": i, "n": n, "part": open_[w][apart_[k]], "context": c, "symbol": s} for c, s in open_[w][2]]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), b.column("_label"), pa.array(sizes), pa.array(sums), pa.array(above), pa.array(asked, asked_kind)], names=[*others, "label", "words", "_sum", "_above", "_asked"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), b.column("_label"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(above, pa.float64()), pa.array(asked, asked_kind)], names=[*others, "label", "words", "_sum", "_above", "_asked"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", label int, words long, _sum double, _above double, _asked array<struct<word:int,n:int,part:double,context:bigint,symbol:int>>"
