@@ -122,8 +122,8 @@ def plain_grams(words):
 class PlainModels:
     """Class-conditional Kneser-Ney models with a shared back-off, by plain counts."""
 
-    def __init__(self, top, discount=0.75, backoff=500.0):
-        self.top, self.d, self.b = top, discount, backoff
+    def __init__(self, top, discount=0.75, backoff=500.0, least=20):
+        self.top, self.d, self.b, self.least = top, discount, backoff, least
         seen, self.count = {6: set(top)}, {}
         for k in range(5, 0, -1):
             self.count[k] = defaultdict(int)
@@ -149,7 +149,7 @@ class PlainModels:
         return (max(self.top.get(g, (0, 0))[cls] - self.d, 0) + (self.b + self.d * own) * self.shared(g)) / (sum(counts) + self.b)
 
     def ratio(self, g):
-        if g[:-1] not in self.follow[6]:
+        if sum(sum(self.top[x]) for x in self.follow[6][g[:-1]]) < self.least:
             return 0.0
         counts = [[self.top[x][cls] for x in self.follow[6][g[:-1]]] for cls in (0, 1)]
         base = [math.log((self.b + self.d * sum(c > 0 for c in those)) / (self.b + sum(those))) for those in counts]
@@ -189,7 +189,7 @@ def test_models_equal_plain_models_and_sum_to_one(spark):
     grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
     plain = PlainModels(plain_grams(counted_words(rows)))
     got = toxicity_lm.gram_ratios(grams).collect()
-    assert {r.gram for r in got} == set(plain.top)
+    assert {r.gram for r in got} == {g for g in plain.top if sum(sum(plain.top[x]) for x in plain.follow[6][g[:-1]]) >= 20} and len(got) > 300
     symbols = {g[-1] for g in plain.top}
     for r in got:
         assert r.p0 == pytest.approx(plain.probability(0, r.gram)) and r.p1 == pytest.approx(plain.probability(1, r.gram)) and r.ratio == pytest.approx(plain.ratio(r.gram), abs=1e-9)
@@ -205,8 +205,9 @@ def test_models_equal_plain_models_and_sum_to_one(spark):
 def test_evidence_of_whole_texts_equals_plain_models(spark, monkeypatch, most):
     """Means of all words' log ratios and of the parts above the margin, whatever part of the model is in the tasks' table."""
     monkeypatch.setattr(toxicity_lm, "BACKOFF", 5.0)
+    monkeypatch.setattr(toxicity_lm, "LEAST", 3)
     rows = labelled_texts()
-    plain = PlainModels(plain_grams(counted_words(rows)), backoff=5.0)
+    plain = PlainModels(plain_grams(counted_words(rows)), backoff=5.0, least=3)
     grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
     ratios = toxicity_lm.ratio_tables(toxicity_lm.gram_ratios(grams), most)
     assert (ratios.rest is None) == (most > 10_000)
@@ -220,7 +221,7 @@ def test_evidence_of_whole_texts_equals_plain_models(spark, monkeypatch, most):
         want.append((len(found), sum(found) / max(1, len(found)), sum(max(x - toxicity_lm.MARGIN, 0) for x in found) / max(1, len(found))))
     assert sum(x[2] > 0 for x in want) > 5
     for a, b in zip(got, sorted(want), strict=True):
-        assert a == pytest.approx(b, abs=1e-6)
+        assert a == pytest.approx(b, abs=1e-5)
 
 
 def test_toxic_words_of_calibration_rows_only_are_learnt(spark):

@@ -36,6 +36,9 @@ ORDER = 6
 DISCOUNT = 0.75
 #: Sightings of a context that the shared model counts as, in each class's model.
 BACKOFF = 500.0
+#: Sightings from which a context has counts of its own in the classes' models; rarer ones use the shared model alone, which
+#: leaves a log ratio of zero. What they could say is little: no gram of theirs could weigh more than LEAST / BACKOFF.
+LEAST = 20
 #: Log ratio above which a word by itself speaks for the toxic class.
 MARGIN = 1.0
 #: Marks before and after a word (white space, so that no word has them).
@@ -43,7 +46,7 @@ BEFORE, AFTER = "\t", "\n"
 #: Words that each half of a worker's memory holds, and words that a counting task gathers before it hands on their grams.
 REMEMBERED, GATHERED = 300_000, 250_000
 #: Grams in the table that scoring tasks get: it holds whole contexts, and at most as many of these.
-TABLE_GRAMS = 1 << 18
+TABLE_GRAMS = 1 << 20
 #: Bits of the filter of the other contexts; it spares asking for unknown ones and loses none.
 FILTER_BITS = 22
 #: Tasks over which the askers of one context are dealt.
@@ -145,17 +148,17 @@ def class_probability(n: Column, total: Column, kinds: Column, p: Column) -> Col
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
-    """gram, total, p0, p1, ratio, base (and m_ratio, m_base): what the models say of each gram.
+    """gram, total, p0, p1, ratio, base (and m_ratio, m_base): what the models say of each gram of a context seen LEAST times.
 
     total is how often its context was seen; p0 and p1 are the classes' probabilities of its last
     symbol; ratio is the log of p1 / p0. base is that of any symbol that neither class has seen in the
-    context (its shared probability cancels out); a context that neither has seen says nothing.
+    context (its shared probability cancels out); any other context says nothing.
     m_ratio and m_base are of models that have not counted the rows apart.
     """
     context, lower = Window.partitionBy("context"), shared_probabilities(grams, ORDER - 1).withColumnRenamed("gram", "suffix")
     own = grams.select("gram", F.expr(f"substring(gram, 1, {ORDER - 1})").alias("context"), F.expr(f"substring(gram, 2, {ORDER - 1})").alias("suffix"), "n0", "n1", (F.col("n0") - F.col("m0")).alias("l0"), (F.col("n1") - F.col("m1")).alias("l1"))
     own = own.withColumns({f"t_{c}": F.sum(c).over(context) for c in ("n0", "n1", "l0", "l1")} | {f"k_{c}": F.count_if(F.col(c) > 0).over(context) for c in ("n0", "n1", "l0", "l1")} | {"kinds": F.count(F.lit(1)).over(context)})
-    own = own.join(lower, "suffix").withColumn("total", F.col("t_n0") + F.col("t_n1"))
+    own = own.join(lower, "suffix").withColumn("total", F.col("t_n0") + F.col("t_n1")).where(F.col("total") >= LEAST)
     own = own.withColumn("p", backed_off(F.col("n0") + F.col("n1"), F.col("kinds"), F.col("total"), F.col("p")))
 
     def of(c: str) -> Column:
@@ -214,8 +217,8 @@ def ratio_tables(ratios: DataFrame, most: int) -> Ratios:
             context, whole = keys(rows)
             yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rows[:, -1].astype(np.int32)), *b.columns[1:]], names=["context", "gram", "symbol", *b.schema.names[1:]])
 
-    plain = ratios.select("gram", F.floor(8 * F.log2("total")).cast("int").alias("often"), *(F.round(c, 9).alias(c) for c in ("ratio", "m_ratio", "base", "m_base")))
-    table, _ = kept_table(plain.mapInArrow(keyed, "context long, gram long, symbol int, often int, ratio double, m_ratio double, base double, m_base double"), "ratios")
+    plain = ratios.select("gram", F.floor(8 * F.log2("total")).cast("int").alias("often"), *(F.col(c).cast("float").alias(c) for c in ("ratio", "m_ratio", "base", "m_base")))
+    table, _ = kept_table(plain.mapInArrow(keyed, "context long, gram long, symbol int, often int, ratio float, m_ratio float, base float, m_base float"), "ratios")
     room, least = most, None
     for r in sorted(table.groupBy("often").count().collect(), reverse=True):  # some hundred at most
         room -= r["count"]
@@ -229,7 +232,7 @@ def ratio_tables(ratios: DataFrame, most: int) -> Ratios:
     order = np.argsort(by)
     rest = table.where(~frequent).groupBy("context").agg(F.first("base").alias("base"), F.first("m_base").alias("m_base"), F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("ratio", "m_ratio")))).alias("symbols"))
     bits = key_bits(table.where(~frequent).select("context"), FILTER_BITS) if room < 0 else np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    return Ratios(by[order], flat[["ratio", "m_ratio"]].to_numpy(np.float64)[order], bits, rest if room < 0 else None)
+    return Ratios(by[order], flat[["ratio", "m_ratio"]].to_numpy(np.float32)[order], bits, rest if room < 0 else None)
 
 
 class Known:
