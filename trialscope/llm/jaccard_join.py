@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import has_bits, kept_table, key_bits, small_batches, text_of
+from trialscope.llm.common import drop_path, has_bits, kept_table, key_bits, small_batches, text_of
 from trialscope.llm.components import components
 from trialscope.llm.shingles import Words, shingle_set
 
@@ -30,6 +31,8 @@ FILTER_BITS = 24
 GROUP, LARGE = 64, 32
 #: Rows of a list up to which each row is looked at for a possible partner in it.
 SHORT_LIST = 256
+#: Queries that ask a group in one task, and tasks over which the rows of a class of equal sets are dealt.
+ASKERS, SALTS = 512, 16
 
 
 def needed(a, b, percent: int):
@@ -79,9 +82,8 @@ def token_levels(sketch: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(sketch / usual, 1))).astype(np.uint8)
 
 
-def set_table(rows: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """id, n, key (128-bit hash of the set), and the prefix tokens in the common order."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels)
+def set_table(rows: DataFrame, shared: Broadcast, k: int, percent: int) -> DataFrame:
+    """id, n, key (128-bit hash of the set), and the prefix tokens in the common order (by the token_levels() shared)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level = Words(), shared.value
@@ -115,15 +117,18 @@ def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """token, node, n, rest, ok for rows that share their token with another node.
 
     rest is how many tokens the node has from that one on; ok, whether another row of the list could
-    reach the needed overlap if this token is the first that both have. Rows are dealt and sorted by
-    token; a task holds one list of at most SHORT_LIST rows, rows of longer ones are all ok.
+    reach the needed overlap if this token is the first that both have. Lists are counted with
+    map-side combining. A list of at most SHORT_LIST rows is in one task; rows of longer ones are
+    spread over tasks, and all ok.
     """
     one = prefixes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    lists = one.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_rows > 1").drop("_rows").sortWithinPartitions("token")
+    counts = one.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    marked_long = one.join(counts, "token").withColumn("long", F.col("_rows") > SHORT_LIST)
+    spread = F.when(F.col("long"), F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0)
+    lists = marked_long.withColumn("_spread", spread).repartition("token", "_spread").select("token", "node", "n", "rest", "long").sortWithinPartitions("token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        passed: set[int] = set()  # the token of a long list of which a part has gone on
 
         def marked(cols: list[np.ndarray], every: bool = False) -> pa.RecordBatch:
             token, _, n, rest = cols
@@ -133,39 +138,31 @@ def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
                 sizes = np.diff(np.r_[starts, len(token)])
                 two = starts[sizes == 2]
                 ok[two] = ok[two + 1] = np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1], percent)
-                for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                    if 2 < size <= SHORT_LIST:
-                        ok[s : s + size] = has_partner(n[s : s + size], rest[s : s + size], percent)
-                ok |= np.isin(token, list(passed))
+                for s, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                    ok[s : s + size] = has_partner(n[s : s + size], rest[s : s + size], percent)
             return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(ok)], names=["token", "node", "n", "rest", "ok"])
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(cols[0]):
-                continue
+            *cols, long = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if long.any():
+                yield marked([c[long] for c in cols], every=True)
+                cols = [c[~long] for c in cols]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted by token: the last list may go on
             held = [c[last:] for c in cols]
             if last:
                 yield marked([c[:last] for c in cols])
-            if len(held[0]) > 100_000:  # a very long list passes in parts
-                yield marked(held, every=True)
-                passed = {int(held[0][0])}
-                held = None
         if held is not None and len(held[0]):
             yield marked(held)
 
     return lists.mapInArrow(run, "token long, node long, n long, rest long, ok boolean")
 
 
-def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of the documents that are nodes, and of a few others.
-
-    A filter of the nodes' ids goes to the documents, so that only their texts are shuffled when they
-    are joined by node; what the filter lets through by chance falls out there.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(key_bits(nodes.select("node"), FILTER_BITS))
+def _texts(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """node and text of the documents whose ids pass a filter of nodes' ids, so that few other texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -176,16 +173,22 @@ def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.where("id is not null").select("id", "text").mapInArrow(run, "node long, text string")
 
 
-def _open(rows: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect each group's members and queries as all their links would.
+def _open(rows: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int, name: str) -> tuple[DataFrame, str]:
+    """Links (a, b) that connect each group's members and queries as all their links would, kept in the shared folder.
 
-    members and queries have grp and node. Texts (smaller than their shingles' hashes) are dealt by
-    group and sorted, members first; a task holds one group's members (GROUP at most) and a query. A
-    query is compared with every member, but of members that earlier queries have connected only one
-    is linked with it.
+    members and queries have grp and node. A group that many queries ask is opened in several tasks, of
+    about ASKERS queries each, each with all its members. Texts (smaller than their shingles' hashes)
+    are dealt by group and task and sorted, members first; a task holds one group's members (GROUP at
+    most) and a query. A query is compared with every member, but of members that earlier queries have
+    connected only one is linked with it.
     """
-    sent = members.select("node", "grp", F.lit(0).alias("kind")).union(queries.select("node", "grp", F.lit(1).alias("kind")))
-    both = _texts(rows, sent).join(sent, "node").select("grp", "kind", "node", "text").repartition("grp").sortWithinPartitions("grp", "kind", "node")
+    tasks = queries.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("_tasks"))
+    own = F.xxhash64("grp", F.pmod(F.xxhash64("node", F.lit(5)), F.col("_tasks")))
+    asking = queries.join(tasks, "grp").select("node", own.alias("grp"), F.lit(1).alias("kind"))
+    asked = members.join(tasks, "grp").withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))).select("node", F.xxhash64("grp", "_task").alias("grp"), F.lit(0).alias("kind"))
+    sent, sent_path = kept_table(asked.union(asking), f"{name}-sent")
+    shared = rows.sparkSession.sparkContext.broadcast(key_bits(sent.select("node"), FILTER_BITS))
+    both = _texts(rows, shared).join(sent, "node").select("grp", "kind", "node", "text").repartition("grp").sortWithinPartitions("grp", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -224,59 +227,70 @@ def _open(rows: DataFrame, members: DataFrame, queries: DataFrame, k: int, perce
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    links = kept_table(both.mapInArrow(run, "a long, b long"), name)
+    shared.destroy()
+    drop_path(rows.sparkSession, sent_path)
+    return links
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): id, n, node of every row, and links (a, b) that connect all similar nodes.
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links): id, n, key of every row; key, node, size of equal sets; and links (a, b) that connect all similar nodes.
 
-    node is the smallest id with an equal set (null for empty sets and null ids). links holds only
-    true links; pairs that are already connected through others may be left out of it.
+    node is the smallest id with an equal set; empty sets and rows without an id are in no class. links
+    holds only true links; pairs that are already connected through others may be left out of it.
     """
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = kept_table(df, name)
+        paths.append(path)
+        return out
+
     rows = _rows(docs, id_col, text_col)
-    levels = token_levels(frequency_sketch(rows, k))
-    sets, _ = kept_table(set_table(rows, levels, k, percent), "sets")
-    classes = sets.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"))
+    levels = spark.sparkContext.broadcast(token_levels(frequency_sketch(rows, k)))
+    sets, sets_path = kept_table(set_table(rows, levels, k, percent), "sets")
+    levels.destroy()
+    classes, classes_path = kept_table(sets.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")), "classes")
     first = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & (sets["id"] == classes["node"]), "left_semi").dropDuplicates(["id", "key"])
-    lists, _ = kept_table(shared_lists(first, percent), "lists")
+    lists = kept(shared_lists(first, percent), "lists")
 
     # Nodes with a possible partner, their groups, and their rows of the lists.
     first_hash, second_hash = F.min(F.xxhash64("token", F.lit(1))), F.min(F.xxhash64("token", F.lit(2)))
     in_groups = lists.where("ok").groupBy("node").agg(first_hash.alias("h1"), second_hash.alias("h2"), F.max("n").alias("n"))
-    in_groups = in_groups.withColumn("h1", F.xxhash64("h1", F.floor(F.log("n") / float(np.log(100 / percent)))))
+    in_groups = kept(in_groups.withColumn("h1", F.xxhash64("h1", F.floor(F.log("n") / float(np.log(100 / percent))))), "in-groups")
     counted = in_groups.groupBy("h1").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / GROUP).cast("long"))
-    groups, _ = kept_table(in_groups.join(counted, "h1").select("node", "n", "h1", "h2", F.xxhash64("h1", chunk).alias("grp")), "groups")
-    mine, _ = kept_table(lists.join(groups.select("node", "grp"), "node").withColumn("tail", F.col("n") - prefix_size(F.col("n"), percent)).select("token", "node", "grp", "n", "rest", "tail"), "mine")
+    groups = kept(in_groups.join(counted, "h1").select("node", "n", "h1", "h2", F.xxhash64("h1", chunk).alias("grp")), "groups")
+    mine = kept(lists.join(groups.select("node", "grp"), "node").withColumn("tail", F.col("n") - prefix_size(F.col("n"), percent)).select("token", "node", "grp", "n", "rest", "tail"), "mine")
 
     def alpha(a: Column, b: Column) -> Column:
         return F.ceil(percent * (a + b) / float(100 + percent))
 
     # In large groups, nodes are first linked to one or two leaders, so that big clusters are one part early.
-    keys = groups.select("node", F.explode(F.array("h1", "h2")).alias("key"))
-    leaders = keys.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(4))).alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
-    to_leader, _ = kept_table(keys.join(leaders, "key").where("node <> leader").select("node", "leader").distinct(), "to-leader")
+    by_key = groups.select("node", F.explode(F.array("h1", "h2")).alias("key"))
+    leaders = by_key.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(4))).alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
+    to_leader = by_key.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
     theirs = mine.select("token", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("tail").alias("m_tail"))
     met = to_leader.join(mine, "node").join(theirs, ["leader", "token"]).groupBy("node", "leader", "n", "m", "tail", "m_tail").agg(F.count(F.lit(1)).alias("c"))
-    plausible, _ = kept_table(met.where(F.col("c") + F.greatest("tail", "m_tail") >= alpha(F.col("n"), F.col("m"))).select("node", "leader"), "plausible")
-    led = plausible.withColumn("grp", F.col("leader"))
+    plausible = kept(met.where(F.col("c") + F.greatest("tail", "m_tail") >= alpha(F.col("n"), F.col("m"))).select("node", "leader"), "plausible")
     leading = plausible.select(F.col("leader").alias("node"), F.col("leader").alias("grp")).distinct()
-    early, _ = kept_table(_open(rows, leading, led, k, percent), "early-links")
+    early, early_path = _open(rows, leading, plausible.select("node", F.col("leader").alias("grp")), k, percent, "early-links")
     parts = components(early)
 
-    # The matrix, and the groups that a query's bounds let it open.
-    placed, _ = kept_table(mine.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("token", "node", "grp", "n", "rest", "tail", "part"), "placed")
+    # The matrix, and the groups that a query's bounds let it open: first by parts, so that no pair inside one part is made.
+    placed = kept(mine.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("token", "node", "grp", "n", "rest", "tail", "part"), "placed")
     matrix = placed.groupBy("token", "grp").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("tail").alias("g_tail"), F.min("part").alias("p_least"), F.max("part").alias("p_most"))
-    queries = placed.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("tail").alias("q_tail"), F.col("part").alias("q_part"))
-    fits = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least")) & ~((F.col("p_least") == F.col("q_part")) & (F.col("p_most") == F.col("q_part")))
+    of_parts = placed.select("token", "part").distinct().join(matrix, "token").where(~((F.col("p_least") == F.col("part")) & (F.col("p_most") == F.col("part")))).drop("p_least", "p_most")
+    queries = placed.select("token", "part", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("tail").alias("q_tail"))
+    fits = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least"))
     least = alpha(F.col("q_n"), F.greatest("q_n", "g_least"))
-    met = queries.join(matrix, (queries["token"] == matrix["token"]) & fits).groupBy("q", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("q_tail", "g_tail")).alias("tail"), F.min(least).alias("least"), F.bool_or(F.least("q_rest", "g_rest") >= least).alias("first"))
-    asked, _ = kept_table(met.where("first AND c + tail >= least").select("q", "grp"), "asked")
+    met = queries.join(of_parts, ["token", "part"]).where(fits).groupBy("q", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("q_tail", "g_tail")).alias("tail"), F.min(least).alias("least"), F.bool_or(F.least("q_rest", "g_rest") >= least).alias("first"))
+    asked = kept(met.where("first AND c + tail >= least").select(F.col("q").alias("node"), "grp"), "asked")
     members = groups.select("node", "grp").join(asked.select("grp").distinct(), "grp", "left_semi")
-    late, _ = kept_table(_open(rows, members, asked.withColumnRenamed("q", "node"), k, percent), "late-links")
-
-    named = sets.select("id", "n", "key").join(classes, "key", "left").withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")))
-    return named.select("id", "n", "node"), early.union(late)
+    late, late_path = _open(rows, members, asked, k, percent, "late-links")
+    for path in paths:
+        drop_path(spark, path)
+    return sets.select("id", "n", "key"), classes, early.union(late)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -287,10 +301,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Defined cases: null text counts as empty; a row with an empty set, or without an id, is linked with
     nothing, and its component is its own id; rows that share an id are one document, what links one
-    of them links all; equal sets are one class; other columns are ignored; an empty table gives an
-    empty result.
+    of them links all; equal sets are one class; a very long text is one row; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
-    sets, links = similar_links(docs, id_col, text_col, k, percent)
-    parts = components(links)
-    found = sets.join(parts, "node", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
+    sets, classes, links = similar_links(docs, id_col, text_col, k, percent)
+    parts, _ = kept_table(components(links), "parts")
+    # Only classes of several rows are joined by key, with their rows dealt over SALTS tasks; the others are nodes by themselves.
+    several = classes.where("size > 1").join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sets.withColumn("salt", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")))
+    found = salted.join(several, ["key", "salt"], "left")
+    alone = parts.select(F.col("node").alias("id"), F.col("component").alias("of_node"))
+    named = found.join(alone, "id", "left").withColumn("of_node", F.when(F.col("salt").isNotNull() & F.col("of_class").isNull(), F.col("of_node")))
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("of_class", "of_node", "id").alias("component_id"))
