@@ -60,6 +60,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect garbage now, as Spark's context cleaner does from time to time.
+
+    Broadcasts and shuffles that nothing refers to any more are freed only then, on all executors.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,9 +115,9 @@ def key_bits(keys: DataFrame, n_bits: int) -> np.ndarray:
             at = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False), n_bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    words = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (n_bits - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 

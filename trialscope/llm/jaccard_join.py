@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import drop_path, has_bits, kept_table, key_bits, small_batches, text_of
+from trialscope.llm.common import drop_path, has_bits, kept_table, key_bits, release, small_batches, text_of
 from trialscope.llm.components import components
 from trialscope.llm.shingles import Words, shingle_set
 
@@ -250,6 +250,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = spark.sparkContext.broadcast(token_levels(frequency_sketch(rows, k)))
     sets, sets_path = kept_table(set_table(rows, levels, k, percent), "sets")
     levels.destroy()
+    release(spark)
     classes, classes_path = kept_table(sets.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")), "classes")
     first = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & (sets["id"] == classes["node"]), "left_semi").dropDuplicates(["id", "key"])
     lists = kept(shared_lists(first, percent), "lists")
@@ -276,6 +277,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leading = plausible.select(F.col("leader").alias("node"), F.col("leader").alias("grp")).distinct()
     early, early_path = _open(rows, leading, plausible.select("node", F.col("leader").alias("grp")), k, percent, "early-links")
     parts = components(early)
+    release(spark)
 
     # The matrix, and the groups that a query's bounds let it open: first by parts, so that no pair inside one part is made.
     placed = kept(mine.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("token", "node", "grp", "n", "rest", "tail", "part"), "placed")
@@ -290,6 +292,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     late, late_path = _open(rows, members, asked, k, percent, "late-links")
     for path in paths:
         drop_path(spark, path)
+    release(spark)
     return sets.select("id", "n", "key"), classes, early.union(late)
 
 

@@ -14,12 +14,11 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import bounded_sample, drop_path, kept_table, small_batches, text_of
+from trialscope.llm.common import bounded_sample, release, small_batches, text_of
 
 FEATURES = ["log_chars", "word_chars", "upper", "bang", "symbols", "bars", "digits", "stops", "line_words", "distinct", "adjacent", "top_word", "short", "line_repeat", "non_ascii", "long_words"]
 
@@ -59,16 +58,17 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and features of every whole text; null text counts as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """id, other columns if named, and features of every whole text; null text counts as empty."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             x = np.array([text_features(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], names=["id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(c) for c in others), *(pa.array(c) for c in x.T)], names=["id", *others, *FEATURES])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{f} double" for f in FEATURES)).withColumnRenamed("id", id_col)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"id {kinds['id']}, " + "".join(f"`{c}` {kinds[c]}, " for c in others) + ", ".join(f"{f} double" for f in FEATURES)).withColumnRenamed("id", id_col)
 
 
 @dataclass
@@ -194,26 +194,31 @@ def in_fold(id_col: str, folds: int, held_out: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_out
 
 
-def labelled_sample(features: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str, most: int) -> pd.DataFrame:
-    """At most `most` labelled rows for which learn holds, those of least hash of the id."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    return bounded_sample(features.where(learn).join(known, id_col), id_col, most).select("_label", *FEATURES).toPandas()
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str, text_col: str, most: int) -> pa.Table:
+    """_label and features of at most `most` labelled rows for which learn holds, those of least hash of the id.
+
+    Ids are chosen among the labels first, so that only the chosen rows' features are computed.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
+    ids = docs.select(id_col).where(learn).join(known, id_col).distinct()
+    chosen = bounded_sample(ids, id_col, most)
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen.select(F.col(id_col).alias("_id"), "_label")), "_id")
+    return feature_table(rows, "_id", "_text", ("_label",)).select("_label", *FEATURES).toArrow()
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, id_col: str, folds: int, held_out: int, train_rows: int) -> Gam:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, train_rows: int) -> Gam:
     """The model of at most train_rows labelled rows outside the held-out fold."""
-    sample = labelled_sample(features, labels, "quality", ~in_fold(id_col, folds, held_out), id_col, train_rows)
-    return fit_gam(sample[FEATURES].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
+    sample = labelled_sample(docs, labels, "quality", ~in_fold(id_col, folds, held_out), id_col, text_col, train_rows)
+    release(docs.sparkSession)
+    return fit_gam(np.column_stack([sample[f].to_numpy() for f in FEATURES]), sample["_label"].to_numpy().astype(np.float64))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 20_000) -> DataFrame:
     """The rows of docs, with all their columns, whose score is threshold or more; no text is shuffled.
 
     Cases are defined as for score_quality(); each row is judged by its own text, also where ids repeat.
     """
-    features, path = kept_table(feature_table(docs, id_col, text_col), "quality-features")
-    gam = fit_quality(features, labels, id_col, folds, held_out, train_rows)
-    drop_path(docs.sparkSession, path)
+    gam = fit_quality(docs, labels, id_col, text_col, folds, held_out, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -223,25 +228,25 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return docs.mapInArrow(run, docs.schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = 20_000) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
-    Texts are read once, into a table of features in the shared folder. The model is fitted on at most
-    train_rows labelled rows outside the held-out fold; its tables (some ten thousand numbers,
-    whatever the input's size) go with the scoring function to the executors.
+    The model is fitted on at most train_rows labelled rows outside the held-out fold; its tables (some
+    ten thousand numbers, whatever the input's size) go with the scoring function to the executors.
 
-    Defined cases: null text scores as empty text; a null id is in the fold of the empty text;
-    repeated rows are scored alike; labels that are null are left out, and of several labels of an id
-    the largest holds. Without labels the score is 0.5. Other columns are ignored.
+    Defined cases: null text scores as empty text, of which all features are 0; a null id is in the
+    fold of the empty text and has no label; repeated rows are scored alike; a very long text is one
+    row of a batch; labels that are null are left out, and of several labels of an id the largest
+    holds. Without labels the score is 0.5. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
-    features, _ = kept_table(feature_table(docs, id_col, text_col), "quality-features")
-    gam = fit_quality(features, labels, id_col, folds, held_out, train_rows)
-    marked = features.withColumn("held_out", in_fold(id_col, folds, held_out))
+    gam = fit_quality(docs, labels, id_col, text_col, folds, held_out, train_rows)
+    marked = docs.select(F.col(id_col).alias("id"), in_fold(id_col, folds, held_out).alias("held_out"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.column_stack([b.column(f).to_numpy() for f in FEATURES]) if b.num_rows else np.zeros((0, len(FEATURES)))
+        for b in small_batches(batches):
+            x = np.array([text_features(t) for t in b.column(2).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             score = gam.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return marked.mapInArrow(run, f"`{id_col}` {dict(marked.dtypes)[id_col]}, held_out boolean, score double, predicted int")
+    return marked.mapInArrow(run, f"id {dict(marked.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import bounded_sample, drop_path, has_bits, key_bits, kept_table, small_batches, text_of
+from trialscope.llm.common import bounded_sample, drop_path, has_bits, key_bits, kept_table, release, small_batches, text_of
 from trialscope.llm.quality_gam import in_fold
 
 #: Symbols of a class's own counts; the shared model has one less, down to one.
@@ -227,12 +227,12 @@ def ratio_tables(ratios: DataFrame, most: int) -> Ratios:
         least = r["often"]
     frequent = F.col("often") >= (1 << 30 if least is None else least)
     some = table.where(frequent)
-    flat = some.select("gram", "ratio", "m_ratio").union(some.select("context", "base", "m_base").distinct()).toPandas()
-    by = flat["gram"].to_numpy(np.int64).view(np.uint64)
+    flat = some.select("gram", "ratio", "m_ratio").union(some.select("context", "base", "m_base").distinct()).toArrow()
+    by = flat["gram"].to_numpy().view(np.uint64)
     order = np.argsort(by)
     rest = table.where(~frequent).groupBy("context").agg(F.first("base").alias("base"), F.first("m_base").alias("m_base"), F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("ratio", "m_ratio")))).alias("symbols"))
     bits = key_bits(table.where(~frequent).select("context"), FILTER_BITS) if room < 0 else np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    return Ratios(by[order], flat[["ratio", "m_ratio"]].to_numpy(np.float32)[order], bits, rest if room < 0 else None)
+    return Ratios(by[order], np.column_stack([flat[c].to_numpy()[order] for c in ("ratio", "m_ratio")]), bits, rest if room < 0 else None)
 
 
 class Known:
@@ -345,10 +345,10 @@ def score_inputs() -> list[Column]:
 
 def score_weights(found: DataFrame) -> np.ndarray:
     """Weights of the score, from the rows of evidence() that have a label (few)."""
-    tune = found.where("label is not null").select("label", *(x.alias(f"x{i}") for i, x in enumerate(score_inputs()))).toPandas()
-    y = tune["label"].to_numpy(np.float64)
+    tune = found.where("label is not null").select("label", *(x.alias(f"x{i}") for i, x in enumerate(score_inputs()))).toArrow()
+    y, *x = (c.to_numpy().astype(np.float64) for c in tune.columns)
     if len(y) and y.min() < y.max():
-        return logistic(tune.drop(columns="label").to_numpy(np.float64), y)
+        return logistic(np.column_stack(x), y)
     p = (y.sum() + 0.5) / (len(y) + 1)
     return np.array([np.log(p / (1 - p)), *[0.0] * len(score_inputs())])
 
@@ -363,9 +363,11 @@ def with_score(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held
     learn = rows.where(~in_fold("_id", folds, held_out)).select("_id", "text").join(marks.hint("merge"), "_id")  # labels grow with the corpus
     grams, grams_path = kept_table(count_grams(learn.select("text", "label", "apart")), "grams")
     ratios = ratio_tables(gram_ratios(grams), TABLE_GRAMS)
+    release(rows.sparkSession)
     found = evidence(rows, ratios, apart)
     for path in (apart_path, grams_path):
         drop_path(rows.sparkSession, path)
+    release(rows.sparkSession)
     w = [float(x) for x in score_weights(found)]
     margin = sum((F.lit(a) * x for a, x in zip(w[1:], score_inputs(), strict=True)), F.lit(w[0]))
     others = [c for c in rows.columns if c != "text"]
