@@ -6,10 +6,11 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -519,21 +520,96 @@ def test_leaves_are_the_text(text):
     assert merkle.fingerprint(text) == merkle.fingerprint(text) and merkle.fingerprint(text) != merkle.fingerprint(text + "x")
 
 
+def plain_leaves(raw):
+    """The leaf rule by a plain loop: a rolling sum of table values over the last eight bytes, never over a line's start."""
+    gear = [xxhash.xxh32_intdigest(bytes([i])) for i in range(256)]
+    out, start, line, last = [], 0, 0, -8
+    for i, x in enumerate(raw):
+        h = sum(gear[raw[i - j]] << j for j in range(min(8, i + 1))) % 2**32
+        mark = h >> 28 == 0 and i + 1 - line >= 8
+        if mark:
+            near, last = i + 1 - last < 8, i + 1
+        if x == 10 or (mark and not near):
+            out.append(raw[start : i + 1])
+            start = i + 1
+        if x == 10:
+            line = i + 1
+    if start < len(raw):
+        out.append(raw[start:])
+    return [x[i : i + 256] for x in out for i in range(0, len(x), 256)]
+
+
+def plain_tree(text):
+    """(root, {section: {paragraph: leaves}} as nested lists of (digest, ...)) by plain hashing."""
+    raw = text.encode()
+    parts = plain_leaves(raw)
+    lines, now = [], []
+    for x in parts:
+        now.append(xxhash.xxh3_64_intdigest(x))
+        if x.endswith(b"\n"):
+            lines.append(now)
+            now = []
+    if now or not lines:
+        lines.append(now)
+    sections, of, digests = [], [], b""
+    for i, leaves in enumerate(lines):
+        digest = hashlib.blake2b(b"".join(d.to_bytes(8, "little") for d in leaves), digest_size=16).digest()
+        of.append((digest, leaves))
+        digests += digest
+        if digest[0] % 4 == 0 or i == len(lines) - 1:
+            sections.append((hashlib.blake2b(digests, digest_size=16).digest(), of))
+            of, digests = [], b""
+    root = hashlib.blake2b(b"".join(d for d, _ in sections) + xxhash.xxh3_128_digest(raw), digest_size=16).hexdigest()
+    return root, sections
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (Counter(d % 2**24 for _, of in plain_tree(t)[1] for _, leaves in of for d in leaves) for t in (a, b))
+    total = x.total() + y.total()
+    return min(2 * (x & y).total() / total, 0.999999) if total else 0.0
+
+
+def plain_print(text):
+    root, sections = plain_tree(text)
+    code = lambda raw: base64.urlsafe_b64encode(raw).decode()
+    return root + "|" + ";".join(code(d[:6]) + ":" + ",".join(code(p[:6]) + code(b"".join((x % 2**24).to_bytes(3, "little") for x in leaves)) for p, leaves in of) for d, of in sections)
+
+
 def test_fingerprints_against_a_plain_version(spark):
     rnd = random.Random(4)
-    rows = [(i * 2, "\n".join(" ".join(rnd.choices(WORDS, k=rnd.randint(0, 60))) for _ in range(rnd.randint(1, 4)))) for i in range(40)] + [(1, None), (3, "é" * 7), (None, "last one")]
+    rows = [(i * 2, "\n".join(" ".join(rnd.choices(WORDS, k=rnd.randint(0, 60))) for _ in range(rnd.randint(1, 9)))) for i in range(40)] + [(1, None), (3, "é" * 700), (None, "last one")]
     got = {r.doc_id: r for r in merkle.edit_likeness(frame(spark, rows)).collect()}
     order = sorted((r for r in rows if r[0] is not None), reverse=True) + [r for r in rows if r[0] is None]
+    opened = 0
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         t, nxt = t or "", nxt or ""
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        a, b, c = map(merkle.fingerprint, (t, edited, nxt))
-        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b)
-        assert (got[i].near_edited, got[i].near_next) == (merkle.likeness(a, b), merkle.likeness(a, c))
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_print(t), plain_print(edited))
+        assert got[i].near_edited == pytest.approx(plain_likeness(t, edited)) and got[i].near_next == pytest.approx(plain_likeness(t, nxt))
+        assert merkle.likeness(got[i].fingerprint, got[i].edited_fingerprint) == got[i].near_edited
+        mine, theirs = ([(i_, k, p) for i_, (_, of) in enumerate(plain_tree(x)[1]) for k, (p, _) in enumerate(of)] for x in (t, edited))
+        gone = Counter(p for *_, p in mine) - Counter(p for *_, p in theirs)
+        assert got[i].edited_branches == gone.total()
+        opened += got[i].edited_branches > 0
+    assert opened > 20
     assert merkle.edit_likeness(frame(spark, [(1, "alone here")])).first().near_next == 1.0
     assert merkle.edit_likeness(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """Every row once, each followed by the next in one order of all rows, though an id and null hold a third of the rows each."""
+    rows = [(5, f"hot {i} " * 9) for i in range(30)] + [(None, f"none {i} " * 9) for i in range(30)] + [(i, f"own {i} " * 9) for i in range(100, 130)] + [(7, "same")] * 3
+    got = merkle.edit_likeness(frame(spark, rows)).collect()
+    plain = {plain_print(t) for _, t in rows}
+    assert len(got) == len(rows) and {r.fingerprint for r in got} == plain
+    edited = Counter(r.edited_sha256 for r in got if r.doc_id is None)
+    assert len(edited) == 30
+    buckets = Counter(r._bucket for r in merkle.followed(frame(spark, rows), "doc_id", "text").where("_extra = 0").collect())
+    assert max(buckets.values()) < 45 and len(buckets) > 3
+
+
 def letters(rnd, first, last, n):
     return "".join(chr(rnd.randrange(first, last)) for _ in range(n))
 
