@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -419,6 +420,41 @@ def test_whole_mit_text_is_one_licence():
     assert name == "MIT" and MIT_TEXT[start:].startswith("Permission") and MIT_TEXT[start:end].endswith("IN THE\nSOFTWARE")
 
 
+def wrapped(text, width=60):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize(("name", "keys"), [(name, rule) for name, rule in licences.RULES if len(rule) > 1])
+def test_every_rule_fits_its_wrapped_sentences(name, keys):
+    text = "code();\n\n" + "\n\n".join(wrapped(licences.SENTENCES[k] + ".") for k in keys) + "\n\nmore code"
+    ((found, start, end),) = licences.recognise(text)
+    assert found == name and start == text.index(licences.SENTENCES[keys[0]].split()[0]) and end >= text.rindex(licences.SENTENCES[keys[-1]].split()[-1])
+
+
+def test_gaps_and_order_of_licence_sentences():
+    parts = [wrapped(licences.SENTENCES[k] + ".") for k in ("mit.permission", "mit.condition", "mit.asis", "mit.liability")]
+    for filler, whole in ((1, True), (3, True), (4, False), (60, False)):
+        text = "\n\n".join([*parts[:2], "\n".join(f"filler line {i}" for i in range(filler)), *parts[2:]])
+        ((name, _, end),) = licences.recognise(text)
+        assert name == "MIT" and (end == len(text) - 1) == whole
+    assert licences.recognise("\n\n".join(parts[2:] + parts[:1])) == []
+    assert licences.recognise("\n\n".join(["Licensed under CC BY 4.0."] + parts[2:])) [0][0] == "CC-BY-4.0"
+    gaps = [gap for gap, *_ in licences.identifiers("\n\n".join([parts[0], "one. two. three.\nfour\n----", parts[1]]))]
+    assert gaps == [0, 4]
+
+
+def test_own_licence_rules(spark):
+    docs = frame(spark, [(1, "Use freely.\nNo warranty!"), (2, "No warranty. Use freely."), (3, "Released under the MIT License.")])
+    got = licences.scan_licences(docs, sentences={"a": "use freely", "b": "no warranty"}, rules=[("Own-1.0", ("a", "b"))]).collect()
+    assert {r.doc_id: [x.licence for x in r.found] for r in got} == {1: ["Own-1.0"], 2: [], 3: []}
+
+
+def test_licence_scan_of_an_empty_table_and_a_long_text(spark):
+    assert licences.scan_licences(frame(spark, [])).count() == 0
+    (row,) = licences.scan_licences(frame(spark, [(1, "word. " * 100_000 + MIT_TEXT + "more text " * 100_000)])).collect()
+    assert [x.licence for x in row.found] == ["MIT"]
+
+
 def test_licence_scan_edge_cases(spark):
     got = licences.scan_licences(frame(spark, [*EDGE, (9, "Released under the MIT License.")])).collect()
     assert [(r.doc_id, len(r.found)) for r in got if r.found] == [(9, 1)] and len(got) == len(EDGE) + 1
