@@ -77,6 +77,14 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores after it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with a bounded number of rows and, but for single long rows, of bytes."""
     for batch in batches:

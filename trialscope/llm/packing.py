@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import small_batches, text_of
+from trialscope.llm.common import fresh, small_batches, text_of
 
 #: The characters of Unicode's White_Space, as a character class.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -203,7 +203,7 @@ def pack(pieces: DataFrame, n_pieces: int, longest: int = 1024) -> DataFrame:
     """
     shards = max(1, -(-n_pieces // SHARD_PIECES))
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    row, shard = (next(x for x in (name + "_" * k for k in range(len(columns) + 1)) if x not in columns) for name in ("_row", "_shard"))
+    row, shard = fresh("_row", columns), fresh("_shard", columns)
     numbered = pieces.select(*columns, F.monotonically_increasing_id().alias(row))
     sharded = numbered.withColumn(shard, F.when(F.col("length") < longest, F.pmod(F.xxhash64(row), F.lit(shards))).cast("long"))
 

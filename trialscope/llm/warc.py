@@ -22,14 +22,16 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 REVISIT_BYTES = 1000
 #: Archive files are closed at about this size; ranges closer than GAP are read together, up to READ bytes.
 FILE_BYTES, GAP, READ = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that a task reads back, and tasks over which the rows of one payload are dealt.
+TASK_BYTES, SALTS = 16 << 20, 16
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
 
 def filesystem(path: str):
-    """The store of a path, as pyarrow sees it, and the path in it; any shared store that Spark's folder may be in."""
+    """The store of a path, as pyarrow sees it, and the path in it: local or mounted files, hdfs, gs, and s3 (s3a is opened as s3)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def header_value(text: str | None) -> str:
@@ -81,14 +83,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
 
     Of rows with equal payloads of at least `least` bytes, the one with the largest page_id is a
     response, the others are revisits of it; all other rows are responses. Groups are found with
-    map-side combining on digests, so that a payload that a third of all rows have is no large group;
-    the html itself is shuffled by page_id. Null html is an empty
+    map-side combining on digests, and the rows of one payload are dealt over SALTS tasks, so that a
+    payload that a third of all rows have is no large group; the html itself is shuffled by page_id.
+    Payloads count as equal if their SHA-1 digests and sizes are; their bytes are not compared. Null html is an empty
     payload, null url an empty one; a null page_id is never revisited unless all of the group's are
     null, when each row is a response. Repeated rows of the largest page_id are each a response.
     """
     rows = with_digests(pages)
     groups = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1 and newest is not null")
-    older = rows.where(F.col("bytes") >= least).select("page_id", "digest", "bytes").join(groups.select("digest", "bytes", "newest"), ["digest", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("newest"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "newest").distinct()
+    groups = groups.select("digest", "bytes", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")
+    older = rows.where(F.col("bytes") >= least).select("page_id", "digest", "bytes", salt).join(groups, ["digest", "bytes", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("newest"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "newest").distinct()
     joined = rows.join(older, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "bytes", F.col("newest").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +144,14 @@ def coalesced(offsets: list[int], lengths: list[int], gap: int = GAP, most: int
 def read_archives(selected: DataFrame, folder: str, segment: int = READ) -> DataFrame:
     """page_id, url, payload, headers of the selected rows of an index, read from the archives.
 
-    Rows are dealt by file and segment of it (no task reads a whole large file), sorted by offset,
-    and read in coalesced ranges; what is held is a range at a time.
+    Rows are dealt by file and segment of it (no task reads a whole large file) to a task per
+    TASK_BYTES of archive, however small the index is, sorted by offset, and read in coalesced ranges;
+    what is held is a range at a time. A record longer than a range is read alone, whole. Repeated
+    rows of the index are read as often; an empty index gives an empty result.
     """
+    total = selected.agg(F.sum("length")).first()[0] or 0
     dealt = selected.select("file", "offset", "length").withColumn("_part", F.floor(F.col("offset") / segment))
-    ordered = dealt.repartition("file", "_part").sortWithinPartitions("file", "offset")
+    ordered = dealt.repartition(-(-total // TASK_BYTES) or 1, "file", "_part").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = filesystem(folder)
