@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import kept_table, table, text_of, tokenizer_file
+from trialscope.llm.common import fresh, kept_table, table, text_of, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup, normalised
 from trialscope.llm.jaccard_join import jaccard_components
 from trialscope.llm.packing import pack, tokenised_pieces
@@ -18,34 +18,44 @@ from trialscope.llm.toxicity_lm import drop_toxic
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier doesn't reject."""
+    """Rows that the quality classifier doesn't reject, with all their columns.
+
+    Each row is judged by its own text, also where ids are null or repeat; null text counts as empty;
+    texts are read whole; an empty table stays empty.
+    """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity models don't reject."""
+    """Rows that the toxicity models don't reject, with all their columns; cases are defined as for quality()."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the smallest doc_id; of repeated rows of it, one."""
-    sha = F.sha2(normalised(text_of("text")), 256)
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    rows = docs.withColumn("_sha", sha)
-    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = Window.partitionBy("doc_id", "_sha").orderBy("doc_id", *others)
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    """Of equal texts the row of the smallest doc_id; of repeated rows of it, one, the first by its columns as JSON.
+
+    Null text counts as empty; a null id is greater than others; columns may have any names and types.
+    """
+    sha, number = fresh("_sha", docs.columns), fresh("_n", docs.columns)
+    gone = exact_dedup(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    rows = docs.withColumn(sha, F.sha2(normalised(text_of("text")), 256))
+    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_gone"]) & (rows[sha] == gone["_gone_sha"]), "left_anti")
+    once = Window.partitionBy("doc_id", sha).orderBy(F.to_json(F.struct(*docs.columns)))
+    return kept.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five words, similarity 0.8) the document of the smallest doc_id."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each component of near copies (five words, similarity 0.8) the document of the smallest doc_id.
+
+    Rows that share an id are one document and stay or go together; rows without words or without an
+    id stay; an empty table stays empty.
+    """
+    gone = jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 1024 tokens."""
+    """The documents' pieces in sequences of at most 1024 tokens; null text is an end of text alone, ids may be null or repeat."""
     pieces, _ = kept_table(tokenised_pieces(docs, tokenizer_file("byte_bpe_50k.json")), "pieces")
     return pack(pieces, pieces.count())
 
