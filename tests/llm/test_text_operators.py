@@ -516,6 +516,10 @@ def plain_components(rows, k, percent):
 def test_jaccard_join_equals_all_pairs(spark, monkeypatch, k, percent, group, large):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
     monkeypatch.setattr(jaccard_join, "LARGE", large)
+    if group < 64:  # hot tokens and lists in parts, too
+        monkeypatch.setattr(jaccard_join, "HOT_LIST", 1)
+        monkeypatch.setattr(jaccard_join, "HELD", 2)
+        monkeypatch.setattr(jaccard_join, "ASKERS", 2)
     rnd = random.Random(11)
     rows = [(0, None), (1, ""), (2, "one two"), (3, "ONE  two"), (4, "\x1cone two")]
     shared = rnd.choices(WORDS, k=30)

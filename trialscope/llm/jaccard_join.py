@@ -31,6 +31,8 @@ FILTER_BITS = 24
 GROUP, LARGE = 64, 32
 #: Rows of a list up to which each row is looked at for a possible partner in it.
 SHORT_LIST = 256
+#: Rows of one list that a task holds, and documents from which a token's list may be spread over tasks.
+HELD, HOT_LIST = 100_000, 4096
 #: Queries that ask a group in one task, and tasks over which the rows of a class of equal sets are dealt.
 ASKERS, SALTS = 512, 16
 
@@ -75,31 +77,39 @@ def frequency_sketch(rows: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def token_levels(sketch: np.ndarray) -> np.ndarray:
-    """Place of each bucket in the order: 0 for those near the mean, then by the power of two above it."""
+def token_levels(sketch: np.ndarray) -> tuple[np.ndarray, int]:
+    """Place of each bucket in the order, and the first place of hot ones.
+
+    Places are 0 for buckets near the mean, then by the power of two above it. A bucket is hot if its
+    count is over HOT_LIST and over what is usual: a token of it may be in very many documents.
+    """
     mean = sketch.mean()
     usual = mean + 6 * np.sqrt(mean) + 8
-    return np.ceil(np.log2(np.maximum(sketch / usual, 1))).astype(np.uint8)
+    return np.ceil(np.log2(np.maximum(sketch / usual, 1))).astype(np.uint8), int(np.log2(max(1, HOT_LIST / usual))) + 1
 
 
 def set_table(rows: DataFrame, shared: Broadcast, k: int, percent: int) -> DataFrame:
-    """id, n, key (128-bit hash of the set), and the prefix tokens in the common order (by the token_levels() shared)."""
+    """id, n, key (128-bit hash of the set), the prefix tokens in the common order, and how many of them aren't hot.
+
+    shared has token_levels(); hot tokens are at the end of the order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, level = Words(), shared.value
+        words, (level, hot) = Words(), shared.value
         for b in small_batches(batches):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, usual = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, words, k)
                 n = len(s)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 place = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                p = n - -(-(percent * n) // 100) + 1 if n else 0
-                prefixes.append(s[np.lexsort((s, place))[:p]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "key", "prefix"])
+                first = np.lexsort((s, place))[: n - -(-(percent * n) // 100) + 1 if n else 0]
+                prefixes.append(s[first].view(np.int64))
+                usual.append(int((place[first] < hot).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(usual, pa.int32())], names=["id", "n", "key", "prefix", "usual"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, n long, key binary, prefix array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, n long, key binary, prefix array<long>, usual int")
 
 
 def has_partner(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
@@ -114,51 +124,62 @@ def prefix_size(n: Column, percent: int) -> Column:
 
 
 def shared_lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, rest, ok for rows that share their token with another node.
+    """token, node, n, rest, ok for rows that may share their token with another node.
 
     rest is how many tokens the node has from that one on; ok, whether another row of the list could
-    reach the needed overlap if this token is the first that both have. Lists are counted with
-    map-side combining. A list of at most SHORT_LIST rows is in one task; rows of longer ones are
-    spread over tasks, and all ok.
+    reach the needed overlap if this token is the first that both have. Rows are shuffled once, by
+    token; those of hot tokens are spread over tasks and all ok. The list of any other token is in one
+    task, which holds at most HELD of its rows: lists of one row go, short ones are looked at closely,
+    rows of others are all ok.
     """
-    one = prefixes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    counts = one.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    marked_long = one.join(counts, "token").withColumn("long", F.col("_rows") > SHORT_LIST)
-    spread = F.when(F.col("long"), F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0)
-    lists = marked_long.withColumn("_spread", spread).repartition("token", "_spread").select("token", "node", "n", "rest", "long").sortWithinPartitions("token")
+    one = prefixes.select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), "usual", F.posexplode("prefix").alias("pos", "token"))
+    rows = one.select("token", "node", "n", (F.col("n") - F.col("pos")).alias("rest"), (F.col("pos") >= F.col("usual")).alias("hot"))
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0)
+    lists = rows.repartition("token", spread).sortWithinPartitions("token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        passed: int | None = None  # the token of a list of which a part has gone on
 
-        def marked(cols: list[np.ndarray], every: bool = False) -> pa.RecordBatch:
+        def handed_on(cols: list[np.ndarray], ok: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(ok)], names=["token", "node", "n", "rest", "ok"])
+
+        def marked(cols: list[np.ndarray]) -> pa.RecordBatch:
             token, _, n, rest = cols
             ok = np.ones(len(token), bool)
-            if not every:
-                starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                sizes = np.diff(np.r_[starts, len(token)])
-                two = starts[sizes == 2]
-                ok[two] = ok[two + 1] = np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1], percent)
-                for s, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                    ok[s : s + size] = has_partner(n[s : s + size], rest[s : s + size], percent)
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(ok)], names=["token", "node", "n", "rest", "ok"])
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            sizes = np.diff(np.r_[starts, len(token)])
+            two = starts[sizes == 2]
+            ok[two] = ok[two + 1] = np.minimum(rest[two], rest[two + 1]) >= needed(n[two].astype(np.int64), n[two + 1], percent)
+            several = (sizes > 2) & (sizes <= SHORT_LIST)
+            for s, size in zip(starts[several].tolist(), sizes[several].tolist(), strict=True):
+                ok[s : s + size] = has_partner(n[s : s + size].astype(np.int64), rest[s : s + size], percent)
+            going_on = token == passed
+            ok |= going_on
+            kept = np.repeat(sizes > 1, sizes) | going_on
+            return handed_on([c[kept] for c in cols], ok[kept])
 
         for b in batches:
-            *cols, long = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if long.any():
-                yield marked([c[long] for c in cols], every=True)
-                cols = [c[~long] for c in cols]
+            *cols, hot = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if hot.any():
+                yield handed_on([c[hot] for c in cols], np.ones(int(hot.sum()), bool))
+                cols = [c[~hot] for c in cols]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted by token: the last list may go on
-            held = [c[last:] for c in cols]
             if last:
                 yield marked([c[:last] for c in cols])
+                passed = None
+            held = [c[last:] for c in cols]
+            if len(held[0]) > HELD:
+                yield handed_on(held, np.ones(len(held[0]), bool))
+                passed, held = int(held[0][0]), None
         if held is not None and len(held[0]):
             yield marked(held)
 
-    return lists.mapInArrow(run, "token long, node long, n long, rest long, ok boolean")
+    return lists.mapInArrow(run, "token long, node long, n int, rest int, ok boolean")
 
 
 def _texts(rows: DataFrame, shared: Broadcast) -> DataFrame:
@@ -262,7 +283,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = in_groups.groupBy("h1").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / GROUP).cast("long"))
     groups = kept(in_groups.join(counted, "h1").select("node", "n", "h1", "h2", F.xxhash64("h1", chunk).alias("grp")), "groups")
-    mine = kept(lists.join(groups.select("node", "grp"), "node").withColumn("tail", F.col("n") - prefix_size(F.col("n"), percent)).select("token", "node", "grp", "n", "rest", "tail"), "mine")
+    mine = kept(lists.join(groups.select("node", "grp"), "node").withColumn("tail", (F.col("n") - prefix_size(F.col("n"), percent)).cast("int")).select("token", "node", "grp", "n", "rest", "tail"), "mine")
 
     def alpha(a: Column, b: Column) -> Column:
         return F.ceil(percent * (a + b) / float(100 + percent))

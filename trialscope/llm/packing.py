@@ -23,7 +23,7 @@ _CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Fixed value: the pattern by which byte-level BPE of this kind parts a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Chunks of text that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pieces packed together in one task; each such shard leaves about one sequence unfilled.
 SHARD_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

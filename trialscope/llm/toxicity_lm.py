@@ -44,7 +44,7 @@ MARGIN = 1.0
 #: Marks before and after a word (white space, so that no word has them).
 BEFORE, AFTER = "\t", "\n"
 #: Words that each half of a worker's memory holds, and words that a counting task gathers before it hands on their grams.
-REMEMBERED, GATHERED = 300_000, 250_000
+REMEMBERED, GATHERED = 100_000, 100_000
 #: Grams in the table that scoring tasks get: it holds whole contexts, and at most as many of these.
 TABLE_GRAMS = 1 << 20
 #: Bits of the filter of the other contexts; it spares asking for unknown ones and loses none.
@@ -236,17 +236,17 @@ def ratio_tables(ratios: DataFrame, most: int) -> Ratios:
 
 
 class Known:
-    """A worker's memory of words' ratios, in two halves (see piece_bpe.Memory); words with open questions are nan."""
+    """A worker's memory of words' ratios (of one column), in two halves as piece_bpe.Memory has them; words with open questions are nan."""
 
-    def __init__(self, ratios: Ratios):
-        self.ratios = ratios
-        self.recent: tuple[dict, dict, dict] = ({}, {}, {})
-        self.older: tuple[dict, dict, dict] = ({}, {}, {})
+    def __init__(self, ratios: Ratios, column: int):
+        self.ratios, self.column = ratios, column
+        self.recent: tuple[dict, dict] = ({}, {})
+        self.older: tuple[dict, dict] = ({}, {})
 
-    def of(self, words: set[str]) -> tuple[dict[str, float], dict[str, float], dict[str, tuple]]:
-        """ratio and m_ratio of each word, and (known parts, asked contexts and symbols) of those that are nan."""
+    def of(self, words: set[str]) -> tuple[dict[str, float], dict[str, tuple]]:
+        """Ratio of each word, and (known part, asked contexts and symbols) of those that are nan."""
         if len(self.recent[0]) > REMEMBERED:
-            self.older, self.recent = self.recent, ({}, {}, {})
+            self.older, self.recent = self.recent, ({}, {})
         new = []
         for w in words.difference(self.recent[0]):
             if w in self.older[0]:
@@ -258,14 +258,13 @@ class Known:
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             sums, asked = self.ratios.of(part)
-            open_: dict[int, list[tuple[int, int]]] = {}
+            own, open_ = sums[:, self.column].copy(), {}
             for k, context, symbol in asked:
                 open_.setdefault(k, []).append((context, symbol))
             for k, questions in open_.items():
-                self.recent[2][part[k]] = (*sums[k].tolist(), questions)
-                sums[k] = np.nan
-            self.recent[0].update(zip(part, sums[:, 0].tolist(), strict=True))
-            self.recent[1].update(zip(part, sums[:, 1].tolist(), strict=True))
+                self.recent[1][part[k]] = (float(own[k]), questions)
+                own[k] = np.nan
+            self.recent[0].update(zip(part, own.tolist(), strict=True))
         return self.recent
 
 
@@ -283,12 +282,13 @@ def evidence(rows: DataFrame, ratios: Ratios, apart: DataFrame, id_col: str = "_
     asked_kind = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32()), ("part", pa.float64()), ("context", pa.int64()), ("symbol", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(Ratios(*shared.value, None))
+        tables = Ratios(*shared.value, None)
+        models = (Known(tables, 0), Known(tables, 1))  # of all rows, and without the rows apart
         for b in small_batches(batches):
             split = [tokens(t) for t in b.column("text").to_pylist()]
-            all_, without, open_ = known.of(set().union(*split))
-            apart_ = [x is not None for x in b.column("_label").to_pylist()]
-            values = np.fromiter(chain.from_iterable(map((without if a else all_).__getitem__, ws) for ws, a in zip(split, apart_, strict=True)), np.float64)
+            model_of = [int(x is not None) for x in b.column("_label").to_pylist()]
+            known = [model.of(set().union(*(ws for ws, m in zip(split, model_of, strict=True) if m == k))) for k, model in enumerate(models)]
+            values = np.fromiter(chain.from_iterable(map(known[m][0].__getitem__, ws) for ws, m in zip(split, model_of, strict=True)), np.float64)
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             row = np.repeat(np.arange(len(split)), sizes)
             there = ~np.isnan(values)
@@ -296,8 +296,9 @@ def evidence(rows: DataFrame, ratios: Ratios, apart: DataFrame, id_col: str = "_
             sums, above = np.bincount(row, plain, len(split)), np.bincount(row, np.maximum(plain - MARGIN, 0), len(split))
             asked: list[list[dict]] = [[] for _ in split]
             for k in np.unique(row[~there]).tolist():
+                open_ = known[model_of[k]][1]
                 for i, (w, n) in enumerate(sorted((w, n) for w, n in Counter(split[k]).items() if w in open_)):
-                    asked[k] += [{"word": i, "n": n, "part": open_[w][apart_[k]], "context": c, "symbol": s} for c, s in open_[w][2]]
+                    asked[k] += [{"word": i, "n": n, "part": open_[w][0], "context": c, "symbol": s} for c, s in open_[w][1]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), b.column("_label"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(above, pa.float64()), pa.array(asked, asked_kind)], names=[*others, "label", "words", "_sum", "_above", "_asked"])
 
     kinds = dict(rows.dtypes)
