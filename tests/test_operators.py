@@ -123,7 +123,7 @@ def test_merge_policies_and_idempotence(spark):
 
 def test_section_paths_with_gaps_and_cycles(spark):
     df = spark.createDataFrame([(1, None, "root"), (2, 1, "mid"), (3, 2, "leaf"), (4, 99, "lost"), (5, 6, "x"), (6, 5, "y")], "id long, parent_id long, name string")
-    assert dict(rows(sections.section_paths(df, 6))) == {1: "root", 2: "root / mid", 3: "root / mid / leaf", 4: "lost", 5: "? / y / x", 6: "? / x / y"}
+    assert dict(rows(sections.section_paths(df))) == {1: "root", 2: "root / mid", 3: "root / mid / leaf", 4: "lost", 5: "? / y / x", 6: "? / x / y"}
 
 
 def test_snapshots_once_a_day(spark):

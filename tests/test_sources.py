@@ -3,12 +3,15 @@
 import json
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from trialscope.operators import ingest as job_ops
 from trialscope.operators.sections import section_paths
 from trialscope.plans import ingest
 from trialscope.sources import junit, landed, playwright
-from trialscope.streaming.drain import current, drain_json, reprocess
+from trialscope.streaming.drain import drain_json, drain_manifests, reprocess, reprocess_failed
+from trialscope.streaming.tables import VersionedTable
 
 
 def test_junit_file(spark, tmp_path):
@@ -62,7 +65,7 @@ def test_playwright_paths_and_attempts(spark, tmp_path):
 
 def test_landed_cases_results_and_manifests(spark):
     pages = spark.createDataFrame([(json.dumps([{"id": 1, "title": "a", "section_id": 2, "suite_id": 9, "priority_id": 1, "custom_x": "y"}]),), (json.dumps({"cases": [{"id": 2, "title": "b", "section_id": 1, "suite_id": 9, "updated_on": 0}]}),)], "text string")
-    paths = section_paths(spark.createDataFrame([(1, None, "top"), (2, 1, "sub")], "id long, parent_id long, name string"), 4)
+    paths = section_paths(spark.createDataFrame([(1, None, "top"), (2, 1, "sub")], "id long, parent_id long, name string"))
     got = sorted((r.tr_case_id, r.section_path, r.custom) for r in landed.cases(pages, paths).collect())
     assert got == [(1, "top / sub", {"custom_x": "y"}), (2, "top", {})]
     res = spark.createDataFrame([(json.dumps({"results": [{"id": 1, "case_id": 1, "run_id": 3, "status_id": 5, "created_on": 60}, {"id": 2, "case_id": None, "run_id": 3}, {"id": 3, "case_id": 8, "run_id": 3}]}),)], "text string")
@@ -76,25 +79,84 @@ def test_landed_cases_results_and_manifests(spark):
 def test_drain_reads_each_file_once_and_sets_bad_lines_aside(spark, tmp_path):
     inn = tmp_path / "in"
     inn.mkdir()
-    args = dict(schema="id long, at string, x long", table=f"{tmp_path}/t", rejects=f"{tmp_path}/r", checkpoint=f"{tmp_path}/c", keys=["id"], newest="at")
+    table = VersionedTable(spark, f"{tmp_path}/t", "id long, at string, x long", ["id"], 4)
+    drain = lambda: drain_json(table, str(inn), f"{tmp_path}/r", f"{tmp_path}/c", "at")
     (inn / "a.json").write_text('{"id":1,"at":"1","x":1}\n{"id":1,"at":"2","x":2}\nnot json\n')
-    drain_json(spark, str(inn), **args)
-    (inn / "b.json").write_text('{"id":2,"at":"1","x":5}\n{"id":1,"at":"2","x":2}\n')
-    drain_json(spark, str(inn), **args)
-    drain_json(spark, str(inn), **args)
-    schema = spark.createDataFrame([], "id long, at string, x long").schema
-    assert sorted(map(tuple, current(spark, f"{tmp_path}/t", schema).collect())) == [(1, "2", 2), (2, "1", 5)]
+    drain()
+    (inn / "b.json").write_text('{"id":2,"at":"5","x":5}\n{"id":1,"at":"2","x":2}\n')
+    drain()
+    drain()
+    assert sorted(map(tuple, table.read().collect())) == [(1, "2", 2), (2, "5", 5)]
+    (inn / "late.json").write_text('{"id":2,"at":"2","x":9}\n')
+    drain()
+    assert sorted(map(tuple, table.read().collect())) == [(1, "2", 2), (2, "5", 5)]
     good, bad = reprocess(spark, f"{tmp_path}/r", "id long, at string, x long", lambda d: d.withColumn("text", F.lit('{"id":9,"at":"1","x":0}')))
     assert [tuple(r) for r in good.collect()] == [(9, "1", 0)] and bad.count() == 0
 
 
+def test_versions_count_when_committed_and_touch_their_parts_only(spark, tmp_path):
+    table = VersionedTable(spark, f"{tmp_path}/t", "id long, x long", ["id"], 8)
+    rows = lambda *pairs: spark.createDataFrame(pairs, "id long, x long")
+    newest = [F.desc("x")]
+    assert table.read().count() == 0
+    table.merge_newest(rows(*((i, 1) for i in range(50))), 0, newest)
+    table.merge_newest(rows((3, 2)), 1, newest)
+    assert len(list((tmp_path / "t" / "v=1").glob("_part=*"))) == 1 and table.read().where("x = 2").count() == 1
+    (tmp_path / "t" / "v=2" / "_part=0").mkdir(parents=True)  # a version that was never committed
+    (tmp_path / "t" / "v=2" / "_part=0" / "part-0.parquet").write_bytes(b"half")
+    assert table.read().count() == 50
+    table.merge_newest(rows((3, 3), (4, 0)), 2, newest)  # the batch done again
+    table.merge_newest(rows((3, 3), (4, 0)), 2, newest)
+    assert sorted(map(tuple, table.read().where("id in (3, 4)").collect())) == [(3, 3), (4, 1)] and table.read().count() == 50
+    with pytest.raises(ValueError):
+        table.merge_newest(rows((1, 1)), 0, newest)
+
+
+def test_failed_batches_are_kept_and_reprocessed(spark, tmp_path):
+    tables = {name: VersionedTable(spark, f"{tmp_path}/{name}", job_ops.SCHEMAS[name], job_ops.KEYS[name], 2) for name in ("build", "run", "case", "result", "batch")}
+    folder = tmp_path / "in" / "j" / "1"
+    folder.mkdir(parents=True)
+    (folder / "manifest.json").write_text(json.dumps({"schema": "1", "jobName": "j", "buildNumber": 1, "framework": "junit", "resultFiles": ["a.xml"]}))
+    drain_manifests(spark, f"{tmp_path}/in", tables, f"{tmp_path}/c")
+    (status,) = tables["batch"].read().collect()
+    assert status.status == "failed" and status.error.startswith("missing: ") and tables["result"].read().count() == 0
+    (folder / "a.xml").write_text('<testsuite name="s" timestamp="2024-01-05T00:00:00Z"><testcase classname="c" name="n" time="1"/><testcase classname="c" name="n" time="2"/></testsuite>')
+    drain_manifests(spark, f"{tmp_path}/in", tables, f"{tmp_path}/c")  # a manifest is read once
+    assert tables["result"].read().count() == 0
+    reprocess_failed(tables)
+    reprocess_failed(tables)
+    (status,) = tables["batch"].read().collect()
+    assert (status.status, status.error, status.tests) == ("ok", None, 2)
+    assert sorted((r.identity_key, r.attempt, r.duration_ms) for r in tables["result"].read().collect()) == [("c::n", 1, 1000), ("c::n", 2, 2000)]
+    (build,) = tables["build"].read().collect()
+    assert str(build.started_at) == "2024-01-05 00:00:00"  # none was given: the report's own
+
+
+def test_suites_nested_to_any_depth(spark):
+    suite = {"title": "deep", "specs": [{"title": "leaf", "tests": [{"projectName": "p", "status": "expected", "results": []}]}]}
+    for i in range(12):
+        suite = {"title": f"s{i}", "suites": [suite]}
+    reports = spark.createDataFrame([("r", json.dumps({"suites": [{"title": "f", "file": "f.ts", "suites": [suite]}]}))], "path string, text string")
+    (got,) = playwright.executions(playwright.specs(reports)).collect()
+    assert got.test_id == "f.ts::" + " > ".join([f"s{i}" for i in range(11, -1, -1)] + ["deep", "leaf"])
+
+
+def test_attachments_and_logs_are_indexed(spark):
+    a = spark.createDataFrame([("r", "t", "p", "shot", "screenshot", "b.png"), ("r", "t", "p", "shot", "screenshot", "a.png"), ("r", "t", "p", "trace", "trace", "t.zip")], "path string, test_id string, project string, name string, kind string, uri string")
+    assert playwright.artifact_index(a).first().uris == {"shot": "a.png", "trace": "t.zip"}
+    logs = spark.createDataFrame([("r", "t", "p", 0, "stdout"), ("r", "t", "p", 0, "stderr"), ("r", "t", "p", 1, "stderr")], "path string, test_id string, project string, attempt_no int, log_type string")
+    assert sorted((r.attempt_no, r.log_uri) for r in playwright.log_uris(logs).collect()) == [(0, "t/p/0/stdout"), (1, None)]
+
+
 def test_reports_and_pages_of_large_keys_are_bounded(spark):
     runs = spark.range(2600).select("id", F.when(F.col("id") < 2500, 1).otherwise(2 + F.col("id") % 2).cast("long").alias("test_case_id"), F.lit(10).alias("duration_ms"), F.when(F.col("id") == 7, "FAILED").otherwise("PASSED").alias("status"), F.lit("e").alias("error_text"))
     named = {c: F.lit("x").alias(c) for c in ("summary", "status", "issue_type", "priority", "parent_key")}
     issues = spark.range(2500).select(F.concat(F.lit("P-"), F.col("id").cast("string")).alias("issue_key"), F.lit("P").alias("project_key"), *named.values())
     v = SimpleNamespace(spark=spark, test_case_result=runs, test_execution=runs, jira_issue=issues)
     sizes = lambda texts, mark: sorted(t.count(mark) for t in texts)
-    xml = [r.value for r in spark.read.text(ingest.junit_reports(v), wholetext=True).collect()]
+    files = [r.value for r in spark.read.text(ingest.junit_reports(v), wholetext=True).collect()]
+    assert 1 < len(files) <= 3
+    xml = [x for f in files for x in f.split("<testsuite ")[1:]]
     for n, total in ((sizes(xml, "<testcase "), 2600), (sizes([r.text for r in ingest.playwright_reports(v).collect()], '"projectName"'), 2600), (sizes([r.text for r in ingest.issue_pages(v).collect()], '"key":"P-'), 2500)):
         assert sum(n) == total and n[-1] <= ingest.REPORT_ROWS
     assert {(r.suite_name, r.total_count, r.fail_count, r.pass_count, r.duration_ms) for r in ingest.junit_suites(v).collect()} == {("S1", 2500, 1, 2499, 1500), ("S2", 50, 0, 50, 1500), ("S3", 50, 0, 50, 1500)}

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.functions.measures import moment
-from trialscope.functions.text import elapsed, truncated
+from trialscope.functions.text import elapsed, run_name, truncated
+from trialscope.operators.merge import CONFIDENCE_RANK
 
 #: Result codes of the manual-test tool, and how long artifacts are kept by suffix (days).
 RESULT_CODE = {"PASSED": 1, "FAILED": 5, "FLAKY": 4, "SKIPPED": 3, "ERROR": 5}
@@ -51,6 +52,42 @@ def export_results(executions: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("run_id", "case_id", result_code(F.col("status")).alias("status_id"), comment.alias("comment"), elapsed(F.col("duration_ms")).alias("elapsed"))
 
 
+def annotation_case_ids(annotations: Column) -> Column:
+    """Case ids of the annotations of type TestRail: numbers with or without a C before them."""
+    told = F.filter(F.coalesce(annotations, F.array().cast("array<struct<type:string,description:string>>")), lambda n: n["type"] == "TestRail")
+    ids = F.flatten(F.transform(told, lambda n: F.regexp_extract_all(F.coalesce(n["description"], F.lit("")), F.lit(r"[Cc]?(\d+)"), 1)))
+    return F.array_distinct(F.transform(ids, lambda x: x.try_cast("long")))
+
+
+def confident_links(links: DataFrame, least: str = "MED") -> DataFrame:
+    """Links whose confidence is `least` or more; unknown confidence is less than any."""
+    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in CONFIDENCE_RANK.items() for x in pair)), F.col("confidence")), F.lit(0))
+    return links.where(rank >= CONFIDENCE_RANK[least])
+
+
+def selected_runs(runs: DataFrame, run_id=None, job: str | None = None, build: int | None = None, since: dt.datetime | None = None) -> DataFrame:
+    """The runs (run_id, job_name, build_number, created_at) of an id, else of a job's build, else created since a moment."""
+    if run_id is not None:
+        return runs.where(F.col("run_id") == run_id)
+    if job is not None and build is not None:
+        return runs.where((F.col("job_name") == job) & (F.col("build_number") == build))
+    if since is not None:
+        return runs.where(F.col("created_at") >= moment(since))
+    raise ValueError("a run id, a job and build, or a moment must be given")
+
+
+def export_runs(runs: DataFrame, executions: DataFrame, links: DataFrame, least: str = "MED") -> tuple[DataFrame, DataFrame]:
+    """(headers, payload) of the result export of runs.
+
+    headers: run_id, name, case_ids (distinct, sorted), n_results of runs that have any; payload: as
+    export_results() gives it, over links of `least` confidence or more.
+    """
+    payload = export_results(executions.join(runs.select("run_id"), "run_id", "left_semi"), confident_links(links, least))
+    of_run = payload.groupBy("run_id").agg(F.sort_array(F.collect_set("case_id")).alias("case_ids"), F.count(F.lit(1)).alias("n_results"))
+    named = runs.select("run_id", run_name(F.col("job_name"), F.col("build_number"), F.col("run_id").cast("string"), F.col("created_at")).alias("name"))
+    return named.join(of_run, "run_id"), payload
+
+
 def object_key(build: Column, category: Column, path: Column) -> Column:
     return F.concat_ws("/", F.lit("builds"), build, category, F.element_at(F.split(path, "/"), -1))
 

@@ -11,8 +11,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a column of an existing row becomes: the new value, the new one unless it is null, or the old one unless it is null.
-NEW, NEW_UNLESS_NULL, OLD_UNLESS_NULL = "new", "new unless null", "old unless null"
+from trialscope.functions.names import fresh
+
+#: What a column of an existing row becomes: the new value, the new one unless it is null, the old one (set on creation only), or
+#: the old one unless it is null.
+NEW, NEW_UNLESS_NULL, OLD, OLD_UNLESS_NULL = "new", "new unless null", "old", "old unless null"
+
+
+#: Order of confidence.
+CONFIDENCE_RANK = {"HIGH": 3, "MED": 2, "LOW": 1}
 
 
 def _same(keys: list[str]) -> Column:
@@ -21,9 +28,9 @@ def _same(keys: list[str]) -> Column:
 
 def last_write_wins(source: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key of a batch: the first in the given order (all columns break ties)."""
-    ties = [F.col(c).asc_nulls_last() for c, t in source.dtypes if not t.startswith("map")]
+    ties, number = [F.col(c).asc_nulls_last() for c, t in source.dtypes if "map<" not in t], fresh("_n", source.columns)
     first = Window.partitionBy(*keys).orderBy(*order, *ties)
-    return source.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return source.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str] | None = None, insert: bool = True) -> DataFrame:
@@ -34,18 +41,19 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[st
     Merging the same source again changes nothing.
     """
     policy = policy or {}
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
+    mark = fresh("_there", [*target.columns, *source.columns])
+    t, s = target.withColumn(mark, F.lit(True)).alias("t"), source.withColumn(mark, F.lit(True)).alias("s")
     joined = t.join(s, _same(keys), "full" if insert else "left")
-    both = F.col("t._t").isNotNull() & F.col("s._s").isNotNull()
+    old_there, new_there = F.col(f"t.{mark}").isNotNull(), F.col(f"s.{mark}").isNotNull()
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.when(F.col("t._t").isNotNull(), F.col(f"t.{c}")).otherwise(F.col(f"s.{c}"))
+            return F.when(old_there, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}"))
         if c not in source.columns:
             return F.col(f"t.{c}")
         new, old = F.col(f"s.{c}"), F.col(f"t.{c}")
-        kept = {NEW: new, NEW_UNLESS_NULL: F.coalesce(new, old), OLD_UNLESS_NULL: F.coalesce(old, new)}[policy.get(c, NEW)]
-        return F.when(both, kept).when(F.col("s._s").isNotNull(), new).otherwise(old)
+        kept = {NEW: new, NEW_UNLESS_NULL: F.coalesce(new, old), OLD: old, OLD_UNLESS_NULL: F.coalesce(old, new)}[policy.get(c, NEW)]
+        return F.when(old_there & new_there, kept).when(new_there, new).otherwise(old)
 
     return joined.select(*(value(c).alias(c) for c in target.columns))
 
@@ -67,10 +75,45 @@ def reset_links(links: DataFrame, provenance: str, source: str | None = None) ->
     return delete_where(links, cond if source is None else cond & F.col("source").eqNullSafe(F.lit(source)))
 
 
+def upsert_links(links: DataFrame, found: DataFrame, ends: list[str], provenance: str, source: str) -> DataFrame:
+    """links with the found ones (ends, confidence, evidence) merged in under a provenance.
+
+    Provenance is part of the key: links of other provenances between the same ends stay as they are.
+    Of several found links of the same ends the most confident holds.
+    """
+    confident = F.element_at(F.create_map(*(F.lit(x) for pair in CONFIDENCE_RANK.items() for x in pair)), F.col("confidence"))
+    new = last_write_wins(found.select(*ends, "confidence", "evidence"), ends, [F.desc_nulls_last(confident)])
+    return merge(links, new.withColumns({"provenance": F.lit(provenance), "source": F.lit(source)}), [*ends, "provenance"])
+
+
+def link_counts(before: DataFrame, after: DataFrame, ends: list[str]) -> DataFrame:
+    """provenance, confidence, written (new or changed), unchanged, removed: what a link job did to the table."""
+    keys, told = [*ends, "provenance"], ["confidence", "evidence", "source"]
+    state = lambda df, name: df.select(*keys, F.struct(*told).alias(name))
+    both = state(before, "old").join(state(after, "new"), keys, "full")
+    return both.groupBy("provenance", F.coalesce("new.confidence", "old.confidence").alias("confidence")).agg(
+        F.count_if(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).alias("written"),
+        F.count_if(F.col("new").isNotNull() & F.col("new").eqNullSafe(F.col("old"))).alias("unchanged"),
+        F.count_if(F.col("new").isNull()).alias("removed"),
+    )
+
+
+def upsert_decisions(decisions: DataFrame, found: DataFrame, window_start: str = "window_start") -> DataFrame:
+    """Flake decisions with the found ones merged in: a test's decision of the same or a later window start is updated.
+
+    found has one row per test; where a test has a decision from its window's start on, the latest such
+    decision takes the new values, else the found one is new.
+    """
+    latest = decisions.groupBy("test_case_id").agg(F.max(window_start).alias("_latest"))
+    aimed = found.join(latest, "test_case_id", "left").withColumn(window_start, F.when(F.col("_latest") >= F.col(window_start), F.col("_latest")).otherwise(F.col(window_start)))
+    return merge(decisions, aimed.drop("_latest"), ["test_case_id", window_start])
+
+
 def backfill(target: DataFrame, column: str, lookup: DataFrame, on: str, value: str) -> DataFrame:
     """target with null values of a column filled from lookup (one row per `on`)."""
-    found = lookup.select(F.col(on), F.col(value).alias("_found"))
-    return target.join(found, on, "left").withColumn(column, F.coalesce(column, "_found")).select(*target.columns)
+    inner = fresh("_found", target.columns)
+    found = lookup.select(F.col(on), F.col(value).alias(inner))
+    return target.join(found, on, "left").withColumn(column, F.coalesce(column, inner)).select(*target.columns)
 
 
 def keep_known(rows: DataFrame, known: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +122,11 @@ def keep_known(rows: DataFrame, known: DataFrame, on: list[str]) -> tuple[DataFr
     return rows.join(keys, on, "left_semi"), rows.join(keys, on, "left_anti")
 
 
+def latest_moment(rows: DataFrame, moment: str, overlap: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """since: the latest moment of all rows, less the overlap; null (full sync) without one."""
+    return rows.agg((F.max(moment) - F.expr(overlap)).alias("since"))
+
+
 def high_water_mark(rows: DataFrame, group: str, moment: str, overlap: str = "INTERVAL 1 HOUR") -> DataFrame:
     """since: the least of the groups' latest moments, less the overlap; null (full sync) if a group has none."""
     latest = rows.groupBy(group).agg(F.max(moment).alias("m"))

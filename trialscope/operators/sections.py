@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialscope.sources.scratch import kept
 
-def section_paths(sections: DataFrame, deepest: int = 32) -> DataFrame:
-    """id and path (names from the root, ' / ' between) of sections (id, parent_id, name).
 
-    Each round joins the rows that still have a parent with the sections, so that a round per level is
-    planned; there is no shuffle of finished rows. A missing parent ends the path; a cycle, or a tree
-    deeper than `deepest`, is marked with a leading '?'.
+def section_paths(sections: DataFrame) -> DataFrame:
+    """id and path (names from the root, ' / ' between) of sections (id, parent_id, name), however deep they lie.
+
+    Each level joins the rows that still have a parent with the sections and is written to the shared
+    folder, so that plans don't grow with the depth and finished rows aren't joined again. A missing
+    parent ends the path; a cycle ends it with a leading '?'.
     """
     parents = sections.select(F.col("id").alias("_p"), F.col("parent_id").alias("_next"), F.col("name").alias("_name"))
     at = sections.select("id", F.col("parent_id").alias("at"), F.col("name").alias("path"), F.array("id").alias("seen"))
-    done = []
-    for _ in range(deepest):
+    done = None
+    while True:
         joined = at.join(parents, F.col("at") == F.col("_p"), "left")
         ended = F.col("_p").isNull()
         cycle = ~ended & F.array_contains("seen", F.col("_p"))
-        done.append(joined.where(ended).select("id", "path"))
-        done.append(joined.where(cycle).select("id", F.concat(F.lit("? / "), "path").alias("path")))
-        at = joined.where(~ended & ~cycle).select("id", F.col("_next").alias("at"), F.concat("_name", F.lit(" / "), "path").alias("path"), F.concat("seen", F.array("_p")).alias("seen"))
-    done.append(at.select("id", F.concat(F.lit("? / "), "path").alias("path")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        path = F.when(ended, F.col("path")).when(cycle, F.concat(F.lit("? / "), "path")).otherwise(F.concat("_name", F.lit(" / "), "path"))
+        level = kept(joined.select("id", path.alias("path"), F.col("_next").alias("at"), F.concat("seen", F.array("_p")).alias("seen"), (ended | cycle).alias("done")), "sections")
+        found = level.where("done").select("id", "path")
+        done = found if done is None else done.unionByName(found)
+        at = level.where("not done").drop("done")
+        if at.isEmpty():
+            return done

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialscope.operators import ingest as job_ops
 from trialscope.operators.merge import merge
+from trialscope.operators.sections import section_paths
 from trialscope.plans.view_sql import over_views
 from trialscope.plans.views import Views
 from trialscope.sources import junit, landed, playwright
-from trialscope.sources.scratch import scratch_path
-from trialscope.streaming.drain import current, drain_json
+from trialscope.sources.scratch import kept, listing, put_text, scratch_path
+from trialscope.streaming.drain import drain_json, drain_manifests
+from trialscope.streaming.tables import VersionedTable
 
 
 def _text(c: str):
@@ -29,7 +34,7 @@ def dealt(rows: DataFrame, key: str, id_col: str) -> DataFrame:
 
 
 def junit_reports(v: Views) -> str:
-    """Folder of JUnit XML: a file per part of a test, with a suite that has a case per run."""
+    """Folder of JUnit XML: a suite per part of a test, with a case per run; a file holds suites of some REPORT_ROWS runs."""
     r = dealt(v.test_case_result, "test_case_id", "id")
     seconds = F.concat(F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("duration_ms") % 1000).cast("string"), 3, "0"))
     inner = (
@@ -43,10 +48,17 @@ def junit_reports(v: Views) -> str:
         F.concat(F.lit('<testsuite name="S'), F.first("test_case_id").cast("string"), F.lit('" tests="'), F.count(F.lit(1)).cast("string"), F.lit('" failures="'), n("FAILED"), F.lit('" skipped="'), n("SKIPPED"), F.lit('" errors="'), n("ERROR"), F.lit('" time="1.5">'), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>")).alias("xml")
     )
     path = scratch_path(v.spark, "junit")
-    suite.write.partitionBy("test_case_id", "part").text(path)
+    files = max(1, r.count() // REPORT_ROWS)
+    in_documents(suite.withColumn("file", F.pmod(F.xxhash64("test_case_id", "part"), F.lit(files))), ["file"]).write.partitionBy("file").text(path)
     return path
 
 
+def in_documents(suites: DataFrame, by: list[str]) -> DataFrame:
+    """XML documents of all suites (xml) of a file, one to a file's folder."""
+    document = F.concat(F.lit("<testsuites>"), F.array_join(F.sort_array(F.collect_list("xml")), ""), F.lit("</testsuites>"))
+    return suites.groupBy(*by).agg(document.alias("xml")).repartition(*by)
+
+
 def junit_cases(v: Views) -> DataFrame:
     cases = junit.read_cases(junit.read_suites(v.spark, junit_reports(v)))
     return cases.select("suite_name", "identity_key", "title", "status", "duration_ms", "error_message", "stack_trace")
@@ -113,16 +125,175 @@ def issue_sync(v: Views) -> DataFrame:
 
 
 def event_drain(v: Views) -> DataFrame:
-    """Events landed as JSON lines in two batches, drained by a stream into a table with the newest row per user and kind."""
-    e = v.base("events").select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.floor(F.col("value") * 100).cast("long").alias("cents"))
+    """Events landed as JSON lines and drained by a stream into a table with the newest row per user and kind.
+
+    The second batch repeats the rows of the first, the third has older rows alone, which must not replace newer ones.
+    """
+    moment_ = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")
+    raw = v.base("events")
+    e = raw.select("event_id", "user_id", "event_type", moment_(F.col("ts")), F.floor(F.col("value") * 100).cast("long").alias("cents"))
+    older = raw.select((-F.col("event_id")).alias("event_id"), "user_id", "event_type", moment_(F.col("ts") - F.expr("INTERVAL 400 DAYS")), F.lit(0).cast("long").alias("cents"))
     root = scratch_path(v.spark, "drain")
+    table = VersionedTable(v.spark, f"{root}/table", "event_id long, user_id long, event_type string, ts string, cents long", ["user_id", "event_type"], 8)
     late = F.col("ts") >= "2024-01-16"
-    schema = "event_id long, user_id long, event_type string, ts string, cents long"
-    for batch in (e.where(~late), e.where(late).unionByName(e.where(~late))):
+    for batch in (e.where(~late), e.where(late).unionByName(e.where(~late)), older):
         batch.write.mode("append").json(f"{root}/in")
-        drain_json(v.spark, f"{root}/in", schema, f"{root}/table", f"{root}/rejects", f"{root}/checkpoint", ["user_id", "event_type"], "ts")
-    out = v.spark.createDataFrame([], schema)
-    return current(v.spark, f"{root}/table", out.schema).select("user_id", "event_type", "ts", "event_id")
+        drain_json(table, f"{root}/in", f"{root}/rejects", f"{root}/checkpoint", "ts")
+    return table.read().select("user_id", "event_type", "ts", "event_id")
+
+
+# Ingest jobs ----------------------------------------------------------------------------------------------
+
+def _build_of(id_col: str = "id") -> tuple:
+    return (F.col(id_col) % 6).cast("int").alias("build"), F.floor(F.col(id_col) / 6).cast("int").__mod__(2).alias("shard")
+
+
+def built_junit(v: Views, path: str) -> None:
+    """JUnit files at path/build=<n>/shard=<n>/part=<n>: all results, dealt to six builds of two shards."""
+    r = dealt(v.test_case_result.select("*", *_build_of()), "test_case_id", "id")
+    key = F.concat(F.lit("P"), (F.col("id") % 7).cast("string"), F.lit("-"), (F.col("id") % 2000).cast("string"))
+    inner = F.when(F.col("status") == "FAILED", F.lit('<failure message="broke">trace</failure>')).when(F.col("status") == "SKIPPED", F.lit("<skipped/>")).when(F.col("status") == "ERROR", F.lit('<error message="crash"/>')).otherwise(F.concat(F.lit('<properties><property name="jira" value="'), key, F.lit('"/></properties>')))
+    case = F.concat(F.lit('<testcase classname="suite.T'), _text("test_case_id"), F.lit('" name="t'), _text("id"), F.lit('" time="0.5">'), inner, F.lit("</testcase>"))
+    xml = F.concat(F.lit('<testsuite name="S'), F.first("test_case_id").cast("string"), F.lit('" timestamp="2024-02-01T00:00:00Z">'), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>"))
+    suites = r.groupBy("build", "shard", "test_case_id", "part").agg(xml.alias("xml"))
+    files = max(1, r.count() // (12 * REPORT_ROWS))
+    dealt_ = suites.select("build", "shard", F.pmod(F.xxhash64("test_case_id", "part"), F.lit(files)).alias("part"), "xml")
+    in_documents(dealt_, ["build", "shard", "part"]).write.partitionBy("build", "shard", "part").text(path)
+
+
+def built_playwright(v: Views, path: str) -> None:
+    """Playwright reports at path/build=<n>/shard=<n>/part=<n>: all executions; some specs lie in a group, some in two, some in none."""
+    e = dealt(v.test_execution.select("*", *_build_of()), "build", "id")
+    word = F.when(F.col("status") == "PASSED", "expected").when(F.col("status") == "FAILED", "unexpected").when(F.col("status") == "FLAKY", "flaky").otherwise("skipped")
+    results = F.array(F.struct(F.lit("passed").alias("status"), F.lit(10.0).alias("duration"), F.lit(0).alias("retry")))
+    test = F.struct(F.lit("chromium").alias("projectName"), word.alias("status"), results.alias("results"))
+    spec = F.struct(F.concat(F.lit("t"), _text("id")).alias("title"), F.concat(F.lit("tests/u"), _text("test_case_id"), F.lit(".spec.ts")).alias("file"), F.array(F.concat(F.lit("@P1-"), _text("id"))).alias("tags"), F.array(test).alias("tests"))
+    those = lambda kind: F.sort_array(F.collect_list(F.when(F.floor(F.col("id") / 3) % 3 == kind, spec)))
+    inner = F.struct(F.lit("Inner").alias("title"), F.lit("").alias("file"), those(2).alias("specs"))
+    group = F.struct(F.lit("Group").alias("title"), F.lit("").alias("file"), those(1).alias("specs"), F.array(inner).alias("suites"))
+    outer = F.struct(F.lit("all.spec.ts").alias("title"), F.lit("tests/all.spec.ts").alias("file"), those(0).alias("specs"), F.array(group).alias("suites"))
+    stats = F.struct(F.lit("2024-02-01T00:00:00.000Z").alias("startTime"), F.lit(1500.0).alias("duration"))
+    texts = e.groupBy("build", "shard", "part").agg(F.to_json(F.struct(F.array(outer).alias("suites"), stats.alias("stats"))).alias("text"))
+    texts.repartition("build", "shard", "part").write.partitionBy("build", "shard", "part").text(path)
+
+
+def _builds(tests: DataFrame, job: str) -> DataFrame:
+    """A row per file of a job, whose build and shard its path tells."""
+    number = lambda name: F.regexp_extract("file", f"{name}=(\\d+)", 1).cast("int")
+    none = F.lit(None).cast("string")
+    return tests.select("file").distinct().select("file", F.lit(job).alias("job_name"), number("build").alias("build_number"), number("shard").alias("shard"), F.lit("ci").alias("ci_provider"), none.alias("branch"), none.alias("build_url"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+def _ingested(v: Views, tests: DataFrame, job: str, source: str) -> dict[str, DataFrame]:
+    """The tables after the files of shard 0, then all files, have been ingested."""
+    state = job_ops.empty_state(v.spark)
+    state["link"] = v.spark.createDataFrame([("P0-0", "elsewhere", "MANUAL", "LOW", "by hand", "ui")], job_ops.LINK)
+    for part in (tests.where("file like '%shard=0%'"), tests):
+        found = job_ops.found_tables(part, _builds(part, job), v.jira_issue.select("issue_key"))
+        state |= {name: kept(df, f"state-{name}") for name, df in job_ops.ingest(state, found, source).items()}
+    return state
+
+
+def _results_with_links(state: dict[str, DataFrame]) -> DataFrame:
+    n = state["link"].groupBy("identity_key").agg(F.count(F.lit(1)).alias("links"))
+    rows = state["result"].join(state["case"], "identity_key").join(n, "identity_key", "left").join(state["build"].select("job_name", "build_number", F.col("started_at").isNotNull().alias("dated")), ["job_name", "build_number"])
+    return rows.select("job_name", "build_number", "shard", "identity_key", "title", "status", F.coalesce("links", F.lit(0)).alias("links"), "dated")
+
+
+def junit_ingest(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "junit-builds")
+    built_junit(v, path)
+    tests = kept(job_ops.junit_tests(junit.read_suites(v.spark, f"{path}/*/*/*/*")), "junit-tests")
+    return _results_with_links(_ingested(v, tests, "nightly", "junit-property"))
+
+
+def playwright_ingest(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "playwright-builds")
+    built_playwright(v, path)
+    tests = kept(job_ops.playwright_tests(playwright.read_reports(v.spark, f"{path}/*/*/*/*")), "playwright-tests")
+    return _results_with_links(_ingested(v, tests, "e2e", "playwright-tag"))
+
+
+def drained(v: Views) -> dict[str, VersionedTable]:
+    """The tables after manifests of JUnit and Playwright shards, and three that fail, were drained in two rounds."""
+    root = scratch_path(v.spark, "drop-zone")
+    built_junit(v, f"{root}/files/nightly")
+    built_playwright(v, f"{root}/files/e2e")
+    tables = {name: VersionedTable(v.spark, f"{root}/{name}", job_ops.SCHEMAS[name], job_ops.KEYS[name], 8) for name in ("build", "run", "case", "result", "batch")}
+
+    def land(name: str, **manifest) -> None:
+        put_text(v.spark, f"{root}/in/{name}/manifest.json", json.dumps({"schema": "1", **manifest}))
+
+    for shard in (0, 1):
+        for job, framework in (("nightly", "junit"), ("e2e", "playwright")):
+            for build in (n for n in listing(v.spark, f"{root}/files/{job}") if n.startswith("build=")):
+                at = f"{root}/files/{job}/{build}/shard={shard}"
+                files = [f"{at}/{n}/{f}" for n in listing(v.spark, at) if n.startswith("part=") for f in listing(v.spark, f"{at}/{n}") if f.startswith("part-")]
+                land(f"{job}/{build[6:]}/{shard}", jobName=job, buildNumber=int(build[6:]), framework=framework, shardIndex=shard, resultFiles=files, startedAt=f"2024-03-0{2 - shard}T00:00:00Z", finishedAt=f"2024-03-0{3 + shard}T00:00:00Z")
+        if shard == 0:
+            land("bad/1", jobName="bad", buildNumber=1, framework="mocha", resultFiles=["a"])
+            land("bad/2", jobName="bad", buildNumber=2, framework="junit", resultFiles=["gone.xml"])
+            put_text(v.spark, f"{root}/in/bad/3/manifest.json", "not json")
+        drain_manifests(v.spark, f"{root}/in", tables, f"{root}/checkpoint")
+    return tables
+
+
+def manifest_drain(v: Views) -> DataFrame:
+    """Status of every batch."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    job = F.coalesce("job_name", F.concat(F.lit("bad "), folder))
+    return drained(v)["batch"].read().select(job.alias("job"), "build_number", "shard", "status", F.split_part(F.coalesce("error", F.lit("")), F.lit(":"), F.lit(1)).alias("error"), "tests")
+
+
+def shard_builds(v: Views) -> DataFrame:
+    """Builds with the span of their shards, and the tests of all their shards."""
+    tables = drained(v)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    runs = tables["run"].read().groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("shards"), F.sum("tests").alias("tests"))
+    results = tables["result"].read().groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("results"))
+    spans = tables["build"].read().select("job_name", "build_number", day("started_at"), day("finished_at"))
+    return spans.join(runs, ["job_name", "build_number"]).join(results, ["job_name", "build_number"])
+
+
+# Sync jobs ------------------------------------------------------------------------------------------------
+
+def pages_of(rows: DataFrame, item, name: str) -> DataFrame:
+    """Landed pages {name: [items]} of some REPORT_ROWS rows each."""
+    pages = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, 2 * rows.count() // REPORT_ROWS))).alias("page"))
+    return pages.agg(F.to_json(F.struct(F.collect_list(item).alias(name))).alias("text")).select("text")
+
+
+CASE_ROW = "tr_case_id long, title string, section_path string, suite_id long, priority string, refs string, updated_at timestamp, custom map<string,string>"
+
+
+def _case_sync(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Landed cases of all suppliers, synced into older ones; every third case has an inferred and a manual link."""
+    s = v.base("supplier")
+    key = F.concat(F.lit("P"), (F.col("s_suppkey") % 7).cast("string"), F.lit("-"), _text("s_suppkey"))
+    item = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("s_nationkey").alias("section_id"), F.lit(1).alias("suite_id"), (F.col("s_suppkey") % 5).alias("priority_id"), F.concat(F.lit("see "), key, F.lit(", NOPE-1")).alias("refs"), F.lit(86400).alias("updated_on"))
+    region = v.base("region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("name"))
+    nation = v.base("nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name"))
+    paths = section_paths(region.unionByName(nation))
+    priorities = v.spark.createDataFrame([(0, "Low"), (1, "Medium"), (2, "High"), (3, "Critical")], "id long, name string")
+    third = s.where("s_suppkey % 3 = 0")
+    old = third.select(F.col("s_suppkey").cast("long").alias("tr_case_id"), F.lit("old").alias("title")).withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in CASE_ROW.split(", ")[2:]})
+    links = third.select(key.alias("issue_key"), F.col("s_suppkey").cast("long").alias("tr_case_id"), F.explode(F.array(F.lit("INFERRED"), F.lit("MANUAL"))).alias("provenance"), F.lit("LOW").alias("confidence"), F.lit("e").alias("evidence"), F.lit("s").alias("source"))
+    return job_ops.sync_cases(old, links, pages_of(s, item, "cases"), paths, priorities, v.jira_issue.select("issue_key"))
+
+
+def result_sync(v: Views) -> DataFrame:
+    """Landed results of the cases that are known (nine of ten), synced into older rows of half of them."""
+    r = v.testrail_result.groupBy("tr_run_id", "tr_case_id").agg(F.max("status_id").alias("status_id"), F.max("tested_at").alias("tested_at"))
+    number = (F.col("tr_run_id") * 100_000_000 + F.col("tr_case_id")).cast("long")
+    item = F.struct(number.alias("id"), F.col("tr_run_id").alias("run_id"), F.col("tr_case_id").alias("case_id"), "status_id", F.unix_timestamp(F.col("tested_at").cast("timestamp")).alias("created_on"))
+    old = r.where("tr_run_id % 2 = 0").select(number.alias("tr_result_id"), F.lit(-1).cast("long").alias("tr_run_id"), "tr_case_id", F.lit(9).alias("status_id"), F.lit(None).cast("timestamp").alias("tested_at"))
+    known = v.testrail_case.where("tr_case_id % 10 <> 0")
+    out = job_ops.sync_results(old, pages_of(r, item, "results"), known)
+    return out.select("tr_result_id", "tr_run_id", "tr_case_id", "status_id", F.date_format("tested_at", "yyyy-MM-dd").alias("tested_on"))
+
+
+_FILES = """f AS (SELECT 'nightly' AS job, id, test_case_id, status, CAST(id % 6 AS INT) AS b, CAST(floor(id / 6) AS INT) % 2 AS s FROM test_case_result
+  UNION ALL SELECT 'e2e', id, test_case_id, status, CAST(id % 6 AS INT), CAST(floor(id / 6) AS INT) % 2 FROM test_execution)"""
 
 
 #: name: (query over the views, SQL)
@@ -139,6 +310,20 @@ QUERIES = {
 FROM test_execution, (SELECT 0 AS n UNION ALL SELECT 1) k WHERE n = 0 OR status = 'FLAKY'""")),
     "playwright_runs": (playwright_runs, over_views("SELECT CAST(test_case_id AS STRING) AS path, CASE WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE status = 'FLAKY') > 0 THEN 'FLAKY' WHEN count(*) FILTER (WHERE status = 'PASSED') = 0 THEN 'SKIPPED' ELSE 'PASSED' END AS status, '2024-01-01 00:00:01.5' AS finished_at FROM test_execution GROUP BY test_case_id")),
     "issue_sync": (issue_sync, over_views("SELECT issue_key, issue_type, summary, status, parent_key, project_key, priority FROM jira_issue")),
+    "junit_ingest": (junit_ingest, over_views("""SELECT 'nightly' AS job_name, CAST(r.id % 6 AS INT) AS build_number, CAST(floor(r.id / 6) AS INT) % 2 AS shard, concat('suite.T', CAST(test_case_id AS STRING), '::t', CAST(r.id AS STRING)) AS identity_key, concat('t', CAST(r.id AS STRING)) AS title, r.status,
+  CASE WHEN i.issue_key IS NULL OR r.status <> 'PASSED' THEN 0 ELSE 1 END AS links, true AS dated FROM test_case_result r LEFT JOIN jira_issue i ON i.issue_key = concat('P', CAST(r.id % 7 AS STRING), '-', CAST(r.id % 2000 AS STRING))""")),
+    "playwright_ingest": (playwright_ingest, over_views("""SELECT 'e2e' AS job_name, CAST(r.id % 6 AS INT) AS build_number, CAST(floor(r.id / 6) AS INT) % 2 AS shard, concat('tests/u', CAST(test_case_id AS STRING), '.spec.ts::', CASE CAST(floor(r.id / 3) AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN 'Group > ' ELSE 'Group > Inner > ' END, 't', CAST(r.id AS STRING)) AS identity_key,
+  concat('t', CAST(r.id AS STRING)) AS title, r.status, CASE WHEN i.issue_key IS NULL THEN 0 ELSE 1 END AS links, true AS dated FROM test_execution r LEFT JOIN jira_issue i ON i.issue_key = concat('P1-', CAST(r.id AS STRING))""")),
+    "manifest_drain": (manifest_drain, over_views("").rstrip() + f""",\n{_FILES} SELECT job, b AS build_number, s AS shard, 'ok' AS status, '' AS error, count(*) AS tests FROM f GROUP BY job, b, s
+UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0 UNION ALL SELECT 'bad', 2, 0, 'failed', 'missing', 0 UNION ALL SELECT 'bad 3', NULL, NULL, 'failed', 'not a manifest', 0"""),
+    "shard_builds": (shard_builds, over_views("").rstrip() + f""",\n{_FILES} SELECT job AS job_name, b AS build_number, CASE WHEN max(s) = 1 THEN '2024-03-01' ELSE '2024-03-02' END AS started_at, CASE WHEN max(s) = 1 THEN '2024-03-04' ELSE '2024-03-03' END AS finished_at, count(DISTINCT s) AS shards, count(*) AS tests, count(*) AS results FROM f GROUP BY job, b"""),
+    "case_sync": (lambda v: _case_sync(v)[0].select("tr_case_id", "title", "section_path", "priority"), over_views("""SELECT CAST(s_suppkey AS BIGINT) AS tr_case_id, s_name AS title, concat(r_name, ' / ', n_name) AS section_path, CASE s_suppkey % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' WHEN 3 THEN 'Critical' ELSE '4' END AS priority
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")),
+    "case_sync_links": (lambda v: _case_sync(v)[1].select("issue_key", "tr_case_id", "provenance", "confidence"), over_views("""SELECT k AS issue_key, tr_case_id, provenance, confidence FROM (SELECT concat('P', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING)) AS k, CAST(s_suppkey AS BIGINT) AS tr_case_id, 'EXPLICIT' AS provenance, 'HIGH' AS confidence FROM supplier) x JOIN jira_issue i ON i.issue_key = k
+  UNION ALL SELECT concat('P', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING)), CAST(s_suppkey AS BIGINT), p, 'LOW' FROM supplier, (SELECT 'INFERRED' AS p UNION ALL SELECT 'MANUAL') y WHERE s_suppkey % 3 = 0""")),
+    "case_sync_skipped": (lambda v: _case_sync(v)[2].groupBy("issue_key").agg(F.count(F.lit(1)).alias("cases")), over_views("""SELECT k AS issue_key, count(*) AS cases FROM (SELECT concat('P', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING)) AS k FROM supplier UNION ALL SELECT 'NOPE-1' FROM supplier) x WHERE k NOT IN (SELECT issue_key FROM jira_issue) GROUP BY k""")),
+    "result_sync": (result_sync, over_views("""SELECT tr_run_id * 100000000 + tr_case_id AS tr_result_id, CASE WHEN tr_run_id % 2 = 0 THEN -1 ELSE tr_run_id END AS tr_run_id, tr_case_id, CASE WHEN tr_case_id % 10 = 0 THEN 9 ELSE status_id END AS status_id, CASE WHEN tr_case_id % 10 <> 0 THEN strftime(tested_at, '%Y-%m-%d') END AS tested_on
+  FROM (SELECT tr_run_id, tr_case_id, max(status_id) AS status_id, max(tested_at) AS tested_at FROM testrail_result GROUP BY 1, 2) x WHERE tr_run_id % 2 = 0 OR tr_case_id % 10 <> 0""")),
     "event_drain": (event_drain, "SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"),
 }
 

@@ -194,8 +194,51 @@ def _executions(v: Views) -> DataFrame:
     return v.test_execution.select((F.col("id") % 50).alias("run_id"), "test_case_id", F.concat(F.lit("test "), F.col("test_case_id").cast("string")).alias("title"), "status", "error_text", (F.col("id") * 37 % 200000).alias("duration_ms"), ids.alias("annotation_ids"))
 
 
+def _found_links(v: Views) -> DataFrame:
+    """Links that the key inference finds, beside the bound ones of all provenances."""
+    found = inference.embedded_key_links(_keyed_tests(v), v.jira_issue)[0]
+    return found.select("issue_key", "test_case_id", F.lit("LOW").alias("confidence"), "evidence")
+
+
+def _old_links(v: Views) -> DataFrame:
+    return v.jira_automation_link.select("issue_key", "test_case_id", "provenance", "confidence", F.lit("old").alias("evidence"), F.lit("job").alias("source"))
+
+
+def _upserted(v: Views) -> DataFrame:
+    return merge.upsert_links(_old_links(v), _found_links(v), ["issue_key", "test_case_id"], "INFERRED", "name-inference")
+
+
+def _noted_executions(v: Views) -> DataFrame:
+    """The executions of the export, with annotations instead of case ids: every sixth names a case, all have another note."""
+    note = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("description"))
+    case = F.when(F.col("id") % 6 == 0, F.array(note("TestRail", F.concat(F.lit("C"), (F.col("id") % 100).cast("string"))))).otherwise(F.array().cast("array<struct<type:string,description:string>>"))
+    notes = F.concat(case, F.array(note("issue", F.lit("C77"))))
+    return v.test_execution.select((F.col("id") % 50).alias("run_id"), "test_case_id", F.concat(F.lit("test "), F.col("test_case_id").cast("string")).alias("title"), "status", "error_text", (F.col("id") * 37 % 200000).alias("duration_ms"), export.annotation_case_ids(notes).alias("annotation_ids"))
+
+
+def _export(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The export of the runs (all that the executions have) that were created in the last twenty days, over links of MED or more."""
+    e = _noted_executions(v)
+    created = F.lit(v.as_of).cast("timestamp_ntz") - F.make_dt_interval(F.col("run_id").cast("int"))
+    runs = e.select("run_id").distinct().select("run_id", F.lit("e2e").alias("job_name"), (F.col("run_id") % 10).cast("int").alias("build_number"), created.alias("created_at"))
+    rank = (F.col("test_case_id") + F.col("tr_case_id")) % 3
+    links = v.automation_testrail_link.withColumn("confidence", F.when(rank == 0, "HIGH").when(rank == 1, "MED").otherwise("LOW"))
+    return export.export_runs(export.selected_runs(runs, since=v.as_of - dt.timedelta(days=20)), e, links)
+
+
+EXPORT = """x AS (SELECT id % 50 AS run_id, test_case_id, status, id FROM test_execution WHERE id % 50 <= 20),
+y AS (SELECT x.*, id % 100 AS case_id FROM x WHERE id % 6 = 0 UNION ALL SELECT x.*, l.tr_case_id FROM x JOIN automation_testrail_link l ON l.test_case_id = x.test_case_id AND (l.test_case_id + l.tr_case_id) % 3 < 2 WHERE id % 6 <> 0)"""
+UPSERT = f"""{KEYED}, fl AS (SELECT issue_key, test_case_id FROM o WHERE issue_key IN (SELECT issue_key FROM jira_issue)),
+un AS (SELECT coalesce(l.issue_key, f.issue_key) AS issue_key, coalesce(l.test_case_id, f.test_case_id) AS test_case_id, coalesce(l.provenance, 'INFERRED') AS provenance, CASE WHEN f.issue_key IS NULL THEN l.confidence ELSE 'LOW' END AS confidence, f.issue_key IS NOT NULL AS written
+  FROM jira_automation_link l FULL JOIN fl f ON f.issue_key = l.issue_key AND f.test_case_id = l.test_case_id AND l.provenance = 'INFERRED')"""
+
+
 #: name: (query over the views, SQL)
 QUERIES = {
+    "link_upsert": (lambda v: _upserted(v).select("issue_key", "test_case_id", "provenance", "confidence"), over_views("").rstrip() + f",\n{UPSERT} SELECT issue_key, test_case_id, provenance, confidence FROM un"),
+    "link_counts": (lambda v: merge.link_counts(_old_links(v), _upserted(v), ["issue_key", "test_case_id"]), over_views("").rstrip() + f",\n{UPSERT} SELECT provenance, confidence, count(*) FILTER (WHERE written) AS written, count(*) FILTER (WHERE NOT written) AS unchanged, CAST(0 AS BIGINT) AS removed FROM un GROUP BY provenance, confidence"),
+    "export_selected": (lambda v: _export(v)[1].select("run_id", "case_id", "status_id"), over_views("").rstrip() + f",\n{EXPORT} SELECT run_id, case_id, CASE status WHEN 'PASSED' THEN 1 WHEN 'FLAKY' THEN 4 WHEN 'SKIPPED' THEN 3 ELSE 5 END AS status_id FROM y"),
+    "export_runs": (lambda v: _export(v)[0].select("run_id", "name", F.array_join(F.transform("case_ids", lambda x: x.cast("string")), ",").alias("cases"), "n_results"), over_views("").rstrip() + f",\n{EXPORT} SELECT run_id, concat('e2e #', CAST(run_id % 10 AS STRING), ' — ', strftime({SQL_AS_OF} - to_days(CAST(run_id AS INT)), '%Y-%m-%d')) AS name, array_to_string(list_sort(list_distinct(list(case_id))), ',') AS cases, count(*) AS n_results FROM y GROUP BY run_id"),
     "key_links": (lambda v: inference.embedded_key_links(_keyed_tests(v), v.jira_issue)[0].select("issue_key", "test_case_id", "field"), over_views("").rstrip() + f",\n{KEYED} SELECT issue_key, test_case_id, field FROM o WHERE issue_key IN (SELECT issue_key FROM jira_issue)"),
     "skipped_keys": (lambda v: inference.embedded_key_links(_keyed_tests(v), v.jira_issue)[1].groupBy("issue_key").agg(F.count(F.lit(1)).alias("n")), over_views("").rstrip() + f",\n{KEYED} SELECT issue_key, count(*) AS n FROM o WHERE issue_key NOT IN (SELECT issue_key FROM jira_issue) GROUP BY issue_key"),
     "tokens_titles": (lambda v: _joined(v.base("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("t")), tx.title_tokens(F.col("t"))), _tokens_sql("SELECT conv_id * 100 + turn AS id, text AS t FROM conversations", V1)),
@@ -224,7 +267,7 @@ QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_cas
     "merge_last_write": (lambda v: merge.last_write_wins(_events_batch(v), ["user_id"], [F.desc("ts")]), "SELECT user_id, ts, event_type, CAST(floor(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"),
     "merge_link_reset": (lambda v: merge.reset_links(v.jira_automation_link, "INFERRED"), over_views("SELECT * FROM jira_automation_link WHERE provenance <> 'INFERRED'")),
     "high_water_mark": (lambda v: merge.high_water_mark(v.base("orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("m")), "o_orderpriority", "m"), "SELECT min(m) - INTERVAL '1' HOUR AS since FROM (SELECT o_orderpriority, max(CAST(o_orderdate AS TIMESTAMP)) AS m FROM orders GROUP BY 1) x"),
-    "section_path": (lambda v: sections.section_paths(_sections(v), 5), SECTIONS),
+    "section_path": (lambda v: sections.section_paths(_sections(v)), SECTIONS),
     "snapshot_row": (lambda v: export.snapshot_row(v.executed_summary, v.as_of), over_views(f"SELECT * EXCLUDE (as_of_date), {SQL_AS_OF} AS taken_at FROM v_executed_summary")),
     "expired_artifacts": (lambda v: export.expired_artifacts(_artifacts(v), v.as_of).select("uri", "age_days"), f"""SELECT uri, age_days FROM (SELECT concat('builds/', CAST(event_id AS STRING), '/x', CASE event_id % 5 WHEN 0 THEN '.webm' WHEN 1 THEN '.png' WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' ELSE '.bin' END) AS uri,
   CAST({SQL_AS_OF} AS DATE) - CAST(ts - INTERVAL '70' DAY AS DATE) AS age_days, CASE event_id % 5 WHEN 0 THEN 30 WHEN 4 THEN NULL ELSE 90 END AS keep FROM events) x WHERE age_days > keep"""),

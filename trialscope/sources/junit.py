@@ -60,19 +60,20 @@ def read_cases(suites: DataFrame, title_mode: str = "name") -> DataFrame:
     )
 
 
-def _values(names: list[str]) -> Column:
+def property_values(names: list[str] | tuple[str, ...]) -> Column:
+    """The values of a case's properties of the given names (in any case), with spaces between."""
     wanted = [n.lower() for n in names]
     return F.concat_ws(" ", F.transform(F.filter("properties", lambda p: F.lower(p["name"]).isin(*wanted)), lambda p: p["value"]))
 
 
 def property_keys(cases: DataFrame, names: list[str]) -> DataFrame:
     """identity_key, issue_key of issue keys in the properties of the given names (in any case)."""
-    return cases.select("identity_key", F.explode(issue_keys_strict(_values(names))).alias("issue_key")).distinct()
+    return cases.select("identity_key", F.explode(issue_keys_strict(property_values(names))).alias("issue_key")).distinct()
 
 
 def property_case_ids(cases: DataFrame, names: list[str]) -> DataFrame:
     """identity_key, tr_case_id of case ids in the properties of the given names (in any case)."""
-    return cases.select("identity_key", F.explode(case_ids(_values(names))).alias("tr_case_id")).distinct()
+    return cases.select("identity_key", F.explode(case_ids(property_values(names))).alias("tr_case_id")).distinct()
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

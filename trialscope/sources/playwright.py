@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialscope.functions.text import case_ids, error_fingerprint, issue_keys, truncated
+from trialscope.sources.scratch import kept
 
 _OUT = "array<struct<text:string,buffer:string>>"
 _RESULT = f"struct<status:string,duration:double,retry:int,startTime:string,errors:array<struct<message:string>>,stdout:{_OUT},stderr:{_OUT},attachments:array<struct<name:string,contentType:string,path:string>>,annotations:array<struct<type:string,description:string>>>"
@@ -30,28 +31,25 @@ def runs(reports: DataFrame) -> DataFrame:
     return reports.select("path", status.alias("status"), start.alias("started_at"), F.timestamp_millis(F.unix_millis(start) + s["duration"].cast("long")).alias("finished_at"))
 
 
-def specs(reports: DataFrame, deepest: int = 8) -> DataFrame:
+def specs(reports: DataFrame) -> DataFrame:
     """A row per spec: path, file, titles (of the suites around it), spec.
 
     A suite with a file of its own adds no title; one without adds its title, if it has one; the file
-    is the nearest one around. Reports nested deeper than `deepest` raise an error.
+    is the nearest one around. Suites may be nested to any depth: each level is parsed once and written
+    to the shared folder, and the next one is read from there.
     """
     level = reports.select("path", F.explode(F.from_json("text", _REPORT)["suites"]).alias("s"), F.lit(None).cast("string").alias("file"), F.array().cast("array<string>").alias("titles"))
-    found = []
-    for depth in range(deepest + 1):
+    out = None
+    while True:
         s = level.select("path", F.from_json("s", _SUITE).alias("s"), F.col("file").alias("_file"), F.col("titles").alias("_titles"))
         own = F.nullif(F.col("s.file"), F.lit(""))
         titled = own.isNull() & F.col("s.title").isNotNull() & (F.col("s.title") != "")
-        s = s.select("path", "s", F.coalesce(own, "_file").alias("file"), F.when(titled, F.concat("_titles", F.array("s.title"))).otherwise(F.col("_titles")).alias("titles"))
-        spec = s.select("path", "file", "titles", F.explode("s.specs").alias("spec"))
-        if depth == deepest:
-            spec = spec.withColumn("file", F.raise_error(F.lit("suites are nested too deep")).cast("string"))
-        found.append(spec)
-        level = s.select("path", F.explode("s.suites").alias("s"), "file", "titles")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        parsed = kept(s.select("path", "s.specs", "s.suites", F.coalesce(own, "_file").alias("file"), F.when(titled, F.concat("_titles", F.array("s.title"))).otherwise(F.col("_titles")).alias("titles")), "suites")
+        found = parsed.select("path", "file", "titles", F.explode("specs").alias("spec"))
+        out = found if out is None else out.unionByName(found)
+        level = parsed.select("path", F.explode("suites").alias("s"), "file", "titles")
+        if level.isEmpty():
+            return out
 
 
 def _execution_status(c: Column) -> Column:
@@ -112,3 +110,15 @@ def artifacts(execution_rows: DataFrame) -> DataFrame:
     a = bad.select("path", "test_id", "project", F.explode("results").alias("r")).select("path", "test_id", "project", F.explode("r.attachments").alias("a"))
     name = F.regexp_replace(F.lower("a.name"), r"\s+", "_")
     return a.select("path", "test_id", "project", name.alias("name"), artifact_kind(F.col("a.contentType"), name).alias("kind"), F.col("a.path").alias("uri"))
+
+
+def artifact_index(artifact_rows: DataFrame) -> DataFrame:
+    """A row per execution: a map from normal attachment name to URI (the first by URI where names repeat)."""
+    one = artifact_rows.groupBy("path", "test_id", "project", "name").agg(F.min("uri").alias("uri"))
+    return one.groupBy("path", "test_id", "project").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "uri")))).alias("uris"))
+
+
+def log_uris(log_rows: DataFrame) -> DataFrame:
+    """A row per attempt: log_uri names the row of its standard output; null where it wrote none."""
+    name = F.concat_ws("/", "test_id", "project", F.col("attempt_no").cast("string"), F.lit("stdout"))
+    return log_rows.groupBy("path", "test_id", "project", "attempt_no").agg(F.max(F.when(F.col("log_type") == "stdout", name)).alias("log_uri"))

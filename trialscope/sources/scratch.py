@@ -1,19 +1,63 @@
-"""Folders for tables that jobs write and read again."""
+"""Folders for tables that jobs write and read again, and small file operations in any store that Spark opens."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in an own one on a single machine."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if unset on a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, and nothing is computed twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    store, p = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _hadoop(spark, path)
+    return store.exists(p)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    store, p = _hadoop(spark, path)
+    store.delete(p, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file."""
+    store, p = _hadoop(spark, path)
+    out = store.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -1,48 +1,67 @@
-"""Drains of result files by Structured Streaming: each file once, bad ones aside, repeats harmless."""
+"""Drains of result files by Structured Streaming: each file once, bad ones aside, repeats and late rows harmless."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialscope.operators.merge import last_write_wins, merge
+from trialscope.operators.ingest import ingest_batches
+from trialscope.streaming.tables import VersionedTable
 
+#: Version numbers of a batch of manifests: the first is the drain's, the rest are for reprocessing before the next batch.
+NUMBERS = 1000
 
-def current(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The newest version of a table of versions (table/v=<batch>), or an empty one."""
-    try:
-        versions = spark.read.option("basePath", table).schema(schema).parquet(f"{table}/v=*")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    last = versions.agg(F.max("v").alias("v"))
-    return versions.join(F.broadcast(last), "v", "left_semi").select(*[f.name for f in schema.fields])
 
-
-def drain_json(spark: SparkSession, incoming: str, schema: str, table: str, rejects: str, checkpoint: str, keys: list[str], newest: str, files_per_batch: int = 1000, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Merge all JSON lines that have come into `incoming` since the last drain into the newest version of `table`.
+def drain_json(table: VersionedTable, incoming: str, rejects: str, checkpoint: str, newest: str, files_per_batch: int = 1000, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Merge all JSON lines that have come into `incoming` since the last drain into the table.
 
     The checkpoint remembers files, so that each is read once; lines that don't parse go to `rejects`
-    with their text; of several rows of a key in a batch the newest holds, and a row that comes again
-    changes nothing. A batch writes a new version under its number, so that doing it again after a
-    failure writes the same.
+    with their text. Of all rows of a key, in the table and the batch, the newest holds: a row that
+    comes again or late changes nothing. A batch writes a version under its number, so that doing it
+    again after a failure writes the same.
     """
-    rows = spark.readStream.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files_per_batch).json(incoming)
+    spark = table.spark
+    rows = spark.readStream.schema(f"{table.schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files_per_batch).json(incoming)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         bad = batch.where("_corrupt is not null").select(F.col("_corrupt").alias("text"), F.lit(number).alias("batch"))
         bad.write.mode("overwrite").parquet(f"{rejects}/v={number}")
         good = batch.where("_corrupt is null").drop("_corrupt")
-        good = prepare(good) if prepare else good
-        old = current(spark, table, good.schema)
-        merge(old, last_write_wins(good, keys, [F.desc_nulls_last(newest)]), keys).write.mode("overwrite").parquet(f"{table}/v={number}")
+        table.merge_newest(prepare(good) if prepare else good, number, [F.desc_nulls_last(newest)])
+        batch.unpersist()
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_manifests(spark: SparkSession, incoming: str, tables: dict[str, VersionedTable], checkpoint: str, limit: int = 100) -> None:
+    """Ingest the batches of result files whose manifests have come into `incoming` (at any depth) since the last drain.
+
+    Each manifest is read once, `limit` of them at a time. Its files are read as its framework asks; what
+    they hold is merged into the tables of ingest_batches(), and the batch's status into tables["batch"].
+    A batch that fails (an unreadable manifest, a file that is missing or has no tests) is left where it
+    lies, with its error in the status; reprocess_failed() tries it again.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "manifest*.json").option("recursiveFileLookup", True).option("maxFilesPerTrigger", limit).load(incoming)
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        ingest_batches(batch, tables, number * NUMBERS)
         batch.unpersist()
 
-    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def reprocess_failed(tables: dict[str, VersionedTable], limit: int = 100) -> None:
+    """Try failed batches again, the first `limit` by path, as they lie now."""
+    status = tables["batch"]
+    failed = [r["path"] for r in status.read().where("status = 'failed'").select("path").orderBy("path").limit(limit).collect()]
+    if failed:
+        files = status.spark.read.text(failed, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        ingest_batches(files, tables, max(status.versions()) + 1)
 
 
 def reprocess(spark: SparkSession, rejects: str, schema: str, fix: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
