@@ -61,20 +61,19 @@ TESTS = "ts AS (SELECT s_suppkey AS id, concat(p_type, ' ', p_name) AS t FROM su
 
 
 def _cases(v: Views) -> DataFrame:
-    titled = v.base("part").select(F.col("p_partkey").alias("tr_case_id"), F.concat(F.lit("Verify that "), F.col("p_name")).alias("title"))
-    return v.testrail_case.select("tr_case_id").join(titled, "tr_case_id")
+    """A case per part; those whose number is a supplier's have links."""
+    return v.base("part").select(F.col("p_partkey").alias("tr_case_id"), F.concat(F.lit("Verify that "), F.col("p_name")).alias("title"))
 
 
-CASES = "cs AS (SELECT p_partkey AS tr_case_id, concat('Verify that ', p_name) AS t FROM part JOIN testrail_case c ON c.tr_case_id = p_partkey)"
+CASES = "cs AS (SELECT p_partkey AS tr_case_id, concat('Verify that ', p_name) AS t FROM part)"
 
 
 def _explicit(v: Views) -> DataFrame:
-    """Cases with a confident explicit link to an issue of the highest priority."""
-    top = v.jira_issue.where("priority = 'Highest'").select("issue_key")
-    return v.jira_testrail_link.where("provenance = 'EXPLICIT' AND confidence = 'HIGH'").join(top, "issue_key", "left_semi").select("tr_case_id").distinct()
+    """Cases with a confident explicit link to an issue."""
+    return v.jira_testrail_link.where("provenance = 'EXPLICIT' AND confidence = 'HIGH'").select("tr_case_id").distinct()
 
 
-EXPLICIT = "ex AS (SELECT DISTINCT tr_case_id FROM jira_testrail_link l JOIN jira_issue i ON i.issue_key = l.issue_key WHERE l.provenance = 'EXPLICIT' AND l.confidence = 'HIGH' AND i.priority = 'Highest')"
+EXPLICIT = "ex AS (SELECT DISTINCT tr_case_id FROM jira_testrail_link WHERE provenance = 'EXPLICIT' AND confidence = 'HIGH')"
 
 
 def _titles(v: Views) -> DataFrame:
@@ -82,14 +81,7 @@ def _titles(v: Views) -> DataFrame:
     return v.jira_issue.groupBy("summary").agg(F.min("issue_key").alias("issue_key"))
 
 
-def _case_links(v: Views) -> DataFrame:
-    """Confident links of tests and cases: returned items of one discount."""
-    joined = v.base("lineitem").where("l_quantity = 25 AND l_discount = 0.05 AND l_returnflag = 'A'").join(v.base("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    n = v.base("customer").agg(F.floor(F.count(F.lit(1)) / 5).alias("n"))
-    return joined.join(F.broadcast(n)).select((F.col("o_custkey") % F.col("n")).alias("test_case_id"), F.col("l_suppkey").alias("tr_case_id")).distinct()
-
-
-CASE_LINKS = "cl AS (SELECT DISTINCT o_custkey % (SELECT CAST(floor(count(*) / 5.0) AS BIGINT) FROM customer) AS test_case_id, l_suppkey AS tr_case_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 25 AND l_discount = 0.05 AND l_returnflag = 'A')"
+CASE_LINKS = "cl AS (SELECT test_case_id, tr_case_id FROM automation_testrail_link)"
 ISSUES = "iss AS (SELECT issue_key, summary AS t FROM jira_issue)"
 BRIDGE_A = "ba AS (SELECT DISTINCT l.issue_key, c.tr_case_id FROM jira_automation_link l JOIN cl c ON c.test_case_id = l.test_case_id WHERE c.tr_case_id NOT IN (SELECT tr_case_id FROM ex))"
 BRIDGE_B = f"bb AS (SELECT DISTINCT i.issue_key, c.tr_case_id FROM (SELECT issue_key, {NORMAL} AS n FROM iss) i JOIN (SELECT tr_case_id, {NORMAL} AS n FROM cs) c ON c.n = i.n AND i.n <> '' WHERE c.tr_case_id NOT IN (SELECT tr_case_id FROM ex) AND c.tr_case_id NOT IN (SELECT tr_case_id FROM ba))"
@@ -107,7 +99,7 @@ bc AS (SELECT issue_key, tr_case_id, score FROM sr WHERE rn = 1 AND (nxt IS NULL
 
 
 def _waterfall(v: Views) -> DataFrame:
-    return inference.bridge_waterfall(v.jira_automation_link, _case_links(v), v.jira_issue, _cases(v), _explicit(v))
+    return inference.bridge_waterfall(v.jira_automation_link, v.automation_testrail_link, v.jira_issue, _cases(v), _explicit(v))
 
 
 # Flakes ---------------------------------------------------------------------------------------------------
@@ -253,8 +245,8 @@ a AS (SELECT id, list_distinct({V2}) AS w FROM ts), b AS (SELECT tr_case_id, lis
 s AS (SELECT a.id AS test_case_id, b.tr_case_id, len(list_filter(a.w, lambda x: len(list_filter(b.w, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(a.w) AS score FROM a, b WHERE len(a.w) > 0)
 SELECT test_case_id, tr_case_id, score, CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MED' ELSE 'LOW' END AS confidence FROM s WHERE score >= 0.3
 QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_case_id) <= 5"""),
-    "bridge_by_test": (lambda v: inference.bridge_by_test(v.jira_automation_link, _case_links(v), _explicit(v)), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {BRIDGE_A} SELECT * FROM ba"),
-    "bridge_by_title": (lambda v: inference.bridge_by_title(v.jira_issue, _cases(v), _explicit(v), inference.bridge_by_test(v.jira_automation_link, _case_links(v), _explicit(v))), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {CASES}, {ISSUES}, {BRIDGE_A}, {BRIDGE_B} SELECT * FROM bb"),
+    "bridge_by_test": (lambda v: inference.bridge_by_test(v.jira_automation_link, v.automation_testrail_link, _explicit(v)), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {BRIDGE_A} SELECT * FROM ba"),
+    "bridge_by_title": (lambda v: inference.bridge_by_title(v.jira_issue, _cases(v), _explicit(v), inference.bridge_by_test(v.jira_automation_link, v.automation_testrail_link, _explicit(v))), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {CASES}, {ISSUES}, {BRIDGE_A}, {BRIDGE_B} SELECT * FROM bb"),
     "bridge_waterfall": (_waterfall, over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {CASES}, {ISSUES}, {BRIDGE_A}, {BRIDGE_B}, {BRIDGE_C} SELECT issue_key, tr_case_id, 'A' AS strategy, 'HIGH' AS confidence FROM ba UNION ALL SELECT issue_key, tr_case_id, 'B', 'MED' FROM bb UNION ALL SELECT issue_key, tr_case_id, 'C', 'MED' FROM bc"),
     "similarity_gap": (lambda v: inference.bridge_by_similarity(_titles(v), _cases(v), _explicit(v), _explicit(v)), over_views("").rstrip() + f",\n{EXPLICIT}, {CASES}, iss AS (SELECT min(issue_key) AS issue_key, summary AS t FROM jira_issue GROUP BY summary), ba AS (SELECT tr_case_id FROM ex), bb AS (SELECT tr_case_id FROM ex), {BRIDGE_C} SELECT issue_key, tr_case_id, score FROM bc"),
     "anchor_links": (lambda v: inference.anchor_links(v.test_case, v.jira_issue.select("issue_key", F.concat(F.lit("test_Customer#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("title")))[0].select("issue_key", "test_case_id"), over_views("SELECT i.issue_key, t.id AS test_case_id FROM jira_issue i JOIN test_case t ON t.title = concat('test_Customer#', lpad(CAST(i.p_partkey AS STRING), 9, '0'))")),
