@@ -1,5 +1,9 @@
 """The pipeline's stages against plain versions of what they keep."""
 
+import random
+import re
+from collections import Counter
+
 import corpus_pipeline
 from trialscope.llm.exact_dedup import exact_dedup
 from trialscope.llm.jaccard_join import jaccard_components
@@ -7,6 +11,7 @@ from trialscope.llm.quality_gam import score_quality
 from trialscope.llm.toxicity_lm import score_toxicity
 
 SF = "/root/testdata/sf0.001"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
 
 
 def ids(df):
@@ -24,3 +29,67 @@ def test_each_stage_keeps_what_its_operator_says(spark):
     near = stages["near_dedup"](spark, docs, SF)
     assert ids(near) == ids(jaccard_components(docs).where("doc_id = component_id")) and near.columns == docs.columns
     assert set(ids(stages["packing"](spark, near, SF))) == set(ids(near))
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_dedup_stages_against_plain_versions(spark):
+    """Exact and near dedup by plain loops, with null and repeated ids, empty texts, ties and columns of clashing names."""
+    rnd = random.Random(9)
+    base = [" ".join(rnd.choices(WORDS, k=40)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, t.replace(" ", "  \t")) for i, t in enumerate(base[:5])]  # equal after white space is one space
+    rows += [(200 + i, t + " end") for i, t in enumerate(base[3:9])]  # near copies
+    rows += [(300, None), (301, ""), (302, " "), (None, base[0]), (None, "none has me"), (7, base[7]), (303, "two words"), (304, "two words")]
+    docs = spark.createDataFrame([(i, t, "x", i, "a", {"k": "v"}) for i, t in rows], "doc_id long, text string, _sha string, _n long, id string, keep_id map<string,string>")
+    exact = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, "")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    last = lambda i: (i is None, i or 0)
+    stay = {}
+    for i, t in rows:
+        if norm(t) not in stay or last(i) < last(stay[norm(t)]):
+            stay[norm(t)] = i
+    assert exact.columns == docs.columns
+    assert Counter((r.doc_id, norm(r.text)) for r in exact.collect()) == Counter((i, t) for t, i in stay.items())
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    ids = sorted(i for i in sets if i is not None)
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                alike = any(x and y and len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b])
+                if alike and least[a] > least[b]:
+                    least[a], changed = least[b], True
+    assert near.columns == docs.columns
+    want = Counter((i, t) for i, t in rows if i is None or least[i] == i)
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == want and sum(want.values()) < len(rows) - 8
+
+
+def test_filtering_stages_reject_what_is_planted(spark, tmp_path):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(500):
+        words, kind = rnd.choices(WORDS, k=60), i % 4
+        for k in range(8):
+            if kind in (1, 2):
+                words[rnd.randrange(60)] = rnd.choice(("#$%&*", "!!!!")) if kind == 1 else "vile" + rnd.choice(("ness", "ly", "st"))
+        rows.append((i, " ".join(words), kind))
+        if i % 3:
+            labels.append((i, int(kind != 1), int(kind == 2)))
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, bad in (("quality", 1), ("toxicity", 2)):
+        kept = Counter(r.kind for r in stages[name](spark, docs, str(tmp_path)).collect())
+        assert kept[bad] < 10 and all(kept[k] > 115 for k in range(4) if k != bad)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0

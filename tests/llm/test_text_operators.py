@@ -61,6 +61,109 @@ def test_gam_learns_an_interaction():
     assert next(iter(gam.pairs)) == (0, 1) and ((gam.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.8  # single features give a half
 
 
+def plain_line_tree(place, g, h, size, least):
+    """Steps of a tree of at most four leaves over bins, by trying all cuts of the rows' bins."""
+    sums = lambda a, b: (sum(x for p, x in zip(place, g) if a <= p < b), sum(x for p, x in zip(place, h) if a <= p < b))
+    regions = [(0, size)]
+    for _ in range(2):
+        new = []
+        for a, b in regions:
+            best = (sums(a, b)[0] ** 2 / (sums(a, b)[1] + 1), None)
+            for c in range(a + 1, b):
+                (gl, hl), (gr, hr) = sums(a, c), sums(c, b)
+                if hl >= least and hr >= least and gl**2 / (hl + 1) + gr**2 / (hr + 1) > best[0] + 1e-12:
+                    best = (gl**2 / (hl + 1) + gr**2 / (hr + 1), c)
+            new += [(a, b)] if best[1] is None else [(a, best[1]), (best[1], b)]
+        regions = new
+    return [next(sums(a, b)[0] / (sums(a, b)[1] + 1) for a, b in regions if a <= p < b) for p in range(size)]
+
+
+def plain_pair_tree(places, g, h, shape, least):
+    """Steps of a tree of at most four leaves over a grid, and its gain; each region is cut once along either axis."""
+
+    def sums(r):
+        rows = [i for i, (p, q) in enumerate(places) if r[0] <= p < r[1] and r[2] <= q < r[3]]
+        return sum(g[i] for i in rows), sum(h[i] for i in rows)
+
+    def cuts(r):
+        for c in range(r[0] + 1, r[1]):
+            yield (r[0], c, r[2], r[3]), (c, r[1], r[2], r[3])
+        for c in range(r[2] + 1, r[3]):
+            yield (r[0], r[1], r[2], c), (r[0], r[1], c, r[3])
+
+    regions = [(0, shape[0], 0, shape[1])]
+    for _ in range(2):
+        new = []
+        for r in regions:
+            best = (-1.0, [r])
+            for two in cuts(r):
+                (gl, hl), (gr, hr) = map(sums, two)
+                gain = gl**2 / (hl + 1) + gr**2 / (hr + 1)
+                if hl >= least and hr >= least and gain > best[0] + 1e-12:
+                    best = (gain, list(two))
+            new += best[1]
+        regions = new
+    step = lambda r: sums(r)[0] / (sums(r)[1] + 1)
+    out = [[next(step(r) for r in regions if r[0] <= p < r[1] and r[2] <= q < r[3]) for q in range(shape[1])] for p in range(shape[0])]
+    return out, sum(sums(r)[0] ** 2 / (sums(r)[1] + 1) for r in regions)
+
+
+def plain_gam(x, y, rounds, pair_rounds, n_pairs, bins, pair_bins, rate, least):
+    """(margins of the rows, tables, pair tables) of cyclic boosting by plain loops over the rows."""
+    features = range(len(x[0]))
+    cut = lambda j, k: sorted(set(np.quantile([r[j] for r in x], [i / k for i in range(1, k)]).tolist()))
+    cuts, pair_cuts = [cut(j, bins) for j in features], [cut(j, pair_bins) for j in features]
+    place = lambda r, j, those: sum(c <= r[j] for c in those[j])
+    p = (sum(y) + 1) / (len(y) + 2)
+    margin = [math.log(p / (1 - p))] * len(y)
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+
+    def slopes():
+        q = [1 / (1 + math.exp(-m)) for m in margin]
+        return [a - b for a, b in zip(y, q)], [b * (1 - b) for b in q]
+
+    for _ in range(rounds):
+        for j in features:
+            at = [place(r, j, cuts) for r in x]
+            step = plain_line_tree(at, *slopes(), len(tables[j]), least)
+            for b, s in enumerate(step):
+                tables[j][b] += rate * s
+            for i, b in enumerate(at):
+                margin[i] += rate * step[b]
+    cells = {(i, j): [(place(r, i, pair_cuts), place(r, j, pair_cuts)) for r in x] for i in features for j in features if i < j}
+    shape = {(i, j): (len(pair_cuts[i]) + 1, len(pair_cuts[j]) + 1) for i, j in cells}
+    gains = {k: plain_pair_tree(cells[k], *slopes(), shape[k], least)[1] for k in cells}
+    pairs = {k: [[0.0] * shape[k][1] for _ in range(shape[k][0])] for k in sorted(gains, key=lambda k: (-gains[k], k))[:n_pairs]}
+    for _ in range(pair_rounds):
+        for k, table in pairs.items():
+            step, _ = plain_pair_tree(cells[k], *slopes(), shape[k], least)
+            for a, row in enumerate(step):
+                for b, s in enumerate(row):
+                    table[a][b] += rate * s
+            for i, (a, b) in enumerate(cells[k]):
+                margin[i] += rate * step[a][b]
+    return margin, tables, pairs
+
+
+def test_gam_equals_plain_boosting():
+    rnd = np.random.default_rng(7)
+    x = rnd.uniform(size=(160, 4))
+    y = ((x[:, 0] > 0.6) ^ (x[:, 2] > 0.4) | (rnd.uniform(size=160) < 0.1)).astype(float)
+    how = dict(rounds=3, pair_rounds=3, n_pairs=2, bins=7, pair_bins=4, rate=0.3, least=1.0)
+    gam = quality_gam.fit_gam(x, y, **how)
+    margin, tables, pairs = plain_gam(x.tolist(), y.tolist(), **how)
+    assert gam.margin(x) == pytest.approx(margin)
+    assert all(mine == pytest.approx(np.array(plain)) for mine, plain in zip(gam.tables, tables, strict=True))
+    assert list(gam.pairs) == list(pairs) and all(gam.pairs[k] == pytest.approx(np.array(pairs[k])) for k in pairs)
+
+
+def test_quality_of_an_empty_table_and_long_texts(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_gam.score_quality(frame(spark, []), labels).count() == 0
+    got = quality_gam.score_quality(frame(spark, [(1, "word " * 300_000), (1, None), (None, "x")]), labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 3
+
+
 def test_gam_without_labels_is_the_prior(spark):
     docs = frame(spark, EDGE)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialscope.functions.names import fresh  # noqa: F401
+from trialscope.sources.scratch import drop, scratch_path
+
 #: White space of the contracts: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if unset.
-
-    The own folder is for a single machine (tests); on a cluster the setting must be there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+new_path = scratch_path
 
 
 #: Spark's setting by which the shuffle files of a query go when it has ended.
@@ -55,9 +40,7 @@ def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that kept_table() wrote."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    drop(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -77,14 +60,6 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def fresh(name: str, columns: list[str]) -> str:
-    """The name, with as many underscores after it as it takes to clash with no column."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with a bounded number of rows and, but for single long rows, of bytes."""
     for batch in batches:
