@@ -12,6 +12,7 @@ from trialscope.operators import export, flake_job, inference, merge, sections
 from trialscope.plans.view_sql import AS_OF as SQL_AS_OF
 from trialscope.plans.view_sql import over_views
 from trialscope.plans.views import Views
+from trialscope.sources import playwright
 
 
 def _q(words: list[str]) -> str:
@@ -225,8 +226,59 @@ un AS (SELECT coalesce(l.issue_key, f.issue_key) AS issue_key, coalesce(l.test_c
   FROM jira_automation_link l FULL JOIN fl f ON f.issue_key = l.issue_key AND f.test_case_id = l.test_case_id AND l.provenance = 'INFERRED')"""
 
 
+# Small expressions and writes ----------------------------------------------------------------------------
+
+def _text_parts(v: Views) -> DataFrame:
+    """Test ids, cut texts, branches and run names of parts."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    file, title = tx.split_test_id(F.concat(F.lit("tests/u"), (k % 50).cast("string"), F.lit(".spec.ts::"), "p_type", F.lit(" > "), "p_name"))
+    name = tx.run_name(F.when(k % 2 == 0, "job"), F.when(k % 3 == 0, k), F.concat(n, F.lit("-0123456789")), F.to_timestamp(F.lit("2024-01-31")))
+    return v.base("part").select(k.alias("id"), file.alias("file"), title.alias("title"), tx.truncated(F.col("p_name"), 10, "…").alias("cut"), tx.branch_name(F.concat(F.lit("origin/"), "p_type")).alias("branch"), name.alias("run"), tx.snippet(F.concat(F.lit("abcdefghijklmnopqrstuvwxyz"), n, F.lit(" tail")), n).alias("near"))
+
+
+#: Failures by the last digit of events; those at 3 and 7 aren't of infrastructure.
+MESSAGES = ("Timed out waiting", "read ECONNRESET", "Browser crashed hard", "expected 3 to equal 4", "net: Network   Error", "java: Out of  memory", "Timeout of 30s", "element not found")
+
+
+def _infra(v: Views) -> DataFrame:
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return v.base("events").groupBy("user_id").agg(F.count_if(tx.is_infra(message)).alias("infra"), F.count(F.lit(1)).alias("failures"))
+
+
+def _artifact_kinds(v: Views) -> DataFrame:
+    mime = F.element_at(F.array(*map(F.lit, ("image/png", "video/webm", "application/zip", "text/plain", "application/json"))), (F.col("event_id") % 5 + 1).cast("int"))
+    name = F.when(F.col("event_id") % 10 == 3, "my_trace").otherwise("file")
+    return v.base("events").groupBy(playwright.artifact_kind(mime, name).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _backfilled(v: Views) -> DataFrame:
+    """Executions without a test get the one of their identity."""
+    rows = v.test_execution.select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("test_case_id").cast("string"), 9, "0")).alias("identity_key"), F.when(F.col("id") % 4 != 0, F.col("test_case_id")).cast("long").alias("test_case_id"))
+    return merge.backfill(rows, "test_case_id", v.test_case.select("identity_key", F.col("id").cast("long").alias("found")), "identity_key", "found")
+
+
+def _decided(v: Views) -> DataFrame:
+    """Decisions of half of the tests of a window, and found ones of an earlier or a later window."""
+    day = lambda n: F.lit((v.as_of - dt.timedelta(days=n)).date().isoformat())
+    old = v.test_case.where("id % 2 = 0").select(F.col("id").alias("test_case_id"), day(30).alias("window_start"), F.lit("old").alias("recommended_action"))
+    new = v.test_case.select(F.col("id").alias("test_case_id"), F.when(F.col("id") % 3 == 0, day(40)).otherwise(day(10)).alias("window_start"), F.lit("new").alias("recommended_action"))
+    return merge.upsert_decisions(old, new)
+
+
+_DAYS_AGO = "strftime({} - INTERVAL '{}' DAY, '%Y-%m-%d')"
+_D10, _D30, _D40 = (_DAYS_AGO.format(SQL_AS_OF, n) for n in (10, 30, 40))
+
+
 #: name: (query over the views, SQL)
 QUERIES = {
+    "text_parts": (_text_parts, """SELECT p_partkey AS id, concat('tests/u', CAST(p_partkey % 50 AS STRING), '.spec.ts') AS file, p_name AS title, CASE WHEN length(p_name) > 10 THEN concat(left(p_name, 10), '…') ELSE p_name END AS cut, p_type AS branch,
+  concat(CASE WHEN p_partkey % 2 = 0 THEN 'job' ELSE 'playwright' END, ' ', CASE WHEN p_partkey % 3 = 0 THEN concat('#', CAST(p_partkey AS STRING)) ELSE left(concat(CAST(p_partkey AS STRING), '-0123456789'), 8) END, ' — 2024-01-31') AS run, concat('…ghijklmnopqrstuvwxyz', CAST(p_partkey AS STRING), ' tail') AS near FROM part"""),
+    "infra_failures": (_infra, "SELECT user_id, count(*) FILTER (WHERE event_id % 8 NOT IN (3, 7)) AS infra, count(*) AS failures FROM events GROUP BY user_id"),
+    "artifact_kinds": (_artifact_kinds, "SELECT CASE WHEN event_id % 5 = 0 THEN 'screenshot' WHEN event_id % 5 = 1 THEN 'video' WHEN event_id % 5 = 2 OR event_id % 10 = 3 THEN 'trace' ELSE 'attachment' END AS kind, count(*) AS n FROM events GROUP BY 1"),
+    "execution_backfill": (_backfilled, over_views("SELECT e.id, concat('Customer#', lpad(CAST(e.test_case_id AS STRING), 9, '0')) AS identity_key, CAST(CASE WHEN e.id % 4 <> 0 THEN e.test_case_id ELSE t.id END AS BIGINT) AS test_case_id FROM test_execution e LEFT JOIN test_case t ON t.identity_key = concat('Customer#', lpad(CAST(e.test_case_id AS STRING), 9, '0'))")),
+    "decision_upsert": (_decided, over_views(f"SELECT id AS test_case_id, {_D30} AS window_start, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS recommended_action FROM test_case WHERE id % 2 = 0 UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN {_D40} ELSE {_D10} END, 'new' FROM test_case WHERE id % 2 <> 0 OR id % 3 <> 0")),
+    "results_watermark": (lambda v: merge.latest_moment(v.testrail_result, "tested_at"), over_views("SELECT max(tested_at) - INTERVAL '1' HOUR AS since FROM testrail_result")),
     "link_upsert": (lambda v: _upserted(v).select("issue_key", "test_case_id", "provenance", "confidence"), over_views("").rstrip() + f",\n{UPSERT} SELECT issue_key, test_case_id, provenance, confidence FROM un"),
     "link_counts": (lambda v: merge.link_counts(_old_links(v), _upserted(v), ["issue_key", "test_case_id"]), over_views("").rstrip() + f",\n{UPSERT} SELECT provenance, confidence, count(*) FILTER (WHERE written) AS written, count(*) FILTER (WHERE NOT written) AS unchanged, CAST(0 AS BIGINT) AS removed FROM un GROUP BY provenance, confidence"),
     "export_selected": (lambda v: _export(v)[1].select("run_id", "case_id", "status_id"), over_views("").rstrip() + f",\n{EXPORT} SELECT run_id, case_id, CASE status WHEN 'PASSED' THEN 1 WHEN 'FLAKY' THEN 4 WHEN 'SKIPPED' THEN 3 ELSE 5 END AS status_id FROM y"),
