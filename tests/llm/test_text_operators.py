@@ -463,6 +463,22 @@ def test_archives_round_trip(spark):
     assert warc.write_archives(pages.limit(0), new_path(spark, "warc-none")).count() == 0
 
 
+def test_archives_of_long_payloads_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 12)
+    rnd = random.Random(3)
+    long_ = "".join(chr(rnd.randrange(0x20, 0x3000)) for _ in range(400_000))
+    rows = [(1, "u", long_), (2, "u", long_), (2, "u", long_), (3, "\u2028", "x"), (None, None, long_), *((i, "u", "same " * 400) for i in range(100, 180))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("bytes", "salt", "file", "newest")})
+    folder = new_path(spark, "warc-long")
+    index = warc.write_archives(pages, folder)
+    back = warc.read_archives(index, folder)
+    assert back.rdd.getNumPartitions() > 1
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or -1) for r in warc.read_digests(index, folder).collect())
+    n = len(long_.encode())
+    want = [(-1, n, "revisit", 2), (1, n, "revisit", 2), (2, n, "response", -1), (2, n, "response", -1), (3, 1, "response", -1), *((i, 2000, "revisit", 179) for i in range(100, 179)), (179, 2000, "response", -1)]
+    assert got == want
+
+
 def test_close_ranges_are_read_together():
     assert [(a, b) for a, b, _ in warc.coalesced([0, 10, 500, 2000], [10, 5, 10, 9], gap=600, most=1000)] == [(0, 510), (2000, 2009)]
 
@@ -592,6 +608,14 @@ def test_chat_edge_cases(spark):
     assert chat_format.read_back(chat_format.format_chat(chat_format.conversation_events(conv.limit(0)))).count() == 0
 
 
+def test_chat_of_a_very_long_text_and_clashing_names(spark):
+    text = "### é</turn>\\" * 60_000
+    conv = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "q")], "conv_id long, turn long, role string, text string").withColumns({"position": F.lit(9), "end": F.lit("x")})
+    events = chat_format.conversation_events(conv).withColumns({"formatted": F.lit(1), "loss_start": F.lit("y")})
+    (row,) = chat_format.read_back(chat_format.format_chat(events)).collect()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())

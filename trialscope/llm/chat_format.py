@@ -83,9 +83,10 @@ def format_chat(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     Defined cases: an event of an unknown kind changes nothing; a message without a start event has
     an empty role; null conv_id is a conversation of its own; an empty log gives an empty result.
-    A repeated event is applied twice, as the log says.
+    A repeated event is applied twice, as the log says. A very long text is one message, held whole.
+    Other columns of events are ignored, whatever their names.
     """
-    ordered = events.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "seq")
+    ordered = events.select("conv_id", "turn", "tie", "seq", "kind", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "seq")
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
