@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fresh, kept_table, table, text_of, tokenizer_file
+from trialscope.llm.common import drop_path, fresh, kept_table, table, text_of, tokenizer_file
 from trialscope.llm.exact_dedup import exact_dedup, normalised
 from trialscope.llm.jaccard_join import jaccard_components
 from trialscope.llm.packing import pack, tokenised_pieces
@@ -67,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each returns is written to the shared folder and read again, and goes when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = kept_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = kept_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
