@@ -98,6 +98,18 @@ def link_counts(before: DataFrame, after: DataFrame, ends: list[str]) -> DataFra
     )
 
 
+def merge_counts(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """inserted, changed, unchanged, removed: what a job did to a keyed table (the counters that it reports)."""
+    told = [c for c in after.columns if c not in keys]
+    state = lambda df, name: df.select(*keys, F.struct(*told).alias(name)).alias(name)
+    same = reduce(lambda a, b: a & b, (F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys))
+    old, new = F.col("old.old"), F.col("new.new")
+    return state(before, "old").join(state(after, "new"), same, "full").agg(
+        F.count_if(old.isNull()).alias("inserted"), F.count_if(old.isNotNull() & new.isNotNull() & ~new.eqNullSafe(old)).alias("changed"),
+        F.count_if(new.eqNullSafe(old)).alias("unchanged"), F.count_if(new.isNull()).alias("removed"),
+    )
+
+
 def upsert_decisions(decisions: DataFrame, found: DataFrame, window_start: str = "window_start") -> DataFrame:
     """Flake decisions with the found ones merged in: a test's decision of the same or a later window start is updated.
 

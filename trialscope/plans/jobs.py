@@ -307,6 +307,7 @@ QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_cas
     "flake_resolve": (lambda v: flake_job.resolve_decisions(_decisions(v), _groups(v), 0.2).select("test_case_id", "recommended_action"), over_views("").rstrip() + f",\n{GROUPS}, {EARLIER} SELECT o.test_case_id, CASE WHEN g.flake_score < 0.2 THEN 'ignore' ELSE o.recommended_action END AS recommended_action FROM od o LEFT JOIN gs g ON g.test_case_id = o.test_case_id"),
     "merge_overwrite": (lambda v: merge.merge(_target(v), _source(v), ["o_orderkey"]), _merge_sql("CASE WHEN s.o_orderkey IS NULL THEN t.o_totalprice ELSE s.o_totalprice END", "coalesce(s.o_orderstatus, t.o_orderstatus)")),
     "merge_coalesce": (lambda v: merge.merge(_target(v), _source(v), ["o_orderkey"], {"o_totalprice": merge.NEW_UNLESS_NULL, "o_orderstatus": merge.OLD_UNLESS_NULL}), _merge_sql("coalesce(s.o_totalprice, t.o_totalprice)", "coalesce(t.o_orderstatus, s.o_orderstatus)")),
+    "merge_counts": (lambda v: merge.merge_counts(_target(v), merge.merge(_target(v), _source(v), ["o_orderkey"]), ["o_orderkey"]), f"WITH {MERGE} SELECT count(*) FILTER (WHERE t.o_orderkey IS NULL) AS inserted, count(*) FILTER (WHERE t.o_orderkey IS NOT NULL AND s.o_orderkey IS NOT NULL) AS changed, count(*) FILTER (WHERE s.o_orderkey IS NULL) AS unchanged, CAST(0 AS BIGINT) AS removed FROM tg t FULL JOIN sr s ON s.o_orderkey = t.o_orderkey"),
     "merge_insert_if_absent": (lambda v: merge.insert_if_absent(_target(v), _source(v), ["o_orderkey"]), f"WITH {MERGE} SELECT * FROM tg UNION ALL SELECT * FROM sr WHERE o_orderkey NOT IN (SELECT o_orderkey FROM tg)"),
     "merge_last_write": (lambda v: merge.last_write_wins(_events_batch(v), ["user_id"], [F.desc("ts")]), "SELECT user_id, ts, event_type, CAST(floor(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"),
     "merge_link_reset": (lambda v: merge.reset_links(v.jira_automation_link, "INFERRED"), over_views("SELECT * FROM jira_automation_link WHERE provenance <> 'INFERRED'")),
