@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.functions.text import issue_keys_strict
-from trialscope.operators.merge import NEW, NEW_UNLESS_NULL, OLD, OLD_UNLESS_NULL, keep_known, last_write_wins, merge, upsert_links
+from trialscope.operators.merge import NEW, NEW_UNLESS_NULL, OLD, OLD_UNLESS_NULL, incremental, keep_known, last_write_wins, merge, upsert_links
 from trialscope.sources import junit, landed, playwright
 from trialscope.sources.scratch import exists, kept
 
@@ -88,6 +88,15 @@ def empty_state(spark) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
 
 
+def sync_issues(issues: DataFrame, pages: DataFrame, since=None) -> DataFrame:
+    """Landed issues that changed at `since` or later merged in; of several of a key the latest change holds, and its creation stays.
+
+    since is what high_water_mark() says of the table: an hour before the least recent project's last change.
+    """
+    new = last_write_wins(incremental(landed.issues(pages), "updated_at", since), ["issue_key"], [F.desc_nulls_last("updated_at")])
+    return merge(issues, new, ["issue_key"], {"created_at": OLD_UNLESS_NULL})
+
+
 def sync_cases(cases: DataFrame, links: DataFrame, pages: DataFrame, section_paths: DataFrame, priorities: DataFrame, known_issues: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases, links, skipped): landed cases merged in with the names of their priorities, and EXPLICIT links from their refs.
 

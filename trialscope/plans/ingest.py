@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.operators import ingest as job_ops
-from trialscope.operators.merge import merge
+from trialscope.operators.merge import high_water_mark, merge
 from trialscope.operators.sections import section_paths
 from trialscope.plans.view_sql import over_views
 from trialscope.plans.views import Views
@@ -124,6 +124,22 @@ def issue_sync(v: Views) -> DataFrame:
     return merge(old, new, ["issue_key"])
 
 
+def issue_sync_since(v: Views) -> DataFrame:
+    """Landed issues of twenty days merged into a table of stories that is up to date to the tenth: older changes are left out."""
+    named = lambda c: F.struct(F.col(c).alias("name"))
+    day = (F.col("p_partkey") % 20 + 1).cast("int")
+    changed = F.format_string("2024-01-%02dT10:00:00.000+0000", day)
+    fields = F.struct("summary", named("status").alias("status"), named("issue_type").alias("issuetype"), changed.alias("updated"), F.lit("2024-01-01T00:00:00.000+0000").alias("created"))
+    pages = pages_of(v.jira_issue, F.struct(F.col("issue_key").alias("key"), fields.alias("fields")), "issues")
+    new = landed.issues(pages)
+    at = lambda text: F.to_timestamp(F.lit(text))
+    old = v.jira_issue.where("issue_type = 'Story'").select("issue_key", F.lit("old").alias("summary"), "project_key", at("2020-01-01T00:00:00Z").alias("created_at"), at("2024-01-10T00:00:00Z").alias("updated_at"))
+    old = old.select(*((F.col(c) if c in old.columns else F.lit(None).cast(kind)).alias(c) for c, kind in new.dtypes))
+    since = high_water_mark(old, "project_key", "updated_at").first()["since"]
+    out = job_ops.sync_issues(old, pages, since)
+    return out.select("issue_key", "summary", (F.col("created_at") < at("2021-01-01T00:00:00Z")).alias("created_before"))
+
+
 def event_drain(v: Views) -> DataFrame:
     """Events landed as JSON lines and drained by a stream into a table with the newest row per user and kind.
 
@@ -324,6 +340,7 @@ UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0 UNION ALL
     "case_sync_skipped": (lambda v: _case_sync(v)[2].groupBy("issue_key").agg(F.count(F.lit(1)).alias("cases")), over_views("""SELECT k AS issue_key, count(*) AS cases FROM (SELECT concat('P', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING)) AS k FROM supplier UNION ALL SELECT 'NOPE-1' FROM supplier) x WHERE k NOT IN (SELECT issue_key FROM jira_issue) GROUP BY k""")),
     "result_sync": (result_sync, over_views("""SELECT tr_run_id * 100000000 + tr_case_id AS tr_result_id, CASE WHEN tr_run_id % 2 = 0 THEN -1 ELSE tr_run_id END AS tr_run_id, tr_case_id, CASE WHEN tr_case_id % 10 = 0 THEN 9 ELSE status_id END AS status_id, CASE WHEN tr_case_id % 10 <> 0 THEN strftime(tested_at, '%Y-%m-%d') END AS tested_on
   FROM (SELECT tr_run_id, tr_case_id, max(status_id) AS status_id, max(tested_at) AS tested_at FROM testrail_result GROUP BY 1, 2) x WHERE tr_run_id % 2 = 0 OR tr_case_id % 10 <> 0""")),
+    "issue_sync_since": (issue_sync_since, over_views("SELECT issue_key, CASE WHEN p_partkey % 20 + 1 >= 10 THEN summary ELSE 'old' END AS summary, issue_type = 'Story' AS created_before FROM jira_issue WHERE issue_type = 'Story' OR p_partkey % 20 + 1 >= 10")),
     "event_drain": (event_drain, "SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"),
 }
 

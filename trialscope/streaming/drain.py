@@ -70,11 +70,6 @@ def reprocess(spark: SparkSession, rejects: str, schema: str, fix: Callable[[Dat
     return fixed.where("r._corrupt is null").select("r.*").drop("_corrupt"), fixed.where("r._corrupt is not null").select("text")
 
 
-def incremental(rows: DataFrame, moment: str, since) -> DataFrame:
-    """Rows changed at `since` or later; all, if it is null. The overlap is absorbed by the merge."""
-    return rows.where((F.col(moment) >= F.lit(since)) if since is not None else F.lit(True))
-
-
 def append_once(stream: DataFrame, keys: list[str], moment: str, late: str = "1 hour") -> DataFrame:
     """A stream of facts without the repeats that come within `late`."""
     return stream.withWatermark(moment, late).dropDuplicatesWithinWatermark(keys)
