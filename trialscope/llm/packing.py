@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.llm.common import fresh, small_batches, text_of
+from trialscope.llm.piece_bpe import Memory
 
 #: The characters of Unicode's White_Space, as a character class.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -22,7 +24,7 @@ _WHITE_SET = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Fixed value: the pattern by which byte-level BPE of this kind parts a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Chunks of text that a worker remembers; the memory is emptied when full.
+#: Words that each half of a worker's memory holds.
 REMEMBERED = 150_000
 #: Pieces packed together in one task; each such shard leaves about one sequence unfilled.
 SHARD_PIECES = 8192
@@ -55,32 +57,29 @@ class ByteBpe:
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes | None] = {}  # by word, with a space before it; None: not to be taken alone
+        self.known = Memory(self.described, REMEMBERED)  # by word, with a space before it; None: not to be taken alone
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        fast, special = self.fast.encode_ordinary, self.special
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(x in t for x in special) else fast(t), "<u4").tobytes() for t in texts]
+        fast, together = self.fast.encode_ordinary, "\n".join(texts)
+        special = [x for x in self.special if x in together]
+        lists = [self.tokenizer.encode(t, add_special_tokens=False).ids if special and any(x in t for x in special) else fast(t) for t in texts]
+        raw, ends = np.fromiter(chain.from_iterable(lists), "<u4").tobytes(), [4 * n for n in accumulate(map(len, lists))]
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def described(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word with a space before it; none for empty words and those that begin with white space."""
+        alone = [w for w in words if w and w[0] not in _WHITE_SET]
+        return list(map(dict(zip(alone, self.ids([" " + w for w in alone]), strict=True)).get, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.split(" ") for t in texts]
         firsts = self.ids([words[0] for words in split])
-        new: set[str] = set()
-        new.update(*split)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new.update(*split)
-        order = list(new)
-        for i in range(0, len(order), 5_000):
-            part = order[i : i + 5_000]
-            alone = [w for w in part if w and w[0] not in _WHITE_SET]
-            self.known.update(dict.fromkeys(part))
-            self.known.update(zip(alone, self.ids([" " + w for w in alone]), strict=True))
+        known = self.known.of(set().union(*split))
         out = []
         for text, words, first in zip(texts, split, firsts, strict=True):
-            parts = [first, *map(self.known.__getitem__, words[1:])]
+            parts = [first, *map(known.__getitem__, words[1:])]
             out.append(b"".join(self.ids(_CHUNKS.findall(text)) if None in parts else parts))
         return out
 

@@ -32,8 +32,8 @@ class Memory:
     again are recent again. So common words stay.
     """
 
-    def __init__(self, describe: Callable[[list[str]], list]):
-        self.describe = describe
+    def __init__(self, describe: Callable[[list[str]], list], most: int = REMEMBERED):
+        self.describe, self.most = describe, most
         self.recent: dict[str, object] = {}
         self.older: dict[str, object] = {}
 
@@ -46,7 +46,7 @@ class Memory:
                 recent[w] = older[w]
             else:
                 new.append(w)
-        if len(recent) > REMEMBERED:
+        if len(recent) > self.most:
             self.recent, self.older = {w: recent[w] for w in words.intersection(recent)}, recent
             recent = self.recent
         start = size = 0
