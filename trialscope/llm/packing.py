@@ -25,7 +25,7 @@ _CHUNKS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Fixed value: the pattern by which byte-level BPE of this kind parts a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Words that each half of a worker's memory holds.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Pieces packed together in one task; each such shard leaves about one sequence unfilled.
 SHARD_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,11 +57,12 @@ class ByteBpe:
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode_plain = getattr(self.fast, "_core_bpe", self.fast).encode_ordinary  # without a wrapper per word, if there is such
         self.known = Memory(self.described, REMEMBERED)  # by word, with a space before it; None: not to be taken alone
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        fast, together = self.fast.encode_ordinary, "\n".join(texts)
+        fast, together = self.encode_plain, "\n".join(texts)
         special = [x for x in self.special if x in together]
         lists = [self.tokenizer.encode(t, add_special_tokens=False).ids if special and any(x in t for x in special) else fast(t) for t in texts]
         raw, ends = np.fromiter(chain.from_iterable(lists), "<u4").tobytes(), [4 * n for n in accumulate(map(len, lists))]
