@@ -16,6 +16,7 @@ from trialscope.llm.merkle import edit_likeness
 from trialscope.llm.packing import pack, tokenised_pieces
 from trialscope.llm.piece_bpe import piece_digests
 from trialscope.llm.quality_gam import score_quality
+from trialscope.llm.spelling import spelling_variants
 from trialscope.llm.toxicity_lm import score_toxicity
 from trialscope.llm.warc import read_digests, write_archives
 
@@ -122,6 +123,27 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The crc32 by its table; near words by the texts that are left when a letter is taken out.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+b AS (SELECT id, run, list_transform(range(1, 2 * octet_length(encode(concat(id, ':', run))), 2), lambda i: CAST(concat('0x', hex(encode(concat(id, ':', run)))[i:i + 1]) AS BIGINT)) AS bytes FROM r WHERE length(run) >= 7),
+h AS (SELECT run, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+w AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN concat(run[1:h % length(run)], run[h % length(run) + 2:]) ELSE run END AS word FROM h) x WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS (SELECT word, i, concat(word[1:i], word[i + 2:]) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w) x),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+q AS (SELECT p.a AS word, p.b AS near, w.n AS near_n, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, p.b) AS k, count(*) OVER (PARTITION BY p.a) AS n_near FROM p JOIN w ON w.word = p.b),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN q ON q.word = w.word AND k = 1),
+c AS (SELECT word, word AS at, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.at AND f.form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(c.at, depth) FROM c WHERE c.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -134,8 +156,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_document_fingerprints": op10_document_fingerprints,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_licence_scan": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_licence_scan": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op13_spelling_variants": OP13_SQL}
