@@ -3,15 +3,13 @@
 import json
 from types import SimpleNamespace
 
-import pytest
 from pyspark.sql import functions as F
 
-from trialscope.operators import ingest as job_ops
 from trialscope.operators.sections import section_paths
 from trialscope.plans import ingest
 from trialscope.sources import junit, landed, playwright
-from trialscope.streaming.drain import drain_json, drain_manifests, reprocess, reprocess_failed
-from trialscope.streaming.tables import VersionedTable
+from trialscope.streaming.drain import drain_json, reprocess
+from trialscope.streaming.tables import Kind, Store
 
 
 def test_junit_file(spark, tmp_path):
@@ -79,59 +77,22 @@ def test_landed_cases_results_and_manifests(spark):
 def test_drain_reads_each_file_once_and_sets_bad_lines_aside(spark, tmp_path):
     inn = tmp_path / "in"
     inn.mkdir()
-    table = VersionedTable(spark, f"{tmp_path}/t", "id long, at string, x long", ["id"], 4)
-    drain = lambda: drain_json(table, str(inn), f"{tmp_path}/r", f"{tmp_path}/c", "at")
+    store = Store(spark, f"{tmp_path}/t", {"t": Kind("id long, at string, x long", ("id",))})
+    drain = lambda: drain_json(store, "t", str(inn), f"{tmp_path}/r", f"{tmp_path}/c", "at")
+    rows = lambda: sorted(map(tuple, store.read("t").collect()))
     (inn / "a.json").write_text('{"id":1,"at":"1","x":1}\n{"id":1,"at":"2","x":2}\nnot json\n')
     drain()
     (inn / "b.json").write_text('{"id":2,"at":"5","x":5}\n{"id":1,"at":"2","x":2}\n')
     drain()
     drain()
-    assert sorted(map(tuple, table.read().collect())) == [(1, "2", 2), (2, "5", 5)]
+    assert rows() == [(1, "2", 2), (2, "5", 5)]
     (inn / "late.json").write_text('{"id":2,"at":"2","x":9}\n')
     drain()
-    assert sorted(map(tuple, table.read().collect())) == [(1, "2", 2), (2, "5", 5)]
+    assert rows() == [(1, "2", 2), (2, "5", 5)]
     good, bad = reprocess(spark, f"{tmp_path}/r", "id long, at string, x long", lambda d: d.withColumn("text", F.lit('{"id":9,"at":"1","x":0}')))
     assert [tuple(r) for r in good.collect()] == [(9, "1", 0)] and bad.count() == 0
 
 
-def test_versions_count_when_committed_and_touch_their_parts_only(spark, tmp_path):
-    table = VersionedTable(spark, f"{tmp_path}/t", "id long, x long", ["id"], 8)
-    rows = lambda *pairs: spark.createDataFrame(pairs, "id long, x long")
-    newest = [F.desc("x")]
-    assert table.read().count() == 0
-    table.merge_newest(rows(*((i, 1) for i in range(50))), 0, newest)
-    table.merge_newest(rows((3, 2)), 1, newest)
-    assert len(list((tmp_path / "t" / "v=1").glob("_part=*"))) == 1 and table.read().where("x = 2").count() == 1
-    (tmp_path / "t" / "v=2" / "_part=0").mkdir(parents=True)  # a version that was never committed
-    (tmp_path / "t" / "v=2" / "_part=0" / "part-0.parquet").write_bytes(b"half")
-    assert table.read().count() == 50
-    table.merge_newest(rows((3, 3), (4, 0)), 2, newest)  # the batch done again
-    table.merge_newest(rows((3, 3), (4, 0)), 2, newest)
-    assert sorted(map(tuple, table.read().where("id in (3, 4)").collect())) == [(3, 3), (4, 1)] and table.read().count() == 50
-    with pytest.raises(ValueError):
-        table.merge_newest(rows((1, 1)), 0, newest)
-
-
-def test_failed_batches_are_kept_and_reprocessed(spark, tmp_path):
-    tables = {name: VersionedTable(spark, f"{tmp_path}/{name}", job_ops.SCHEMAS[name], job_ops.KEYS[name], 2) for name in ("build", "run", "case", "result", "batch")}
-    folder = tmp_path / "in" / "j" / "1"
-    folder.mkdir(parents=True)
-    (folder / "manifest.json").write_text(json.dumps({"schema": "1", "jobName": "j", "buildNumber": 1, "framework": "junit", "resultFiles": ["a.xml"]}))
-    drain_manifests(spark, f"{tmp_path}/in", tables, f"{tmp_path}/c")
-    (status,) = tables["batch"].read().collect()
-    assert status.status == "failed" and status.error.startswith("missing: ") and tables["result"].read().count() == 0
-    (folder / "a.xml").write_text('<testsuite name="s" timestamp="2024-01-05T00:00:00Z"><testcase classname="c" name="n" time="1"/><testcase classname="c" name="n" time="2"/></testsuite>')
-    drain_manifests(spark, f"{tmp_path}/in", tables, f"{tmp_path}/c")  # a manifest is read once
-    assert tables["result"].read().count() == 0
-    reprocess_failed(tables)
-    reprocess_failed(tables)
-    (status,) = tables["batch"].read().collect()
-    assert (status.status, status.error, status.tests) == ("ok", None, 2)
-    assert sorted((r.identity_key, r.attempt, r.duration_ms) for r in tables["result"].read().collect()) == [("c::n", 1, 1000), ("c::n", 2, 2000)]
-    (build,) = tables["build"].read().collect()
-    assert str(build.started_at) == "2024-01-05 00:00:00"  # none was given: the report's own
-
-
 def test_suites_nested_to_any_depth(spark):
     suite = {"title": "deep", "specs": [{"title": "leaf", "tests": [{"projectName": "p", "status": "expected", "results": []}]}]}
     for i in range(12):

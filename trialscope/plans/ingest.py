@@ -15,7 +15,7 @@ from trialscope.plans.views import Views
 from trialscope.sources import junit, landed, playwright
 from trialscope.sources.scratch import kept, listing, put_text, scratch_path
 from trialscope.streaming.drain import drain_json, drain_manifests
-from trialscope.streaming.tables import VersionedTable
+from trialscope.streaming.tables import Kind, Store
 
 
 def _text(c: str):
@@ -150,12 +150,12 @@ def event_drain(v: Views) -> DataFrame:
     e = raw.select("event_id", "user_id", "event_type", moment_(F.col("ts")), F.floor(F.col("value") * 100).cast("long").alias("cents"))
     older = raw.select((-F.col("event_id")).alias("event_id"), "user_id", "event_type", moment_(F.col("ts") - F.expr("INTERVAL 400 DAYS")), F.lit(0).cast("long").alias("cents"))
     root = scratch_path(v.spark, "drain")
-    table = VersionedTable(v.spark, f"{root}/table", "event_id long, user_id long, event_type string, ts string, cents long", ["user_id", "event_type"], 8)
+    store = Store(v.spark, f"{root}/store", {"newest": Kind("event_id long, user_id long, event_type string, ts string, cents long", ("user_id", "event_type"))})
     late = F.col("ts") >= "2024-01-16"
     for batch in (e.where(~late), e.where(late).unionByName(e.where(~late)), older):
         batch.write.mode("append").json(f"{root}/in")
-        drain_json(table, f"{root}/in", f"{root}/rejects", f"{root}/checkpoint", "ts")
-    return table.read().select("user_id", "event_type", "ts", "event_id")
+        drain_json(store, "newest", f"{root}/in", f"{root}/rejects", f"{root}/checkpoint", "ts")
+    return store.read("newest").select("user_id", "event_type", "ts", "event_id")
 
 
 # Ingest jobs ----------------------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ def built_junit(v: Views, path: str) -> None:
     """JUnit files at path/build=<n>/shard=<n>/part=<n>: all results, dealt to six builds of two shards."""
     r = dealt(v.test_case_result.select("*", *_build_of()), "test_case_id", "id")
     key = F.concat(F.lit("P"), (F.col("id") % 7).cast("string"), F.lit("-"), (F.col("id") % 2000).cast("string"))
-    inner = F.when(F.col("status") == "FAILED", F.lit('<failure message="broke">trace</failure>')).when(F.col("status") == "SKIPPED", F.lit("<skipped/>")).when(F.col("status") == "ERROR", F.lit('<error message="crash"/>')).otherwise(F.concat(F.lit('<properties><property name="jira" value="'), key, F.lit('"/></properties>')))
+    inner = F.when(F.col("status") == "FAILED", F.lit('<failure message="broke">trace</failure>')).when(F.col("status") == "SKIPPED", F.lit("<skipped/>")).when(F.col("status") == "ERROR", F.lit('<error message="crash"/>')).otherwise(F.concat(F.lit('<properties><property name="jira" value="'), key, F.lit('"/><property name="TestRail" value="TR-C'), (F.col("id") % 300).cast("string"), F.lit('"/></properties>')))
     case = F.concat(F.lit('<testcase classname="suite.T'), _text("test_case_id"), F.lit('" name="t'), _text("id"), F.lit('" time="0.5">'), inner, F.lit("</testcase>"))
     xml = F.concat(F.lit('<testsuite name="S'), F.first("test_case_id").cast("string"), F.lit('" timestamp="2024-02-01T00:00:00Z">'), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>"))
     suites = r.groupBy("build", "shard", "test_case_id", "part").agg(xml.alias("xml"))
@@ -181,9 +181,16 @@ def built_playwright(v: Views, path: str) -> None:
     """Playwright reports at path/build=<n>/shard=<n>/part=<n>: all executions; some specs lie in a group, some in two, some in none."""
     e = dealt(v.test_execution.select("*", *_build_of()), "build", "id")
     word = F.when(F.col("status") == "PASSED", "expected").when(F.col("status") == "FAILED", "unexpected").when(F.col("status") == "FLAKY", "flaky").otherwise("skipped")
-    results = F.array(F.struct(F.lit("passed").alias("status"), F.lit(10.0).alias("duration"), F.lit(0).alias("retry")))
+    none = lambda kind: F.lit(None).cast(kind)
+    start = F.lit("2024-02-01T00:00:00.000Z").alias("startTime")
+    error = F.array(F.struct(F.concat(F.lit("at /a/b.spec.ts:3:9 "), F.coalesce("error_text", F.lit("?"))).alias("message")))
+    out = F.array(F.struct(F.lit("out ").alias("text"), none("string").alias("buffer")), F.struct(none("string").alias("text"), F.base64(_text("id").cast("binary")).alias("buffer")))
+    shot = F.array(F.struct(F.lit("My Shot").alias("name"), F.lit("image/png").alias("contentType"), F.concat(F.lit("/ci/t"), _text("id"), F.lit("/shot.png")).alias("path")))
+    bad = F.struct(F.lit("failed").alias("status"), F.lit(10.0).alias("duration"), F.lit(0).alias("retry"), start, error.alias("errors"), out.alias("stdout"), shot.alias("attachments"))
+    fine = lambda n: F.struct(F.when(F.col("status") == "SKIPPED", "skipped").otherwise("passed").alias("status"), F.lit(20.0).alias("duration"), F.lit(n).alias("retry"), start, F.array().cast("array<struct<message:string>>").alias("errors"), F.array().cast("array<struct<text:string,buffer:string>>").alias("stdout"), F.array().cast("array<struct<name:string,contentType:string,path:string>>").alias("attachments"))
+    results = F.when(F.col("status") == "FAILED", F.array(bad)).when(F.col("status") == "FLAKY", F.array(bad, fine(1))).otherwise(F.array(fine(0)))
     test = F.struct(F.lit("chromium").alias("projectName"), word.alias("status"), results.alias("results"))
-    spec = F.struct(F.concat(F.lit("t"), _text("id")).alias("title"), F.concat(F.lit("tests/u"), _text("test_case_id"), F.lit(".spec.ts")).alias("file"), F.array(F.concat(F.lit("@P1-"), _text("id"))).alias("tags"), F.array(test).alias("tests"))
+    spec = F.struct(F.concat(F.lit("t"), _text("id")).alias("title"), F.concat(F.lit("tests/u"), _text("test_case_id"), F.lit(".spec.ts")).alias("file"), F.array(F.concat(F.lit("@P1-"), _text("id")), F.concat(F.lit("@C"), (F.col("id") % 300).cast("string"))).alias("tags"), F.array(test).alias("tests"))
     those = lambda kind: F.sort_array(F.collect_list(F.when(F.floor(F.col("id") / 3) % 3 == kind, spec)))
     inner = F.struct(F.lit("Inner").alias("title"), F.lit("").alias("file"), those(2).alias("specs"))
     group = F.struct(F.lit("Group").alias("title"), F.lit("").alias("file"), those(1).alias("specs"), F.array(inner).alias("suites"))
@@ -200,42 +207,98 @@ def _builds(tests: DataFrame, job: str) -> DataFrame:
     return tests.select("file").distinct().select("file", F.lit(job).alias("job_name"), number("build").alias("build_number"), number("shard").alias("shard"), F.lit("ci").alias("ci_provider"), none.alias("branch"), none.alias("build_url"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
 
 
-def _ingested(v: Views, tests: DataFrame, job: str, source: str) -> dict[str, DataFrame]:
-    """The tables after the files of shard 0, then all files, have been ingested."""
+def _ingested(v: Views, tests: DataFrame, job: str, source: str, created_once: bool = False) -> dict[str, DataFrame]:
+    """The tables after the files of shard 0, then all files, have been ingested, into links by hand and builds that began before."""
     state = job_ops.empty_state(v.spark)
     state["link"] = v.spark.createDataFrame([("P0-0", "elsewhere", "MANUAL", "LOW", "by hand", "ui")], job_ops.LINK)
+    state["case_link"] = v.spark.createDataFrame([("elsewhere", 1, "MANUAL", "LOW", "by hand", "ui")], job_ops.KINDS["case_link"].schema)
+    state["build"] = v.spark.sql("SELECT 'e2e' AS job_name, 3 AS build_number, 'old' AS ci_provider, CAST(NULL AS STRING) AS branch, 'u' AS build_url, TIMESTAMP'2020-01-01 00:00:00' AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at")
+    cases = v.testrail_case.select(F.col("tr_case_id").cast("long").alias("tr_case_id"))
     for part in (tests.where("file like '%shard=0%'"), tests):
-        found = job_ops.found_tables(part, _builds(part, job), v.jira_issue.select("issue_key"))
-        state |= {name: kept(df, f"state-{name}") for name, df in job_ops.ingest(state, found, source).items()}
+        found = job_ops.found_tables(part, _builds(part, job), v.jira_issue.select("issue_key"), cases)
+        state |= {name: kept(df, f"state-{name}") for name, df in job_ops.ingest(state, found, source, created_once).items()}
+    state["skipped_case_link"] = found["skipped_case_link"]
     return state
 
 
-def _results_with_links(state: dict[str, DataFrame]) -> DataFrame:
+def _results_with_links(state: dict[str, DataFrame], job: str) -> DataFrame:
     n = state["link"].groupBy("identity_key").agg(F.count(F.lit(1)).alias("links"))
-    rows = state["result"].join(state["case"], "identity_key").join(n, "identity_key", "left").join(state["build"].select("job_name", "build_number", F.col("started_at").isNotNull().alias("dated")), ["job_name", "build_number"])
-    return rows.select("job_name", "build_number", "shard", "identity_key", "title", "status", F.coalesce("links", F.lit(0)).alias("links"), "dated")
+    dated = state["build"].where(F.col("job_name") == job).select("job_name", "build_number", F.date_format("started_at", "yyyy").alias("year"))
+    rows = job_ops.numbered_results(state["result"]).join(state["case"], "identity_key").join(n, "identity_key", "left").join(dated, ["job_name", "build_number"])
+    return rows.select("job_name", "build_number", "shard", "identity_key", "title", "attempt", "status", F.coalesce("links", F.lit(0)).alias("links"), "year")
 
 
-def junit_ingest(v: Views) -> DataFrame:
+def _junit_state(v: Views) -> dict[str, DataFrame]:
     path = scratch_path(v.spark, "junit-builds")
     built_junit(v, path)
     tests = kept(job_ops.junit_tests(junit.read_suites(v.spark, f"{path}/*/*/*/*")), "junit-tests")
-    return _results_with_links(_ingested(v, tests, "nightly", "junit-property"))
+    return _ingested(v, tests, "nightly", "junit-property")
 
 
-def playwright_ingest(v: Views) -> DataFrame:
+def _playwright_state(v: Views) -> dict[str, DataFrame]:
     path = scratch_path(v.spark, "playwright-builds")
     built_playwright(v, path)
     tests = kept(job_ops.playwright_tests(playwright.read_reports(v.spark, f"{path}/*/*/*/*")), "playwright-tests")
-    return _results_with_links(_ingested(v, tests, "e2e", "playwright-tag"))
+    return _ingested(v, tests, "e2e", "playwright-tag", created_once=True)
+
+
+def junit_ingest(v: Views) -> DataFrame:
+    return _results_with_links(_junit_state(v), "nightly")
+
+
+def playwright_ingest(v: Views) -> DataFrame:
+    """Results of both rounds; the build that was there keeps its start."""
+    return _results_with_links(_playwright_state(v), "e2e")
+
+
+def case_link_ingest(v: Views) -> DataFrame:
+    """Links of tests to cases after both ingests, those by hand among them, and the number of unknown cases that a test names."""
+    out = None
+    for state in (_junit_state(v), _playwright_state(v)):
+        known = state["case_link"].select("identity_key", "tr_case_id", "provenance", "source", F.lit(True).alias("known"))
+        skipped = state["skipped_case_link"].select("identity_key", "tr_case_id", F.lit(None).cast("string").alias("provenance"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("known"))
+        rows = known.unionByName(skipped)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
+def issue_link_ingest(v: Views) -> DataFrame:
+    """Links of tests to issues after both ingests."""
+    ends = ("issue_key", "identity_key", "provenance", "confidence", "evidence", "source")
+    return _junit_state(v)["link"].select(*ends).unionByName(_playwright_state(v)["link"].select(*ends))
 
-def drained(v: Views) -> dict[str, VersionedTable]:
+
+def _of_test(state: dict[str, DataFrame]) -> DataFrame:
+    return state["result"].select("result_id", "identity_key")
+
+
+def attempt_ingest(v: Views) -> DataFrame:
+    """Attempts of the tests, and whether their output is kept."""
+    state = _playwright_state(v)
+    rows = state["attempt"].join(_of_test(state), "result_id")
+    return rows.select("build_number", "identity_key", "attempt_no", "status", "duration_ms", F.date_format("finished_at", "ss.SSS").alias("finished"), "error_hash", F.col("log_uri").isNotNull().alias("logged"))
+
+
+def log_ingest(v: Views) -> DataFrame:
+    """Output of the attempts."""
+    state = _playwright_state(v)
+    rows = state["build_log"].drop("build_number").join(state["attempt"].select("attempt_id", "result_id", "attempt_no", "build_number"), "attempt_id").join(_of_test(state), "result_id")
+    return rows.select("build_number", "identity_key", "attempt_no", "log_type", "content", F.col("bytes").cast("long").alias("bytes"))
+
+
+def artifact_ingest(v: Views) -> DataFrame:
+    """Attachments of the tests that didn't pass."""
+    state = _playwright_state(v)
+    return state["artifact"].join(_of_test(state), "result_id").select("build_number", "identity_key", "name", "kind", "uri")
+
+
+def drained(v: Views) -> Store:
     """The tables after manifests of JUnit and Playwright shards, and three that fail, were drained in two rounds."""
     root = scratch_path(v.spark, "drop-zone")
     built_junit(v, f"{root}/files/nightly")
     built_playwright(v, f"{root}/files/e2e")
-    tables = {name: VersionedTable(v.spark, f"{root}/{name}", job_ops.SCHEMAS[name], job_ops.KEYS[name], 8) for name in ("build", "run", "case", "result", "batch")}
+    store = Store(v.spark, f"{root}/store", job_ops.KINDS)
+    known = kept(v.jira_issue.select("issue_key"), "known-issues"), kept(v.testrail_case.select(F.col("tr_case_id").cast("long").alias("tr_case_id")), "known-cases")
 
     def land(name: str, **manifest) -> None:
         put_text(v.spark, f"{root}/in/{name}/manifest.json", json.dumps({"schema": "1", **manifest}))
@@ -250,27 +313,35 @@ def drained(v: Views) -> dict[str, VersionedTable]:
             land("bad/1", jobName="bad", buildNumber=1, framework="mocha", resultFiles=["a"])
             land("bad/2", jobName="bad", buildNumber=2, framework="junit", resultFiles=["gone.xml"])
             put_text(v.spark, f"{root}/in/bad/3/manifest.json", "not json")
-        drain_manifests(v.spark, f"{root}/in", tables, f"{root}/checkpoint")
-    return tables
+        drain_manifests(store, f"{root}/in", *known, f"{root}/checkpoint")
+    return store
 
 
 def manifest_drain(v: Views) -> DataFrame:
-    """Status of every batch."""
+    """Status of every batch, with the links that its tests have to issues and cases."""
     folder = F.element_at(F.split("path", "/"), -2)
     job = F.coalesce("job_name", F.concat(F.lit("bad "), folder))
-    return drained(v)["batch"].read().select(job.alias("job"), "build_number", "shard", "status", F.split_part(F.coalesce("error", F.lit("")), F.lit(":"), F.lit(1)).alias("error"), "tests")
+    return drained(v).read("batch").select(job.alias("job"), "build_number", "shard", "status", F.split_part(F.coalesce("error", F.lit("")), F.lit(":"), F.lit(1)).alias("error"), "tests", "links", "unknown_issues")
 
 
 def shard_builds(v: Views) -> DataFrame:
     """Builds with the span of their shards, and the tests of all their shards."""
-    tables = drained(v)
+    now = drained(v).snapshot()
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    runs = tables["run"].read().groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("shards"), F.sum("tests").alias("tests"))
-    results = tables["result"].read().groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("results"))
-    spans = tables["build"].read().select("job_name", "build_number", day("started_at"), day("finished_at"))
+    sums = [F.sum(c).alias(c) for c in ("tests", "passed", "failed", "skipped")]
+    runs = job_ops.run_totals(now.read("run")).groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("shards"), *sums)
+    results = job_ops.numbered_results(now.read("result")).groupBy("job_name", "build_number").agg(F.count(F.lit(1)).alias("results"), F.max("attempt").alias("attempts"))
+    spans = now.read("build").select("job_name", "build_number", day("started_at"), day("finished_at"))
     return spans.join(runs, ["job_name", "build_number"]).join(results, ["job_name", "build_number"])
 
 
+def drain_links(v: Views) -> DataFrame:
+    """The links that a drain wrote, to issues and to cases."""
+    now = drained(v).snapshot()
+    link = now.read("link").select("identity_key", F.col("issue_key").alias("other"), "provenance", "confidence", "evidence")
+    return link.unionByName(now.read("case_link").select("identity_key", F.concat(F.lit("C"), "tr_case_id").alias("other"), "provenance", "confidence", "evidence"))
+
+
 # Sync jobs ------------------------------------------------------------------------------------------------
 
 def pages_of(rows: DataFrame, item, name: str) -> DataFrame:
@@ -308,8 +379,13 @@ def result_sync(v: Views) -> DataFrame:
     return out.select("tr_result_id", "tr_run_id", "tr_case_id", "status_id", F.date_format("tested_at", "yyyy-MM-dd").alias("tested_on"))
 
 
-_FILES = """f AS (SELECT 'nightly' AS job, id, test_case_id, status, CAST(id % 6 AS INT) AS b, CAST(floor(id / 6) AS INT) % 2 AS s FROM test_case_result
-  UNION ALL SELECT 'e2e', id, test_case_id, status, CAST(id % 6 AS INT), CAST(floor(id / 6) AS INT) % 2 FROM test_execution)"""
+#: Every test of the files: its job, build and shard, and the issue and case that it names.
+_FILES = """f AS (SELECT 'nightly' AS job, id, test_case_id, status, CAST(id % 6 AS INT) AS b, CAST(floor(id / 6) AS INT) % 2 AS s, 'property in a report' AS evidence, concat('suite.T', CAST(test_case_id AS STRING), '::t', CAST(id AS STRING)) AS identity_key,
+    CASE WHEN status = 'PASSED' THEN concat('P', CAST(id % 7 AS STRING), '-', CAST(id % 2000 AS STRING)) END AS issue, CASE WHEN status = 'PASSED' THEN id % 300 END AS tr FROM test_case_result
+  UNION ALL SELECT 'e2e', id, test_case_id, status, CAST(id % 6 AS INT), CAST(floor(id / 6) AS INT) % 2, 'tag in a report', concat('tests/u', CAST(test_case_id AS STRING), '.spec.ts::', CASE CAST(floor(id / 3) AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN 'Group > ' ELSE 'Group > Inner > ' END, 't', CAST(id AS STRING)),
+    concat('P1-', CAST(id AS STRING)), id % 300 FROM test_execution),
+g AS (SELECT f.*, i.issue_key, c.tr_case_id FROM f LEFT JOIN jira_issue i ON i.issue_key = f.issue LEFT JOIN testrail_case c ON c.tr_case_id = f.tr)"""
+_OVER_FILES = over_views("").rstrip() + ",\n" + _FILES
 
 
 #: name: (query over the views, SQL)
@@ -326,13 +402,23 @@ QUERIES = {
 FROM test_execution, (SELECT 0 AS n UNION ALL SELECT 1) k WHERE n = 0 OR status = 'FLAKY'""")),
     "playwright_runs": (playwright_runs, over_views("SELECT CAST(test_case_id AS STRING) AS path, CASE WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE status = 'FLAKY') > 0 THEN 'FLAKY' WHEN count(*) FILTER (WHERE status = 'PASSED') = 0 THEN 'SKIPPED' ELSE 'PASSED' END AS status, '2024-01-01 00:00:01.5' AS finished_at FROM test_execution GROUP BY test_case_id")),
     "issue_sync": (issue_sync, over_views("SELECT issue_key, issue_type, summary, status, parent_key, project_key, priority FROM jira_issue")),
-    "junit_ingest": (junit_ingest, over_views("""SELECT 'nightly' AS job_name, CAST(r.id % 6 AS INT) AS build_number, CAST(floor(r.id / 6) AS INT) % 2 AS shard, concat('suite.T', CAST(test_case_id AS STRING), '::t', CAST(r.id AS STRING)) AS identity_key, concat('t', CAST(r.id AS STRING)) AS title, r.status,
-  CASE WHEN i.issue_key IS NULL OR r.status <> 'PASSED' THEN 0 ELSE 1 END AS links, true AS dated FROM test_case_result r LEFT JOIN jira_issue i ON i.issue_key = concat('P', CAST(r.id % 7 AS STRING), '-', CAST(r.id % 2000 AS STRING))""")),
-    "playwright_ingest": (playwright_ingest, over_views("""SELECT 'e2e' AS job_name, CAST(r.id % 6 AS INT) AS build_number, CAST(floor(r.id / 6) AS INT) % 2 AS shard, concat('tests/u', CAST(test_case_id AS STRING), '.spec.ts::', CASE CAST(floor(r.id / 3) AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN 'Group > ' ELSE 'Group > Inner > ' END, 't', CAST(r.id AS STRING)) AS identity_key,
-  concat('t', CAST(r.id AS STRING)) AS title, r.status, CASE WHEN i.issue_key IS NULL THEN 0 ELSE 1 END AS links, true AS dated FROM test_execution r LEFT JOIN jira_issue i ON i.issue_key = concat('P1-', CAST(r.id AS STRING))""")),
-    "manifest_drain": (manifest_drain, over_views("").rstrip() + f""",\n{_FILES} SELECT job, b AS build_number, s AS shard, 'ok' AS status, '' AS error, count(*) AS tests FROM f GROUP BY job, b, s
-UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0 UNION ALL SELECT 'bad', 2, 0, 'failed', 'missing', 0 UNION ALL SELECT 'bad 3', NULL, NULL, 'failed', 'not a manifest', 0"""),
-    "shard_builds": (shard_builds, over_views("").rstrip() + f""",\n{_FILES} SELECT job AS job_name, b AS build_number, CASE WHEN max(s) = 1 THEN '2024-03-01' ELSE '2024-03-02' END AS started_at, CASE WHEN max(s) = 1 THEN '2024-03-04' ELSE '2024-03-03' END AS finished_at, count(DISTINCT s) AS shards, count(*) AS tests, count(*) AS results FROM f GROUP BY job, b"""),
+    "junit_ingest": (junit_ingest, _OVER_FILES + """ SELECT job AS job_name, b AS build_number, s AS shard, identity_key, concat('t', CAST(id AS STRING)) AS title, CAST(1 AS INT) AS attempt, status, CASE WHEN issue_key IS NULL THEN 0 ELSE 1 END AS links, '2024' AS year FROM g WHERE job = 'nightly'"""),
+    "playwright_ingest": (playwright_ingest, _OVER_FILES + """ SELECT job AS job_name, b AS build_number, s AS shard, identity_key, concat('t', CAST(id AS STRING)) AS title, CAST(1 AS INT) AS attempt, status, CASE WHEN issue_key IS NULL THEN 0 ELSE 1 END AS links, CASE WHEN b = 3 THEN '2020' ELSE '2024' END AS year FROM g WHERE job = 'e2e'"""),
+    "manifest_drain": (manifest_drain, _OVER_FILES + """ SELECT job, b AS build_number, s AS shard, 'ok' AS status, '' AS error, count(*) AS tests, CAST(count(issue_key) AS INT) AS links, CAST(count(issue) FILTER (WHERE issue_key IS NULL) AS INT) AS unknown_issues FROM g GROUP BY job, b, s
+UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0, 0, 0 UNION ALL SELECT 'bad', 2, 0, 'failed', 'missing', 0, 0, 0 UNION ALL SELECT 'bad 3', NULL, NULL, 'failed', 'not a manifest', 0, 0, 0"""),
+    "shard_builds": (shard_builds, _OVER_FILES + """ SELECT job AS job_name, b AS build_number, CASE WHEN max(s) = 1 THEN '2024-03-01' ELSE '2024-03-02' END AS started_at, CASE WHEN max(s) = 1 THEN '2024-03-04' ELSE '2024-03-03' END AS finished_at, count(DISTINCT s) AS shards, count(*) AS tests,
+  count(*) FILTER (WHERE status IN ('PASSED', 'FLAKY')) AS passed, count(*) FILTER (WHERE status IN ('FAILED', 'ERROR')) AS failed, count(*) FILTER (WHERE status = 'SKIPPED') AS skipped, count(*) AS results, CAST(1 AS INT) AS attempts FROM f GROUP BY job, b"""),
+    "drain_links": (drain_links, _OVER_FILES + """ SELECT identity_key, issue_key AS other, 'EXPLICIT' AS provenance, 'HIGH' AS confidence, evidence FROM g WHERE issue_key IS NOT NULL
+UNION ALL SELECT identity_key, concat('C', CAST(tr_case_id AS STRING)), 'EXPLICIT', 'HIGH', evidence FROM g WHERE tr_case_id IS NOT NULL"""),
+    "case_link_ingest": (case_link_ingest, _OVER_FILES + """ SELECT identity_key, tr AS tr_case_id, CASE WHEN tr_case_id IS NOT NULL THEN 'EXPLICIT' END AS provenance, CASE WHEN tr_case_id IS NOT NULL THEN CASE job WHEN 'e2e' THEN 'playwright-tag' ELSE 'junit-property' END END AS source, tr_case_id IS NOT NULL AS known FROM g WHERE tr IS NOT NULL
+UNION ALL SELECT 'elsewhere', 1, 'MANUAL', 'ui', true UNION ALL SELECT 'elsewhere', 1, 'MANUAL', 'ui', true"""),
+    "issue_link_ingest": (issue_link_ingest, _OVER_FILES + """ SELECT issue_key, identity_key, 'EXPLICIT' AS provenance, 'HIGH' AS confidence, evidence, CASE job WHEN 'e2e' THEN 'playwright-tag' ELSE 'junit-property' END AS source FROM g WHERE issue_key IS NOT NULL
+UNION ALL SELECT 'P0-0', 'elsewhere', 'MANUAL', 'LOW', 'by hand', 'ui' UNION ALL SELECT 'P0-0', 'elsewhere', 'MANUAL', 'LOW', 'by hand', 'ui'"""),
+    "attempt_ingest": (attempt_ingest, _OVER_FILES + """ SELECT b AS build_number, identity_key, n AS attempt_no, CASE WHEN g.status = 'SKIPPED' THEN 'SKIPPED' WHEN n = 0 AND g.status IN ('FAILED', 'FLAKY') THEN 'FAILED' ELSE 'PASSED' END AS status, CASE WHEN n = 0 AND g.status IN ('FAILED', 'FLAKY') THEN 10 ELSE 20 END AS duration_ms,
+  CASE WHEN n = 0 AND g.status IN ('FAILED', 'FLAKY') THEN '00.010' ELSE '00.020' END AS finished, CASE WHEN n = 0 AND g.status IN ('FAILED', 'FLAKY') THEN substr(sha256(concat('at <f>:0:0 ', regexp_replace(coalesce(error_text, '?'), '[0-9]+:[0-9]+', '0:0', 'g'))), 1, 16) END AS error_hash, n = 0 AND g.status IN ('FAILED', 'FLAKY') AS logged
+FROM g JOIN test_execution e ON e.id = g.id, (SELECT 0 AS n UNION ALL SELECT 1) k WHERE job = 'e2e' AND (n = 0 OR g.status = 'FLAKY')"""),
+    "log_ingest": (log_ingest, _OVER_FILES + """ SELECT b AS build_number, identity_key, 0 AS attempt_no, 'stdout' AS log_type, concat('out ', CAST(id AS STRING)) AS content, 4 + length(CAST(id AS STRING)) AS bytes FROM g WHERE job = 'e2e' AND status IN ('FAILED', 'FLAKY')"""),
+    "artifact_ingest": (artifact_ingest, _OVER_FILES + """ SELECT b AS build_number, identity_key, 'my_shot' AS name, 'screenshot' AS kind, concat('/ci/t', CAST(id AS STRING), '/shot.png') AS uri FROM g WHERE job = 'e2e' AND status IN ('FAILED', 'FLAKY')"""),
     "case_sync": (lambda v: _case_sync(v)[0].select("tr_case_id", "title", "section_path", "priority"), over_views("""SELECT CAST(s_suppkey AS BIGINT) AS tr_case_id, s_name AS title, concat(r_name, ' / ', n_name) AS section_path, CASE s_suppkey % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' WHEN 3 THEN 'Critical' ELSE '4' END AS priority
   FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")),
     "case_sync_links": (lambda v: _case_sync(v)[1].select("issue_key", "tr_case_id", "provenance", "confidence"), over_views("""SELECT k AS issue_key, tr_case_id, provenance, confidence FROM (SELECT concat('P', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING)) AS k, CAST(s_suppkey AS BIGINT) AS tr_case_id, 'EXPLICIT' AS provenance, 'HIGH' AS confidence FROM supplier) x JOIN jira_issue i ON i.issue_key = k

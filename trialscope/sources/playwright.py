@@ -9,8 +9,8 @@ from trialscope.functions.text import case_ids, error_fingerprint, issue_keys, t
 from trialscope.sources.scratch import kept
 
 _OUT = "array<struct<text:string,buffer:string>>"
-_RESULT = f"struct<status:string,duration:double,retry:int,startTime:string,errors:array<struct<message:string>>,stdout:{_OUT},stderr:{_OUT},attachments:array<struct<name:string,contentType:string,path:string>>,annotations:array<struct<type:string,description:string>>>"
-_TEST = f"struct<projectName:string,status:string,annotations:array<struct<type:string,description:string>>,results:array<{_RESULT}>>"
+RESULT = f"struct<status:string,duration:double,retry:int,startTime:string,errors:array<struct<message:string>>,stdout:{_OUT},stderr:{_OUT},attachments:array<struct<name:string,contentType:string,path:string>>,annotations:array<struct<type:string,description:string>>>"
+_TEST = f"struct<projectName:string,status:string,annotations:array<struct<type:string,description:string>>,results:array<{RESULT}>>"
 _SPEC = f"struct<id:string,title:string,ok:boolean,tags:array<string>,file:string,tests:array<{_TEST}>>"
 #: Nested suites stay text until their level is reached: the tree has no fixed depth.
 _SUITE = f"title string, file string, specs array<{_SPEC}>, suites array<string>"
@@ -66,7 +66,7 @@ def executions(spec_rows: DataFrame, projects: list[str] | None = None) -> DataF
     e = spec_rows.select("path", test_id.alias("test_id"), F.col("spec.title").alias("title"), F.coalesce("spec.tags", F.array().cast("array<string>")).alias("tags"), F.explode("spec.tests").alias("t"))
     if projects:
         e = e.where(F.col("t.projectName").isin(*projects))
-    results = F.coalesce(F.col("t.results"), F.array().cast(f"array<{_RESULT}>"))
+    results = F.coalesce(F.col("t.results"), F.array().cast(f"array<{RESULT}>"))
     last = F.try_element_at(results, F.lit(-1))
     none = F.array().cast("array<struct<type:string,description:string>>")
     notes = F.array_distinct(F.concat(F.coalesce("t.annotations", none), F.flatten(F.transform(results, lambda r: F.coalesce(r["annotations"], none)))))
@@ -79,24 +79,28 @@ def executions(spec_rows: DataFrame, projects: list[str] | None = None) -> DataF
     )
 
 
-def attempts(execution_rows: DataFrame) -> DataFrame:
+#: What names an execution in a report.
+EXECUTION = ("path", "test_id", "project")
+
+
+def attempts(execution_rows: DataFrame, keys: tuple[str, ...] = EXECUTION) -> DataFrame:
     """A row per result: attempt number (its retry, else its place), status, duration, fingerprint of its first error."""
-    r = execution_rows.select("path", "test_id", "project", F.posexplode("results").alias("pos", "r"))
+    r = execution_rows.select(*keys, F.posexplode("results").alias("pos", "r"))
     start = F.try_to_timestamp("r.startTime")
     message = F.get(F.col("r.errors"), F.lit(0))["message"]
     return r.select(
-        "path", "test_id", "project", F.coalesce("r.retry", "pos").alias("attempt_no"),
+        *keys, F.coalesce("r.retry", "pos").alias("attempt_no"),
         F.when(F.col("r.status") == "passed", "PASSED").when(F.col("r.status") == "skipped", "SKIPPED").otherwise("FAILED").alias("status"),
         F.col("r.duration").cast("int").alias("duration_ms"), start.alias("started_at"), F.timestamp_millis(F.unix_millis(start) + F.col("r.duration").cast("long")).alias("finished_at"),
         F.when(message != "", error_fingerprint(message)).alias("error_hash"), F.col("r.stdout").alias("stdout"), F.col("r.stderr").alias("stderr"), F.col("r.attachments").alias("attachments"),
     )
 
 
-def build_logs(attempt_rows: DataFrame) -> DataFrame:
+def build_logs(attempt_rows: DataFrame, keys: tuple[str, ...] = (*EXECUTION, "attempt_no")) -> DataFrame:
     """A row per attempt and stream with output: chunks of text and base 64 joined, and their bytes."""
-    logs = attempt_rows.select("path", "test_id", "project", "attempt_no", F.explode(F.create_map(F.lit("stdout"), "stdout", F.lit("stderr"), "stderr")).alias("log_type", "chunks"))
+    logs = attempt_rows.select(*keys, F.explode(F.create_map(F.lit("stdout"), "stdout", F.lit("stderr"), "stderr")).alias("log_type", "chunks"))
     whole = F.array_join(F.transform("chunks", lambda c: F.coalesce(c["text"], F.try_to_binary(c["buffer"], F.lit("base64")).cast("string"), F.lit(""))), "")
-    out = logs.where("chunks is not null").select("path", "test_id", "project", "attempt_no", "log_type", whole.alias("content"))
+    out = logs.where("chunks is not null").select(*keys, "log_type", whole.alias("content"))
     return out.withColumn("bytes", F.octet_length("content")).where("bytes > 0")
 
 
@@ -104,12 +108,12 @@ def artifact_kind(mime: Column, name: Column) -> Column:
     return F.when(mime.startswith("image/"), "screenshot").when(mime.startswith("video/"), "video").when(name.contains("trace") | (mime == "application/zip"), "trace").otherwise("attachment")
 
 
-def artifacts(execution_rows: DataFrame) -> DataFrame:
+def artifacts(execution_rows: DataFrame, keys: tuple[str, ...] = EXECUTION) -> DataFrame:
     """Attachments of executions that didn't pass: normal name, kind, path."""
     bad = execution_rows.where(F.col("status").isin("FAILED", "FLAKY", "ERROR"))
-    a = bad.select("path", "test_id", "project", F.explode("results").alias("r")).select("path", "test_id", "project", F.explode("r.attachments").alias("a"))
+    a = bad.select(*keys, F.explode("results").alias("r")).select(*keys, F.explode("r.attachments").alias("a"))
     name = F.regexp_replace(F.lower("a.name"), r"\s+", "_")
-    return a.select("path", "test_id", "project", name.alias("name"), artifact_kind(F.col("a.contentType"), name).alias("kind"), F.col("a.path").alias("uri"))
+    return a.select(*keys, name.alias("name"), artifact_kind(F.col("a.contentType"), name).alias("kind"), F.col("a.path").alias("uri"))
 
 
 def artifact_index(artifact_rows: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Paths that the innermost scope has to drop; None outside of scopes.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; the scope around drops it."""
+    path, owned = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", _scope.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths inside goes at the end, also after an error.
+
+    For jobs whose results are in tables of their own by then: frames over kept() tables can't be read afterwards.
+    """
+    owned: list[str] = []
+    before = _scope.set(owned)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in owned:
+            drop(spark, path)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +63,22 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The one spelling of a path, with its scheme: /a, file:/a and file:///a are the same; relative ones lie in the working folder."""
+    local = "file:/" if path.startswith("file://localhost/") else ""
+    store, p = _hadoop(spark, local + path.removeprefix("file://localhost/") if local else path)
+    return store.makeQualified(p).toString()
+
+
+def as_qualified(file_path: Column, escaped: bool = True) -> Column:
+    """What readers report as _metadata.file_path, in the spelling of qualified(): without an empty authority, and without escapes.
+
+    Batch readers escape names as in URLs; streams don't.
+    """
+    one = F.regexp_replace(file_path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+    return F.url_decode(F.replace(one, F.lit("+"), F.lit("%2B"))) if escaped else one
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it isn't there."""
     store, p = _hadoop(spark, path)
@@ -61,3 +103,25 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """Read a small text file."""
+    store, p = _hadoop(spark, path)
+    found = store.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+    finally:
+        found.close()
+
+
+def put_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file that appears whole or not at all; an error if it is there already."""
+    folder, name = path.rsplit("/", 1)
+    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    put_text(spark, aside, text)
+    store, p = _hadoop(spark, path)
+    _, q = _hadoop(spark, aside)
+    if store.exists(p) or not store.rename(q, p):
+        store.delete(q, False)
+        raise FileExistsError(path)
