@@ -70,13 +70,9 @@ def qualified(spark: SparkSession, path: str) -> str:
     return store.makeQualified(p).toString()
 
 
-def as_qualified(file_path: Column, escaped: bool = True) -> Column:
-    """What readers report as _metadata.file_path, in the spelling of qualified(): without an empty authority, and without escapes.
-
-    Batch readers escape names as in URLs; streams don't.
-    """
-    one = F.regexp_replace(file_path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
-    return F.url_decode(F.replace(one, F.lit("+"), F.lit("%2B"))) if escaped else one
+def as_qualified(file_path: Column) -> Column:
+    """What readers report as _metadata.file_path, in the spelling of qualified(): without escapes (as in URLs) and empty authority."""
+    return F.url_decode(F.replace(F.regexp_replace(file_path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/"), F.lit("+"), F.lit("%2B")))
 
 
 def listing(spark: SparkSession, path: str) -> list[str]:

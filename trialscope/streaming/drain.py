@@ -41,8 +41,7 @@ def drain_json(store: Store, name: str, incoming: str, rejects: str, checkpoint:
 
 
 def _texts(files: DataFrame) -> DataFrame:
-    path = as_qualified(F.col("_metadata.file_path"), escaped=not files.isStreaming)
-    return files.select(path.alias("path"), F.col("value").alias("text"))
+    return files.select(as_qualified(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
 _WHOLE = {"wholetext": True, "pathGlobFilter": "manifest*.json", "recursiveFileLookup": True}
