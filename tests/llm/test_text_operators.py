@@ -206,6 +206,19 @@ def test_toxicity_held_out_and_filter(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in scores.where("predicted = 0").collect()}
 
 
+def test_toxicity_learns_from_few_labels_and_scores_edge_rows(spark):
+    """Some hundred labelled rows, null, empty and very long texts among them."""
+    rnd = random.Random(11)
+    toxic = [rnd.random() < 0.15 for _ in range(400)]
+    texts = [" ".join(rnd.choices(WORDS, k=rnd.randint(5, 60)) + (["clownish"] * rnd.randint(1, 3) if y else [])) for y in toxic]
+    rows = list(enumerate(texts)) + [(1000, None), (1001, ""), (1002, "alpha beta " * 30_000), (1003, "alpha beta " * 30_000 + "clownish " * 3000), (None, "clownish clownish"), (None, None)]
+    labels = spark.createDataFrame([(i, 0, int(y)) for i, y in enumerate(toxic)] + [(1000, 0, 0), (1001, 0, 0), (1002, 0, 0), (1003, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    assert held_out_accuracy(toxicity_lm.score_toxicity(docs, labels), labels, "toxic") > 0.9
+    got = {(r.doc_id, r.predicted) for r in toxicity_lm.score_toxicity(docs, labels).where("doc_id >= 1000 or doc_id is null").collect()}
+    assert {i for i, _ in got} == {1000, 1001, 1002, 1003, None} and {(1000, 0), (1001, 0), (1003, 1), (None, 0), (None, 1)} <= got
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity_lm.score_toxicity(frame(spark, EDGE), none).collect()
@@ -227,8 +240,8 @@ def plain_grams(words):
 class PlainModels:
     """Class-conditional Kneser-Ney models with a shared back-off, by plain counts."""
 
-    def __init__(self, top, discount=0.75, backoff=500.0, least=20):
-        self.top, self.d, self.b, self.least = top, discount, backoff, least
+    def __init__(self, top, discount=0.75, backoff=20.0, seen=4):
+        self.top, self.d, self.b, self.seen_ = top, discount, backoff, seen
         seen, self.count = {6: set(top)}, {}
         for k in range(5, 0, -1):
             self.count[k] = defaultdict(int)
@@ -250,14 +263,19 @@ class PlainModels:
 
     def probability(self, cls, g):
         counts = [self.top[x][cls] for x in self.follow[6][g[:-1]]]
-        own = sum(c > 0 for c in counts)
-        return (max(self.top.get(g, (0, 0))[cls] - self.d, 0) + (self.b + self.d * own) * self.shared(g)) / (sum(counts) + self.b)
+        own, b = sum(c > 0 for c in counts), self.b * len(counts)
+        return (max(self.top.get(g, (0, 0))[cls] - self.d, 0) + (b + self.d * own) * self.shared(g)) / (sum(counts) + b)
+
+    def told(self, g):
+        """Whether the context of g has counts of its own."""
+        those = self.follow[6][g[:-1]]
+        return bool(those) and sum(sum(self.top[x]) for x in those) >= self.seen_ * len(those)
 
     def ratio(self, g):
-        if sum(sum(self.top[x]) for x in self.follow[6][g[:-1]]) < self.least:
+        if not self.told(g):
             return 0.0
         counts = [[self.top[x][cls] for x in self.follow[6][g[:-1]]] for cls in (0, 1)]
-        base = [math.log((self.b + self.d * sum(c > 0 for c in those)) / (self.b + sum(those))) for those in counts]
+        base = [math.log((self.b * len(those) + self.d * sum(c > 0 for c in those)) / (self.b * len(those) + sum(those))) for those in counts]
         return math.log(self.probability(1, g) / self.probability(0, g)) if g in self.top else base[1] - base[0]
 
     def word(self, w):
@@ -294,7 +312,7 @@ def test_models_equal_plain_models_and_sum_to_one(spark):
     grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
     plain = PlainModels(plain_grams(counted_words(rows)))
     got = toxicity_lm.gram_ratios(grams).collect()
-    assert {r.gram for r in got} == {g for g in plain.top if sum(sum(plain.top[x]) for x in plain.follow[6][g[:-1]]) >= 20} and len(got) > 300
+    assert {r.gram for r in got} == {g for g in plain.top if plain.told(g)} and len(got) > 300
     symbols = {g[-1] for g in plain.top}
     for r in got:
         assert r.p0 == pytest.approx(plain.probability(0, r.gram)) and r.p1 == pytest.approx(plain.probability(1, r.gram)) and r.ratio == pytest.approx(plain.ratio(r.gram), abs=1e-9)
@@ -309,10 +327,10 @@ def test_models_equal_plain_models_and_sum_to_one(spark):
 @pytest.mark.parametrize("most", [1 << 18, 400, 0])
 def test_evidence_of_whole_texts_equals_plain_models(spark, monkeypatch, most):
     """Means of all words' log ratios and of the parts above the margin, whatever part of the model is in the tasks' table."""
-    monkeypatch.setattr(toxicity_lm, "BACKOFF", 5.0)
-    monkeypatch.setattr(toxicity_lm, "LEAST", 3)
+    monkeypatch.setattr(toxicity_lm, "BACKOFF", 0.5)
+    monkeypatch.setattr(toxicity_lm, "SEEN", 2)
     rows = labelled_texts()
-    plain = PlainModels(plain_grams(counted_words(rows)), backoff=5.0, least=3)
+    plain = PlainModels(plain_grams(counted_words(rows)), backoff=0.5, seen=2)
     grams = toxicity_lm.count_grams(spark.createDataFrame(rows, "text string, label int"))
     ratios = toxicity_lm.ratio_tables(toxicity_lm.gram_ratios(grams), most)
     assert (ratios.rest is None) == (most > 10_000)
@@ -331,7 +349,7 @@ def test_evidence_of_whole_texts_equals_plain_models(spark, monkeypatch, most):
 
 def test_toxic_words_of_calibration_rows_only_are_learnt(spark):
     docs, labels = made_up(spark, lambda r: "vile" + r.choice(("ness", "ly", "st", "")))
-    folds = docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 5) = 0 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").alias("tuning"))
+    folds = docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 3) = 0 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").alias("tuning"))
     only = folds.where("tuning").join(labels.where("toxic = 1"), "doc_id").select("doc_id")
     ids = {r.doc_id for r in only.collect()}
     rare = docs.withColumn("text", F.when(F.col("doc_id").isin(*ids), F.regexp_replace("text", "vile[a-z]*", "qzxwjk")).otherwise(F.col("text")))

@@ -3,8 +3,9 @@
 Two models, one of toxic and one of ordinary labelled documents, give each letter of a word a
 probability after the five before it. Each discounts the class's own counts and backs off to one
 shared Kneser-Ney model of both classes (its counts at the top order, continuation counts below),
-with the discounted mass and BACKOFF sightings more, so that an expression that a class has hardly
-seen gets nearly the same probability in both. Grams start anew at each word: with grams across
+with the discounted mass and BACKOFF sightings more for each different symbol after the context, so
+that an expression that a class has hardly seen gets nearly the same probability in both, in a small
+corpus as in a large one. Grams start anew at each word: with grams across
 words, rare beginnings of words fall into contexts that are too rare to tell the classes apart.
 
 A word's log ratio is its log-likelihood in the toxic class less that in the ordinary class. A
@@ -34,11 +35,12 @@ from trialscope.llm.quality_gam import in_fold
 #: Symbols of a class's own counts; the shared model has one less, down to one.
 ORDER = 6
 DISCOUNT = 0.75
-#: Sightings of a context that the shared model counts as, in each class's model.
-BACKOFF = 500.0
-#: Sightings from which a context has counts of its own in the classes' models; rarer ones use the shared model alone, which
-#: leaves a log ratio of zero. What they could say is little: no gram of theirs could weigh more than LEAST / BACKOFF.
-LEAST = 20
+#: Sightings that the shared model counts as, in each class's model, for each different symbol that follows the context: the
+#: more ways a context goes on, the more of them it takes to know it. It weighs alike whatever the corpus's size.
+BACKOFF = 20.0
+#: Sightings for each different symbol from which a context has counts of its own in the classes' models; rarer ones use the
+#: shared model alone, which leaves a log ratio of zero: theirs would be log(1 + SEEN / BACKOFF) a gram at most, or 0.18.
+SEEN = 4
 #: Log ratio above which a word by itself speaks for the toxic class.
 MARGIN = 1.0
 #: Marks before and after a word (white space, so that no word has them).
@@ -142,13 +144,13 @@ def shared_probabilities(grams: DataFrame, order: int) -> DataFrame:
     return placed.join(lower, "suffix").select("gram", backed_off(F.col("c"), F.col("kinds"), F.col("total"), F.col("p")).alias("p"))
 
 
-def class_probability(n: Column, total: Column, kinds: Column, p: Column) -> Column:
+def class_probability(n: Column, total: Column, kinds: Column, backoff: Column, p: Column) -> Column:
     """A class's own probability of a symbol seen n times in a context, backed off to p of the shared model."""
-    return (F.greatest(n - DISCOUNT, F.lit(0.0)) + (BACKOFF + DISCOUNT * kinds) * p) / (total + BACKOFF)
+    return (F.greatest(n - DISCOUNT, F.lit(0.0)) + (backoff + DISCOUNT * kinds) * p) / (total + backoff)
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
-    """gram, total, p0, p1, ratio, base (and m_ratio, m_base): what the models say of each gram of a context seen LEAST times.
+    """gram, total, p0, p1, ratio, base (and m_ratio, m_base): what the models say of each gram of a context seen SEEN times a symbol.
 
     total is how often its context was seen; p0 and p1 are the classes' probabilities of its last
     symbol; ratio is the log of p1 / p0. base is that of any symbol that neither class has seen in the
@@ -157,15 +159,18 @@ def gram_ratios(grams: DataFrame) -> DataFrame:
     """
     context, lower = Window.partitionBy("context"), shared_probabilities(grams, ORDER - 1).withColumnRenamed("gram", "suffix")
     own = grams.select("gram", F.expr(f"substring(gram, 1, {ORDER - 1})").alias("context"), F.expr(f"substring(gram, 2, {ORDER - 1})").alias("suffix"), "n0", "n1", (F.col("n0") - F.col("m0")).alias("l0"), (F.col("n1") - F.col("m1")).alias("l1"))
-    own = own.withColumns({f"t_{c}": F.sum(c).over(context) for c in ("n0", "n1", "l0", "l1")} | {f"k_{c}": F.count_if(F.col(c) > 0).over(context) for c in ("n0", "n1", "l0", "l1")} | {"kinds": F.count(F.lit(1)).over(context)})
-    own = own.join(lower, "suffix").withColumn("total", F.col("t_n0") + F.col("t_n1")).where(F.col("total") >= LEAST)
+    own = own.withColumns({f"t_{c}": F.sum(c).over(context) for c in ("n0", "n1", "l0", "l1")} | {f"k_{c}": F.count_if(F.col(c) > 0).over(context) for c in ("n0", "n1", "l0", "l1")} | {"kinds": F.count(F.lit(1)).over(context), "l_kinds": F.count_if(F.col("l0") + F.col("l1") > 0).over(context)})
+    own = own.join(lower, "suffix").withColumn("total", F.col("t_n0") + F.col("t_n1")).where(F.col("total") >= SEEN * F.col("kinds"))
     own = own.withColumn("p", backed_off(F.col("n0") + F.col("n1"), F.col("kinds"), F.col("total"), F.col("p")))
 
+    def backoff(c: str) -> Column:
+        return BACKOFF * (F.col("kinds") if c[0] == "n" else F.greatest("l_kinds", F.lit(1)))
+
     def of(c: str) -> Column:
-        return class_probability(F.col(c), F.col(f"t_{c}"), F.col(f"k_{c}"), F.col("p"))
+        return class_probability(F.col(c), F.col(f"t_{c}"), F.col(f"k_{c}"), backoff(c), F.col("p"))
 
     def base(c: str) -> Column:
-        return F.log((BACKOFF + DISCOUNT * F.col(f"k_{c}")) / (BACKOFF + F.col(f"t_{c}")))
+        return F.log((backoff(c) + DISCOUNT * F.col(f"k_{c}")) / (backoff(c) + F.col(f"t_{c}")))
 
     return own.select(
         "gram", "total", of("n0").alias("p0"), of("n1").alias("p1"), F.log(of("n1") / of("n0")).alias("ratio"), F.log(of("l1") / of("l0")).alias("m_ratio"),
@@ -338,10 +343,9 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 
 def score_inputs() -> list[Column]:
-    """What the score depends on: the mean log ratio and the part above the margin, in short and long texts."""
-    size = F.log1p("words") - 5
-    mean, above = 10 * F.col("mean"), F.log(F.col("above") + 0.002) + 4
-    return [mean, mean * size, above, above * size, size]
+    """What the score depends on: the mean log ratio, the part above the margin, and the length (texts of
+    some 3,000 words count as long as any); few weights, so that some labels do."""
+    return [10 * F.col("mean"), F.log(F.col("above") + 0.002) + 4, F.least(F.log1p("words") - 5, F.lit(3.0))]
 
 
 def score_weights(found: DataFrame) -> np.ndarray:
@@ -358,7 +362,7 @@ def with_score(rows: DataFrame, labels: DataFrame, id_col: str, folds: int, held
     """The rows (_id, text, ...) with score instead of text, by models of the labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
     known = known.where(~in_fold("_id", folds, held_out))
-    tunable = known.where(F.pmod(F.xxhash64("_id"), F.lit(5)) == 0)
+    tunable = known.where(F.pmod(F.xxhash64("_id"), F.lit(3)) == 0)
     apart, apart_path = kept_table(bounded_sample(tunable, "_id", calibration_rows), "calibration")
     marks = known.join(F.broadcast(apart.select("_id", F.lit(True).alias("apart"))), "_id", "left")
     learn = rows.where(~in_fold("_id", folds, held_out)).select("_id", "text").join(marks.hint("merge"), "_id")  # labels grow with the corpus
@@ -391,7 +395,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """id, held_out, score, predicted for every row of docs.
 
     The models count all labelled rows outside the held-out fold. At most calibration_rows of them
-    (of least hash among a fifth by another hash) turn log ratios into probabilities; for that, they are
+    (of least hash among a third by another hash) turn log ratios into probabilities; for that, they are
     judged by models that have not counted them. What comes to the driver is the table of the most
     frequent contexts and a filter, both of fixed size, and the calibration rows' figures.
 
