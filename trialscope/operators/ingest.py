@@ -169,6 +169,17 @@ def sync_issues(issues: DataFrame, pages: DataFrame, since=None) -> DataFrame:
     return merge(issues, new, ["issue_key"], {"created_at": OLD_UNLESS_NULL})
 
 
+def sync_issue_projects(issues: DataFrame, pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Landed issues of the projects of marks (project_key, since) merged in, each project's from its own moment on.
+
+    An issue of a project that wasn't asked for is left out; a null moment takes all of the project's.
+    """
+    asked = marks.select(F.col("project_key"), F.col("since").alias("_since"))
+    changed = landed.issues(pages).join(asked, "project_key").where(F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since"))).drop("_since")
+    new = last_write_wins(changed, ["issue_key"], [F.desc_nulls_last("updated_at")])
+    return merge(issues, new, ["issue_key"], {"created_at": OLD_UNLESS_NULL})
+
+
 def sync_cases(cases: DataFrame, links: DataFrame, pages: DataFrame, section_paths: DataFrame, priorities: DataFrame, known_issues: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases, links, skipped): landed cases merged in with the names of their priorities, and EXPLICIT links from their refs.
 
@@ -190,6 +201,19 @@ def sync_results(results: DataFrame, pages: DataFrame, known_cases: DataFrame) -
     return merge(results, new, ["tr_result_id"], {c: NEW if c in ("status_id", "tested_at") else OLD for c in results.columns})
 
 
+def bulk_junit(spark, folder: str, job_name: str, ci_provider: str | None = None, url_prefix: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tests, builds, skipped) of a folder of JUnit files that are named by their build's number, such as 918.xml.
+
+    The files are listed as a table, without their contents. skipped has the other .xml files; their tests join no
+    build. A build starts when its report says.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select(F.col("path").alias("file"), junit.build_number(F.col("path")).alias("build_number"), F.col("length").alias("bytes"))
+    url = F.concat(F.lit(url_prefix), F.lit("/"), F.col("build_number").cast("string"), F.lit("/"))
+    none = lambda kind: F.lit(None).cast(kind)
+    builds = listed.where("build_number is not null").select("file", F.lit(job_name).alias("job_name"), "build_number", F.lit(0).alias("shard"), F.lit(ci_provider).cast("string").alias("ci_provider"), none("string").alias("branch"), url.alias("build_url"), none("timestamp").alias("started_at"), none("timestamp").alias("finished_at"))
+    return junit_tests(junit.read_suites(spark, f"{folder}/*.xml")), builds, listed.where("build_number is null").select("file", "bytes")
+
+
 def _resolved(attachments: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(artifacts, lost): attachments with the URI of the file that came with their manifest.
 

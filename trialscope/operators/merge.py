@@ -145,6 +145,23 @@ def high_water_mark(rows: DataFrame, group: str, moment: str, overlap: str = "IN
     return latest.agg(F.when(F.count_if(F.col("m").isNull()) > 0, None).otherwise(F.min("m") - F.expr(overlap)).alias("since"))
 
 
+def project_marks(rows: DataFrame, projects: DataFrame, group: str, moment: str, overlap: str = "INTERVAL 1 HOUR", explicit=None, full: bool = False) -> DataFrame:
+    """group, since: from when on each requested project's changes are to be asked for; null (everything) for one without rows.
+
+    projects has the requested groups. An explicit moment holds for all of them, a full sync asks for everything.
+    """
+    latest = rows.groupBy(group).agg((F.max(moment) - F.expr(overlap)).alias("since"))
+    asked = projects.select(group).distinct()
+    if full or explicit is not None:
+        return asked.withColumn("since", F.lit(None if full else explicit).cast("timestamp"))
+    return asked.join(latest, group, "left")
+
+
+def oldest_mark(marks: DataFrame) -> DataFrame:
+    """since: the one moment that serves all projects of project_marks(); null if one of them needs everything."""
+    return marks.agg(F.when(F.count_if(F.col("since").isNull()) > 0, None).otherwise(F.min("since")).alias("since"))
+
+
 def incremental(rows: DataFrame, moment: str, since) -> DataFrame:
     """Rows changed at `since` or later; all, if it is null. The overlap is absorbed by the merge."""
     return rows.where((F.col(moment) >= F.lit(since)) if since is not None else F.lit(True))

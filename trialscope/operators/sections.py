@@ -11,19 +11,36 @@ from trialscope.sources.scratch import kept
 def section_paths(sections: DataFrame) -> DataFrame:
     """id and path (names from the root, ' / ' between) of sections (id, parent_id, name), however deep they lie.
 
-    Each level joins the rows that still have a parent with the sections and is written to the shared
-    folder, so that plans don't grow with the depth and finished rows aren't joined again. A missing
-    parent ends the path; a cycle ends it with a leading '?'.
+    Each round joins the table with itself: a row that knows the names up to its ancestor at distance d then
+    knows those up to 2 d, so a depth of a thousand takes ten rounds. A missing parent ends the path. Rows from
+    which a cycle is reached are left when a round finishes none; they go on level by level, and the first
+    section that comes again ends their path with a leading '?'.
     """
+    known = sections.select(F.col("id").alias("_k")).distinct()
+    at = kept(sections.join(known, F.col("parent_id") == F.col("_k"), "left").select("id", F.col("_k").alias("up"), F.col("name").alias("path")), "sections")
+    before = None
+    while True:
+        waiting = at.where("up is not null")
+        n = waiting.count()
+        if n == 0:
+            return at.select("id", "path")
+        if n == before:
+            return at.where("up is null").select("id", "path").unionByName(_cycles(sections, waiting.select("id")))
+        above = at.select(F.col("id").alias("_a"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        further = waiting.join(above, F.col("up") == F.col("_a")).select("id", F.col("_up").alias("up"), F.concat("_path", F.lit(" / "), "path").alias("path"))
+        at, before = kept(at.where("up is null").unionByName(further), "sections"), n
+
+
+def _cycles(sections: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and path of the sections of ids, from all of which a cycle is reached."""
     parents = sections.select(F.col("id").alias("_p"), F.col("parent_id").alias("_next"), F.col("name").alias("_name"))
-    at = sections.select("id", F.col("parent_id").alias("at"), F.col("name").alias("path"), F.array("id").alias("seen"))
+    at = sections.join(ids.distinct(), "id", "left_semi").select("id", F.col("parent_id").alias("at"), F.col("name").alias("path"), F.array("id").alias("seen"))
     done = None
     while True:
-        joined = at.join(parents, F.col("at") == F.col("_p"), "left")
-        ended = F.col("_p").isNull()
-        cycle = ~ended & F.array_contains("seen", F.col("_p"))
-        path = F.when(ended, F.col("path")).when(cycle, F.concat(F.lit("? / "), "path")).otherwise(F.concat("_name", F.lit(" / "), "path"))
-        level = kept(joined.select("id", path.alias("path"), F.col("_next").alias("at"), F.concat("seen", F.array("_p")).alias("seen"), (ended | cycle).alias("done")), "sections")
+        joined = at.join(parents, F.col("at") == F.col("_p"))
+        cycle = F.array_contains("seen", F.col("_p"))
+        path = F.when(cycle, F.concat(F.lit("? / "), "path")).otherwise(F.concat("_name", F.lit(" / "), "path"))
+        level = kept(joined.select("id", path.alias("path"), F.col("_next").alias("at"), F.concat("seen", F.array("_p")).alias("seen"), cycle.alias("done")), "section-cycles")
         found = level.where("done").select("id", "path")
         done = found if done is None else done.unionByName(found)
         at = level.where("not done").drop("done")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.operators import ingest as job_ops
-from trialscope.operators.merge import high_water_mark, merge
+from trialscope.operators.merge import high_water_mark, merge, project_marks
 from trialscope.operators.sections import section_paths
 from trialscope.plans.view_sql import over_views
 from trialscope.plans.views import Views
 from trialscope.sources import junit, landed, playwright
-from trialscope.sources.scratch import kept, listing, put_text, scratch_path
-from trialscope.streaming.drain import drain_json, drain_manifests
+from trialscope.sources.scratch import kept, listing, move, put_text, scratch_path
+from trialscope.streaming.drain import drain_json, drain_manifests, drain_once
 from trialscope.streaming.tables import Kind, Store
 
 
@@ -124,14 +124,31 @@ def issue_sync(v: Views) -> DataFrame:
     return merge(old, new, ["issue_key"])
 
 
-def issue_sync_since(v: Views) -> DataFrame:
-    """Landed issues of twenty days merged into a table of stories that is up to date to the tenth: older changes are left out."""
+def _issues_of_days(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(landed pages of issues that changed on one of twenty days, those issues)."""
     named = lambda c: F.struct(F.col(c).alias("name"))
     day = (F.col("p_partkey") % 20 + 1).cast("int")
     changed = F.format_string("2024-01-%02dT10:00:00.000+0000", day)
     fields = F.struct("summary", named("status").alias("status"), named("issue_type").alias("issuetype"), changed.alias("updated"), F.lit("2024-01-01T00:00:00.000+0000").alias("created"))
     pages = pages_of(v.jira_issue, F.struct(F.col("issue_key").alias("key"), fields.alias("fields")), "issues")
-    new = landed.issues(pages)
+    return pages, landed.issues(pages)
+
+
+def issue_sync_projects(v: Views) -> DataFrame:
+    """Landed issues of six requested projects, each from its own last change on: five that are known to different days, and a new one."""
+    pages, new = _issues_of_days(v)
+    known = F.regexp_extract("project_key", "P([0-4])", 1).cast("int")
+    day = F.to_timestamp(F.format_string("2024-01-%02dT00:00:00Z", known + 6))
+    old = v.jira_issue.where("issue_type = 'Story' and project_key in ('P0', 'P1', 'P2', 'P3', 'P4')").select("issue_key", F.lit("old").alias("summary"), "project_key", day.alias("updated_at"))
+    old = kept(old.select(*((F.col(c) if c in old.columns else F.lit(None).cast(kind)).alias(c) for c, kind in new.dtypes)), "old-issues")
+    asked = v.spark.createDataFrame([(f"P{k}",) for k in range(6)], "project_key string")
+    out = job_ops.sync_issue_projects(old, pages, project_marks(old, asked, "project_key", "updated_at"))
+    return out.select("issue_key", "project_key", "summary")
+
+
+def issue_sync_since(v: Views) -> DataFrame:
+    """Landed issues of twenty days merged into a table of stories that is up to date to the tenth: older changes are left out."""
+    pages, new = _issues_of_days(v)
     at = lambda text: F.to_timestamp(F.lit(text))
     old = v.jira_issue.where("issue_type = 'Story'").select("issue_key", F.lit("old").alias("summary"), "project_key", at("2020-01-01T00:00:00Z").alias("created_at"), at("2024-01-10T00:00:00Z").alias("updated_at"))
     old = old.select(*((F.col(c) if c in old.columns else F.lit(None).cast(kind)).alias(c) for c, kind in new.dtypes))
@@ -158,6 +175,32 @@ def event_drain(v: Views) -> DataFrame:
     return store.read("newest").select("user_id", "event_type", "ts", "event_id")
 
 
+def result_stream_once(v: Views) -> DataFrame:
+    """Events landed in three files' batches and appended once: the second batch repeats the first, the third is too old."""
+    raw = v.base("events").select("event_id", "user_id", "event_type", "ts")
+    root, late = scratch_path(v.spark, "once"), F.col("ts") >= "2024-01-16"
+    older = raw.withColumns({"event_id": -F.col("event_id"), "ts": F.col("ts") - F.expr("INTERVAL 800 DAYS")})
+    told = []
+    for batch in (raw.where(~late), raw.where(late).unionByName(raw.where(~late)), older):
+        batch.write.mode("append").json(f"{root}/in")
+        told.append(drain_once(v.spark, f"{root}/in", "event_id long, user_id long, event_type string, ts timestamp", ["event_id"], "ts", f"{root}/out", f"{root}/checkpoint", "400 days"))
+    return v.spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type", F.lit(sum(t["late"] for t in told)).cast("long").alias("late"))
+
+
+def bulk_ingest(v: Views) -> DataFrame:
+    """Results of a folder of JUnit files that are named by builds, and the tests of the one that isn't, which is skipped."""
+    landed_at, path = junit_reports(v), scratch_path(v.spark, "bulk")
+    put_text(v.spark, f"{path}/x.xml", '<testsuite name="S"><testcase classname="no" name="build"/></testsuite>')
+    files = [f"{landed_at}/{folder}/{n}" for folder in listing(v.spark, landed_at) if folder.startswith("file=") for n in listing(v.spark, f"{landed_at}/{folder}") if n.startswith("part-")]
+    for i, name in enumerate(files):
+        move(v.spark, name, f"{path}/{1 + i}.xml")
+    tests, builds, skipped = job_ops.bulk_junit(v.spark, path, "bulk", url_prefix="http://ci/bulk")
+    found = job_ops.found_tables(tests, builds, v.jira_issue.select("issue_key"))
+    dated = found["build"].select("build_number", F.concat(F.lit("http://ci/bulk/"), F.col("build_number").cast("string"), F.lit("/")).eqNullSafe(F.col("build_url")).alias("linked"))
+    left = skipped.agg(F.count(F.lit(1)).alias("skipped"))
+    return found["result"].join(dated, "build_number").join(F.broadcast(left)).select("identity_key", "status", "linked", "skipped")
+
+
 # Ingest jobs ----------------------------------------------------------------------------------------------
 
 def _build_of(id_col: str = "id") -> tuple:
@@ -408,6 +451,10 @@ FROM test_execution, (SELECT 0 AS n UNION ALL SELECT 1) k WHERE n = 0 OR status
 UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0, 0, 0 UNION ALL SELECT 'bad', 2, 0, 'failed', 'missing', 0, 0, 0 UNION ALL SELECT 'bad 3', NULL, NULL, 'failed', 'not a manifest', 0, 0, 0"""),
     "shard_builds": (shard_builds, _OVER_FILES + """ SELECT job AS job_name, b AS build_number, CASE WHEN max(s) = 1 THEN '2024-03-01' ELSE '2024-03-02' END AS started_at, CASE WHEN max(s) = 1 THEN '2024-03-04' ELSE '2024-03-03' END AS finished_at, count(DISTINCT s) AS shards, count(*) AS tests,
   count(*) FILTER (WHERE status IN ('PASSED', 'FLAKY')) AS passed, count(*) FILTER (WHERE status IN ('FAILED', 'ERROR')) AS failed, count(*) FILTER (WHERE status = 'SKIPPED') AS skipped, count(*) AS results, CAST(1 AS INT) AS attempts FROM f GROUP BY job, b"""),
+    "issue_sync_projects": (issue_sync_projects, over_views("""SELECT issue_key, project_key, CASE WHEN project_key = 'P5' OR project_key <> 'P6' AND p_partkey % 20 + 1 >= 6 + CAST(substr(project_key, 2) AS INT) THEN summary ELSE 'old' END AS summary FROM jira_issue
+  WHERE project_key = 'P5' OR project_key <> 'P6' AND (issue_type = 'Story' OR p_partkey % 20 + 1 >= 6 + CAST(substr(project_key, 2) AS INT))""")),
+    "result_stream_once": (result_stream_once, "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events) AS late FROM events"),
+    "bulk_ingest": (bulk_ingest, over_views("SELECT concat('suite.T', CAST(test_case_id AS STRING), '::t', CAST(id AS STRING)) AS identity_key, status, true AS linked, 1 AS skipped FROM test_case_result")),
     "drain_links": (drain_links, _OVER_FILES + """ SELECT identity_key, issue_key AS other, 'EXPLICIT' AS provenance, 'HIGH' AS confidence, evidence FROM g WHERE issue_key IS NOT NULL
 UNION ALL SELECT identity_key, concat('C', CAST(tr_case_id AS STRING)), 'EXPLICIT', 'HIGH', evidence FROM g WHERE tr_case_id IS NOT NULL"""),
     "case_link_ingest": (case_link_ingest, _OVER_FILES + """ SELECT identity_key, tr AS tr_case_id, CASE WHEN tr_case_id IS NOT NULL THEN 'EXPLICIT' END AS provenance, CASE WHEN tr_case_id IS NOT NULL THEN CASE job WHEN 'e2e' THEN 'playwright-tag' ELSE 'junit-property' END END AS source, tr_case_id IS NOT NULL AS known FROM g WHERE tr IS NOT NULL

@@ -103,6 +103,15 @@ def _waterfall(v: Views) -> DataFrame:
     return inference.bridge_waterfall(v.jira_automation_link, v.automation_testrail_link, v.jira_issue, _cases(v), _explicit(v))
 
 
+def section_chain(v: Views) -> DataFrame:
+    """Sections in chains of a thousand, each part below the one before it."""
+    p, n = v.base("part"), F.col("p_partkey")
+    return sections.section_paths(p.select(n.cast("long").alias("id"), F.when(n % 1000 != 1, n - 1).cast("long").alias("parent_id"), F.col("p_size").cast("string").alias("name")))
+
+
+CHAIN = "SELECT p_partkey AS id, string_agg(CAST(p_size AS STRING), ' / ') OVER (PARTITION BY floor((p_partkey - 1) / 1000) ORDER BY p_partkey) AS path FROM part"
+
+
 # Flakes ---------------------------------------------------------------------------------------------------
 
 def _groups(v: Views) -> DataFrame:
@@ -312,6 +321,7 @@ QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_cas
     "merge_last_write": (lambda v: merge.last_write_wins(_events_batch(v), ["user_id"], [F.desc("ts")]), "SELECT user_id, ts, event_type, CAST(floor(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"),
     "merge_link_reset": (lambda v: merge.reset_links(v.jira_automation_link, "INFERRED"), over_views("SELECT * FROM jira_automation_link WHERE provenance <> 'INFERRED'")),
     "high_water_mark": (lambda v: merge.high_water_mark(v.base("orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("m")), "o_orderpriority", "m"), "SELECT min(m) - INTERVAL '1' HOUR AS since FROM (SELECT o_orderpriority, max(CAST(o_orderdate AS TIMESTAMP)) AS m FROM orders GROUP BY 1) x"),
+    "section_chain": (section_chain, CHAIN),
     "section_path": (lambda v: sections.section_paths(_sections(v)), SECTIONS),
     "snapshot_row": (lambda v: export.snapshot_row(v.executed_summary, v.as_of), over_views(f"SELECT * EXCLUDE (as_of_date), {SQL_AS_OF} AS taken_at FROM v_executed_summary")),
     "expired_artifacts": (lambda v: export.expired_artifacts(_artifacts(v), v.as_of).select("uri", "age_days"), f"""SELECT uri, age_days FROM (SELECT concat('builds/', CAST(event_id AS STRING), '/x', CASE event_id % 5 WHEN 0 THEN '.webm' WHEN 1 THEN '.png' WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' ELSE '.bin' END) AS uri,

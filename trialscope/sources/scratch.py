@@ -91,6 +91,12 @@ def drop(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    store, p = _hadoop(spark, path)
+    if not store.rename(p, _hadoop(spark, to)[1]):
+        raise FileExistsError(to)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small text file."""
     store, p = _hadoop(spark, path)

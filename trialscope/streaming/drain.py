@@ -106,3 +106,17 @@ def reprocess(spark: SparkSession, rejects: str, schema: str, fix: Callable[[Dat
 def append_once(stream: DataFrame, keys: list[str], moment: str, late: str = "1 hour") -> DataFrame:
     """A stream of facts without the repeats that come within `late`."""
     return stream.withWatermark(moment, late).dropDuplicatesWithinWatermark(keys)
+
+
+def drain_once(spark: SparkSession, incoming: str, schema: str, keys: list[str], moment: str, out: str, checkpoint: str, late: str = "1 hour", files_per_batch: int = 1000) -> dict[str, int]:
+    """Append the JSON facts that have come into `incoming` to the Parquet files in `out`, each key once; returns rows read and rows too late.
+
+    Keys are remembered in the state store until the watermark (the latest moment less `late`) has passed them, not
+    looked up in the table. A row behind the watermark is dropped and counted. Read `out` as a stream's output
+    (Spark then takes the files that its log names).
+    """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(incoming)
+    query = append_once(rows, keys, moment, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = query.recentProgress
+    return {"rows": sum(p["numInputRows"] for p in told), "late": sum(s["numRowsDroppedByWatermark"] for p in told for s in p["stateOperators"])}
