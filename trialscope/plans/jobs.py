@@ -61,6 +61,18 @@ def _named_tests(v: Views) -> DataFrame:
 TESTS = "ts AS (SELECT s_suppkey AS id, concat(p_type, ' ', p_name) AS t FROM supplier JOIN part ON p_partkey = s_suppkey)"
 
 
+def _all_tests(v: Views) -> DataFrame:
+    """A test per part."""
+    return v.base("part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" "), "p_name").alias("title"))
+
+
+ALL_TESTS = "ts AS (SELECT p_partkey AS id, concat(p_type, ' ', p_name) AS t FROM part)"
+
+
+def _title_sets(v: Views) -> tuple[DataFrame, DataFrame]:
+    return inference.token_sets(_all_tests(v), "id", tx.title_tokens(F.col("title"))), inference.token_sets(v.jira_issue, "issue_key", tx.title_tokens(F.col("summary")))
+
+
 def _cases(v: Views) -> DataFrame:
     """A case per part; those whose number is a supplier's have links."""
     return v.base("part").select(F.col("p_partkey").alias("tr_case_id"), F.concat(F.lit("Verify that "), F.col("p_name")).alias("title"))
@@ -301,10 +313,19 @@ QUERIES = {
 a AS (SELECT id, list_distinct({V1}) AS w FROM ts), b AS (SELECT issue_key, list_distinct({V1}) AS w FROM (SELECT issue_key, summary AS t FROM jira_issue WHERE issue_type IN ('Story', 'Bug', 'Task')) x)
 SELECT issue_key, test_case_id, score, CASE WHEN score >= 0.4 THEN 'MED' ELSE 'LOW' END AS confidence FROM (SELECT b.issue_key, a.id AS test_case_id, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS score
   FROM a JOIN b ON len(a.w) > 0 AND len(b.w) > 0) y WHERE score >= 0.2"""),
-    "overlap_topk": (lambda v: inference.overlapping_case_links(_named_tests(v), _cases(v)), over_views("").rstrip() + f""",\n{TESTS}, {CASES},
-a AS (SELECT id, list_distinct({V2}) AS w FROM ts), b AS (SELECT tr_case_id, list_distinct({V2}) AS w FROM cs),
-s AS (SELECT a.id AS test_case_id, b.tr_case_id, len(list_filter(a.w, lambda x: len(list_filter(b.w, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(a.w) AS score FROM a, b WHERE len(a.w) > 0)
-SELECT test_case_id, tr_case_id, score, CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MED' ELSE 'LOW' END AS confidence FROM s WHERE score >= 0.3
+    "title_links": (lambda v: inference.jaccard_links(*_title_sets(v), 0.2), over_views("").rstrip() + f""",\n{ALL_TESTS},
+a AS (SELECT id, list_sort(list_distinct({V1})) AS w FROM ts), b AS (SELECT list_sort(list_distinct({V1})) AS w, count(*) AS n FROM (SELECT issue_key, summary AS t FROM jira_issue) x GROUP BY ALL),
+k AS (SELECT w, min(id) AS class_id FROM a WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT k.w, b.n, len(list_intersect(k.w, b.w)) / (len(k.w) + len(b.w) - len(list_intersect(k.w, b.w))) AS score FROM k JOIN b ON len(b.w) > 0),
+g AS (SELECT w, sum(n) AS links, max(score) AS best FROM s WHERE score >= 0.2 GROUP BY w)
+SELECT id, class_id, CAST(coalesce(links, 0) AS BIGINT) AS links, best FROM a JOIN k USING (w) LEFT JOIN g USING (w)"""),
+    "title_classes": (lambda v: inference.title_classes(v.jira_issue, _cases(v), _explicit(v), inference.bridge_by_test(v.jira_automation_link, v.automation_testrail_link, _explicit(v))), over_views("").rstrip() + f""",\n{CASE_LINKS}, {EXPLICIT}, {CASES}, {ISSUES}, {BRIDGE_A}, {BRIDGE_B}
+SELECT tr_case_id, min(tr_case_id) OVER (PARTITION BY n) AS class_id, links FROM (SELECT tr_case_id, count(*) AS links FROM bb GROUP BY tr_case_id) x JOIN (SELECT tr_case_id, {NORMAL} AS n FROM cs) c USING (tr_case_id)"""),
+    "overlap_topk": (lambda v: inference.overlapping_case_links(_all_tests(v), _cases(v)), over_views("").rstrip() + f""",\n{ALL_TESTS}, {CASES},
+a AS (SELECT id, list_sort(list_distinct({V2})) AS w FROM ts), b AS (SELECT tr_case_id, list_sort(list_distinct({V2})) AS w FROM cs),
+p AS (SELECT x.w AS aw, y.w AS bw, len(list_filter(x.w, lambda u: len(list_filter(y.w, lambda o: contains(o, u) OR contains(u, o))) > 0)) / len(x.w) AS score FROM (SELECT DISTINCT w FROM a WHERE len(w) > 0) x, (SELECT DISTINCT w FROM b) y),
+s AS (SELECT a.id AS test_case_id, b.tr_case_id, score FROM p JOIN a ON a.w = aw JOIN b ON b.w = bw WHERE score >= 0.3)
+SELECT test_case_id, tr_case_id, score, CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MED' ELSE 'LOW' END AS confidence FROM s
 QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_case_id) <= 5"""),
     "bridge_by_test": (lambda v: inference.bridge_by_test(v.jira_automation_link, v.automation_testrail_link, _explicit(v)), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {BRIDGE_A} SELECT * FROM ba"),
     "bridge_by_title": (lambda v: inference.bridge_by_title(v.jira_issue, _cases(v), _explicit(v), inference.bridge_by_test(v.jira_automation_link, v.automation_testrail_link, _explicit(v))), over_views("").rstrip() + f",\n{CASE_LINKS}, {EXPLICIT}, {CASES}, {ISSUES}, {BRIDGE_A}, {BRIDGE_B} SELECT * FROM bb"),
