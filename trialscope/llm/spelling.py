@@ -68,7 +68,8 @@ def gram_index(words: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.length("word") - 2)
     grams = words.select("word", "n", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("word"), i + 1, F.lit(2)))).alias("pos", "gram"))
     rank = F.shiftleft(F.count(F.lit(1)), 32) + F.crc32("gram")
-    ranked = grams.join(grams.groupBy("gram").agg(rank.alias("rank")), "gram")
+    # Its size is bounded by the alphabet: 90 letters have 8,100 bigrams.
+    ranked = grams.join(F.broadcast(grams.groupBy("gram").agg(rank.alias("rank"))), "gram")
     ordered = ranked.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "pos"))).alias("all"))
     among = F.filter("all", lambda x: x["rank"] <= F.col("last"))
     by_place = F.array_sort(F.transform(among, lambda x: F.struct(x["pos"].alias("pos"), x["rank"].alias("rank"))))
