@@ -391,6 +391,15 @@ def test_piece_bpe_equals_the_library(text):
     assert [i for w in again for i in w] == ids
 
 
+def test_empty_tables_and_long_texts_of_tokenised_operators(spark):
+    assert piece_bpe.piece_digests(frame(spark, []), tokenizer_file("piece_bpe_32k.model")).count() == 0
+    assert packing.tokenised_pieces(frame(spark, []), tokenizer_file("byte_bpe_50k.json")).count() == 0
+    long = frame(spark, [(1, "word " * 200_000), (2, "a")])
+    pieces = packing.tokenised_pieces(long, tokenizer_file("byte_bpe_50k.json")).where("doc_id = 1").orderBy("piece").collect()
+    assert len(pieces) > 190 and [r.start for r in pieces[1:]] == [r.start + r.length for r in pieces[:-1]] and all(r.length == 1024 for r in pieces[1:])
+    assert merkle.edit_likeness(frame(spark, [])).count() == 0 and jaccard_join.jaccard_components(frame(spark, [])).count() == 0
+
+
 def test_piece_frames_agree_with_digests(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     docs = frame(spark, EDGE)

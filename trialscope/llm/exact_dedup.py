@@ -41,8 +41,8 @@ def exact_dedup(
     Defined cases: null text counts as empty, so empty and null texts are one group. A null id is
     never a group's smallest unless all its ids are null; then keep_id is null and kept is true.
     Repeated rows (same id and text) are one document given twice: each row is returned, counted in
-    group_size, and kept alike. Other columns of docs are ignored, whatever their names. An empty
-    table gives an empty result.
+    group_size, and kept alike. Very long texts are hashed and compared whole, as all others. Other
+    columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
     text = normalised(text_of(text_col))
     sha = F.unhex(F.sha2(F.col("_text"), 256))

@@ -103,7 +103,9 @@ def cut(n: int, longest: int) -> list[tuple[int, int]]:
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document's ids, end_id after them.
 
-    Null text counts as empty: such a document is its end_id alone. Ids may be null or repeat.
+    Null text counts as empty: such a document is its end_id alone. Ids may be null or repeat. A very long
+    text is a batch of its own and is cut into as many pieces as it takes; an empty table has no pieces.
+    Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
