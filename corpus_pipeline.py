@@ -55,7 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 1024 tokens; null text is an end of text alone, ids may be null or repeat."""
+    """The documents' pieces in sequences of at most 1024 tokens; null text is an end of text alone, ids may be null or repeat.
+
+    Very long texts are cut into as many pieces as they take; an empty table has no pieces.
+    """
     pieces, _ = kept_table(tokenised_pieces(docs, tokenizer_file("byte_bpe_50k.json")), "pieces")
     return pack(pieces, pieces.count())
 
