@@ -393,7 +393,7 @@ def pages_of(rows: DataFrame, item, name: str) -> DataFrame:
     return pages.agg(F.to_json(F.struct(F.collect_list(item).alias(name))).alias("text")).select("text")
 
 
-CASE_ROW = "tr_case_id long, title string, section_path string, suite_id long, priority string, refs string, updated_at timestamp, custom map<string,string>"
+CASE_ROW = "tr_case_id long, title string, section_path string, suite_id long, priority string, refs string, updated_at timestamp, custom map<string,string>, raw string"
 
 
 def _case_sync(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -411,6 +411,21 @@ def _case_sync(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     return job_ops.sync_cases(old, links, pages_of(s, item, "cases"), paths, priorities, v.jira_issue.select("issue_key"))
 
 
+def case_records(v: Views) -> DataFrame:
+    """Landed cases with their custom fields and the record as it came."""
+    s = v.base("supplier")
+    item = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.concat(F.lit("+"), F.col("s_nationkey").cast("string")).alias("custom_phone"), F.col("s_nationkey").alias("other"))
+    got = landed.cases(pages_of(s.select("s_suppkey", "s_name", "s_nationkey"), item, "cases"), v.spark.createDataFrame([], "id long, path string"))
+    return got.select("tr_case_id", F.array_join(F.map_keys("custom"), ",").alias("keys"), F.element_at("custom", F.lit("custom_phone")).alias("phone"), F.get_json_object("raw", "$.other").cast("int").alias("nation"))
+
+
+def report_fingerprints(v: Views) -> DataFrame:
+    """Digests of files that hold a name each."""
+    path = scratch_path(v.spark, "names")
+    v.base("nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return junit.fingerprints(v.spark, f"{path}/*", "part-*").select("sha256", "bytes", "type")
+
+
 def result_sync(v: Views) -> DataFrame:
     """Landed results of the cases that are known (nine of ten), synced into older rows of half of them."""
     r = v.testrail_result.groupBy("tr_run_id", "tr_case_id").agg(F.max("status_id").alias("status_id"), F.max("tested_at").alias("tested_at"))
@@ -455,6 +470,8 @@ UNION ALL SELECT 'bad 1', NULL, NULL, 'failed', 'unknown framework', 0, 0, 0 UNI
   WHERE project_key = 'P5' OR project_key <> 'P6' AND (issue_type = 'Story' OR p_partkey % 20 + 1 >= 6 + CAST(substr(project_key, 2) AS INT))""")),
     "result_stream_once": (result_stream_once, "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events) AS late FROM events"),
     "bulk_ingest": (bulk_ingest, over_views("SELECT concat('suite.T', CAST(test_case_id AS STRING), '::t', CAST(id AS STRING)) AS identity_key, status, true AS linked, 1 AS skipped FROM test_case_result")),
+    "case_records": (case_records, "SELECT s_suppkey AS tr_case_id, 'custom_phone' AS keys, concat('+', s_nationkey) AS phone, CAST(s_nationkey AS INT) AS nation FROM supplier"),
+    "report_fingerprints": (report_fingerprints, "SELECT sha256(concat(n_name, chr(10))) AS sha256, strlen(n_name) + 1 AS bytes, 'other' AS type FROM nation"),
     "drain_links": (drain_links, _OVER_FILES + """ SELECT identity_key, issue_key AS other, 'EXPLICIT' AS provenance, 'HIGH' AS confidence, evidence FROM g WHERE issue_key IS NOT NULL
 UNION ALL SELECT identity_key, concat('C', CAST(tr_case_id AS STRING)), 'EXPLICIT', 'HIGH', evidence FROM g WHERE tr_case_id IS NOT NULL"""),
     "case_link_ingest": (case_link_ingest, _OVER_FILES + """ SELECT identity_key, tr AS tr_case_id, CASE WHEN tr_case_id IS NOT NULL THEN 'EXPLICIT' END AS provenance, CASE WHEN tr_case_id IS NOT NULL THEN CASE job WHEN 'e2e' THEN 'playwright-tag' ELSE 'junit-property' END END AS source, tr_case_id IS NOT NULL AS known FROM g WHERE tr IS NOT NULL

@@ -115,6 +115,23 @@ def _waterfall(v: Views) -> DataFrame:
     return inference.bridge_waterfall(v.jira_automation_link, v.automation_testrail_link, v.jira_issue, _cases(v), _explicit(v))
 
 
+def run_selection(v: Views) -> DataFrame:
+    """Runs by each way to ask for them: an id, a job's build, a moment."""
+    runs = v.base("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("job_name"), (F.col("o_orderkey") % 50).cast("int").alias("build_number"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    ways = {"id": {"run_id": 7}, "build": {"job": "1-URGENT", "build": 7}, "since": {"since": dt.datetime(1998, 1, 1, tzinfo=dt.UTC)}}
+    out = [export.selected_runs(runs, **how).select(F.lit(name).alias("way"), "run_id") for name, how in ways.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def env_merge(v: Views) -> DataFrame:
+    """A base environment with the entries of a JSON text over it; texts that are none change nothing."""
+    s = v.base("supplier")
+    base = F.create_map(F.lit("CI"), F.lit("1"), F.lit("name"), F.col("s_name"))
+    extra = F.when(F.col("s_suppkey") % 3 == 0, "not json").otherwise(F.to_json(F.struct(F.upper("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))))
+    env = tx.merged_env(base, extra)
+    return s.select("s_suppkey", F.element_at(env, F.lit("CI")).alias("ci"), F.element_at(env, F.lit("name")).alias("name"), F.try_element_at(env, F.lit("nation")).alias("nation"))
+
+
 def section_chain(v: Views) -> DataFrame:
     """Sections in chains of a thousand, each part below the one before it."""
     p, n = v.base("part"), F.col("p_partkey")
@@ -343,6 +360,10 @@ QUALIFY row_number() OVER (PARTITION BY test_case_id ORDER BY score DESC, tr_cas
     "merge_link_reset": (lambda v: merge.reset_links(v.jira_automation_link, "INFERRED"), over_views("SELECT * FROM jira_automation_link WHERE provenance <> 'INFERRED'")),
     "high_water_mark": (lambda v: merge.high_water_mark(v.base("orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("m")), "o_orderpriority", "m"), "SELECT min(m) - INTERVAL '1' HOUR AS since FROM (SELECT o_orderpriority, max(CAST(o_orderdate AS TIMESTAMP)) AS m FROM orders GROUP BY 1) x"),
     "section_chain": (section_chain, CHAIN),
+    "run_selection": (run_selection, """SELECT 'id' AS way, o_orderkey AS run_id FROM orders WHERE o_orderkey = 7 UNION ALL SELECT 'build', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 7
+  UNION ALL SELECT 'since', o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01'"""),
+    "env_merge": (env_merge, "SELECT s_suppkey, '1' AS ci, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE upper(s_name) END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier"),
+    "flake_notes": (lambda v: flake_job.flake_decisions(_groups(v), v.as_of).select("test_case_id", "notes"), over_views("").rstrip() + f""",\n{GROUPS} SELECT test_case_id, printf('%d run(s) in window: %d passed, %d failed, %d flaky, %d error. Score=%.1f%% class=%s uniqueErrorHashes=%d', total, passed, failed, flaky, error, floor(flake_score * 1000 + 0.5) / 10, classification, hashes) AS notes FROM gd"""),
     "section_path": (lambda v: sections.section_paths(_sections(v)), SECTIONS),
     "snapshot_row": (lambda v: export.snapshot_row(v.executed_summary, v.as_of), over_views(f"SELECT * EXCLUDE (as_of_date), {SQL_AS_OF} AS taken_at FROM v_executed_summary")),
     "expired_artifacts": (lambda v: export.expired_artifacts(_artifacts(v), v.as_of).select("uri", "age_days"), f"""SELECT uri, age_days FROM (SELECT concat('builds/', CAST(event_id AS STRING), '/x', CASE event_id % 5 WHEN 0 THEN '.webm' WHEN 1 THEN '.png' WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' ELSE '.bin' END) AS uri,

@@ -77,6 +77,7 @@ def property_case_ids(cases: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, sha256 and bytes of files."""
+    """path, sha256, bytes and type (junit-xml, playwright-json, other, by the name's end) of files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    kind = F.when(F.lower("path").endswith(".xml"), "junit-xml").when(F.lower("path").endswith(".json"), "playwright-json").otherwise("other")
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("type"))

@@ -30,13 +30,13 @@ def issues(pages: DataFrame) -> DataFrame:
 
 
 def cases(pages: DataFrame, section_paths: DataFrame) -> DataFrame:
-    """testrail_case rows of pages that are a bare array or {cases: [...]}, with the path of their section."""
+    """testrail_case rows of pages that are a bare array or {cases: [...]}, with the path of their section and the record as it came (raw)."""
     bare, wrapped = F.from_json("text", f"array<{_CASE}>"), F.from_json("text", f"cases array<{_CASE}>")["cases"]
     custom = lambda t: F.map_filter(F.from_json(t, "map<string,string>"), lambda k, v: k.startswith("custom_"))
     texts = F.coalesce(F.when(F.ltrim("text").startswith("["), F.from_json("text", "array<string>")), F.from_json("text", "cases array<string>")["cases"])
-    c = pages.select(F.explode(F.arrays_zip(F.coalesce(F.when(F.ltrim("text").startswith("["), bare), wrapped).alias("c"), texts.alias("t"))).alias("z")).select("z.c.*", custom(F.col("z.t")).alias("custom"))
+    c = pages.select(F.explode(F.arrays_zip(F.coalesce(F.when(F.ltrim("text").startswith("["), bare), wrapped).alias("c"), texts.alias("t"))).alias("z")).select("z.c.*", custom(F.col("z.t")).alias("custom"), F.col("z.t").alias("raw"))
     out = c.join(section_paths.select(F.col("id").alias("section_id"), F.col("path").alias("section_path")), "section_id", "left")
-    return out.select(F.col("id").alias("tr_case_id"), "title", "section_path", "suite_id", F.col("priority_id").alias("priority"), "refs", F.timestamp_seconds(F.nullif("updated_on", F.lit(0))).alias("updated_at"), "custom")
+    return out.select(F.col("id").alias("tr_case_id"), "title", "section_path", "suite_id", F.col("priority_id").alias("priority"), "refs", F.timestamp_seconds(F.nullif("updated_on", F.lit(0))).alias("updated_at"), "custom", "raw")
 
 
 def results(pages: DataFrame, known_cases: DataFrame) -> DataFrame:
