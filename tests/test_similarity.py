@@ -65,3 +65,21 @@ def test_marks_of_requested_projects(spark):
     assert told(new) == {"A": "2024-01-05 09:00:00", "N": "None"} and oldest_mark(new).first().since is None
     assert told(project_marks(rows, asked("A"), "project_key", "updated_at", full=True)) == {"A": "None"}
     assert told(project_marks(rows, asked("A", "N"), "project_key", "updated_at", explicit="2021-01-01 00:00:00")) == {"A": "2021-01-01 00:00:00", "N": "2021-01-01 00:00:00"}
+
+
+def test_bridges_of_many_copies_keep_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(inference, "PART", 30)
+    monkeypatch.setattr(inference, "TASK_PAIRS", 1000)
+    kept_rows, keep = [], inference.kept
+    monkeypatch.setattr(inference, "kept", lambda df, name: (kept_rows.append((name, (out := keep(df, name)).count())), out)[1])
+    # An issue and a case with two titles each that are equal, copies of one title, and near copies for the third step.
+    issues = [(f"P-{i}", "log in twice") for i in range(100)] + [("P-0", "pay now"), ("P-7", ""), ("Q-1", "red green blue white"), ("Q-2", "red green blue white"), ("R-1", "one two three four")]
+    cases = [(i, "Verify that log in twice") for i in range(120)] + [(0, "pay now"), (500, "red green blue white black"), (501, "one two three four five"), (502, None)]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    issue, case = frame(issues, "issue_key string, summary string"), frame(cases, "tr_case_id long, title string")
+    auto, test = frame([("P-1", 1)], "issue_key string, test_case_id long"), frame([(1, 5)], "test_case_id long, tr_case_id long")
+    out = inference.bridge_waterfall(auto, test, issue, case, frame([(6,)], "tr_case_id long"))
+    got = sorted((r.issue_key, r.tr_case_id, r.strategy) for r in out.collect())
+    want = [("P-1", 5, "A"), ("R-1", 501, "C")] + [(f"P-{i}", c, "B") for i in range(100) for c in range(120) if c not in (5, 6)]
+    assert got == sorted(want)
+    assert max(n for _, n in kept_rows) < 1000 < len(want)
