@@ -83,3 +83,19 @@ def test_bridges_of_many_copies_keep_no_pairs(spark, monkeypatch):
     want = [("P-1", 5, "A"), ("R-1", 501, "C")] + [(f"P-{i}", c, "B") for i in range(100) for c in range(120) if c not in (5, 6)]
     assert got == sorted(want)
     assert max(n for _, n in kept_rows) < 1000 < len(want)
+
+
+def test_projects_are_synced_without_dealing_issues_by_project(spark):
+    from trialscope.operators import ingest
+
+    pages = spark.createDataFrame([('{"issues":[{"key":"P0-1","fields":{"summary":"new","updated":"2024-01-05T00:00:00.000+0000"}},{"key":"P1-1","fields":{"summary":"other","updated":"2024-01-05T00:00:00.000+0000"}}]}',)], "text string")
+    issues = ingest.landed.issues(pages).limit(0)
+    asked = spark.createDataFrame([("P0", None)], "project_key string, since timestamp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ingest.sync_issue_projects(issues, pages, asked)
+        assert [(r.issue_key, r.summary) for r in out.collect()] == [("P0-1", "new")]
+        assert "hashpartitioning(project_key" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

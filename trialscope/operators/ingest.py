@@ -172,9 +172,10 @@ def sync_issues(issues: DataFrame, pages: DataFrame, since=None) -> DataFrame:
 def sync_issue_projects(issues: DataFrame, pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Landed issues of the projects of marks (project_key, since) merged in, each project's from its own moment on.
 
-    An issue of a project that wasn't asked for is left out; a null moment takes all of the project's.
+    An issue of a project that wasn't asked for is left out; a null moment takes all of the project's. marks, a row
+    per requested project, goes to all tasks: few projects have all issues, so issues aren't dealt by project.
     """
-    asked = marks.select(F.col("project_key"), F.col("since").alias("_since"))
+    asked = F.broadcast(marks.select(F.col("project_key"), F.col("since").alias("_since")))
     changed = landed.issues(pages).join(asked, "project_key").where(F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since"))).drop("_since")
     new = last_write_wins(changed, ["issue_key"], [F.desc_nulls_last("updated_at")])
     return merge(issues, new, ["issue_key"], {"created_at": OLD_UNLESS_NULL})
