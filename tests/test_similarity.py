@@ -40,6 +40,17 @@ def test_parts_of_a_frequent_token_are_bounded(spark, monkeypatch):
     assert "r_part" in plan
 
 
+def test_pairs_of_members_are_made_in_bounded_parts_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(inference, "PART", 10)
+    monkeypatch.setattr(inference, "TASK_PAIRS", 100)
+    side = lambda n: sets(spark, [(i if i else None, ["a", "b"] if i % 2 else ["a", "b", "c"]) for i in range(n)])
+    got = inference.jaccard_pairs(side(80), side(60), 0.6)
+    assert got.rdd.getNumPartitions() == 48
+    assert max(got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()) < 1000
+    assert {(r.a, r.b): round(r.score, 3) for r in got.collect()} == {(i or None, j or None): 1.0 if i % 2 == j % 2 else 0.667 for i in range(80) for j in range(60)}
+    assert got.count() == 80 * 60
+
+
 def test_words_within_words(spark):
     rnd = random.Random(4)
     words = lambda: sorted({"".join(rnd.choices("abc", k=rnd.randint(2, 7))) for _ in range(120)})
