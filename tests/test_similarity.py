@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trialscope.operators import inference
+from trialscope.operators import inference, sections
 from trialscope.operators.merge import oldest_mark, project_marks
 from trialscope.operators.sections import section_paths
 
@@ -67,6 +67,37 @@ def test_deep_and_cyclic_sections(spark):
     assert section_paths(spark.createDataFrame([], "id long, parent_id long, name string")).count() == 0
 
 
+def test_long_paths_are_not_written_in_each_round(spark, monkeypatch):
+    names = []
+
+    def kept(df, name):
+        out = spark.createDataFrame(df.collect(), df.schema)
+        names.append(out.agg(F.sum(F.size(F.split("path", " / ")))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(sections, "kept", kept)
+    rows = [(i, i - 1 if i % 1000 != 1 else None, f"s{i}") for i in range(1, 2001)]
+    got = {r.id: r.path for r in section_paths(spark.createDataFrame(rows, "id long, parent_id long, name string")).collect()}
+    assert got == {i: " / ".join(f"s{j}" for j in range((i - 1) // 1000 * 1000 + 1, i + 1)) for i, _, _ in rows}
+    assert sum(names) < 500_000  # all paths together have a million
+
+
+def test_branches_that_end_in_anchored_cycles(spark):
+    rows = [(i, i - 1 if i else 9, f"s{i}") for i in range(10)] + [(1000 + i, 999 + i if i else 7, "t") for i in range(14)] + [(2000 + i, 1999 + i if i else None, "u") for i in range(40)]
+    got = {r.id: r.path for r in section_paths(spark.createDataFrame(rows, "id long, parent_id long, name string")).collect()}
+    names, up = {i: n for i, _, n in rows}, {i: p for i, p, _ in rows}
+
+    def path(i):
+        seen, out = [], []
+        while i is not None and i not in seen:
+            seen.append(i)
+            out.append(names[i])
+            i = up[i]
+        return " / ".join(["?"] * (i is not None) + out[::-1])
+
+    assert got == {i: path(i) for i in names}
+
+
 def test_marks_of_requested_projects(spark):
     rows = spark.sql("SELECT * FROM VALUES ('A', TIMESTAMP'2024-01-05 10:00:00'), ('A', TIMESTAMP'2024-01-02 00:00:00'), ('B', TIMESTAMP'2024-01-03 00:00:00'), ('C', TIMESTAMP'2020-01-01 00:00:00') AS t(project_key, updated_at)")
     asked = lambda *p: spark.createDataFrame([(x,) for x in p], "project_key string")
