@@ -132,3 +132,37 @@ def test_files_of_a_pattern_are_listed_in_one_look(spark, tmp_path):
         scratch.put_text(spark, f"{tmp_path}/{name}", "x")
     assert [f.split(f"{tmp_path}/")[1] for f in scratch.matching(spark, f"{tmp_path}/b=*/part-*")] == ["b=1/part-0", "b=2/part-1"]
     assert scratch.matching(spark, f"{tmp_path}/none/*") == []
+
+
+def test_ingests_of_links_number_no_tests_and_write_no_state(spark, monkeypatch):
+    from trialscope.operators import ingest as job_ops
+    from trialscope.plans import ingest as plans
+    from trialscope.plans.views import Views
+
+    names = []
+    for module in (job_ops, plans):
+        monkeypatch.setattr(module, "kept", lambda df, name, real=module.kept: (names.append(name), real(df, name))[1])
+    assert plans.issue_link_ingest(Views(spark, "/root/testdata/sf0.001")).count() > 0
+    assert names == ["junit-tests", "playwright-tests"]
+    plans.log_ingest(Views(spark, "/root/testdata/sf0.001"))
+    assert names[2:] == ["playwright-tests", "numbered-tests", "numbered-tests"]
+
+
+def test_attempts_are_told_by_their_rows_and_the_last_of_a_number_counts(spark):
+    from trialscope.operators import ingest as job_ops
+
+    result = lambda status, retry, start, out: {"status": status, "duration": 5.0, "retry": retry, "startTime": start, "stdout": out and [{"text": t} for t in out]}
+    early, late = "2024-02-01T00:00:00.000Z", "2024-02-02T00:00:00.000Z"
+    tests = spark.createDataFrame([
+        {"file": "f", "framework": "playwright", "identity_key": "once", "status": "FLAKY", "results": [result("failed", 0, early, ["a", "b"]), result("passed", None, late, [""])]},
+        {"file": "f", "framework": "playwright", "identity_key": "twice", "status": "PASSED", "results": [result("failed", 0, late, None), result("passed", 0, early, ["x"]), result("passed", 2, early, ["y"])]},
+        {"file": "f", "framework": "playwright", "identity_key": "none", "status": "SKIPPED", "results": None},
+    ], job_ops.TESTS)
+    builds = spark.sql("SELECT 'f' AS file, 'j' AS job_name, 1 AS build_number, 0 AS shard, CAST(NULL AS STRING) AS ci_provider, CAST(NULL AS STRING) AS branch, CAST(NULL AS STRING) AS build_url, CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at")
+    found = job_ops.found_tables(tests, builds, spark.createDataFrame([], "issue_key string"))
+    of = {r.result_id: r.identity_key for r in found["result"].collect()}
+    attempts = found["attempt"].collect()
+    assert sorted((of[r.result_id], r.attempt_no, r.status, r.log_uri is not None) for r in attempts) == [("once", 0, "FAILED", True), ("once", 1, "PASSED", False), ("twice", 0, "FAILED", False), ("twice", 2, "PASSED", True)]
+    logs = {r.attempt_id: r.content for r in found["build_log"].collect()}
+    assert {f"{k}/stdout" for k in logs} == {r.log_uri for r in attempts if r.log_uri} and sorted(logs.values()) == ["ab", "y"]
+    assert all(w not in found["attempt"].where("job_name = 'j'")._jdf.queryExecution().optimizedPlan().toString() for w in ("Join LeftOuter",))

@@ -67,32 +67,21 @@ def _digest(*columns: str) -> Column:
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def found_tables(tests: DataFrame, builds: DataFrame, known_issues: DataFrame, known_cases: DataFrame | None = None) -> dict[str, DataFrame]:
+def found_tables(tests: DataFrame, builds: DataFrame, known_issues: DataFrame, known_cases: DataFrame | None = None, numbering: bool = True) -> dict[str, DataFrame]:
     """Rows of the tables of KINDS but batch that tests of files hold, and of skipped_link and skipped_case_link.
 
     builds has a row per file: file, shard and the columns of a build. A start that isn't given is the
     report's own. Tests that a file has several times are numbered (nth) in the order of their figures.
     Attempts are those that a report tells of a test; of attempts of one number the last counts. Links to
-    issues and cases that aren't known are skipped.
+    issues and cases that aren't known are skipped. Numbered tests are kept, as results, attempts, logs and artifacts
+    read them; without numbering, for callers that ask for none of these tables, those tables aren't returned.
     """
     rows = tests.select(*_TESTS).join(builds, "file").withColumn("source", F.md5("file"))
-    nth = F.expr("row_number() over (partition by source, job_name, build_number, shard, identity_key, project order by status, duration_ms, message)")
-    numbered = kept(rows.withColumn("nth", nth).withColumn("result_id", _digest("source", *_BUILD, "shard", "identity_key", "project", "nth")), "numbered-tests")
-    rows = numbered
     text = [F.max(c).alias(c) for c in ("ci_provider", "branch", "build_url")]
     build = rows.groupBy(*_BUILD).agg(*text, F.coalesce(F.min("started_at"), F.min("told_at")).alias("started_at"), F.max("finished_at").alias("finished_at"))
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     run = rows.groupBy(*KEYS["run"]).agg(_worst(F.collect_set("status")).alias("status"), F.count(F.lit(1)).alias("tests"), n("PASSED", "FLAKY").alias("passed"), n("FAILED", "ERROR").alias("failed"), n("SKIPPED").alias("skipped"))
     case = rows.groupBy("identity_key").agg(*(F.max(c).alias(c) for c in ("title", "suite_name", "file_path")))
-    owned = ("result_id", *_BUILD, "source")
-    told = playwright.attempts(numbered, owned)
-    one = F.row_number().over(_window(["result_id", "attempt_no"], F.desc_nulls_last("started_at"), F.desc_nulls_last("duration_ms"), "status"))
-    attempt = told.withColumn("_n", one).where("_n = 1").drop("_n").withColumn("attempt_id", _digest("result_id", "attempt_no"))
-    build_log = playwright.build_logs(attempt, ("attempt_id", *owned[1:]))
-    uri = F.concat_ws("/", "attempt_id", F.lit("stdout"))
-    logged = build_log.where("log_type = 'stdout'").select("attempt_id", uri.alias("log_uri"))
-    artifact = playwright.artifacts(numbered, owned)
-    first = F.row_number().over(_window(["result_id", "name"], "uri"))
     keys = rows.select("identity_key", "framework", F.explode("issue_keys").alias("issue_key")).distinct()
     known, unknown = keep_known(keys, known_issues, ["issue_key"])
     told_by = F.when(F.col("framework") == "playwright", "tag").otherwise("property")
@@ -100,11 +89,34 @@ def found_tables(tests: DataFrame, builds: DataFrame, known_issues: DataFrame, k
     ids = rows.select("identity_key", "framework", F.explode("case_ids").alias("tr_case_id")).where("tr_case_id is not null").distinct()
     known_ids, unknown_ids = keep_known(ids, known_cases if known_cases is not None else ids.limit(0), ["tr_case_id"])
     out = {
-        "build": build, "run": run, "case": case, "result": numbered, "attempt": attempt.join(logged, "attempt_id", "left"), "build_log": build_log, "artifact": artifact.withColumn("_n", first).where("_n = 1"),
+        "build": build, "run": run.select(*KINDS["run"].columns), "case": case, **(_results_of(rows) if numbering else {}),
         "link": known.select("issue_key", "identity_key", *strong), "case_link": known_ids.select("identity_key", "tr_case_id", *strong),
         "skipped_link": unknown.select("identity_key", "issue_key").distinct(), "skipped_case_link": unknown_ids.select("identity_key", "tr_case_id").distinct(),
     }
-    return {name: df.select(*KINDS[name].columns) if name in ("run", "result", "attempt", "build_log", "artifact") else df for name, df in out.items()}
+    return out
+
+
+def _results_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """Results, attempts, logs and artifacts of the tests of files, by the numbered tests, which are kept.
+
+    Attempts of a test lie in its row. So only tests of which a report tells an attempt's number twice are sorted for
+    the last one, and whether an attempt wrote output is told by its own row.
+    """
+    nth = F.expr("row_number() over (partition by source, job_name, build_number, shard, identity_key, project order by status, duration_ms, message)")
+    numbered = kept(rows.withColumn("nth", nth).withColumn("result_id", _digest("source", *_BUILD, "shard", "identity_key", "project", "nth")), "numbered-tests")
+    owned = ("result_id", *_BUILD, "source")
+    numbers = F.transform("results", lambda r, i: F.coalesce(r["retry"], i))
+    repeated = F.coalesce(F.size(F.array_distinct(numbers)) < F.size(numbers), F.lit(False))
+    one = F.row_number().over(_window(["result_id", "attempt_no"], F.desc_nulls_last("started_at"), F.desc_nulls_last("duration_ms"), "status"))
+    last = playwright.attempts(numbered.where(repeated), owned).withColumn("_n", one).where("_n = 1").drop("_n")
+    attempt = playwright.attempts(numbered.where(~repeated), owned).unionByName(last).withColumn("attempt_id", _digest("result_id", "attempt_no"))
+    uri = F.when(F.octet_length(playwright.output(F.col("stdout"))) > 0, F.concat_ws("/", "attempt_id", F.lit("stdout")))
+    first = F.row_number().over(_window(["result_id", "name"], "uri"))
+    out = {
+        "result": numbered, "attempt": attempt.withColumn("log_uri", uri), "build_log": playwright.build_logs(attempt, ("attempt_id", *owned[1:])),
+        "artifact": playwright.artifacts(numbered, owned).withColumn("_n", first).where("_n = 1"),
+    }
+    return {name: df.select(*KINDS[name].columns) for name, df in out.items()}
 
 
 def _window(by: list[str], *order):
@@ -153,7 +165,7 @@ def ingest(state: dict[str, DataFrame], found: dict[str, DataFrame], source: str
         "case": merge(state["case"], found["case"], KEYS["case"], _CASE_POLICY),
         **{name: upsert_links(state[name], found[name], ends, "EXPLICIT", source) for name, ends in _ENDS.items()},
     }
-    return out | {name: replacing(found["run"], ["source"])(state[name], found[name]) for name in OF_SOURCE}
+    return out | {name: replacing(found["run"], ["source"])(state[name], found[name]) for name in OF_SOURCE if name in found}
 
 
 def empty_state(spark) -> dict[str, DataFrame]:

@@ -96,11 +96,15 @@ def attempts(execution_rows: DataFrame, keys: tuple[str, ...] = EXECUTION) -> Da
     )
 
 
+def output(chunks: Column) -> Column:
+    """Chunks of text and base 64 joined."""
+    return F.array_join(F.transform(chunks, lambda c: F.coalesce(c["text"], F.try_to_binary(c["buffer"], F.lit("base64")).cast("string"), F.lit(""))), "")
+
+
 def build_logs(attempt_rows: DataFrame, keys: tuple[str, ...] = (*EXECUTION, "attempt_no")) -> DataFrame:
     """A row per attempt and stream with output: chunks of text and base 64 joined, and their bytes."""
     logs = attempt_rows.select(*keys, F.explode(F.create_map(F.lit("stdout"), "stdout", F.lit("stderr"), "stderr")).alias("log_type", "chunks"))
-    whole = F.array_join(F.transform("chunks", lambda c: F.coalesce(c["text"], F.try_to_binary(c["buffer"], F.lit("base64")).cast("string"), F.lit(""))), "")
-    out = logs.where("chunks is not null").select(*keys, "log_type", whole.alias("content"))
+    out = logs.where("chunks is not null").select(*keys, "log_type", output(F.col("chunks")).alias("content"))
     return out.withColumn("bytes", F.octet_length("content")).where("bytes > 0")
 
 
