@@ -840,3 +840,24 @@ def test_edits_are_located():
     a, b = "\n".join(lines), "\n".join(lines[:20] + ["changed entirely"] + lines[21:])
     places = merkle.edits(merkle.fingerprint(a), merkle.fingerprint(b))
     assert len(places) == 1 and merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) > 0.9
+
+
+def test_frequent_tokens_make_only_rows_that_reach_the_overlap(spark, monkeypatch):
+    rnd, plans = random.Random(7), {}
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "ASKERS", 2)
+    monkeypatch.setattr(jaccard_join, "kept_table", lambda df, name, real=jaccard_join.kept_table: (plans.setdefault(name, df), real(df, name))[1])
+    passage = [f"common{i}" for i in range(30)]
+    texts = [passage + [f"own{d}x{i}" for i in range(rnd.randint(4, 12))] for d in range(60)]
+    texts += [[*t[:-1], "other"] for t in texts[:20]] + [[*t[:-2], "more", "edits"] for t in texts[10:40]]
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]) and part[i] != part[j]:
+                low, high = sorted((part[i], part[j]))
+                part = [low if p == high else p for p in part]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(part)) and len(set(part)) > 5
+    joins = [line for line in plans["met"]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "token" in line]
+    assert joins and any("q_rest" in line and "g_rest" in line for line in joins)

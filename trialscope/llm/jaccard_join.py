@@ -254,6 +254,19 @@ def _open(rows: DataFrame, members: DataFrame, queries: DataFrame, k: int, perce
     return links
 
 
+def _with_common(met: DataFrame, placed: DataFrame) -> DataFrame:
+    """met (q, grp, tail, least) with c: how many prefix tokens of the query any member of the group has in its own prefix.
+
+    A pair of a query and a group is one row here, whatever they share; the pairs of a group are dealt to tasks of some ASKERS.
+    """
+    tasks = met.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("_tasks"))
+    own = placed.join(met.select(F.col("q").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("q")).agg(F.collect_list("token").alias("q_tokens"))
+    theirs = placed.join(tasks, "grp").groupBy("grp", "_tasks").agg(F.collect_set("token").alias("g_tokens"))
+    dealt = theirs.withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))).drop("_tasks")
+    asking = met.join(tasks, "grp").withColumn("_task", F.pmod(F.xxhash64("q", F.lit(5)), F.col("_tasks"))).drop("_tasks").join(own, "q")
+    return asking.join(dealt, ["grp", "_task"]).select("q", "grp", "tail", "least", F.size(F.array_intersect("q_tokens", "g_tokens")).alias("c"))
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): id, n, key of every row; key, node, size of equal sets; and links (a, b) that connect all similar nodes.
 
@@ -305,10 +318,11 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matrix = placed.groupBy("token", "grp").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("tail").alias("g_tail"), F.min("part").alias("p_least"), F.max("part").alias("p_most"))
     of_parts = placed.select("token", "part").distinct().join(matrix, "token").where(~((F.col("p_least") == F.col("part")) & (F.col("p_most") == F.col("part")))).drop("p_least", "p_most")
     queries = placed.select("token", "part", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("tail").alias("q_tail"))
-    fits = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least"))
     least = alpha(F.col("q_n"), F.greatest("q_n", "g_least"))
-    met = queries.join(of_parts, ["token", "part"]).where(fits).groupBy("q", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("q_tail", "g_tail")).alias("tail"), F.min(least).alias("least"), F.bool_or(F.least("q_rest", "g_rest") >= least).alias("first"))
-    asked = kept(met.where("first AND c + tail >= least").select(F.col("q").alias("node"), "grp"), "asked")
+    # A similar pair reaches the needed overlap from its first common token on: only such rows are made of a frequent token.
+    reaches = (F.col("g_most") >= F.col("q_n")) & (100 * F.col("q_n") >= percent * F.col("g_least")) & (F.least("q_rest", "g_rest") >= least)
+    met = queries.join(of_parts, ["token", "part"]).where(reaches).groupBy("q", "grp").agg(F.max(F.greatest("q_tail", "g_tail")).alias("tail"), F.min(least).alias("least"))
+    asked = kept(_with_common(kept(met, "met"), placed).where("c + tail >= least").select(F.col("q").alias("node"), "grp"), "asked")
     members = groups.select("node", "grp").join(asked.select("grp").distinct(), "grp", "left_semi")
     late, late_path = _open(rows, members, asked, k, percent, "late-links")
     for path in paths:
