@@ -101,3 +101,20 @@ def test_edge_cases(spark):
     assert spelling.spelling_variants(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         spelling.spelling_variants(frame(spark, []), least=3)
+
+
+def test_only_the_bigrams_are_broadcast(spark, monkeypatch):
+    """Tables that grow with the input are shuffled, also where their compressed files are below the limit for broadcasts."""
+    plans, keep = {}, spelling.kept_table
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name):
+        plans.setdefault(name, plan(df))
+        return keep(df, name)
+
+    monkeypatch.setattr(spelling, "kept_table", noted)
+    words = ["governance"] * 40 + ["governanc"] * 3 + ["governancs"] * 3 + ["candidate", "candidates"] * 5
+    out = spelling.spelling_variants(frame(spark, [(i, w) for i, w in enumerate(words)]), damage=1 << 40)
+    plans["result"] = plan(out)
+    assert {name for name, text in plans.items() if "BroadcastExchange" in text} == {"gram-index"}
+    assert {(r["word"], r["root"]) for r in out.collect()} == {(w, "governance" if w.startswith("g") else w) for w in words}

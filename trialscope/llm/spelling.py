@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import drop_path, kept_table, text_of
+from trialscope.llm.common import drop_path, kept_table, spread, text_of
 
 #: Letters of a run: the ASCII letters and the upper half of Latin-1.
 LETTERS = "A-Za-zÀ-ÿ"
@@ -107,7 +107,7 @@ def near_words(words: DataFrame, context: int = CONTEXT) -> tuple[DataFrame, str
     for d in (-1, 0, 1):  # by so many letters this word is longer than the other
         holds += [(1, head(p + 2), tail(p + 2 + context + d), n - d, p + 2 + context + d >= 0), (3, head(p - d - context), tail(p), n - d, p - d >= context)]
     s = grams.select(text.alias("s"), F.col("n").alias("s_n"), F.col("last").alias("s_last"), F.explode(F.array_compact(_keys(holds))).alias("key"))
-    met = r.join(s, "key").where((F.col("r_last") <= F.col("s_last")) & (F.levenshtein("r", "s", 1) == 1))
+    met = r.join(spread(s), "key").where((F.col("r_last") <= F.col("s_last")) & (F.levenshtein("r", "s", 1) == 1))
     low = F.col("r") < F.col("s")
     pair = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
     pairs, pairs_path = kept_table(met.select(pair("r", "s").alias("a"), pair("r_n", "s_n").alias("a_n"), pair("s", "r").alias("b"), pair("s_n", "r_n").alias("b_n")).distinct(), "near-words")
@@ -125,7 +125,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at, path = kept_table(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        joined = at.join(further, "root", "left")
+        joined = at.join(spread(further), "root", "left")
         if joined.where("_next is not null").isEmpty():
             return at
         new, new_path = kept_table(joined.select("word", F.coalesce("_next", "root").alias("root")), "roots")
@@ -148,9 +148,9 @@ def spelling_variants(docs: DataFrame, least: int = 7, damage: int = 31, seen: i
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("near"))).alias("best")
     pairs, pairs_path = near_words(words)
     near = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    said = words.join(near, "word", "left").withColumn("ok", -F.col("best.n") >= times * F.col("n"))
+    said = words.join(spread(near), "word", "left").withColumn("ok", -F.col("best.n") >= times * F.col("n"))
     table, _ = kept_table(said.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("ok"), F.col("best.near")).alias("form"), F.when(F.col("ok"), -F.col("best.n")).alias("form_n")), "forms")
     for done in (words_path, pairs_path):
         drop_path(docs.sparkSession, done)
     ends = roots(table.where("form is not null").select("word", "form"))
-    return table.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return table.join(spread(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
