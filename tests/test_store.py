@@ -224,6 +224,19 @@ def test_attempts_logs_and_artifacts_of_a_drained_report(spark, tmp_path):
     assert [store.read(n).count() for n in ("attempt", "build_log", "artifact", "result")] == [1, 0, 0, 1]
 
 
+def test_a_drain_broadcasts_neither_tests_nor_what_is_known(spark, tmp_path):
+    """Both grow with the input, and compressed files tell little of the rows that they hold: only rows per file are sent to all tasks."""
+    store, known = drop_zone(spark, tmp_path)
+    prop = '<properties><property name="jira" value="QAA-1"/><property name="testrail" value="C7"/></properties>'
+    land(tmp_path / "in" / "a", ["r.xml"])
+    (tmp_path / "in" / "a" / "r.xml").write_text(suite(*(case(f"t{i}", inner=prop) for i in range(2000))))
+    with scope(spark):
+        found, status = job_ops.read_batches(pending_manifests(store, f"{tmp_path}/in"), *(kept(k, "known") for k in known))
+        joins = [line for df in found.values() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert joins and not [line for line in joins if "BuildLeft" in line or "issue_key#" in line or "tr_case_id#" in line]
+        assert status.first()["tests"] == 2000 and found["link"].count() == found["case_link"].count() == 2000
+
+
 def test_a_scope_drops_what_was_kept_in_it(spark):
     before = listing(spark, shared_dir(spark))
     with pytest.raises(ZeroDivisionError), scope(spark):

@@ -279,16 +279,17 @@ def read_batches(files: DataFrame, known_issues: DataFrame, known_cases: DataFra
     none = dict.fromkeys((*_BUILD, "shard", "framework"))
     failed = rejected.select("path", F.col("reason").alias("error"), F.lit(0).alias("files"), F.lit(0).cast("long").alias("tests"), *(F.lit(None).cast(dict(of_batch.dtypes)[c]).alias(c) for c in none))
     status = kept(of_batch.unionByName(failed).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed")), "batches")
-    fine = listed.join(status.where("status = 'ok'").select("path"), "path", "left_semi")
+    # Frames made of Python rows have no known size, and Spark would rather broadcast all tests than the rows per file (whose names the driver has).
+    fine = kept(listed.join(status.where("status = 'ok'").select("path"), "path", "left_semi"), "result-files")
     # A file that several manifests of a build name counts once.
     builds = fine.groupBy("file", *_BUILD, "shard").agg(*(F.max(c).alias(c) for c in ("ci_provider", "branch", "build_url")), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"))
     read_as = tests.join(fine.select("file", reads.alias("framework")).distinct(), ["file", "framework"], "left_semi")
-    found = found_tables(read_as, builds, known_issues, known_cases)
+    found = found_tables(read_as, F.broadcast(builds), known_issues, known_cases)
     sent = fine.select(F.md5("file").alias("source"), "path", "artifactFiles").distinct()
     found["artifact"], lost = _resolved(found["artifact"], sent)
     # What a batch's files say of links and attachments, counted per manifest.
     own = fine.select("path", F.col("file")).distinct()
-    of = tests.select("file", "identity_key").distinct().join(own, "file").select("path", "identity_key").distinct()
+    of = tests.select("file", "identity_key").distinct().join(F.broadcast(own), "file").select("path", "identity_key").distinct()
     each = lambda df, on, name: df.join(of, "identity_key").groupBy("path").agg(F.count_distinct(*on).cast("int").alias(name))
     told = [each(found["link"], ["issue_key", "identity_key"], "links"), each(found["skipped_link"], ["issue_key", "identity_key"], "unknown_issues"), each(found["skipped_case_link"], ["tr_case_id", "identity_key"], "unknown_cases")]
     told.append(lost.join(sent.select("source", "path"), "source").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("lost_artifacts")))

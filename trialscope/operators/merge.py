@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions.names import fresh
+from trialscope.sources.scratch import spread
 
 #: What a column of an existing row becomes: the new value, the new one unless it is null, the old one (set on creation only), or
 #: the old one unless it is null.
@@ -129,8 +130,8 @@ def backfill(target: DataFrame, column: str, lookup: DataFrame, on: str, value:
 
 
 def keep_known(rows: DataFrame, known: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is known, the others): no row without its parent is written."""
-    keys = known.select(*on).distinct()
+    """(rows whose key is known, the others): no row without its parent is written. What is known grows too, and is never broadcast."""
+    keys = spread(known.select(*on).distinct())
     return rows.join(keys, on, "left_semi"), rows.join(keys, on, "left_anti")
 
 
