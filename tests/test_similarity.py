@@ -141,3 +141,19 @@ def test_projects_are_synced_without_dealing_issues_by_project(spark):
         assert "hashpartitioning(project_key" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_what_is_shuffled_for_pairs_grows_as_the_members(spark, monkeypatch):
+    """Parts grow with the root of the pairs, so that there are some TASKS cells at most, and no task explodes in an explode."""
+    monkeypatch.setattr(inference, "PART", 10)
+    monkeypatch.setattr(inference, "TASKS", 16)
+    for n in (200, 400):
+        issues = spark.range(n).select(F.concat(F.lit("P-"), F.col("id").cast("string")).alias("issue_key"), F.lit("log in").alias("summary"))
+        cases = spark.range(n).select(F.col("id").alias("tr_case_id"), F.lit("log in").alias("title"))
+        none = cases.select("tr_case_id").limit(0)
+        seen, deal = [], type(cases).repartition
+        monkeypatch.setattr(type(cases), "repartition", lambda self, *a: (seen.append(self), deal(self, *a))[1])
+        pairs = inference.bridge_by_title(issues, cases, none, none)
+        monkeypatch.setattr(type(cases), "repartition", deal)
+        assert [df.selectExpr("sum(size(ids))").first()[0] for df in seen] == [4 * n, 4 * n]
+        assert pairs.distinct().count() == pairs.count() == n * n
