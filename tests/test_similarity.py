@@ -144,7 +144,7 @@ def test_projects_are_synced_without_dealing_issues_by_project(spark):
 
 
 def test_what_is_shuffled_for_pairs_grows_as_the_members(spark, monkeypatch):
-    """Parts grow with the root of the pairs, so that there are some TASKS cells at most, and no task explodes in an explode."""
+    """Parts grow with the root of the pairs, so that there are some TASKS cells at most."""
     monkeypatch.setattr(inference, "PART", 10)
     monkeypatch.setattr(inference, "TASKS", 16)
     for n in (200, 400):
